@@ -182,26 +182,27 @@ def preprocess_pairs(
     ).select("sdssid", "specname_dr16", "specname_sdssv", "z", "m.side", "m.path")
     wanted = members.select("path", "z").distinct().join(spectra.drop("z"), "path")
     done = wanted.select(
-        "path",
-        "z",
+        F.col("path").alias("__path"),
+        F.col("z").alias("__z"),
         prepared_spectrum(
-            observed_wavelengths(wanted), F.col("flux"), F.col("z"), grid, window, taper_len,
-            sanitize=True, keep_raw=keep_raw,
+            observed_wavelengths(wanted),
+            F.col("flux"),
+            F.col("z"),
+            grid,
+            window,
+            taper_len,
+            sanitize=True,
+            keep_raw=keep_raw,
         ).alias("p"),
     )
-    same = (members["path"] == done["path"]) & members["z"].eqNullSafe(done["z"])
-    keys = ["sdssid", "specname_dr16", "specname_sdssv"]
-    both = members.join(done, same, "left").select(*keys, members["z"], members["side"], "p")
-    vectors = both.groupBy(*keys, "z").agg(
-        *[
-            F.max_by(F.struct("p.flux", "p.raw", "p.error"), F.when(F.col("side") == s, 1)).alias(f"p{s}")
-            for s in (1, 2)
-        ]
+    same = (F.col("path") == F.col("__path")) & F.col("z").eqNullSafe(F.col("__z"))
+    keys = ["sdssid", "specname_dr16", "specname_sdssv", "z"]
+    vectors = (
+        members.join(done, same, "left")
+        .groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
+        .agg(*[F.max_by("p", F.when(F.col("side") == s, 1)).alias(f"p{s}") for s in (1, 2)])
     )
-    named = kept.join(
-        vectors.withColumnRenamed("z", "__z"),
-        [kept[k] == vectors[k] for k in keys] + [kept["z"].eqNullSafe(F.col("__z"))],
-    ).select(*[kept[c] for c in kept.columns], "p1", "p2")
+    named = kept.join(vectors, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     error = F.coalesce(F.col("p1.error"), F.col("p2.error"))
     raw = ["raw"] if keep_raw else []
     good = named.filter(error.isNull()).select(

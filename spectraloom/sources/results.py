@@ -12,9 +12,9 @@ RUN_SCHEMA = (
 )
 
 
-def read_run_results(spark, path, schema=RUN_SCHEMA):
-    """One row per run from result or sweep-summary JSON documents."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_run_results(spark, path, schema=RUN_SCHEMA, multi_line=True):
+    """One row per run from result or sweep-summary documents, or from JSON lines."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
 def write_json(df, path, mode="errorifexists"):
