@@ -11,18 +11,33 @@ NODES, WEIGHTS = np.polynomial.legendre.leggauss(16)
 
 
 def luminosity_distance_mpc(z):
-    """(1+z) c/H0 times the integral of 1/E from 0 to z, by 16-point Gauss-Legendre."""
+    """(1+z) c/H0 times the integral of 1/E from 0 to z, by 16-point Gauss-Legendre.
+
+    `z` should be a plain column: it occurs three times per node.
+    """
     z = F.col(z) if isinstance(z, str) else z
     total = None
     for node, weight in zip(NODES, WEIGHTS):
-        a = F.lit(1.0) + z * F.lit(float((node + 1.0) / 2.0))
-        term = F.lit(float(weight)) / F.sqrt(F.lit(OMEGA_M) * a * a * a + F.lit(1.0 - OMEGA_M))
+        x = float((node + 1.0) / 2.0)
+        # OMEGA_M (1 + x z)^3 + 1 - OMEGA_M, expanded in powers of z
+        cubic, square, linear = OMEGA_M * x**3, 3 * OMEGA_M * x**2, 3 * OMEGA_M * x
+        e2 = ((F.lit(cubic) * z + F.lit(square)) * z + F.lit(linear)) * z + F.lit(1.0)
+        term = F.lit(float(weight)) / F.sqrt(e2)
         total = term if total is None else total + term
     return (F.lit(1.0) + z) * F.lit(LIGHT_KM_S / H0) * z / F.lit(2.0) * total
 
 
-def sphere_area_cm2(z):
-    """4 pi d_L^2 in cm^2; NULL unless z > 0."""
-    z = F.col(z) if isinstance(z, str) else z
-    d = luminosity_distance_mpc(z) * F.lit(CM_PER_MPC)
-    return F.when(z > 0, F.lit(4.0 * np.pi) * d * d)
+def with_sphere_area(df, z, name):
+    """Add 4 pi d_L^2 in cm^2, NULL unless z > 0.
+
+    Redshift and distance get projections of their own, so that each is computed once
+    per row and the generated code stays small.
+    """
+    positive = F.when(z > 0, z)
+    d = luminosity_distance_mpc("__z") * F.lit(CM_PER_MPC)
+    return (
+        df.withColumn("__z", positive)
+        .withColumn("__d", d)
+        .withColumn(name, F.lit(4.0 * np.pi) * F.col("__d") * F.col("__d"))
+        .drop("__z", "__d")
+    )

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..settings import EPS, FLUX_UNIT, LINE_ALIASES, TRUE_WORDS, QualityLimits
-from .cosmology import sphere_area_cm2
+from .cosmology import with_sphere_area
 from .missing import finite, finite_positive, holds, number
 
 AREA = "__area"
@@ -17,8 +17,7 @@ def _column_or_null(df, name):
 
 
 def _with_area(df, z_col):
-    # one projection of its own, so the quadrature is evaluated once per row
-    return df.withColumn(AREA, sphere_area_cm2(number(z_col)))
+    return with_sphere_area(df, number(z_col), AREA)
 
 
 def ensure_columns(df, names, kind="double"):

@@ -15,14 +15,22 @@ pairs, and nothing is cut off without proof:
 
 from pyspark.sql import Window as W, functions as F
 
+from ..session import freeze
 from .ordering import with_positions
 
-BLOCK = 32
-FANOUT = 16
+BLOCK = 64
+FANOUT = 8
+# node tables up to this many rows (about 10 MB) are handled in one task and broadcast
+SMALL_ROWS = 100_000
 CODE_BITS = 24
 CODE_RANGE_SIGMAS = 8.0
 
 QUERY = ["q_class", "q_z", "q_snr", "q_obj"]
+# Identity of a query as text, led in sorts by its hash, which settles nearly every
+# comparison. Doubles as window keys would be normalised by Spark and no longer match the
+# partitioning of the queries, so that every level would shuffle again.
+KEY = ["q_hash", "q_text"]
+CARRIED = [*KEY, *QUERY]
 
 
 def split_spread(df):
@@ -71,32 +79,50 @@ def _trim_points(rows, k):
     return second.drop("__n", "__m")
 
 
+def _together(nodes, key, rows):
+    """Bring the parts of a node to one partition, so that grouping them shuffles once."""
+    return nodes.coalesce(1) if rows <= SMALL_ROWS else nodes.repartition("cls", key)
+
+
 def _leaf_nodes(blocks):
     """Box, row count, commonest object and bounds for it and for all others, per block."""
     per_object = blocks.groupBy("cls", "node", "obj").agg(
-        F.count("*").alias("c"),
+        F.count("*").alias("n"),
         F.min("z").alias("z_lo"),
         F.max("z").alias("z_hi"),
         F.min("snr").alias("s_lo"),
         F.max("snr").alias("s_hi"),
     )
-    return _summarise(per_object, "node", F.col("c"), F.lit(0), F.col("c"))
+    return _summarise(per_object.withColumns({"extra": F.col("n"), "base": F.lit(0)}), "node")
+
+
+def _parent_nodes(nodes, rows):
+    per_object = _together(nodes, "parent", rows).groupBy("cls", "parent", "obj").agg(
+        F.sum("n").alias("n"),
+        F.min("z_lo").alias("z_lo"),
+        F.max("z_hi").alias("z_hi"),
+        F.min("s_lo").alias("s_lo"),
+        F.max("s_hi").alias("s_hi"),
+        F.sum("others").alias("base"),
+        F.sum(F.col("most") - F.col("others")).alias("extra"),
+    )
+    return _summarise(per_object, "parent")
 
 
-def _summarise(parts, node, extra, base, rows):
+def _summarise(parts, node):
     """Combine parts (one per object and node) into one row per node.
 
-    An object's rows in the node are at most sum(base) plus its own sum of `extra`.
+    An object has at most sum(base) rows in the node, plus its own `extra`.
     """
     ranked = parts.groupBy("cls", F.col(node).alias("node")).agg(
         F.min("z_lo").alias("z_lo"),
         F.max("z_hi").alias("z_hi"),
         F.min("s_lo").alias("s_lo"),
         F.max("s_hi").alias("s_hi"),
-        F.sum(rows).alias("n"),
-        F.sum(base).alias("base"),
+        F.sum("n").alias("n"),
+        F.sum("base").alias("base"),
         # at most BLOCK or FANOUT entries
-        F.sort_array(F.collect_list(F.struct(extra.alias("extra"), "obj")), False).alias("top"),
+        F.sort_array(F.collect_list(F.struct("extra", "obj")), False).alias("top"),
     )
     first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
     return ranked.select(
@@ -114,17 +140,9 @@ def _summarise(parts, node, extra, base, rows):
     )
 
 
-def _parent_nodes(nodes):
-    per_object = nodes.groupBy("cls", "parent", "obj").agg(
-        F.min("z_lo").alias("z_lo"),
-        F.max("z_hi").alias("z_hi"),
-        F.min("s_lo").alias("s_lo"),
-        F.max("s_hi").alias("s_hi"),
-        F.sum("n").alias("n"),
-        F.sum("others").alias("base"),
-        F.sum(F.col("most") - F.col("others")).alias("extra"),
-    )
-    return _summarise(per_object, "parent", F.col("extra"), F.col("base"), F.col("n"))
+def _bounded(df, rows):
+    """Broadcast a table whose row count is known to be small."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
 def _prune(frontier, spread, k):
@@ -144,17 +162,20 @@ def _prune(frontier, spread, k):
     only_own = own & (F.col("others") == 0)
     least = F.greatest(F.col("n") - F.when(own, F.col("most")).otherwise(F.least("others", "n")), F.lit(0))
     measured = frontier.filter(~only_own).select(
-        *QUERY,
+        *CARRIED,
         "node",
+        "reach",
         (near("q_z", "z_lo", "z_hi", z_std) + near("q_snr", "s_lo", "s_hi", s_std)).alias("nearest"),
         (far("q_z", "z_lo", "z_hi", z_std) + far("q_snr", "s_lo", "s_hi", s_std)).alias("farthest"),
         least.alias("sure"),
     )
-    by_distance = W.partitionBy(*QUERY).orderBy("farthest").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*QUERY)
-    counted = measured.withColumn("known", F.sum("sure").over(by_distance))
-    reach = F.coalesce(F.min(F.when(F.col("known") >= k, F.col("farthest"))).over(whole), F.lit(float("inf")))
-    return counted.withColumn("reach", reach).filter("nearest <= reach").select(*QUERY, "node", "reach")
+    # the level above already bounds the distance, so few nodes are sorted
+    close = measured.filter("nearest <= reach")
+    by_distance = W.partitionBy(*KEY).orderBy("farthest").rowsBetween(W.unboundedPreceding, 0)
+    counted = close.withColumn("known", F.sum("sure").over(by_distance))
+    proved = F.min(F.when(F.col("known") >= k, F.col("farthest"))).over(W.partitionBy(*KEY))
+    reach = F.least("reach", F.coalesce(proved, F.col("reach")))
+    return counted.withColumn("reach", reach).filter("nearest <= reach").select(*CARRIED, "node", "reach")
 
 
 def nearest_partners(queries, candidates, k, spread=None):
@@ -175,35 +196,45 @@ def nearest_partners(queries, candidates, k, spread=None):
 
     points = _trim_points(usable, k).withColumn("code", _curve_code(F.col("z"), F.col("snr"), spread))
     placed = with_positions(points, "cls", "code", "z", "snr", "row_idx", name="place")
-    blocks = placed.withColumn("node", F.floor(F.col("place") / BLOCK).cast("bigint"))
     total = placed.count()
+    blocks = placed.withColumn("node", F.floor(F.col("place") / BLOCK).cast("bigint"))
+    blocks = _together(blocks, "node", total)
 
-    levels = [_leaf_nodes(blocks)]
-    width = -(-total // BLOCK)
-    while width > FANOUT:
-        levels.append(_parent_nodes(levels[-1]))
-        width = -(-width // FANOUT)
+    # two classes may share a block, hence one more row per class and level
+    widths = [-(-total // BLOCK)]
+    levels = [freeze(_leaf_nodes(blocks))]  # every level above is built from these
+    while widths[-1] > FANOUT:
+        levels.append(_parent_nodes(levels[-1], widths[-1]))
+        widths.append(-(-widths[-1] // FANOUT))
 
-    numbers = [F.col(c).cast("double").alias(c) for c in ("q_z", "q_snr")]
+    # adding 0.0 makes one number of both zeros
+    numbers = [(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in ("q_z", "q_snr")]
     asked = queries.select("q_class", *numbers, F.col("q_obj").cast("string").alias("q_obj"))
     asked = asked.filter("q_z is not null and q_snr is not null").distinct()
-    # at most FANOUT top nodes, one more per class for blocks shared by two classes
-    top = F.broadcast(levels[-1].withColumnRenamed("cls", "q_class"))
+    asked = asked.withColumn("q_text", F.concat_ws("|", *QUERY))
+    asked = asked.withColumns({"q_hash": F.xxhash64("q_text"), "reach": F.lit(float("inf"))})
+    # a query grows to some hundred rows on its way down, so the small table is spread out
+    # by an explicit number, which adaptive execution leaves alone; the windows need no other shuffle
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(tasks, "q_hash")
+    top = F.broadcast(levels[-1].withColumnRenamed("cls", "q_class"))  # about FANOUT rows
     frontier = _prune(asked.join(top, "q_class"), spread, k)
-    for nodes in reversed(levels[:-1]):
+    for nodes, width in zip(reversed(levels[:-1]), reversed(widths[:-1])):
         below = nodes.withColumnRenamed("cls", "q_class").withColumnRenamed("node", "child")
-        step = frontier.select(*QUERY, F.col("node").alias("parent")).join(below, ["q_class", "parent"])
+        step = frontier.withColumnRenamed("node", "parent").join(
+            _bounded(below, width), ["q_class", "parent"]
+        )
         frontier = _prune(step.withColumnRenamed("child", "node"), spread, k)
 
     packed = blocks.groupBy(F.col("cls").alias("q_class"), "node").agg(
         F.collect_list(F.struct("z", "snr", "obj", "row_idx")).alias("rows")  # at most BLOCK
     )
-    pairs = frontier.join(packed, ["q_class", "node"]).select(*QUERY, "reach", F.inline("rows"))
+    pairs = frontier.join(_bounded(packed, total), ["q_class", "node"]).select(*CARRIED, "reach", F.inline("rows"))
     dz = (F.col("z") - F.col("q_z")) / F.lit(spread["z_std"])
     dsnr = (F.col("snr") - F.col("q_snr")) / F.lit(spread["snr_std"])
     measured = pairs.withColumn("dist", dz * dz + dsnr * dsnr).filter(
         (F.col("dist") <= F.col("reach")) & ~F.col("obj").eqNullSafe(F.col("q_obj"))
     )
-    order = W.partitionBy(*QUERY).orderBy("dist", "row_idx")
+    order = W.partitionBy(*KEY).orderBy("dist", "row_idx")
     ranked = measured.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(*QUERY, "rank", "row_idx", "dist")
