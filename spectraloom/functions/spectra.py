@@ -59,10 +59,13 @@ def _numbers(values):
     return pa.array(values, type=pa.float64(), mask=np.isnan(values))
 
 
-def _matrix_udf(kernel):
+def _matrix_udf(kernel, min_pixels=1):
+    """Apply `kernel` to the rows with enough pixels; the others become NULL."""
+
     @F.arrow_udf("array<double>")
     def apply(x: pa.Array) -> pa.Array:
-        return _pack_lists(len(x), [(rows, kernel(m)) for rows, (m,) in _by_length([x])])
+        groups = [(rows, m) for rows, (m,) in _by_length([x]) if m.shape[1] >= min_pixels]
+        return _pack_lists(len(x), [(rows, kernel(m)) for rows, m in groups])
 
     return apply
 
@@ -70,11 +73,7 @@ def _matrix_udf(kernel):
 def continuum_subtracted(x, window=CONTINUUM_WINDOW):
     """x minus its mirrored running mean; NULL where the vector is too short to mirror."""
 
-    def kernel(matrix):
-        return kernels.subtract_continuum(matrix, window)
-
-    col = F.col(x) if isinstance(x, str) else x
-    return F.when(F.size(col) > window // 2, _matrix_udf(kernel)(col))
+    return _matrix_udf(lambda m: kernels.subtract_continuum(m, window), window // 2 + 1)(x)
 
 
 def filled(x):
