@@ -29,5 +29,5 @@ def rnd(col, digits):
 def long_vector(df, ids, vector, digits):
     """One row per element, rounded."""
     return df.select(*ids, F.posexplode(vector).alias("pos", "v")).select(
-        *ids, "pos", rnd("v", digits).alias("value")
+        *ids, F.col("pos").cast("bigint").alias("pos"), rnd("v", digits).alias("value")
     )

@@ -133,7 +133,7 @@ def standardized(spark, sf_dir):
     )
     out = df.select("vec_id", F.posexplode("z").alias("pos", "z"))
     return out.select(
-        "vec_id", "pos", rnd("z.p", 7).alias("population"), rnd("z.s", 7).alias("sample")
+        "vec_id", F.col("pos").cast("bigint").alias("pos"), rnd("z.p", 7).alias("population"), rnd("z.s", 7).alias("sample")
     )
 
 
@@ -329,7 +329,7 @@ def peak_wave(spark, sf_dir):
 def profiles(spark, sf_dir):
     df = class_profiles(embeddings(spark, sf_dir), "label", "x")
     both = df.select("label", F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "v"))
-    return both.select("label", "pos", rnd("v.mean", 8).alias("mean"), rnd("v.std", 8).alias("std"))
+    return both.select("label", F.col("pos").cast("bigint").alias("pos"), rnd("v.mean", 8).alias("mean"), rnd("v.std", 8).alias("std"))
 
 
 def cleaning_rows(spark, sf_dir):
@@ -452,7 +452,7 @@ def finite(spark, sf_dir):
     df = raw_spectra(spark, sf_dir)
     backwards = vectors.finite_sorted(F.reverse("wavelength"), F.reverse("flux"))
     out = df.select("spec_id", F.posexplode(backwards).alias("pos", "s"))
-    return out.select("spec_id", "pos", rnd("s.wave", 6).alias("wave"), "s.flux")
+    return out.select("spec_id", F.col("pos").cast("bigint").alias("pos"), rnd("s.wave", 6).alias("wave"), "s.flux")
 
 
 @query(
@@ -499,7 +499,7 @@ def resampled(spark, sf_dir):
     wave, flux = vectors.rest_frame("wavelength", spectra.repaired_sky_line("wavelength", "flux"), "z")
     out = df.select("spec_id", spectra.resampled(wave, flux, GRID).alias("g"))
     pixels = out.select("spec_id", F.posexplode("g").alias("pos", "v"))
-    return pixels.select("spec_id", "pos", rnd(F.when(~F.isnan("v"), F.col("v")), 6).alias("value"))
+    return pixels.select("spec_id", F.col("pos").cast("bigint").alias("pos"), rnd(F.when(~F.isnan("v"), F.col("v")), 6).alias("value"))
 
 
 @query("gaps_filled_with_median", f"WITH {GRID_SQL} SELECT spec_id, pos, round(v, 6) AS value FROM filled")
@@ -535,7 +535,7 @@ def preprocessed(spark, sf_dir):
     )
     done = preprocess_spectra(df, GRID, WINDOW)
     pixels = done.select(F.col("filename").cast("bigint").alias("spec_id"), "n_filled", F.posexplode("flux").alias("pos", "v"))
-    return pixels.select("spec_id", "pos", F.col("n_filled").cast("bigint").alias("n_filled"), rnd("v", 2).alias("value"))
+    return pixels.select("spec_id", F.col("pos").cast("bigint").alias("pos"), F.col("n_filled").cast("bigint").alias("n_filled"), rnd("v", 2).alias("value"))
 
 
 @query(

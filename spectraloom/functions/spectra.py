@@ -23,17 +23,23 @@ def _lists(column):
     return offsets, values, column.is_valid().to_numpy(zero_copy_only=False)
 
 
+# rows per matrix: keeps a kernel's temporaries at some MB however large the Arrow batch is
+CHUNK = 1024
+
+
 def _by_length(columns):
-    """Yield (row numbers, one matrix per column) for each group of equal-length rows."""
+    """Yield (row numbers, one matrix per column) for groups of equally long rows."""
     parts = [_lists(c) for c in columns]
     lengths = [np.diff(p[0]) for p in parts]
     usable = np.logical_and.reduce([p[2] for p in parts])
     for other in lengths[1:]:
         usable &= lengths[0] == other
     for size in np.unique(lengths[0][usable]) if usable.any() else ():
-        rows = np.flatnonzero(usable & (lengths[0] == size))
+        found = np.flatnonzero(usable & (lengths[0] == size))
         index = np.arange(size)
-        yield rows, [p[1][p[0][rows][:, None] + index] for p in parts]
+        for start in range(0, len(found), CHUNK):
+            rows = found[start : start + CHUNK]
+            yield rows, [p[1][p[0][rows][:, None] + index] for p in parts]
 
 
 def _pack_lists(count, blocks, kind=pa.float64()):
@@ -216,7 +222,6 @@ def prepared_spectrum(
     mad_scaling=False,
     sanitize=False,
     keep_raw=False,
-    subtract=True,
 ):
     """Observed spectrum to processed vector in one pass over each Arrow batch.
 
@@ -256,31 +261,32 @@ def prepared_spectrum(
                     errors[i] = str(problem)
         counts = np.zeros(n, dtype=np.int32)
         done, raws = [], []
-        if rows:
-            rows = np.array(rows)
-            x, gaps, middle = kernels.fill_missing(np.stack(grids))
-            counts[rows] = gaps
+        for start in range(0, len(rows), CHUNK):
+            chunk = np.array(rows[start : start + CHUNK])
+            x, gaps, middle = kernels.fill_missing(np.stack(grids[start : start + CHUNK]))
+            counts[chunk] = gaps
             if sanitize:
                 overlap = np.isfinite(middle)
-                for i in rows[~overlap]:
+                for i in chunk[~overlap]:
                     errors[i] = "no wavelength overlap"
-                rows, x = rows[overlap], x[overlap]
-            if len(rows):
-                # single precision from here on, as the stored vectors are
-                x = x.astype(np.float32).astype(float)
-                if keep_raw:
-                    raws.append((rows, x))
-                if subtract:
-                    try:
-                        y = kernels.subtract_continuum(x, window)
-                        if mad_scaling:
-                            y = kernels.scale_by_mad(y, *kernels.median_and_mad(y))
-                        done.append((rows, kernels.taper(y, taper_len)))
-                    except ValueError as problem:
-                        for i in rows:
-                            errors[i] = str(problem)
+                chunk, x = chunk[overlap], x[overlap]
+            if not len(chunk):
+                continue
+            # single precision from here on, as the stored vectors are
+            x = x.astype(np.float32).astype(float)
+            if keep_raw:
+                raws.append((chunk, x))
+            try:
+                y = kernels.subtract_continuum(x, window)
+            except ValueError as problem:
+                for i in chunk:
+                    errors[i] = str(problem)
+                continue
+            if mad_scaling:
+                y = kernels.scale_by_mad(y, *kernels.median_and_mad(y))
+            done.append((chunk, kernels.taper(y, taper_len)))
         ok = np.zeros(n, dtype=bool)
-        for used, _ in done or raws:
+        for used, _ in done:
             ok[used] = True
         return pa.StructArray.from_arrays(
             [

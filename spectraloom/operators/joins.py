@@ -1,6 +1,7 @@
 """Joins of catalogue tables, metadata and file listings.
 
-No join here forces a broadcast: Spark broadcasts a side when its measured size is under
+A broadcast is only asked for after counting (`counted_side`). All other joins are left to
+Spark, which broadcasts a side when its measured size is under
 `spark.sql.autoBroadcastJoinThreshold`, and splits skewed partitions otherwise.
 """
 
@@ -11,6 +12,19 @@ from pyspark.sql import functions as F
 from .dedup import keep_first, keep_last
 
 
+BROADCAST_ROWS = 500_000
+
+
+def counted_side(small, limit=BROADCAST_ROWS):
+    """`small` with a broadcast hint if it has at most `limit` (narrow) rows.
+
+    For fetching vectors by key: without the hint both sides would be shuffled before
+    adaptive execution sees that one of them is tiny. Hand in a frozen or cheap table.
+    """
+    few = small.limit(limit + 1).count() <= limit
+    return F.broadcast(small) if few else small
+
+
 def side_by_side(tables, names, position="row_idx"):
     """Row-aligned tables joined on an explicit position; clashing names get `_<table>`."""
     columns = [c for t in tables for c in t.columns if c != position]

@@ -11,14 +11,13 @@ def _hash(keys, seed):
     return F.xxhash64(*keys, F.lit(int(seed)))
 
 
-def stratified_split(df, by, keys, seed=42, shares=(("train", 0.70), ("val", 0.15), ("test", 0.15))):
-    """Add `split` with exact quotas per class; `keys` must identify a row.
+def _cut_places(df, by, keys, seed, quotas):
+    """Per class a map from name to the (hash, key) of the row where the quota is reached.
 
-    Rows are ordered by a seeded hash and cut where a class's quota is reached. Only a
-    histogram of the hashes and the rows of the few buckets that hold a cut are shuffled,
-    so classes of any size and any imbalance cost one light pass each.
+    `quotas` maps a name to a column over the class size `__total`. Only a histogram of the
+    hashes and the rows of the few buckets with a cut are shuffled, so classes of any size
+    and any imbalance cost two light passes.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
     marked = df.select(by, _hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k")).withColumn(
         "__b", F.shiftright("__h", 48)
     )
@@ -28,41 +27,45 @@ def stratified_split(df, by, keys, seed=42, shares=(("train", 0.70), ("val", 0.1
     running = sizes.withColumn("__upto", F.sum("__n").over(order)).withColumn(
         "__total", F.sum("__n").over(W.partitionBy(by))
     )
-    bounds, sum_share = [], 0.0
-    for name, share in shares[:-1]:
-        sum_share += share
-        quota = F.round(F.col("__total") * F.lit(sum_share)).cast("bigint")
-        bounds.append(F.struct(F.lit(name).alias("split"), quota.alias("quota")))
-    cuts = running.select(by, "__b", "__n", "__upto", F.explode(F.array(*bounds)).alias("__cut"))
-    cuts = cuts.filter(
-        (F.col("__cut.quota") > F.col("__upto") - F.col("__n")) & (F.col("__cut.quota") <= F.col("__upto"))
-    ).select(
-        by,
-        "__b",
-        F.col("__cut.split").alias("__split"),
-        (F.col("__cut.quota") - F.col("__upto") + F.col("__n")).alias("__place"),
+    wanted = [F.struct(F.lit(n).alias("name"), q.cast("bigint").alias("quota")) for n, q in quotas.items()]
+    cuts = running.select(by, "__b", "__n", "__upto", F.explode(F.array(*wanted)).alias("__cut"))
+    before = F.col("__upto") - F.col("__n")
+    cuts = cuts.filter((F.col("__cut.quota") > before) & (F.col("__cut.quota") <= F.col("__upto"))).select(
+        by, "__b", F.col("__cut.name").alias("__name"), (F.col("__cut.quota") - before).alias("__place")
     )
-    in_bucket = W.partitionBy(by, "__b", "__split").orderBy("__h", "__k")
-    last = (
-        marked.join(F.broadcast(cuts), [by, "__b"])  # one row per class and split
+    in_bucket = W.partitionBy(by, "__b", "__name").orderBy("__h", "__k")
+    return (
+        marked.join(F.broadcast(cuts), [by, "__b"])  # one row per class and name
         .withColumn("__r", F.row_number().over(in_bucket))
         .filter(F.col("__r") == F.col("__place"))
         .groupBy(by)
-        .agg(F.map_from_entries(F.collect_list(F.struct("__split", F.struct("__h", "__k")))).alias("__last"))
-    )
-    position = F.struct(_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k"))
-    label = None
-    for name, _ in shares[:-1]:
-        reached = position <= F.col("__last")[name]
-        label = F.when(reached, name) if label is None else label.when(reached, name)
-    # one row per class
-    return (
-        df.join(F.broadcast(last), by, "left")
-        .withColumn("split", label.otherwise(shares[-1][0]))
-        .select(*df.columns, "split")
+        .agg(F.map_from_entries(F.collect_list(F.struct("__name", F.struct("__h", "__k")))).alias("__last"))
     )
 
 
+def _with_cuts(df, by, keys, seed, quotas):
+    """`df` with the cut places of its class (one row per class, hence the broadcast)."""
+    place = F.struct(_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k"))
+    return df.join(F.broadcast(_cut_places(df, by, keys, seed, quotas)), by, "left"), place
+
+
+def stratified_split(df, by, keys, seed=42, shares=(("train", 0.70), ("val", 0.15), ("test", 0.15))):
+    """Add `split` with exact quotas per class; `keys` must identify a row.
+
+    Rows are ordered by a seeded hash and cut where a class's quota is reached.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    quotas, so_far = {}, 0.0
+    for name, share in shares[:-1]:
+        so_far += share
+        quotas[name] = F.round(F.col("__total") * F.lit(so_far))
+    cut, place = _with_cuts(df, by, keys, seed, quotas)
+    label = F
+    for name in quotas:
+        label = label.when(place <= F.col("__last")[name], name)
+    return cut.withColumn("split", label.otherwise(shares[-1][0])).select(*df.columns, "split")
+
+
 def seeded_shuffle(df, keys, seed):
     """Order rows by a seeded hash, for when an order is consumed."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -73,9 +76,8 @@ def first_per_class(df, by, keys, n=50, seed=42, only=None):
     """n rows per class after a seeded shuffle, optionally of rows meeting a condition."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     chosen = df if only is None else df.filter(only)
-    order = W.partitionBy(by).orderBy(_hash(keys, seed), *keys)
-    ranked = chosen.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n)
-    return ranked.drop("__r")
+    cut, place = _with_cuts(chosen, by, keys, seed, {"first": F.least(F.lit(n), F.col("__total"))})
+    return cut.filter(place <= F.col("__last")["first"]).select(*df.columns)
 
 
 def scaled_redshift(df, z_col="z", eps=EPS, name="z_scaled"):

@@ -17,6 +17,7 @@ from ..operators.metrics import (
     threshold_sweep,
 )
 from ..operators.ranking import diagnostic_sample
+from ..session import freeze
 from ..settings import master_grid
 
 PREDICTION_META = ("sdssid", "z", "specname_dr16", "specname_sdssv", "dr16_path", "sdssv_path")
@@ -59,8 +60,11 @@ def prediction_table(scored, threshold, meta=PREDICTION_META, label="label"):
 
 
 def evaluate_pairs(scored, threshold, beta=0.5, label="label", meta=PREDICTION_META):
-    """Everything reported for scored pairs, each as a DataFrame."""
-    pred = prediction_table(scored, threshold, meta, label)
+    """Everything reported for scored pairs, each as a DataFrame.
+
+    The predictions are frozen, so that the scorer runs once and not for every report.
+    """
+    pred = freeze(prediction_table(scored, threshold, meta, label))
     columns = {"label": "true_label", "prob": "prob_change"}
     ranks = rank_metrics(pred, **columns).select(F.struct("*").alias("r")).scalar()
     metrics = threshold_metrics(pred, threshold, beta=beta, **columns).withColumns(

@@ -7,11 +7,12 @@ from ..functions.masking import random_masks
 from ..functions.naming import resolve_path
 from ..functions.spectra import prepared_spectrum
 from ..functions.vectors import ablate
-from ..operators.joins import pairs_with_files
+from ..operators.joins import counted_side, pairs_with_files
 from ..operators.neighbours import nearest_partners, split_spread
 from ..operators.ordering import with_group_positions
 from ..operators.shape import class_target
 from ..operators.split import class_weight, scaled_redshift, stratified_split
+from ..session import freeze
 from ..settings import CONTINUUM_WINDOW, TAPER_LEN, master_grid
 from .preprocessing import observed_wavelengths
 
@@ -75,7 +76,8 @@ def sample_pairs(
     """Pair table: pair_id, label, first_idx, second_idx (row_idx of the spectra).
 
     In `train` mode the partner is one of the k nearest and the members may be swapped;
-    otherwise it is the nearest.
+    otherwise it is the nearest. `spectra` should be a stored table: its narrow columns are
+    read several times. The pairs are frozen, so an epoch is drawn and searched once.
     """
     spark = spectra.sparkSession
     slim = spectra.select("row_idx", "obj_id", "agn_type", "z", "snr")
@@ -103,12 +105,13 @@ def sample_pairs(
         choice, swap = F.lit(0), F.lit(False)
     chosen = matched.withColumn("partner_idx", F.get("partners", choice)["row_idx"])
     first, second = F.col("anchor_idx"), F.col("partner_idx")
-    return chosen.select(
+    pairs = chosen.select(
         "pair_id",
         "label",
         F.when(swap, second).otherwise(first).alias("first_idx"),
         F.when(swap, first).otherwise(second).alias("second_idx"),
     )
+    return freeze(pairs)
 
 
 def _member_flux(flux, keys, seed, grid, mask_lines, apply_masking):
@@ -121,6 +124,9 @@ def _member_flux(flux, keys, seed, grid, mask_lines, apply_masking):
 def pair_vectors(pairs, spectra, grid=None, seed=42, mask_lines=False, apply_masking=False):
     """Fetch both members of each pair; each is ablated and masked on its own."""
     grid = master_grid() if grid is None else grid
+    ids = pairs.select(F.explode(F.array("first_idx", "second_idx")).alias("row_idx")).distinct()
+    # few pairs against a large catalogue: its vectors are filtered where they are read
+    spectra = spectra.select("row_idx", "flux").join(counted_side(ids), "row_idx", "left_semi")
     out = pairs
     for side, number in (("first", 1), ("second", 2)):
         member = spectra.select(F.col("row_idx").alias(f"{side}_idx"), F.col("flux").alias(f"flux_{number}"))
@@ -180,7 +186,7 @@ def preprocess_pairs(
             )
         ).alias("m"),
     ).select("sdssid", "specname_dr16", "specname_sdssv", "z", "m.side", "m.path")
-    wanted = members.select("path", "z").distinct().join(spectra.drop("z"), "path")
+    wanted = spectra.drop("z").join(counted_side(members.select("path", "z").distinct()), "path")
     done = wanted.select(
         F.col("path").alias("__path"),
         F.col("z").alias("__z"),
