@@ -33,16 +33,23 @@ from spectraloom.plans.evaluation import (
     score_pairs,
     score_spectra,
 )
-from spectraloom.plans.pairs import pair_vectors, prepare_spectra, preprocess_pairs, resolve_pairs, sample_pairs
+from spectraloom.plans.pairs import (
+    matched_partners,
+    pair_vectors,
+    prepare_spectra,
+    preprocess_pairs,
+    resolve_pairs,
+    sample_pairs,
+)
 from spectraloom.plans.preprocessing import build_catalogue, candidate_metadata, run_preprocessing
-from spectraloom.session import scratch_path
+from spectraloom.session import freeze, scratch_path
 from spectraloom.settings import ThresholdRule
 from spectraloom.sources.results import write_catalogue
 from spectraloom.sources.tables import read_catalogue
 from spectraloom.streaming.ingest import stream_catalogue
 
 from .registry import query, rnd, table
-from .vectors import GRID, WAVE, WINDOW, embeddings, raw_spectra
+from .vectors import GRID, MAD, WAVE, WINDOW, embeddings, raw_spectra
 
 THRESHOLDS_SQL = "t AS (SELECT 0.01 + i * ((0.99 - 0.01) / 98)::DOUBLE AS threshold FROM generate_series(0, 98) g(i))"
 
@@ -455,7 +462,8 @@ def partner_sql(k, same):
     WITH s AS (SELECT stddev_samp(p_retailprice) + 1e-8 AS sz, stddev_samp(p_size) + 1e-8 AS ss FROM part),
     q AS (SELECT DISTINCT {'p_size % 2 + 1' if same else '2 - p_size % 2'} AS q_class, p_retailprice AS q_z,
             p_size::DOUBLE AS q_snr, p_brand AS q_obj FROM part),
-    d AS (SELECT q.*, p_partkey AS row_idx, pow((p_retailprice - q_z) / sz, 2) + pow((p_size - q_snr) / ss, 2) AS dist
+    d AS (SELECT q.*, p_partkey AS row_idx, (p_retailprice - q_z) / sz * ((p_retailprice - q_z) / sz)
+            + (p_size - q_snr) / ss * ((p_size - q_snr) / ss) AS dist
           FROM q, s JOIN part ON p_size % 2 + 1 = q_class AND p_brand <> q_obj)
     SELECT q_class, q_z, q_snr, q_obj,
            row_number() OVER (PARTITION BY q_class, q_z, q_snr, q_obj ORDER BY d.dist, row_idx) AS rank,
@@ -689,6 +697,97 @@ def detector(spark, sf_dir):
     return choose_threshold(threshold_sweep(scored_pairs, label="label", prob="prob_change"))
 
 
+MATCHED_SQL = f"""
+  {MAD},
+  core AS (SELECT vec_id, label % 2 + 1 AS cls, vec_id % 83 / 100.0 + 0.01::DOUBLE AS z, vec_id % 41 + 2.0::DOUBLE AS snr,
+             vec_id % 97 AS obj FROM embeddings WHERE vec_id % 41 + 2 >= 5),
+  sd AS (SELECT stddev_samp(z) + 1e-8 AS sz, stddev_samp(snr) + 1e-8 AS ss FROM core),
+  near AS (SELECT a.vec_id AS a, (a.vec_id % 2)::INT AS label, b.vec_id AS b,
+             (b.z - a.z) / sz * ((b.z - a.z) / sz) + (b.snr - a.snr) / ss * ((b.snr - a.snr) / ss) AS dist
+           FROM core a, sd JOIN core b ON b.obj <> a.obj AND (b.cls = a.cls) = (a.vec_id % 2 = 0)),
+  matched AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) = 1),
+  gap AS (SELECT a, b, label, avg(abs(x.x - y.x)) AS g FROM matched JOIN ind x ON x.vec_id = a
+          JOIN ind y ON y.vec_id = b AND y.pos = x.pos GROUP BY ALL)
+"""
+
+
+def matched_pairs(spark, sf_dir):
+    """Every clean vector with its nearest partner: of its class if even, else of the other."""
+    df = flat_vectors(spark, sf_dir)
+    slim = df.select("row_idx", "obj_id", "agn_type", "z", "snr")
+    label = (F.col("row_idx") % 2).cast("int")
+    anchors = slim.select(
+        F.col("row_idx").alias("pair_id"), label.alias("label"), F.col("row_idx").alias("anchor_idx"), "z", "snr", "obj_id",
+        F.when(label == 0, F.col("agn_type")).otherwise(3 - F.col("agn_type")).alias("partner_type"),
+    )
+    found = matched_partners(anchors, slim, 1)
+    pairs = freeze(
+        found.select(
+            "pair_id", "label", F.col("anchor_idx").alias("first_idx"), F.get("partners", F.lit(0))["row_idx"].alias("second_idx")
+        )
+    )
+    gap = mean_gap("flux_1", "flux_2")
+    return score_pairs(pair_vectors(pairs, df, WAVE), gap / (gap + 1.0))
+
+
+def mean_gap(a, b):
+    distance = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return F.aggregate(distance, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+
+
+@query(
+    "matched_pair_scores",
+    f"WITH {MATCHED_SQL} SELECT a AS first_idx, b AS second_idx, label, round(g / (g + 1), 7) AS prob FROM gap",
+)
+def matched_scores(spark, sf_dir):
+    return matched_pairs(spark, sf_dir).select(
+        "first_idx", "second_idx", "label", rnd("prob_change", 7).alias("prob")
+    )
+
+
+@query(
+    "matched_pair_threshold",
+    f"""
+    WITH {MATCHED_SQL}, {THRESHOLDS_SQL}, s AS (SELECT label, g / (g + 1) AS prob FROM gap),
+    c AS (SELECT threshold, {COUNTS_SQL.replace("th)", "threshold)")} FROM s, t GROUP BY threshold),
+    m AS (SELECT *, tp / (tp + fn) AS rec, fp / (fp + tn + 1e-8) AS fpr,
+            CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS prec, 1.25 * tp / (1.25 * tp + 0.25 * fn + fp) AS f FROM c)
+    SELECT round(threshold, 6) AS threshold, tn, fp, fn, tp, NOT (rec >= 0.1 AND fpr <= 0.01) AS used_fallback, round(f, 9) AS fbeta
+    FROM m ORDER BY (rec >= 0.1 AND fpr <= 0.01) DESC, f DESC, prec DESC, fpr, rec DESC, threshold LIMIT 1
+    """,
+)
+def matched_threshold(spark, sf_dir):
+    """Vectors to cleaned catalogue to matched pairs to scores to a chosen threshold."""
+    best = choose_threshold(threshold_sweep(matched_pairs(spark, sf_dir), label="label", prob="prob_change"))
+    return best.select(
+        rnd("threshold", 6).alias("threshold"), "tn", "fp", "fn", "tp", "used_fallback", rnd("fbeta_change", 9).alias("fbeta")
+    )
+
+
+@query(
+    "fetched_pair_vectors",
+    """
+    WITH px AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+    n AS (SELECT count(*) AS n FROM embeddings),
+    masked AS (SELECT vec_id, pos, CASE WHEN 4700 + 32 * pos BETWEEN 4575 AND 5550 OR 4700 + 32 * pos BETWEEN 5800 AND 5950
+                 OR 4700 + 32 * pos BETWEEN 6200 AND 6699 THEN 0.0 ELSE v END AS v FROM px)
+    SELECT a.vec_id AS pair_id, a.pos, round(a.v, 9) + 0.0 AS first, round(b.v, 9) + 0.0 AS second
+    FROM masked a, n JOIN masked b ON b.vec_id = (a.vec_id + 1) % n AND b.pos = a.pos
+    """,
+)
+def fetched(spark, sf_dir):
+    df = vector_table(spark, sf_dir)
+    count = df.select(F.count("*")).scalar()
+    pairs = df.select(
+        F.col("row_idx").alias("pair_id"), F.col("row_idx").alias("first_idx"), ((F.col("row_idx") + 1) % count).alias("second_idx")
+    )
+    both = pair_vectors(pairs, df, WAVE, mask_lines=True)
+    pixels = both.select("pair_id", F.posexplode(F.arrays_zip("flux_1", "flux_2")).alias("pos", "v"))
+    return pixels.select(
+        "pair_id", F.col("pos").cast("bigint").alias("pos"), rnd("v.flux_1", 9).alias("first"), rnd("v.flux_2", 9).alias("second")
+    )
+
+
 # ---- the whole path for raw spectra
 
 

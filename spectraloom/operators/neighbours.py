@@ -16,7 +16,7 @@ pairs, and nothing is cut off without proof:
 from pyspark.sql import Window as W, functions as F
 
 from ..session import freeze
-from .ordering import with_positions
+from .ordering import positions_and_count
 
 BLOCK = 64
 FANOUT = 8
@@ -195,8 +195,7 @@ def nearest_partners(queries, candidates, k, spread=None):
     spread = {name: value if value is not None else 1e-8 for name, value in spread.items()}
 
     points = _trim_points(usable, k).withColumn("code", _curve_code(F.col("z"), F.col("snr"), spread))
-    placed = with_positions(points, "cls", "code", "z", "snr", "row_idx", name="place")
-    total = placed.count()
+    placed, total = positions_and_count(points, "cls", "code", "z", "snr", "row_idx", name="place")
     blocks = placed.withColumn("node", F.floor(F.col("place") / BLOCK).cast("bigint"))
     blocks = _together(blocks, "node", total)
 

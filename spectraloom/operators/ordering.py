@@ -29,35 +29,38 @@ def _range_sorted(df, order, partitions):
     ).drop("__id")
 
 
+def _before(placed, total):
+    """Sum of `total` over the range partitions before each one, as a column, and overall.
+
+    One number per range partition passes through the driver.
+    """
+    sums = {r["__part"]: r["s"] for r in placed.groupBy("__part").agg(F.sum(total).alias("s")).collect()}
+    before, so_far = [], 0
+    for part in range(max(sums, default=-1) + 1):
+        before.append(so_far)
+        so_far += sums.get(part) or 0
+    return F.get(F.lit(before or [0]), F.col("__part").cast("int")), so_far
+
+
+def positions_and_count(df, *order, name="position", partitions=None):
+    """Rows with their 0-based rank in the given order, and the number of rows."""
+    placed = _range_sorted(df, order, partitions)
+    before, count = _before(placed, F.lit(1))
+    return placed.withColumn(name, F.col("__place") + before).drop("__part", "__place"), count
+
+
 def with_positions(df, *order, name="position", partitions=None):
     """Add the 0-based rank of each row in the given order."""
-    placed = _range_sorted(df, order, partitions)
-    # one row per range partition
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return (
-        placed.join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__place") + F.col("__offset"))
-        .drop("__part", "__place", "__offset")
-    )
+    return positions_and_count(df, *order, name=name, partitions=partitions)[0]
 
 
 def with_running_totals(df, order, totals, partitions=None):
     """Add inclusive running sums in the given order; `totals` maps new name -> column."""
     order = [order] if isinstance(order, str) else list(order)
     placed = _range_sorted(df, order, partitions)
-    sums = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()])
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
-        "__part",
-        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in totals],
-    )
     inside = W.partitionBy("__part").orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
-    out = placed.select("*", *[F.sum(c).over(inside).alias(f"__i_{n}") for n, c in totals.items()])
-    out = out.join(F.broadcast(offsets), "__part")
-    added = {n: F.col(f"__i_{n}") + F.col(f"__o_{n}") for n in totals}
-    return out.withColumns(added).select(*df.columns, *totals)
+    added = {n: F.sum(c).over(inside) + _before(placed, c)[0] for n, c in totals.items()}
+    return placed.withColumns(added).select(*df.columns, *totals)
 
 
 def with_group_positions(df, group, *order, name="position", partitions=None):
