@@ -65,6 +65,15 @@ def _numbers(values):
     return pa.array(values, type=pa.float64(), mask=np.isnan(values))
 
 
+def _once(udf):
+    """Keep the optimizer from evaluating a costly kernel twice.
+
+    A filter on the result of a deterministic UDF is moved below the projection and takes a
+    copy of the call along. Filter on other columns before calling these kernels.
+    """
+    return udf.asNondeterministic()
+
+
 def _matrix_udf(kernel, min_pixels=1):
     """Apply `kernel` to the rows with enough pixels; the others become NULL."""
 
@@ -73,7 +82,7 @@ def _matrix_udf(kernel, min_pixels=1):
         groups = [(rows, m) for rows, (m,) in _by_length([x]) if m.shape[1] >= min_pixels]
         return _pack_lists(len(x), [(rows, kernel(m)) for rows, m in groups])
 
-    return apply
+    return _once(apply)
 
 
 def continuum_subtracted(x, window=CONTINUUM_WINDOW):
@@ -100,7 +109,7 @@ def mad_normalized(x, taper_len=TAPER_LEN):
             [_pack_lists(len(x), blocks), _numbers(middle), _numbers(mad)], ["normalized", "median", "mad"]
         )
 
-    return apply(x)
+    return _once(apply)(x)
 
 
 def pair_mad_normalized(first, second, taper_len=TAPER_LEN):
@@ -119,7 +128,7 @@ def pair_mad_normalized(first, second, taper_len=TAPER_LEN):
             ["first", "second", "median", "mad"],
         )
 
-    return apply(first, second)
+    return _once(apply)(first, second)
 
 
 def _measure_udf(kernel, grid, line):
@@ -190,7 +199,7 @@ def repaired_sky_line(
             blocks.append((np.array([i]), fixed[None, :]))
         return _pack_lists(len(wave), blocks)
 
-    return apply(wave, flux)
+    return _once(apply)(wave, flux)
 
 
 def resampled(wave, flux, grid):
@@ -206,7 +215,7 @@ def resampled(wave, flux, grid):
             matrix[at] = kernels.resample(_row(waves, i), _row(fluxes, i), grid)
         return _pack_lists(len(wave), [(rows, matrix)])
 
-    return apply(wave, flux)
+    return _once(apply)(wave, flux)
 
 
 PREPARED = "struct<flux: array<float>, raw: array<float>, n_filled: int, error: string>"
@@ -298,4 +307,4 @@ def prepared_spectrum(
             ["flux", "raw", "n_filled", "error"],
         )
 
-    return apply(wave, flux, z)
+    return _once(apply)(wave, flux, z)

@@ -36,7 +36,8 @@ def score_pairs(pairs, scorer, first="flux_1", second="flux_2", name="prob_chang
     def apply(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(scorer(a, b), type=pa.float64())
 
-    return pairs.withColumn(name, apply(F.col(first), F.col(second)))
+    # not deterministic for the optimizer, so that a filter on the score does not run the model again
+    return pairs.withColumn(name, apply.asNondeterministic()(F.col(first), F.col(second)))
 
 
 def score_spectra(df, scorer, flux="flux", name="prob", mask_lines=False, grid=None):
@@ -49,7 +50,7 @@ def score_spectra(df, scorer, flux="flux", name="prob", mask_lines=False, grid=N
     def apply(a: pa.Array) -> pa.Array:
         return pa.array(scorer(a), type=pa.float64())
 
-    return df.withColumn(name, apply(x))
+    return df.withColumn(name, apply.asNondeterministic()(x))
 
 
 def prediction_table(scored, threshold, meta=PREDICTION_META, label="label"):

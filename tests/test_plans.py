@@ -6,7 +6,9 @@ from spectraloom.functions.lines import luminosity_from_flux
 from spectraloom.operators.dedup import keep_first
 from spectraloom.operators.metrics import threshold_sweep
 from spectraloom.operators.neighbours import nearest_partners
-from spectraloom.operators.select import redshift_window
+from spectraloom.operators.ordering import with_positions, with_running_totals
+from spectraloom.operators.select import redshift_window, split_processed
+from spectraloom.plans.preprocessing import preprocess_spectra
 from spectraloom.sources.tables import processed_schema
 
 
@@ -39,3 +41,19 @@ def test_distance_is_computed_once(spark):
 def test_dedup_combines_before_the_shuffle(spark):
     text = plan(keep_first(spark.range(10).withColumn("k", F.col("id") % 2), "k", "id"))
     assert "partial_min_by" in text and "Window" not in text
+
+
+def test_kernel_runs_once_per_spectrum(spark):
+    raw = spark.createDataFrame(
+        [("f", 1, 0.1, 9.0, [5000.0, 6000.0], [1.0, 2.0])],
+        "filename string, agn_type int, z double, snr double, wavelength array<double>, flux array<double>",
+    )
+    good, _ = split_processed(preprocess_spectra(raw))
+    physical = plan(good).split("== Physical Plan ==")[1]
+    assert physical.count("ArrowEvalPython") == 1
+
+
+def test_partition_offsets_do_not_use_a_global_window(spark):
+    df = spark.range(100).withColumn("k", F.col("id") * 7 % 100)
+    for text in (plan(with_positions(df, "k")), plan(with_running_totals(df, "k", {"t": F.col("id")}))):
+        assert "SinglePartition" not in text
