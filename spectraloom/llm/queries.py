@@ -1,8 +1,11 @@
 """One query per operator, over whole tables and with production parameters."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from . import chat
 from .packing import pack_documents
+from .quality import judge
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -11,3 +14,38 @@ def op4_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, with_ids=False)
     return pieces.drop("ids")
+
+
+#: a conversation whose texts look like a template's control strings
+TRAP = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op7_chat_formatting")
+def op7_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(TRAP, "conv_id bigint, turn bigint, role string, text string"))
+    return chat_digests(rows)
+
+
+def chat_digests(rows):
+    out = chat.format_conversations(chat.fold_events(chat.messages_as_events(rows)))
+    out = out.withColumn("turns", chat.parse_turns(F.col("formatted"))).withColumn(
+        "loss", F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
+    )
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
