@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from . import chat
 from .packing import pack_documents
 from .quality import judge
+from .secrets import scan_secrets
+from .topk import quantized, top_k
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -49,3 +51,29 @@ def op10_quality_rules(spark, sf_dir):
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+@query("op9_secret_scans")
+def op9_secret_scans(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_exact_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, x -> coalesce(NOT isfinite(x), true)), true)
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op6_exact_top_k(spark, sf_dir):
+    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
