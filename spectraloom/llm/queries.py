@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import chat
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge
 from .secrets import scan_secrets
@@ -77,3 +78,8 @@ def op9_secret_scans(spark, sf_dir):
 def op6_exact_top_k(spark, sf_dir):
     vectors = quantized(table(spark, sf_dir, "embeddings"))
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+@query("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
