@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import chat
+from .linededup import cut_shared_blocks
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge
@@ -83,3 +84,10 @@ def op6_exact_top_k(spark, sf_dir):
 @query("op2_minhash_near_dedup")
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = cut_shared_blocks(docs)
+    return out.withColumn("n_chars_left", F.length("text").cast("bigint"))
