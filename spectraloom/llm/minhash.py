@@ -29,6 +29,7 @@ from .words import hash_words, mix, row_slices, shingle_sets, text_bytes
 PLACES_BITS = 20
 BANDS, ROWS = 40, 6
 MEMBERS_PER_TASK = 500
+BROADCAST_IDS = 100_000
 SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
 
 
@@ -147,20 +148,17 @@ def near_duplicates(docs, doc_id="doc_id", text="text", width=5, percent=80, ban
     Documents are linked where 100 * intersection >= percent * union of their sets of `width`-word
     shingles; `component_id` is the smallest id reachable and `kept` marks that document.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "minhash")
-    signatures(docs, doc_id, text, width, bands, rows).write.parquet(path)
-    signed = spark.read.parquet(path)
+    signed = _stored(signatures(docs, doc_id, text, width, bands, rows), "signatures")
     with_id = signed.filter("doc_id is not null and n_shingles > 0")
     digest = ["n_shingles", "h1", "h2"]
     classes = with_id.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
 
     # one row of band keys per class: the rows of its representative
     reps = with_id.filter("n_shingles > 4").join(classes, digest).filter("doc_id = rep")
-    keys = freeze(reps.select("rep", "n_shingles", F.explode("bands").alias("key")).distinct())
-    centre = keys.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = keys.join(centre, "key").filter("rep <> c")
-    pairs = freeze(star.select("c", F.col("rep").alias("x")).distinct())
+    keys = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    centre = keys.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c < last").drop("last")
+    buckets = _stored(keys.join(centre, "key").filter("rep <> c").distinct(), "buckets")
+    pairs = freeze(buckets.select("c", F.col("rep").alias("x")).distinct())
     linked = F.col("shared") * 100 >= F.col("either") * percent
     compared = freeze(compare(docs, pairs, width, doc_id, text))
     # rows that repeat an id with other texts join their classes
@@ -170,8 +168,8 @@ def near_duplicates(docs, doc_id="doc_id", text="text", width=5, percent=80, ban
     links = compared.filter(linked).select(F.col("c").alias("u"), F.col("x").alias("v")).unionByName(again)
     labels = components(links)
 
-    rest = _open_pairs(keys, centre, compared, labels, percent)
-    late = freeze(compare(docs, rest, width, doc_id, text).filter(linked))
+    rest = _open_pairs(buckets, compared, labels, percent)
+    late = freeze(compare(_few(docs, rest, doc_id), rest, width, doc_id, text).filter(linked))
     if late.limit(1).count():
         labels = components(links.unionByName(late.select(F.col("c").alias("u"), F.col("x").alias("v"))))
 
@@ -186,14 +184,29 @@ def near_duplicates(docs, doc_id="doc_id", text="text", width=5, percent=80, ban
     )
 
 
-def _open_pairs(keys, centre, compared, labels, percent):
+def _stored(df, name):
+    """`df` written once to the shared folder as Parquet, which is smaller there than a checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _few(docs, pairs, doc_id):
+    """Only the documents in `pairs`, found without a shuffle if their counted number is small."""
+    ids = freeze(pairs.select(F.explode(F.array("c", "x")).alias("_id")).distinct())
+    if ids.count() > BROADCAST_IDS:
+        return docs
+    return docs.join(F.broadcast(ids), docs[doc_id].cast("bigint") == ids["_id"], "left_semi")
+
+
+def _open_pairs(buckets, compared, labels, percent):
     """Pairs of a bucket in different components that distances to its centre do not exclude."""
     far = compared.select("c", F.col("x").alias("rep"), (1 - F.col("shared") / F.col("either")).alias("far"))
     labels = labels.withColumnRenamed("node", "rep")
-    members = keys.join(centre, "key").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = members.join(far, ["c", "rep"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    members = buckets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = members.join(far, ["c", "rep"])
     mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    members = members.join(mixed.select("key"), "key", "left_semi").filter("rep <> c")
+    members = members.join(mixed.select("key"), "key", "left_semi")
     most = 1 - percent / 100
     # at least one side is not linked with the centre: two linked ones share its component
     x = members.filter(F.col("far") > most - 1e-9).select("key", *[F.col(n).alias(f"x_{n}") for n in ("rep", "n_shingles", "component", "far")])
