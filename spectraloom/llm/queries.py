@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import chat
+from .hmm import score_documents
 from .linededup import cut_shared_blocks
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -91,3 +92,8 @@ def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = cut_shared_blocks(docs)
     return out.withColumn("n_chars_left", F.length("text").cast("bigint"))
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
