@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from .hmm import score_documents
+from .langid import predict_languages
 from .linededup import cut_shared_blocks
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -97,3 +98,8 @@ def op1_line_dedup(spark, sf_dir):
 @query("op8_lm_scoring")
 def op8_lm_scoring(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    return predict_languages(table(spark, sf_dir, "documents"))
