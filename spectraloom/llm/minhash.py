@@ -7,10 +7,10 @@ similarity 0.8 a pair shares no band with probability 5e-6.
 
 Documents with equal shingle sets form one class from the start and are never paired. In each bucket
 of a band every class is compared with the bucket's smallest class only (one link per member, no pairs
-within the group). What the star leaves open is settled afterwards: members of one bucket that ended
-in different components are compared unless the distances to the centre rule a link out (Jaccard
-distance is a metric, so |d(c,x) - d(c,y)| <= d(x,y)). Every pair of a bucket is thus compared, excluded
-by proof or already connected. Links are confirmed on the full sets of 64-bit shingle hashes.
+within the group). What these stars leave open is settled from differences to the centre: a member that
+missed it can only be linked with one that differs from the centre in much the same way (`_late_links`).
+Every pair of a bucket is thus compared, excluded by proof or already connected. Links are confirmed on
+the full sets of 64-bit shingle hashes.
 
 Cases: NULL and wordless texts have empty sets and link with nothing; rows without an id are returned
 with a NULL component and kept; rows that repeat an id are one document whose texts are linked; an
@@ -20,6 +20,7 @@ empty table gives an empty result. Other columns are ignored, whatever their nam
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from spectraloom.session import freeze, scratch_path
 
@@ -96,8 +97,8 @@ def signatures(docs, doc_id, text, width, bands, rows):
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, SIGNED)
 
 
-def compare(docs, pairs, width, doc_id="doc_id", text="text"):
-    """(c, x, shared, either): sizes of intersection and union of the shingle sets of pairs (c, x).
+def _beside_centres(docs, pairs, width, doc_id, text, emit, schema):
+    """`emit(c, x, centre set, member set)` rows for pairs (c, x), wherever a text of each meets.
 
     Rows are grouped by c in parts of about `MEMBERS_PER_TASK` members; a part starts with the centre's
     text, so a task holds one centre's set at a time.
@@ -123,23 +124,47 @@ def compare(docs, pairs, width, doc_id="doc_id", text="text"):
                         key, own = (c[i], part[i]), []
                     if role[i] == 0:
                         own.append(s)
-                        continue
-                    for o in own:
-                        small, large = (s, o) if len(s) <= len(o) else (o, s)
-                        at = np.searchsorted(large, small)
-                        at[at == len(large)] = 0
-                        shared = int((large[at] == small).sum()) if len(large) else 0
-                        out.append((c[i], node[i], shared, len(s) + len(o) - shared))
+                    else:
+                        out += [emit(c[i], node[i], o, s) for o in own]
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, pa.int64()) for v in zip(*out)], names=["c", "x", "shared", "either"]
+                        [pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema
                     )
 
-    found = rows.mapInArrow(work, "c bigint, x bigint, shared bigint, either bigint")
+    return rows.mapInArrow(work, from_arrow_schema(schema))
+
+
+def _found(large, small):
+    """Which entries of sorted `small` are in sorted `large`."""
+    if not len(large):
+        return np.zeros(len(small), bool)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    return large[at] == small
+
+
+def _sizes(c, x, o, s):
+    shared = int(_found(o, s).sum())
+    return c, x, shared, len(s) + len(o) - shared
+
+
+def _differences(c, x, o, s):
+    """Also the versions met (an id may have several texts) and what the member lacks and adds."""
+    version = lambda v: int(np.bitwise_xor.reduce(v).view(np.int64)) if len(v) else 0
+    gone, new = o[~_found(s, o)], s[~_found(o, s)]
+    return c, version(o), x, version(s), len(o), gone.view(np.int64), new.view(np.int64)
+
+
+def _arrow(names, lists=()):
+    return pa.schema([(n, pa.int64()) for n in names] + [(n, pa.list_(pa.int64())) for n in lists])
+
+
+def compare(docs, pairs, width, doc_id="doc_id", text="text"):
+    """(c, x, shared, either): sizes of intersection and union of the shingle sets of pairs (c, x)."""
+    found = _beside_centres(docs, pairs, width, doc_id, text, _sizes, _arrow(["c", "x", "shared", "either"]))
     # an id with several texts: its nearest one decides
-    return found.groupBy("c", "x").agg(F.max(F.struct((F.col("shared") / F.col("either")).alias("s"), "shared", "either")).alias("b")).select(
-        "c", "x", "b.shared", "b.either"
-    )
+    best = F.max(F.struct((F.col("shared") / F.col("either")).alias("s"), "shared", "either")).alias("b")
+    return found.groupBy("c", "x").agg(best).select("c", "x", "b.shared", "b.either")
 
 
 def near_duplicates(docs, doc_id="doc_id", text="text", width=5, percent=80, bands=BANDS, rows=ROWS):
@@ -168,10 +193,9 @@ def near_duplicates(docs, doc_id="doc_id", text="text", width=5, percent=80, ban
     links = compared.filter(linked).select(F.col("c").alias("u"), F.col("x").alias("v")).unionByName(again)
     labels = components(links)
 
-    rest = _open_pairs(buckets, compared, labels, percent)
-    late = freeze(compare(_few(docs, rest, doc_id), rest, width, doc_id, text).filter(linked))
+    late = freeze(_late_links(docs, compared, labels, percent, width, doc_id, text))
     if late.limit(1).count():
-        labels = components(links.unionByName(late.select(F.col("c").alias("u"), F.col("x").alias("v"))))
+        labels = components(links.unionByName(late))
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         *[F.col(c).alias(f"_{c}") for c in digest], F.coalesce("component", "rep").alias("component_id")
@@ -199,22 +223,44 @@ def _few(docs, pairs, doc_id):
     return docs.join(F.broadcast(ids), docs[doc_id].cast("bigint") == ids["_id"], "left_semi")
 
 
-def _open_pairs(buckets, compared, labels, percent):
-    """Pairs of a bucket in different components that distances to its centre do not exclude."""
-    far = compared.select("c", F.col("x").alias("rep"), (1 - F.col("shared") / F.col("either")).alias("far"))
-    labels = labels.withColumnRenamed("node", "rep")
-    members = buckets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = members.join(far, ["c", "rep"])
-    mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    members = members.join(mixed.select("key"), "key", "left_semi")
-    most = 1 - percent / 100
-    # at least one side is not linked with the centre: two linked ones share its component
-    x = members.filter(F.col("far") > most - 1e-9).select("key", *[F.col(n).alias(f"x_{n}") for n in ("rep", "n_shingles", "component", "far")])
-    y = members.select("key", *[F.col(n).alias(f"y_{n}") for n in ("rep", "n_shingles", "component", "far")])
-    possible = (
-        (F.col("x_component") != F.col("y_component"))
-        & (F.abs(F.col("x_far") - F.col("y_far")) <= most + 1e-9)
-        & (F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent)
-    )
-    pairs = x.join(y, "key").filter(possible)
-    return freeze(pairs.select(F.least("x_rep", "y_rep").alias("c"), F.greatest("x_rep", "y_rep").alias("x")).distinct())
+def _late_links(docs, compared, labels, percent, width, doc_id, text):
+    """(u, v): links between members of one star in different components. One of them, y, missed the centre c.
+
+    Let a member lack r of the n shingles of c and add a others; o counts what x and y lack or add alike.
+    Then |x & y| = n - r_x - r_y + o, and with q = percent / (100 + percent) the pair is linked if that is
+    q * (|x| + |y|) or more. As y missed c by the same measure, it follows that o > (1 - q) r_x + q a_x: x
+    and y agree in about half of what sets x apart from c. So y has one of the first few differences of x, in
+    any order; rare ones come first, and few pairs meet. Members of a bucket are in its centre's star.
+    """
+    q = percent / (100 + percent)
+    labels = labels.select(F.col("node").alias("x"), "component")
+    members = compared.select("c", "x").join(labels, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    mixed = members.groupBy("c").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+    members = freeze(members.join(mixed.select("c"), "c", "left_semi"))
+    pairs = members.select("c", "x")
+    schema = _arrow(["c", "cv", "x", "xv", "n"], ["gone", "new"])
+    apart = _beside_centres(_few(docs, pairs, doc_id), pairs, width, doc_id, text, _differences, schema)
+    apart = apart.select("c", "cv", "x", "xv", "n", F.size("gone").alias("r"), F.size("new").alias("a"), F.concat("gone", "new").alias("d"))
+    apart = _stored(apart.distinct().join(members, ["c", "x"]), "differences")
+
+    star, row = ["c", "cv"], ["c", "cv", "x", "xv", "component"]
+    each = apart.select(*row, "r", "a", F.explode("d").alias("e"))
+    often = each.groupBy(*star, "e").count().filter("count > 1")
+    least = F.floor(F.col("r") * (1 - q) + F.col("a") * q + 1e-9) + 1
+    # differences of one member only come first and meet nobody: the others are told from them by count
+    sizes = F.col("r") + F.col("a") - least + 1
+    shared = each.join(often, [*star, "e"])
+    ranked = shared.groupBy(*row, "r", "a").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("l"))
+    single = F.col("r") + F.col("a") - F.size("l")
+    first = ranked.withColumn("take", (sizes - single).cast("int")).filter("take > 0")
+    first = first.select(*row, F.explode(F.slice("l", F.lit(1), F.least("take", F.size("l")))).alias("l")).select(*row, "l.e")
+    missed = (F.col("n") - F.col("r")) * 100 < (F.col("n") + F.col("a")) * percent
+    probe = apart.filter(missed).select(*star, F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("component").alias("y_component"), F.explode("d").alias("e"))
+    met = first.join(probe, [*star, "e"]).filter("component <> y_component").select(*star, "x", "xv", "y", "yv").distinct()
+
+    one = apart.select(*star, "x", "xv", "n", F.col("r").alias("xr"), F.col("a").alias("xa"), F.col("d").alias("xd"))
+    two = apart.select(*star, F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("r").alias("yr"), F.col("a").alias("ya"), F.col("d").alias("yd"))
+    met = met.join(one, [*star, "x", "xv"]).join(two, [*star, "y", "yv"])
+    both = F.col("n") - F.col("xr") - F.col("yr") + F.size(F.array_intersect("xd", "yd"))
+    sizes = 2 * F.col("n") - F.col("xr") + F.col("xa") - F.col("yr") + F.col("ya")
+    return met.filter(both * 100 >= (sizes - both) * percent).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
