@@ -23,6 +23,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -205,16 +206,22 @@ def redacted(text, spans, mark):
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs, text="text", fdr=0.05, mark="[SECRET]"):
-    """`docs` with every span replaced by `mark`; rows, other columns and clean texts stay as they are."""
+def redact_secrets(docs, text="text", fdr=0.05, mark="[SECRET]", found="has_secret"):
+    """`docs` with every span replaced by `mark`, and whether there was one in a column named `found`.
+
+    Rows, other columns and texts without a span stay as they are.
+    """
     limits = random_limits(docs, text, fdr)
     place = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, StructField(found, BooleanType())])
 
     def work(batches):
         for batch in batches:
             values = batch.column(place).to_pylist()
-            new = [v if v is None else redacted(v, all_spans(v, limits)[1], mark) for v in values]
+            spans = [all_spans(v or "", limits)[1] for v in values]
+            new = [redacted(v, s, mark) if s else v for v, s in zip(values, spans)]
             columns = [pa.array(new, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            flags = pa.array([bool(s) for s in spans], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*columns, flags], names=[*batch.schema.names, found])
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(work, schema)

@@ -64,9 +64,10 @@ def test_limits_follow_the_expected_share():
 def test_redaction_keeps_rows_and_clean_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in enumerate(texts())], SCHEMA)
     got = secrets.redact_secrets(docs)
-    assert got.columns == docs.columns
+    assert got.columns == [*docs.columns, "has_secret"]
     for r in got.collect():
         before = texts()[r.doc_id]
         assert (r.text == before) == (before is None or not (brute_base(before) or KEY in before))
         assert r.text is None or not brute_base(r.text)
+        assert r.has_secret == (r.text != before)
     assert secrets.scan_secrets(docs.limit(0)).collect() == []
