@@ -35,7 +35,8 @@ FLOORS = (0.05, 0.05, 0.12, 0.12)
 SHARE = 0.75
 STEPS = 4
 MIN_ROWS = 100
-CUTOFF = 60.0
+#: the chi-squared quantile of four dimensions at 1 - 1e-5
+CUTOFF = 28.47
 
 
 def _shifted(array, n, by):
