@@ -7,8 +7,8 @@ position is a hash of the row's key and the position, so a row always gets the s
 wherever it is computed.
 
 No piece crosses a mark that follows another character, nor a line break, so the lattice falls apart
-into words. A slice of texts builds the lattice of each distinct word once, with array operations over
-all words together; draws run over all words of the slice at the same time.
+into words. The lattice of each distinct word is built once and kept for the next slices of texts, with
+array operations over all new words together; draws run over all words of a slice at the same time.
 
 Weights: pieces of a merge model carry a rank instead of a probability; a piece of rank r weighs
 (r + 2) ** -sharpness. Characters without a piece are spelled in byte pieces, and so is a mark that
@@ -19,7 +19,9 @@ share one key; repeated rows get equal segmentations; an empty table gives an em
 columns are kept or ignored as stated, whatever their names.
 """
 
+import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from .words import mix, row_slices
 MARK = "▁"
 #: stands for a mark of the text itself; no valid text holds a lone surrogate
 OWN_MARK = "\udc81"
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
+#: arcs kept from slice to slice; words are built anew after that, which changes no draw
+MOST_ARCS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GOLD = np.uint64(0xD1342543DE82EF95)
 
@@ -45,6 +49,7 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.seed = np.uint64(seed)
+        self.store, self.index = None, {}
         self.byte_ids = np.zeros(256, np.uint32)
         self.raw, self.pieces = [b""] * size, []
         for i in range(size):
@@ -113,18 +118,22 @@ class Lattice:
             ends.append(node[place[found]] + n)
             codes.append(code)
             level.append(local[place[found]] + n)
-        start, end, code, level = (np.concatenate(x) for x in (starts, ends, codes, level))
+        # long pieces first: they are drawn most often, so that a draw looks at few arcs
+        start, end, code, level = (np.concatenate(x[::-1]) for x in (starts, ends, codes, level))
         weight = np.where(code >= 0, self.weight[np.maximum(code, 0)], self.unknown)
         alpha = np.zeros(node0[-1])
-        order = np.lexsort((end, level))
-        s, e, w = start[order], end[order], weight[order]
-        cuts = np.searchsorted(level[order], np.arange(1, level.max() + 2))
+        # runs of ends are sorted already, and levels are small: both stable sorts are cheap
+        order = np.argsort(end, kind="stable")
+        start, end, code, weight, level = start[order], end[order], code[order], weight[order], level[order]
+        top = int(level.max())
+        by_level = np.argsort(level.astype(np.uint16) if top < 1 << 16 else level, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=top + 1))])[1:]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if a < b:
-                first = np.flatnonzero(np.concatenate([[True], e[a + 1 : b] != e[a : b - 1]]))
-                alpha[e[a:b][first]] = np.logaddexp.reduceat(alpha[s[a:b]] + w[a:b], first)
-        order = np.argsort(end, kind="stable")
-        start, end, code, weight = start[order], end[order], code[order], weight[order]
+                at = by_level[a:b]
+                e = end[at]
+                first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+                alpha[e[first]] = np.logaddexp.reduceat(alpha[start[at]] + weight[at], first)
         logp = alpha[start] + weight - alpha[end]
         share = np.exp(logp)
         # running share within the arcs of one end, in [0, 1]; the last is 1 exactly
@@ -133,18 +142,35 @@ class Lattice:
         begin = np.concatenate([[True], last[:-1]])
         before = np.repeat((upto - share)[begin], np.diff(np.concatenate([np.flatnonzero(begin), [len(end)]])))
         within = np.where(last, 1.0, np.clip(upto - before, 0.0, 1.0))
-        return {"node0": node0, "lengths": lengths, "limit": end + within, "start": start, "code": code, "logp": logp}
+        first_arc = np.cumsum(np.bincount(end, minlength=node0[-1])) - np.bincount(end, minlength=node0[-1])
+        return node0, lengths, within, start, code, logp, first_arc
+
+    def _add(self, words):
+        """Append the lattices of words to the store; their nodes follow those already there."""
+        node0, lengths, within, start, code, logp, first_arc = self.build(words)
+        kept = self.store
+        shift = int(kept["node0"][-1]) if kept else 0
+        new = {
+            "node0": (node0 + shift)[1 if kept else 0 :], "lengths": lengths, "within": within.astype(np.float32),
+            "start": (start + shift).astype(np.int32), "code": code.astype(np.int32), "logp": logp.astype(np.float32),
+            "first_arc": (first_arc + (len(kept["code"]) if kept else 0)).astype(np.int32),
+        }
+        self.store = {k: np.concatenate([kept[k], v]) for k, v in new.items()} if kept else new
 
     def sample(self, texts, keys):
         """Per text its ids (array) and the log probability of the drawn segmentation."""
-        index, occurrences, counts = {}, [], []
+        if self.store is None or len(self.store["code"]) > MOST_ARCS:
+            self.store, self.index = None, {}
+        index, occurrences, counts, known = self.index, [], [], len(self.index)
         for text in texts:
             parts = self.words(text) if text else []
             occurrences += [index.setdefault(p, len(index)) for p in parts]
             counts.append(len(parts))
         if not occurrences:
             return [np.zeros(0, np.uint32) for _ in texts], np.zeros(len(texts))
-        lattice = self.build(list(index))
+        if len(index) > known:
+            self._add(list(itertools.islice(index, known, None)))
+        lattice = self.store
         word = np.array(occurrences, np.int64)
         doc = np.repeat(np.arange(len(texts)), counts)
         length = lattice["lengths"][word]
@@ -160,7 +186,10 @@ class Lattice:
         while len(active):
             place = now[active] - base[active] + at[active]
             u = (mix(key[doc[active]] ^ mix(place.astype(np.uint64) + GOLD)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(lattice["limit"], now[active] + u, side="right")
+            arc = lattice["first_arc"][now[active]]
+            on = np.arange(len(arc))
+            while len(on := on[lattice["within"][arc[on]] <= u[on]]):
+                arc[on] += 1
             taken.append(active)
             arcs.append(arc)
             now[active] = lattice["start"][arc]
@@ -173,7 +202,7 @@ class Lattice:
         ordered[slot] = arcs
         owner = np.repeat(doc, per_word)
         logp = np.bincount(owner, weights=lattice["logp"][ordered], minlength=len(texts))
-        ids, owner = self._spelled(lattice["code"][ordered], owner)
+        ids, owner = self._spelled(lattice["code"][ordered].astype(np.int64), owner)
         stops = np.searchsorted(owner, np.arange(len(texts) + 1))
         return [ids[a:b] for a, b in zip(stops[:-1], stops[1:])], logp
 
@@ -209,8 +238,15 @@ def lattice(path, sharpness, seed):
     return _LATTICES[key]
 
 
-def encode_sampled(docs, model_path, doc_id="doc_id", text="text", sharpness=1.0, seed=0):
-    """(doc_id, text, ids, log_prob): ids as little-endian unsigned 32-bit bytes."""
+ENCODED = "ids binary, n_pieces bigint, ids_crc32 bigint, log_prob double, lossless boolean"
+
+
+def encode_sampled(docs, model_path, doc_id="doc_id", text="text", sharpness=1.0, seed=0, with_ids=True):
+    """(doc_id, ids, n_pieces, ids_crc32, log_prob, lossless): one row per row of `docs`.
+
+    `ids` are little-endian unsigned 32-bit bytes, NULL unless `with_ids`. Every segmentation is decoded
+    again where it was made; `lossless` says whether that gave the text.
+    """
 
     def work(batches):
         made = lattice(model_path, sharpness, seed)
@@ -218,18 +254,24 @@ def encode_sampled(docs, model_path, doc_id="doc_id", text="text", sharpness=1.0
             for batch in row_slices(whole, 2, SLICE_BYTES):
                 texts = batch.column(2).to_pylist()
                 ids, logp = made.sample(texts, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-                raw = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids)]
-                logp = [None if t is None else p for t, p in zip(texts, logp.tolist())]
+                out = []
+                for t, x, p in zip(texts, ids, logp.tolist()):
+                    if t is None:
+                        out.append((None,) * 5)
+                    else:
+                        raw = x.astype("<u4").tobytes()
+                        out.append((raw if with_ids else None, len(x), zlib.crc32(raw), p, made.decode(x.tolist()) == t))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(logp, pa.float64())],
-                    names=["doc_id", "text", "ids", "log_prob"],
+                    [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))],
+                    names=["doc_id", "ids", "n_pieces", "ids_crc32", "log_prob", "lossless"],
                 )
 
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id).cast("string")).alias("key"), F.col(text).alias("text")
     )
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(work, f"doc_id {kind}, text string, ids binary, log_prob double")
+    return rows.mapInArrow(work, f"doc_id {kind}, {ENCODED}")
 
 
 def decode_pieces(encoded, model_path, ids="ids", decoded="decoded"):

@@ -9,7 +9,7 @@ from .langid import predict_languages
 from .linededup import cut_shared_blocks
 from .minhash import near_duplicates
 from .packing import pack_documents
-from .pieces import decode_pieces, encode_sampled
+from .pieces import encode_sampled
 from .quality import judge
 from .secrets import scan_secrets
 from .topk import quantized, top_k
@@ -108,12 +108,5 @@ def op5_language_id(spark, sf_dir):
 
 @query("op3_sentencepiece_sampling")
 def op3_sentencepiece_sampling(spark, sf_dir):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode_pieces(encode_sampled(table(spark, sf_dir, "documents"), path), path)
-    return out.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("bigint").alias("n_pieces"),
-        F.crc32("ids").alias("ids_crc32"),
-        F.expr("decoded <=> text").alias("lossless"),
-        "log_prob",
-    )
+    docs = table(spark, sf_dir, "documents")
+    return encode_sampled(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")

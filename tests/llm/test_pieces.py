@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -66,9 +67,12 @@ def test_rows_keep_their_segmentation(spark):
     other = pieces.encode_sampled(one.repartition(7), PATH, sharpness=0.3).collect()
     assert sorted((str(r.doc_id), r.ids) for r in first if r.ids is not None) == sorted((str(r.doc_id), r.ids) for r in other if r.ids is not None)
     assert len(first) == len(other) == len(rows)
+    by_id = {r[0]: r[1] for r in rows}
     for r in first:
-        assert r.decoded == r.text
-        assert (r.ids is None) == (r.text is None) == (r.log_prob is None)
+        text = by_id[r.doc_id]
+        assert r.decoded == text
+        assert (r.ids is None) == (text is None) == (r.log_prob is None) and r.lossless is (None if text is None else True)
+        assert text is None or (len(r.ids) == 4 * r.n_pieces and zlib.crc32(r.ids) == r.ids_crc32)
     reseeded = pieces.encode_sampled(one, PATH, sharpness=0.3, seed=1).collect()
     assert sorted(str(r.ids) for r in reseeded) != sorted(str(r.ids) for r in first)
     assert pieces.encode_sampled(one.limit(0), PATH).collect() == []
