@@ -116,6 +116,36 @@ def sweep(spark, sf_dir):
     return rounded_metrics(df, ["threshold", "tn", "fp", "fn", "tp"])
 
 
+def scored_with_gaps(spark, sf_dir):
+    """Every seventh score is NaN, every eleventh NULL."""
+    nan = F.when(F.col("o_orderkey") % 7 == 0, float("nan")).otherwise(F.col("prob"))
+    return scored(spark, sf_dir).withColumn("prob", F.when(F.col("o_orderkey") % 11 != 0, nan))
+
+
+GAPS_SQL = (
+    "s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN -1 ELSE o_totalprice / 500000 END AS prob, "
+    "(o_orderstatus = 'F')::INT AS label FROM orders)"
+)
+
+
+@query("decision_with_missing_scores", f"WITH {GAPS_SQL} SELECT o_orderkey, (prob >= 0.5)::INT AS pred FROM s")
+def decisions_with_gaps(spark, sf_dir):
+    return scored_with_gaps(spark, sf_dir).select("o_orderkey", decide("prob", 0.5).alias("pred"))
+
+
+@query(
+    "threshold_sweep_with_missing_scores",
+    f"""
+    WITH {GAPS_SQL}, {THRESHOLDS_SQL},
+    c AS (SELECT threshold, {COUNTS_SQL.replace("th)", "threshold)")} FROM s, t GROUP BY threshold)
+    SELECT round(threshold, 6) AS threshold, tn, fp, fn, tp, {METRICS_SQL} FROM c
+    """,
+)
+def sweep_with_gaps(spark, sf_dir):
+    df = threshold_sweep(scored_with_gaps(spark, sf_dir)).withColumn("threshold", rnd("threshold", 6))
+    return rounded_metrics(df, ["threshold", "tn", "fp", "fn", "tp"])
+
+
 CHOICE_SQL = f"""
     WITH {SCORED_SQL}, {THRESHOLDS_SQL},
     c AS (SELECT threshold, {COUNTS_SQL.replace("th)", "threshold)")} FROM s, t GROUP BY threshold),
@@ -336,6 +366,23 @@ def epochs(spark, sf_dir):
     return best_epoch(log, scores=("fbeta", "-fpr"))
 
 
+@query(
+    "best_epoch_with_missing_scores",
+    """
+    SELECT run_name, epoch FROM (SELECT o_custkey AS run_name, o_orderkey AS epoch, o_totalprice AS f,
+      o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS gap FROM orders)
+    QUALIFY row_number() OVER (PARTITION BY run_name ORDER BY gap, CASE WHEN gap THEN 0 ELSE -f END, epoch) = 1
+    """,
+)
+def epochs_with_gaps(spark, sf_dir):
+    key = F.col("o_orderkey")
+    nan = F.when(key % 3 == 0, float("nan")).otherwise(F.col("o_totalprice"))
+    log = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("run_name"), key.alias("epoch"), F.when(key % 5 != 0, nan).alias("fbeta")
+    )
+    return best_epoch(log, scores=("fbeta",)).select("run_name", "epoch")
+
+
 def predictions(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("sdssid"),
@@ -881,6 +928,54 @@ def streamed(spark, sf_dir):
     return spark.read.parquet(folder + "/out").select("filename", "agn_type", "snr")
 
 
+@query(
+    "merged_run",
+    f"WITH {CATALOGUE_SQL} SELECT filename, agn_type, CASE WHEN id % 2 = 0 THEN 8.0 ELSE snr END AS snr FROM cat WHERE id % 2 = 0 OR snr >= 5",
+)
+def merged_run(spark, sf_dir):
+    """Every spectrum comes twice, and the existing catalogue has two rows per file name."""
+    raw = raw_catalogue(spark, sf_dir)
+    meta = [raw_candidates(spark, sf_dir, kind) for kind in (1, 2)]
+    options = {"grid": GRID, "window": WINDOW}
+    old = build_catalogue(raw.filter("spec_id % 2 = 0"), *meta, **options)[0].withColumn("snr", F.lit(8.0))
+    old = old.unionByName(old.withColumn("obj_id", F.lit("~"))).unionByName(old)
+    df, _ = run_preprocessing(raw.union(raw), *meta, scratch_path(spark, "merge"), "merge", old, **options)
+    return df.select("filename", "agn_type", "snr")
+
+
+def streamed_copies(spark, sf_dir):
+    """A stream in which some files come without redshift first, or in both classes."""
+    folder = scratch_path(spark, "copies")
+    raw = raw_catalogue(spark, sf_dir)
+    broken = raw.filter("spec_id % 3 = 0").withColumn("z", F.lit(None).cast("double"))
+    other = raw.filter("spec_id % 4 = 0").withColumn("agn_type", F.lit(2))
+    broken.unionByName(raw).unionByName(other).drop("spec_id").coalesce(1).write.parquet(folder + "/in")
+    meta = candidate_metadata(raw_candidates(spark, sf_dir, 1), 1).unionByName(
+        candidate_metadata(raw_candidates(spark, sf_dir, 2), 2)
+    )
+    schema = spark.read.parquet(folder + "/in").schema
+    for attempt in ("a", "b"):
+        stream_catalogue(
+            spark, folder + "/in", schema, meta, folder + "/out", f"{folder}/checkpoint-{attempt}",
+            failures=folder + "/failed", grid=GRID, window=WINDOW,
+        ).awaitTermination()
+    return folder
+
+
+@query("streamed_catalogue_with_copies", f"WITH {CATALOGUE_SQL} SELECT filename, agn_type, snr FROM cat WHERE snr >= 5")
+def streamed_with_copies(spark, sf_dir):
+    return spark.read.parquet(streamed_copies(spark, sf_dir) + "/out").select("filename", "agn_type", "snr")
+
+
+@query(
+    "streamed_failures",
+    "SELECT printf('spec-%04d-52000-0007.fits', id) AS filename, 'preprocessing_failed' AS skip_reason, 'missing redshift or SNR' AS error "
+    "FROM (SELECT DISTINCT event_id // 100 AS id FROM events) WHERE id % 11 = 0",
+)
+def streamed_failures(spark, sf_dir):
+    return spark.read.parquet(streamed_copies(spark, sf_dir) + "/failed").select("filename", "skip_reason", "error")
+
+
 def real_pairs(spark, sf_dir):
     """Consecutive raw spectra as two epochs; some paths do not exist."""
     raw = raw_spectra(spark, sf_dir).select("spec_id", "z")

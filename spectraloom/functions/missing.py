@@ -10,6 +10,12 @@ def number(col):
     return F.when(~F.isnan(col), col)
 
 
+def at_least(col, limit):
+    """A filter `col >= limit` that drops NULL and NaN; its comparison reaches a Parquet scan."""
+    col = F.col(col) if isinstance(col, str) else col
+    return (col >= limit) & ~F.isnan(col)
+
+
 def holds(condition):
     """A mask that is false, not NULL, where an operand is missing."""
     return F.coalesce(condition, F.lit(False))

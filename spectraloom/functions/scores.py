@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from .missing import number
+
 
 def sigmoid(logit):
     logit = F.col(logit) if isinstance(logit, str) else logit
@@ -9,9 +11,9 @@ def sigmoid(logit):
 
 
 def decide(prob, threshold=0.5):
-    prob = F.col(prob) if isinstance(prob, str) else prob
+    """1 where the score reaches the threshold; a missing score (NULL or NaN) reaches none."""
     threshold = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
-    return F.coalesce((prob.cast("double") >= threshold).cast("int"), F.lit(0))
+    return F.coalesce((number(prob) >= threshold).cast("int"), F.lit(0))
 
 
 def focal_loss(logit, target, alpha=0.25, gamma=2.0):

@@ -266,8 +266,8 @@ def prepared_spectrum(
                 try:
                     grids.append(one(_row(waves, i), _row(fluxes, i), redshifts[i]))
                     rows.append(i)
-                except ValueError as problem:
-                    errors[i] = str(problem)
+                except Exception as problem:  # one bad spectrum must not end the job
+                    errors[i] = str(problem) or type(problem).__name__
         counts = np.zeros(n, dtype=np.int32)
         done, raws = [], []
         for start in range(0, len(rows), CHUNK):

@@ -4,9 +4,10 @@ from functools import reduce
 
 from pyspark.sql import Window as W, functions as F
 
+from ..functions.missing import number
 from ..functions.scores import decide
 from ..settings import EPS, ThresholdRule, threshold_grid
-from .ordering import with_running_totals
+from .ordering import positions_and_count, with_running_totals
 
 
 def _count(condition):
@@ -74,12 +75,13 @@ def threshold_sweep(df, thresholds=None, label="label", prob="prob", beta=0.5, f
 
     Each score is counted in the bin of the thresholds it reaches; the counts at a
     threshold are sums over a table of bins, whose size is the number of thresholds.
+    A missing score (NULL or NaN) reaches no threshold.
     """
     thresholds = sorted(threshold_grid() if thresholds is None else (float(t) for t in thresholds))
     grid = F.lit(thresholds)
-    reached = F.size(F.filter(grid, lambda t: F.col("__p") >= t))
+    reached = reduce(lambda a, b: a + b, [F.when(F.col("__p") >= t, 1).otherwise(0) for t in thresholds], F.lit(0))
     bins = (
-        df.select(F.col(label).alias("__y"), F.col(prob).cast("double").alias("__p"))
+        df.select(F.col(label).alias("__y"), number(prob).alias("__p"))
         .groupBy(reached.alias("__bin"))
         .agg(_count(F.col("__y") == 1).alias("pos"), _count(F.col("__y") == 0).alias("neg"))
     )
@@ -211,9 +213,13 @@ def metrics_from_matrix(counts, keep=()):
 
 
 def rank_metrics(df, label="label", prob="prob", partitions=None):
-    """ROC-AUC and average precision, exact with ties; NULL when a class is absent."""
+    """ROC-AUC and average precision, exact with ties; NULL when a class is absent.
+
+    Rows without a score (NULL or NaN) have no rank and are left out.
+    """
     per_score = (
-        df.select(F.col(label).alias("y"), F.col(prob).cast("double").alias("p"))
+        df.select(F.col(label).alias("y"), number(prob).alias("p"))
+        .filter(F.col("p").isNotNull())
         .groupBy((-F.col("p")).alias("down"))
         .agg(_count(F.col("y") == 1).alias("pos"), _count(F.col("y") == 0).alias("neg"))
     )
@@ -239,15 +245,24 @@ def rank_metrics(df, label="label", prob="prob", partitions=None):
 
 
 def score_summary(df, label="label", prob="prob"):
-    """Row count, positives, and mean and median score."""
+    """Row count, positives, and mean and median of the scores that are not missing."""
+    middle = median(df, prob)
     return df.agg(
         F.count("*").alias("n"),
         F.sum(F.col(label).cast("bigint")).alias("positives"),
         F.avg(F.col(label).cast("double")).alias("positive_fraction"),
-        F.avg(prob).alias("mean_prob"),
-        F.median(prob).alias("median_prob"),
+        F.avg(number(prob)).alias("mean_prob"),
+        F.lit(middle).cast("double").alias("median_prob"),
     )
 
 
+def median(df, col):
+    """Exact median of a column from the positions of its values: no task holds more than a range of them."""
+    values = df.select(number(col).alias("v")).filter(F.col("v").isNotNull())
+    placed, count = positions_and_count(values, "v")
+    middle = placed.filter(F.col("position").isin((count - 1) // 2, count // 2)).agg(F.avg("v").alias("m"))
+    return middle.first()["m"]
+
+
 def category_counts(df, column):
     return df.groupBy(column).agg(F.count("*").alias("count"))

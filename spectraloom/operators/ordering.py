@@ -64,11 +64,11 @@ def with_running_totals(df, order, totals, partitions=None):
 
 
 def with_group_positions(df, group, *order, name="position", partitions=None):
-    """0-based rank within `group`, also when a few groups hold nearly all rows."""
+    """0-based rank within `group`, also when a few groups hold nearly all rows; NULL is a group."""
     ranked = with_positions(df, group, *order, name="__pos", partitions=partitions)
-    starts = ranked.groupBy(group).agg(F.min("__pos").alias("__start"))
+    starts = ranked.groupBy(F.col(group).alias("__group")).agg(F.min("__pos").alias("__start"))
     return (
-        ranked.join(starts, group)
+        ranked.join(starts, F.col(group).eqNullSafe(F.col("__group")))
         .withColumn(name, F.col("__pos") - F.col("__start"))
-        .drop("__pos", "__start")
+        .drop("__pos", "__start", "__group")
     )

@@ -2,22 +2,26 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.missing import number
 from .dedup import keep_first
 
 
 def best_run(results, select_on="test", order="run_order"):
-    """Run with the highest macro F1, then balanced accuracy; the earliest on ties."""
-    metrics = f"{select_on}_metrics"
-    return results.orderBy(
-        F.desc(f"{metrics}.macro_f1"), F.desc(f"{metrics}.balanced_accuracy"), F.asc(order)
-    ).limit(1)
+    """Run with the highest macro F1, then balanced accuracy; the earliest on ties, missing values last."""
+    values = [number(f"{select_on}_metrics.{name}") for name in ("macro_f1", "balanced_accuracy")]
+    return results.orderBy(*[v.desc_nulls_last() for v in values], F.asc(order)).limit(1)
 
 
 def best_epoch(log, run="run_name", epoch="epoch", scores=("fbeta", "precision_change")):
-    """Per run the first epoch with the highest score tuple; prefix '-' to minimise one."""
-    parts = []
+    """Per run the first epoch with the highest score tuple; prefix '-' to minimise one.
+
+    A missing score (NULL or NaN) is below every other.
+    """
+    kinds, parts = dict(log.dtypes), []
     for i, name in enumerate(scores):
-        value = -F.col(name[1:]) if name.startswith("-") else F.col(name)
+        column = name.removeprefix("-")
+        value = number(column) if kinds[column] in ("float", "double") else F.col(column)
+        value = -value if name.startswith("-") else value
         parts.append(value.alias(f"s{i}"))
     rank = F.struct(*parts, (-F.col(epoch)).alias("e"))
     rest = [c for c in log.columns if c != run]
@@ -38,10 +42,11 @@ def diagnostic_sample(
 ):
     """Lowest-scored misses and highest-scored positives, negatives and pairs overall.
 
-    A pair that qualifies for several groups is kept in the first of them.
+    A pair that qualifies for several groups is kept in the first of them. Pairs without a score
+    (NULL or NaN) come last in every group.
     """
     keys = list(keys)
-    prob = F.col("prob_change")
+    prob = number("prob_change")
 
     def top(rows, order, n, rank, name):
         chosen = rows.orderBy(order, *keys).limit(n)
@@ -50,10 +55,10 @@ def diagnostic_sample(
     positive, negative = F.col("true_label") == 1, F.col("true_label") == 0
     missed = pred.filter(positive & (F.col("pred_label") == 0))
     groups = [
-        top(missed, prob.asc(), n_false_negatives, 1, "false_negative_lowest_prob"),
-        top(pred.filter(positive), prob.desc(), n_true_positives, 2, "true_change_highest_prob"),
-        top(pred.filter(negative), prob.desc(), n_false_positives, 3, "static_highest_prob"),
-        top(pred, prob.desc(), n_top_candidates, 4, "top_candidates_overall"),
+        top(missed, prob.asc_nulls_last(), n_false_negatives, 1, "false_negative_lowest_prob"),
+        top(pred.filter(positive), prob.desc_nulls_last(), n_true_positives, 2, "true_change_highest_prob"),
+        top(pred.filter(negative), prob.desc_nulls_last(), n_false_positives, 3, "static_highest_prob"),
+        top(pred, prob.desc_nulls_last(), n_top_candidates, 4, "top_candidates_overall"),
     ]
     sample = groups[0]
     for group in groups[1:]:

@@ -1,29 +1,33 @@
 """Catalogue and spectrum filters."""
 
+import inspect
+
 from pyspark.sql import functions as F
 
 from ..functions.lines import usable_flag
-from ..functions.missing import holds, number
+from ..functions.missing import at_least, holds, number
 from ..functions.spectra import pixel_stats
 
 
 def two_line_snr(hb_col, ha_col, threshold):
-    """Each line is absent (<= 0) or strong enough, and at least one is strong enough."""
-    hb, ha = number(hb_col), number(ha_col)
-
-    def absent_or_strong(c):
-        return holds((c <= 0) | (c >= threshold))
+    """Each line is absent (<= 0) or strong enough, and at least one is strong enough.
 
-    return absent_or_strong(hb) & absent_or_strong(ha) & (holds(hb >= threshold) | holds(ha >= threshold))
+    A filter condition: NULL, which a filter drops, where a line is NULL.
+    """
+    hb, ha = F.col(hb_col), F.col(ha_col)
+    # comparisons of bare columns, so that a filter on them reaches the scan
+    known = ~F.isnan(hb) & ~F.isnan(ha)
+    absent_or_strong = ((hb <= 0) | (hb >= threshold)) & ((ha <= 0) | (ha >= threshold))
+    return absent_or_strong & ((hb >= threshold) | (ha >= threshold)) & known
 
 
 def select_type2(df, snr_threshold=5):
     """Narrow-line galaxies of good quality; `Z` becomes `z`."""
     df = df.filter(
-        holds(F.col("I_CLASS") == 4)
-        & holds(F.col("Z_WARNING") == 0)
-        & holds(number("SN_MEDIAN") >= snr_threshold)
-        & holds(F.col("SPECTROTYPE") == "GALAXY")
+        (F.col("I_CLASS") == 4)
+        & (F.col("Z_WARNING") == 0)
+        & at_least("SN_MEDIAN", snr_threshold)
+        & (F.col("SPECTROTYPE") == "GALAXY")
         & ~F.coalesce(F.col("SUBCLASS"), F.lit("")).contains("BROADLINE")
     )
     df = df.withColumn("SUBCLASS", F.coalesce(F.col("SUBCLASS"), F.lit("")))
@@ -34,15 +38,15 @@ def select_type2(df, snr_threshold=5):
 def select_type1(df, z_threshold=0.4, snr_threshold=5.0):
     """Quasars without broad absorption below a redshift, with a usable line."""
     return df.filter(
-        holds(F.col("BAL_FLAG") == 0)
-        & holds(number("REDSHIFT") < z_threshold)
+        (F.col("BAL_FLAG") == 0)
+        & (F.col("REDSHIFT") < z_threshold)
         & two_line_snr("LINE_MED_SN_HB", "LINE_MED_SN_HA", snr_threshold)
     )
 
 
 def redshift_window(df, low=0.15, high=0.22, z_col="z"):
-    z = number(z_col)
-    return df.filter(holds((z > low) & (z < high)))
+    # NaN is above every number, so the upper limit drops it
+    return df.filter((F.col(z_col) > low) & (F.col(z_col) < high))
 
 
 def split_processed(df):
@@ -74,8 +78,9 @@ def cleaning_masks(
 
 
 def clean_spectra(df, **limits):
-    """Rows that pass every rule."""
-    masked = cleaning_masks(df, **limits)
+    """Rows that pass every rule; the limit on the SNR reaches the scan."""
+    min_snr = limits.get("min_snr", inspect.signature(cleaning_masks).parameters["min_snr"].default)
+    masked = cleaning_masks(df.filter(at_least("snr", min_snr)), **limits)
     for rule in RULES:
         masked = masked.filter(F.col(f"ok_{rule}"))
     return masked.drop(*[f"ok_{rule}" for rule in RULES])

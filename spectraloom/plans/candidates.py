@@ -27,7 +27,8 @@ def type2_candidates(class_df, info_df, line_df=None, snr_threshold=5, limits=Qu
     if line_df is not None:
         tables, names = tables + [line_df], names + ["line_table"]
     joined = side_by_side([scalar_columns(t) for t in tables], names)
-    df = select_type2(decode_strings(nan_to_null(joined)), snr_threshold)
+    # filters first, on bare columns, so that they reach the scans
+    df = nan_to_null(select_type2(decode_strings(joined), snr_threshold))
     if {"OIII_FLUX", "OIII_FLUX_ERR"} <= set(df.columns):
         df = luminosity_from_flux(df)
     else:
@@ -57,8 +58,8 @@ TYPE1_RENAMES = {"MJD": "mjd", "FIBER": "fiber", "LINE_MED_SN_HB": "snr"}
 
 def type1_candidates(df, z_threshold=0.4, snr_threshold=5.0, limits=QualityLimits()):
     """Quasar table to flagged broad-line candidates in the fixed output layout."""
-    df = decode_strings(nan_to_null(scalar_columns(df)), ["SDSS_NAME"])
-    df = select_type1(df, z_threshold, snr_threshold)
+    df = nan_to_null(select_type1(scalar_columns(df), z_threshold, snr_threshold))
+    df = decode_strings(df, ["SDSS_NAME"])
     df = df.withColumn("filename", legacy_filename("PLATE", "MJD", "FIBER"))
     df = df.withColumnRenamed("REDSHIFT", "z")
     df = quality_flags(flux_from_luminosity(standardize_line_columns(df)), limits)
@@ -67,12 +68,13 @@ def type1_candidates(df, z_threshold=0.4, snr_threshold=5.0, limits=QualityLimit
 
 def find_candidates(df, z_threshold=None, snr_threshold=None):
     """Generic search: no broad absorption, optional redshift and line limits."""
-    df = nan_to_null(scalar_columns(df)).filter(F.coalesce(F.col("BAL_FLAG") == 0, F.lit(False)))
+    df = scalar_columns(df).filter(F.col("BAL_FLAG") == 0)
     z_col = first_present(df, ("REDSHIFT", "z"), "redshift")
     if z_threshold is not None:
-        df = df.filter(F.coalesce(F.col(z_col) < z_threshold, F.lit(False)))
+        df = df.filter(F.col(z_col) < z_threshold)
     if snr_threshold is not None:
         df = df.filter(two_line_snr("LINE_MED_SN_HB", "LINE_MED_SN_HA", snr_threshold))
+    df = nan_to_null(df)
     mjd_col = first_present(df, ("SMJD", "MJD"), "MJD")
     df = df.withColumn("filename", legacy_filename("PLATE", mjd_col, "FIBER"))
     df = decode_strings(df, ["SDSS_NAME"], strip=False)

@@ -11,6 +11,7 @@ from ..functions.vectors import wavelength_axis
 from ..operators.joins import attach_metadata, merge_keep_existing
 from ..operators.select import clean_spectra, split_processed
 from ..settings import CONTINUUM_WINDOW, LINE_COLUMNS, TAPER_LEN, master_grid
+from ..session import handed_over
 from ..sources.results import write_catalogue
 from ..sources.tables import LINE_FIELD_TYPES
 
@@ -18,8 +19,13 @@ HEADER_COLUMNS = ("loglam", "wavelength", "coeff0", "coeff1", "crval1", "cdelt1"
 
 
 def observed_wavelengths(df, flux="flux"):
-    """The wavelength axis from whichever of the header columns exist."""
-    have = {c: c for c in HEADER_COLUMNS if c in df.columns}
+    """The wavelength axis from whichever of the header columns exist, in upper or lower case."""
+    have = {c.lower(): c for c in df.columns if c.lower() in HEADER_COLUMNS}
+    for pair in (("coeff0", "coeff1"), ("crval1", "cdelt1")):
+        if not all(c in have for c in pair):
+            have = {c: name for c, name in have.items() if c not in pair}
+    if not have:
+        raise ValueError(f"no wavelength axis: none of {HEADER_COLUMNS} among {df.columns}")
     return wavelength_axis(flux, **have)
 
 
@@ -69,14 +75,17 @@ def candidate_metadata(candidates, agn_type, order="row_idx"):
 def build_catalogue(spectra, type1_meta, type2_meta, order="row_idx", **options):
     """Processed spectra with line metadata, and the log of failures.
 
-    Each class sees the metadata of its own candidate table only.
+    Each class sees the metadata of its own candidate table only. The processed rows are written to
+    the shared folder once and both results read them there, so the kernel runs once per spectrum.
     """
-    good, failed = split_processed(preprocess_spectra(spectra, **options))
+    good, failed = split_processed(handed_over(preprocess_spectra(spectra, **options), "processed"))
     meta = candidate_metadata(type1_meta, 1, order).unionByName(candidate_metadata(type2_meta, 2, order))
     log = failed.select("filename", "agn_type", F.lit("preprocessing_failed").alias("skip_reason"), "error")
     return attach_metadata(good.drop("error"), meta, order=order), log
 
 
+#: tells rows of one file name apart; rows equal in all of these are the same row
+ROW_ORDER = ("obj_id", "agn_type", "z", "snr", "flux")
 MODES = ("full", "new_only", "merge")
 
 
@@ -94,15 +103,18 @@ def run_preprocessing(
     """Build, optionally merge with an existing catalogue, clean and write.
 
     `full` and `new_only` differ in the spectra handed in; `merge` keeps the existing row
-    of a file name that both have.
+    of a file name that both have, does not process its spectrum again, and leaves one row per file
+    name on either side (the smallest by object, class, redshift, SNR and vector).
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, choose from {MODES}")
-    catalogue, log = build_catalogue(spectra, type1_meta, type2_meta, order, **options)
     if mode == "merge":
         if existing is None:
             raise ValueError("mode 'merge' needs the existing catalogue")
-        catalogue = merge_keep_existing(existing, catalogue, new_order="obj_id")
+        spectra = spectra.join(existing.select("filename").distinct(), "filename", "left_anti")
+    catalogue, log = build_catalogue(spectra, type1_meta, type2_meta, order, **options)
+    if mode == "merge":
+        catalogue = merge_keep_existing(existing, catalogue, existing_order=ROW_ORDER, new_order=ROW_ORDER)
     cleaned = clean_spectra(catalogue, require_valid_oiii=require_valid_oiii)
     write_catalogue(cleaned, output)
     return cleaned.sparkSession.read.parquet(output), log

@@ -51,6 +51,13 @@ def freeze(df):
     return df.checkpoint(eager=True)
 
 
+def handed_over(df, name):
+    """`df` written once to the shared folder as Parquet, for several readers of some of its columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark, name):
     """A fresh path for a hand-off table in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

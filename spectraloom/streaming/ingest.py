@@ -6,37 +6,60 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.dedup import keep_first
 from ..operators.joins import attach_metadata
 from ..operators.select import clean_spectra, split_processed
-from ..plans.preprocessing import preprocess_spectra
+from ..plans.preprocessing import ROW_ORDER, preprocess_spectra
+from ..session import handed_over
 from ..sources.results import write_catalogue
 from ..sources.tables import processed_schema
 
+FAILURES = "filename string, agn_type int, skip_reason string, error string"
 
-def ingest_batch(batch, metadata, output, order="filename", limits=None, **options):
+
+def _names(spark, path, schema):
+    """File names stored under `path`, or None if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).select("filename").distinct()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _without(rows, names):
+    return rows if names is None else rows.join(names, "filename", "left_anti")
+
+
+def ingest_batch(batch, metadata, output, failures=None, limits=None, **options):
     """Process the spectra of one batch whose file name the catalogue does not have yet.
 
+    Of several copies of a file name, in one class or both, the first that can be processed counts
+    (by object, class, redshift, SNR and vector). File names without any go to `failures`, one row
+    each, unless they are there already; a later copy may still succeed.
+
     Known names are left out before the kernel runs, so a batch that is replayed after a
     lost executor or a restart adds nothing. One writer per catalogue is assumed.
     """
     spark = batch.sparkSession
-    try:
-        known = spark.read.schema(processed_schema()).parquet(output).select("filename")
-        fresh = batch.join(known.distinct(), "filename", "left_anti")
-    except AnalysisException:
-        fresh = batch  # nothing written yet
-    first = keep_first(fresh, ["agn_type", "filename"], [order] if order != "filename" else ["z"])
-    good, _ = split_processed(preprocess_spectra(first, **options))
-    catalogue = clean_spectra(attach_metadata(good.drop("error"), metadata), **(limits or {}))
+    fresh = _without(batch, _names(spark, output, processed_schema()))
+    good, failed = split_processed(handed_over(preprocess_spectra(fresh, **options), "ingested"))
+    first = keep_first(good.drop("error"), "filename", ROW_ORDER)
+    catalogue = clean_spectra(attach_metadata(first, metadata), **(limits or {}))
     write_catalogue(catalogue, output, mode="append")
+    if failures is not None:
+        failed = _without(failed, good.select("filename").distinct())
+        failed = _without(failed, _names(spark, failures, FAILURES))
+        one = keep_first(failed.select("filename", "agn_type", "error"), "filename", ["agn_type", "error"])
+        log = one.select("filename", "agn_type", F.lit("preprocessing_failed").alias("skip_reason"), "error")
+        log.write.mode("append").parquet(failures)
 
 
-def stream_catalogue(spark, source, schema, metadata, output, checkpoint, limits=None, **options):
+def stream_catalogue(spark, source, schema, metadata, output, checkpoint, limits=None, failures=None, **options):
     """A query over new Parquet files under `source`; processes what is there, then stops."""
     raw = spark.readStream.schema(schema).parquet(source)
     if "filename" not in raw.columns:
         raw = raw.withColumn("filename", F.col("_metadata.file_name"))
     return (
         raw.writeStream.foreachBatch(
-            lambda batch, _: ingest_batch(batch, metadata, output, limits=limits, **options)
+            lambda batch, _: ingest_batch(batch, metadata, output, failures, limits, **options)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,5 +1,7 @@
 """Shape of physical plans that matter at scale."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from spectraloom.functions.lines import luminosity_from_flux
@@ -7,7 +9,8 @@ from spectraloom.operators.dedup import keep_first
 from spectraloom.operators.metrics import threshold_sweep
 from spectraloom.operators.neighbours import nearest_partners
 from spectraloom.operators.ordering import with_positions, with_running_totals
-from spectraloom.operators.select import redshift_window, split_processed
+from spectraloom.operators.select import clean_spectra, redshift_window, select_type1, select_type2, split_processed
+from spectraloom.plans.candidates import find_candidates, type1_candidates, type2_candidates
 from spectraloom.plans.preprocessing import preprocess_spectra
 from spectraloom.sources.tables import processed_schema
 
@@ -29,7 +32,49 @@ def test_catalogue_queries_do_not_read_flux(spark, tmp_path):
     spark.createDataFrame([], processed_schema()).write.parquet(path)
     df = redshift_window(spark.read.parquet(path)).groupBy("agn_type").count()
     text = plan(df)
-    assert "flux" not in text.split("ReadSchema")[1] and "PushedFilters: [" in text
+    assert "flux" not in text.split("ReadSchema")[1]
+    assert {"GreaterThan(z,0.15)", "LessThan(z,0.22)"} <= pushed(df)
+
+
+def pushed(df):
+    """Filters that reach the Parquet scans of a plan."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    df = df.select("*")  # planned anew, with the whole text
+    found = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan(df).split("== Physical Plan ==")[1])
+    return {f for text in found for f in re.findall(r"\w+\((?:[^()]|\([^()]*\)|\((?:[^()]|\([^()]*\))*\))*\)", text)}
+
+
+def stored(spark, tmp_path, name, columns):
+    path = str(tmp_path / name)
+    spark.createDataFrame([], ", ".join(columns)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+TYPE1 = [
+    "SDSS_NAME binary", "RA double", "DEC double", "REDSHIFT double", "MJD int", "PLATE int", "FIBER int", "BAL_FLAG int",
+    "LINE_MED_SN_HB double", "LINE_MED_SN_HA double", "LOGL_OIII_5007 double", "LOGL_OIII_5007_ERR double",
+]
+
+
+def test_filters_of_the_selections_reach_the_scan(spark, tmp_path):
+    quasars = stored(spark, tmp_path, "type1", TYPE1)
+    lines = {"Or(LessThanOrEqual(LINE_MED_SN_HB,0.0),GreaterThanOrEqual(LINE_MED_SN_HB,5.0))"}
+    limits = {"EqualTo(BAL_FLAG,0)", "LessThan(REDSHIFT,0.4)"} | lines
+    assert limits <= pushed(select_type1(quasars))
+    assert limits <= pushed(type1_candidates(quasars))
+    assert limits <= pushed(find_candidates(quasars, 0.4, 5.0))
+    classes = stored(spark, tmp_path, "class", ["row_idx long", "PLATE int", "MJD int", "FIBERID int", "I_CLASS int"])
+    info = stored(
+        spark, tmp_path, "info",
+        ["row_idx long", "Z double", "SN_MEDIAN double", "Z_WARNING int", "SPECTROTYPE string", "SUBCLASS string", "MJD int", "FIBERID int"],
+    )
+    one_side = {"EqualTo(I_CLASS,4)"}
+    other = {"EqualTo(Z_WARNING,0)", "GreaterThanOrEqual(SN_MEDIAN,5.0)", "EqualTo(SPECTROTYPE,GALAXY)"}
+    assert one_side | other <= pushed(type2_candidates(classes, info))
+    assert other <= pushed(select_type2(info.withColumn("I_CLASS", F.lit(4))))
+    catalogue = spark.createDataFrame([], processed_schema())
+    catalogue.write.parquet(str(tmp_path / "spectra"))
+    assert {"GreaterThanOrEqual(snr,5.0)"} <= pushed(clean_spectra(spark.read.parquet(str(tmp_path / "spectra"))))
 
 
 def test_distance_is_computed_once(spark):
