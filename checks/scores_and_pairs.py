@@ -43,7 +43,14 @@ from spectraloom.plans.pairs import (
 )
 from spectraloom.plans.preprocessing import build_catalogue, candidate_metadata, run_preprocessing
 from spectraloom.session import freeze, scratch_path
-from spectraloom.settings import ThresholdRule
+from spectraloom.settings import (
+    EXTRA_MASK_LENGTHS,
+    EXTRA_MASK_PROBABILITY,
+    RANDOM_MASK_MAX_FRACTION,
+    RANDOM_MASK_MIN_FRACTION,
+    RANDOM_MASK_REGIONS,
+    ThresholdRule,
+)
 from spectraloom.sources.results import write_catalogue
 from spectraloom.sources.tables import read_catalogue
 from spectraloom.streaming.ingest import stream_catalogue
@@ -421,6 +428,29 @@ def sample(spark, sf_dir):
 # ---- splits
 
 
+def md5_hash_sql(text):
+    """The seeded hash of a text in SQL: the first 15 hex digits of its MD5."""
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+def uniform_sql(text):
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "stratified_split",
+    f"""
+    WITH p AS (SELECT p_partkey AS row_idx, p_size % 2 + 1 AS agn_type, {md5_hash_sql("p_partkey || '|42'")} AS h FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY agn_type ORDER BY h, row_idx) AS r, count(*) OVER (PARTITION BY agn_type) AS n FROM p)
+    SELECT row_idx, agn_type, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN 'train' WHEN r <= round(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split
+    FROM r
+    """,
+)
+def split_rows(spark, sf_dir):
+    df = stratified_split(candidates(spark, sf_dir), "agn_type", "row_idx", seed=42)
+    return df.select("row_idx", "agn_type", "split")
+
+
 @query(
     "stratified_split_sizes",
     """
@@ -439,10 +469,23 @@ def split_sizes(spark, sf_dir):
 
 @query(
     "seeded_shuffle",
-    "SELECT p_partkey AS row_idx, p_brand AS obj_id, p_size % 2 + 1 AS agn_type, p_retailprice AS z, p_size::DOUBLE AS snr FROM part",
+    f"""SELECT p_partkey AS row_idx, p_brand AS obj_id, row_number() OVER (ORDER BY {md5_hash_sql("p_partkey || '|7'")}, p_partkey) - 1 AS position
+        FROM part""",
 )
 def shuffle(spark, sf_dir):
-    return seeded_shuffle(candidates(spark, sf_dir), "row_idx", 7)
+    return seeded_shuffle(candidates(spark, sf_dir), "row_idx", 7, "position").select("row_idx", "obj_id", "position")
+
+
+@query(
+    "first_per_class",
+    f"""
+    SELECT vec_id, label FROM embeddings WHERE label <> 3
+    QUALIFY row_number() OVER (PARTITION BY label ORDER BY {md5_hash_sql("vec_id || '|42'")}, vec_id) <= 30
+    """,
+)
+def first_rows(spark, sf_dir):
+    df = first_per_class(table(spark, sf_dir, "embeddings"), "label", "vec_id", 30, 42, F.col("label") != 3)
+    return df.select("vec_id", "label")
 
 
 @query(
@@ -543,12 +586,44 @@ def vector_table(spark, sf_dir):
     )
 
 
-@query("sampled_training_pairs")
+def sampled_sql(k, change_prob, train):
+    """Every draw of the sampler again: target, anchor, partner among the k nearest, swap."""
+    u = {s: uniform_sql(f"pair_id || '|0|42|{s}'") for s in ("target", "anchor class", "anchor", "neighbour", "swap")}
+    choice = f"least(floor({u['neighbour']} * k), k - 1)" if train else "0"
+    swap = f"{u['swap']} > 0.5" if train else "false"
+    return f"""
+    v AS (SELECT vec_id AS row_idx, 'obj-' || (vec_id % 97) AS obj_id, label % 2 + 1 AS agn_type,
+            (vec_id % 83) / 100.0::DOUBLE + 0.01::DOUBLE AS z, (vec_id % 41) + 2.0::DOUBLE AS snr FROM embeddings),
+    s AS (SELECT stddev_samp(z) + 1e-8 AS sz, stddev_samp(snr) + 1e-8 AS ss, count(*) AS n,
+            count(*) FILTER (agn_type = 1) AS n1, count(*) FILTER (agn_type = 2) AS n2 FROM v),
+    g AS (SELECT *, row_number() OVER (PARTITION BY agn_type ORDER BY row_idx) - 1 AS place FROM v),
+    d AS (SELECT pair_id, ({u['target']} < {change_prob})::INT AS label, CASE WHEN {u['anchor class']} < 0.5 THEN 1 ELSE 2 END AS t
+          FROM (SELECT range AS pair_id FROM range((SELECT n FROM s)::BIGINT))),
+    a AS (SELECT d.*, least(floor({u['anchor']} * CASE t WHEN 1 THEN n1 ELSE n2 END), CASE t WHEN 1 THEN n1 ELSE n2 END - 1)::BIGINT AS place FROM d, s),
+    b AS (SELECT a.pair_id, a.label, g.row_idx AS anchor_idx, g.z, g.snr, g.obj_id, CASE WHEN a.label = 0 THEN t ELSE 3 - t END AS partner_type
+          FROM a JOIN g ON g.agn_type = a.t AND g.place = a.place),
+    c AS (SELECT b.pair_id, b.label, anchor_idx, v.row_idx,
+            (v.z - b.z) / sz * ((v.z - b.z) / sz) + (v.snr - b.snr) / ss * ((v.snr - b.snr) / ss) AS dist
+          FROM b, s JOIN v ON v.agn_type = b.partner_type AND v.obj_id <> b.obj_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY dist, row_idx) - 1 AS rank FROM c QUALIFY rank < {k}),
+    f AS (SELECT *, count(*) OVER (PARTITION BY pair_id) AS k FROM r),
+    x AS (SELECT pair_id, label, anchor_idx AS a, row_idx AS p, {swap} AS swap FROM f WHERE rank = {choice}),
+    pairs AS (SELECT pair_id, label, CASE WHEN swap THEN p ELSE a END AS first_idx, CASE WHEN swap THEN a ELSE p END AS second_idx FROM x)
+    """
+
+
+@query("sampled_training_pairs", f"WITH {sampled_sql(20, 0.15, True)} SELECT * FROM pairs")
 def training_pairs(spark, sf_dir):
     df = vector_table(spark, sf_dir)
     return sample_pairs(df, epoch_size=df.count(), k_neighbors=20, mode="train", change_prob=0.15)
 
 
+@query("sampled_test_pair_members", f"WITH {sampled_sql(1, 0.5, False)} SELECT * FROM pairs")
+def test_pair_members(spark, sf_dir):
+    df = vector_table(spark, sf_dir)
+    return sample_pairs(df, epoch_size=df.count(), mode="test", change_prob=0.5)
+
+
 @query("sampled_test_pairs")
 def test_pairs(spark, sf_dir):
     df = vector_table(spark, sf_dir)
@@ -576,6 +651,40 @@ def pair_rules(spark, sf_dir):
     )
 
 
+def mask_spans_sql():
+    """Spans of the line mask and of the extra mask, drawn again."""
+    pixels = [4700 + 32 * i for i in range(64)]
+    starts, lows, highs, counts = [], [], [], []
+    for low, high in RANDOM_MASK_REGIONS:
+        inside = [i for i, p in enumerate(pixels) if low <= p <= high]
+        starts.append(inside[0])
+        counts.append(len(inside))
+        lows.append(max(2, int(RANDOM_MASK_MIN_FRACTION * len(inside))))
+        highs.append(max(lows[-1], int(RANDOM_MASK_MAX_FRACTION * len(inside))))
+    low, high = EXTRA_MASK_LENGTHS[0], min(EXTRA_MASK_LENGTHS[1], 63)
+    u = {s: uniform_sql(f"vec_id || '|42|{s}'") for s in ("line/region", "line/length", "line/start", "extra/draw", "extra/length", "extra/start")}
+
+    def below(uniform, n):
+        return f"least(floor({uniform} * ({n})), ({n}) - 1)::INT"
+
+    return f"""
+    WITH r AS (SELECT vec_id, 1 + {below(u['line/region'], len(counts))} AS g, {u['extra/draw']} <= {EXTRA_MASK_PROBABILITY} AS drawn,
+                 {low} + {below(u['extra/length'], high - low + 1)} AS en FROM embeddings),
+    n AS (SELECT *, ({lows})[g] + {below(u['line/length'], f'({highs})[g] - ({lows})[g] + 1')} AS n FROM r)
+    SELECT vec_id, ({starts})[g] + {below(u['line/start'], f'({counts})[g] - n + 1')} AS s, n,
+           CASE WHEN drawn THEN {below(u['extra/start'], '64 - en + 1')} END AS es, CASE WHEN drawn THEN en END AS en FROM n
+    """
+
+
+@query("random_mask_spans", mask_spans_sql())
+def mask_spans(spark, sf_dir):
+    start, length = line_mask_span(["vec_id"], 42, WAVE)
+    extra_start, extra_length = extra_mask_span(["vec_id"], 42, 64)
+    return embeddings(spark, sf_dir).select(
+        "vec_id", start.alias("s"), length.alias("n"), extra_start.alias("es"), extra_length.alias("en")
+    )
+
+
 @query(
     "random_masks",
     "SELECT vec_id, 1 AS line_in_region, 1 AS length_allowed, 1 AS extra_inside, 1 AS others_unchanged FROM embeddings",

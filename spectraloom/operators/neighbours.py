@@ -20,8 +20,8 @@ from .ordering import positions_and_count
 
 BLOCK = 64
 FANOUT = 8
-# node tables up to this many rows (about 10 MB) are handled in one task and broadcast
-SMALL_ROWS = 100_000
+# node tables of at most this many rows (counted, about 100 bytes each) are broadcast; larger ones are shuffled
+BROADCAST_NODES = 100_000
 CODE_BITS = 24
 CODE_RANGE_SIGMAS = 8.0
 
@@ -79,9 +79,9 @@ def _trim_points(rows, k):
     return second.drop("__n", "__m")
 
 
-def _together(nodes, key, rows):
+def _together(nodes, key):
     """Bring the parts of a node to one partition, so that grouping them shuffles once."""
-    return nodes.coalesce(1) if rows <= SMALL_ROWS else nodes.repartition("cls", key)
+    return nodes.repartition("cls", key)
 
 
 def _leaf_nodes(blocks):
@@ -96,8 +96,8 @@ def _leaf_nodes(blocks):
     return _summarise(per_object.withColumns({"extra": F.col("n"), "base": F.lit(0)}), "node")
 
 
-def _parent_nodes(nodes, rows):
-    per_object = _together(nodes, "parent", rows).groupBy("cls", "parent", "obj").agg(
+def _parent_nodes(nodes):
+    per_object = _together(nodes, "parent").groupBy("cls", "parent", "obj").agg(
         F.sum("n").alias("n"),
         F.min("z_lo").alias("z_lo"),
         F.max("z_hi").alias("z_hi"),
@@ -141,8 +141,8 @@ def _summarise(parts, node):
 
 
 def _bounded(df, rows):
-    """Broadcast a table whose row count is known to be small."""
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+    """Broadcast a table whose counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
 
 def _prune(frontier, spread, k):
@@ -197,13 +197,13 @@ def nearest_partners(queries, candidates, k, spread=None):
     points = _trim_points(usable, k).withColumn("code", _curve_code(F.col("z"), F.col("snr"), spread))
     placed, total = positions_and_count(points, "cls", "code", "z", "snr", "row_idx", name="place")
     blocks = placed.withColumn("node", F.floor(F.col("place") / BLOCK).cast("bigint"))
-    blocks = _together(blocks, "node", total)
+    blocks = _together(blocks, "node")
 
     # two classes may share a block, hence one more row per class and level
     widths = [-(-total // BLOCK)]
     levels = [freeze(_leaf_nodes(blocks))]  # every level above is built from these
     while widths[-1] > FANOUT:
-        levels.append(_parent_nodes(levels[-1], widths[-1]))
+        levels.append(_parent_nodes(levels[-1]))
         widths.append(-(-widths[-1] // FANOUT))
 
     # adding 0.0 makes one number of both zeros

@@ -2,13 +2,12 @@
 
 from pyspark.sql import Window as W, functions as F
 
+from ..functions.hashing import seeded_hash
 from ..settings import EPS
+from .ordering import with_positions
 
-HASH_BUCKETS = 1 << 16
-
-
-def _hash(keys, seed):
-    return F.xxhash64(*keys, F.lit(int(seed)))
+#: a hash's leading 16 bits number its bucket
+BUCKET_SHIFT = 60 - 16
 
 
 def _cut_places(df, by, keys, seed, quotas):
@@ -18,11 +17,11 @@ def _cut_places(df, by, keys, seed, quotas):
     hashes and the rows of the few buckets with a cut are shuffled, so classes of any size
     and any imbalance cost two light passes.
     """
-    marked = df.select(by, _hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k")).withColumn(
-        "__b", F.shiftright("__h", 48)
+    marked = df.select(by, seeded_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k")).withColumn(
+        "__b", F.shiftright("__h", BUCKET_SHIFT)
     )
     sizes = marked.groupBy(by, "__b").agg(F.count("*").alias("__n"))
-    # at most HASH_BUCKETS rows per class
+    # at most 2^16 rows per class
     order = W.partitionBy(by).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
     running = sizes.withColumn("__upto", F.sum("__n").over(order)).withColumn(
         "__total", F.sum("__n").over(W.partitionBy(by))
@@ -45,7 +44,7 @@ def _cut_places(df, by, keys, seed, quotas):
 
 def _with_cuts(df, by, keys, seed, quotas):
     """`df` with the cut places of its class (one row per class, hence the broadcast)."""
-    place = F.struct(_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k"))
+    place = F.struct(seeded_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k"))
     return df.join(F.broadcast(_cut_places(df, by, keys, seed, quotas)), by, "left"), place
 
 
@@ -66,10 +65,16 @@ def stratified_split(df, by, keys, seed=42, shares=(("train", 0.70), ("val", 0.1
     return cut.withColumn("split", label.otherwise(shares[-1][0])).select(*df.columns, "split")
 
 
-def seeded_shuffle(df, keys, seed):
-    """Order rows by a seeded hash, for when an order is consumed."""
+def seeded_shuffle(df, keys, seed, position=None):
+    """Order rows by a seeded hash, for when an order is consumed.
+
+    With `position`, the 0-based place of each row is added in a column of that name instead.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.orderBy(_hash(keys, seed), *keys)
+    if position is None:
+        return df.orderBy(seeded_hash(keys, seed), *keys)
+    placed = with_positions(df.withColumn("__h", seeded_hash(keys, seed)), "__h", *keys, name=position)
+    return placed.drop("__h")
 
 
 def first_per_class(df, by, keys, n=50, seed=42, only=None):

@@ -12,6 +12,7 @@ from ..functions.spectra import (
     wing_score,
 )
 from ..operators.joins import counted_side, with_errors
+from ..session import freeze
 from ..settings import CONTINUUM_WINDOW, TAPER_LEN, master_grid
 
 SIDES = ("dr16", "sdssv")
@@ -66,7 +67,7 @@ def diagnose_pairs(pairs, grid=None, window=CONTINUUM_WINDOW, taper_len=TAPER_LE
 def diagnose_sample(sample, spectra_pairs, failures, keys=("sdssid", "specname_dr16", "specname_sdssv"), **options):
     """Diagnosis of a prediction sample; pairs that failed keep an error row."""
     keys = list(keys)
-    chosen = counted_side(sample.select(*keys, "true_label", "prob_change", "diagnostic_group"))
+    chosen = counted_side(freeze(sample.select(*keys, "true_label", "prob_change", "diagnostic_group")))
     ready = spectra_pairs.select(*keys, "z", "raw_1", "raw_2").join(chosen, keys)
     failed = failures.select(*keys, "error").join(chosen, keys).select("sdssid", "diagnostic_group", "error")
     return with_errors(diagnose_pairs(ready, keep=("diagnostic_group",), **options), failed)

@@ -12,7 +12,7 @@ from ..operators.neighbours import nearest_partners, split_spread
 from ..operators.ordering import with_group_positions
 from ..operators.shape import class_target
 from ..operators.split import class_weight, scaled_redshift, stratified_split
-from ..session import freeze
+from ..session import freeze, handed_over
 from ..settings import CONTINUUM_WINDOW, TAPER_LEN, master_grid
 from .preprocessing import observed_wavelengths
 
@@ -186,7 +186,8 @@ def preprocess_pairs(
             )
         ).alias("m"),
     ).select("sdssid", "specname_dr16", "specname_sdssv", "z", "m.side", "m.path")
-    wanted = spectra.drop("z").join(counted_side(members.select("path", "z").distinct()), "path")
+    # frozen before it is counted: behind it stand the existence joins
+    wanted = spectra.drop("z").join(counted_side(freeze(members.select("path", "z").distinct())), "path")
     done = wanted.select(
         F.col("path").alias("__path"),
         F.col("z").alias("__z"),
@@ -201,6 +202,7 @@ def preprocess_pairs(
             keep_raw=keep_raw,
         ).alias("p"),
     )
+    done = handed_over(done, "members")  # pairs and log both read it: the kernel runs once
     same = (F.col("path") == F.col("__path")) & F.col("z").eqNullSafe(F.col("__z"))
     keys = ["sdssid", "specname_dr16", "specname_sdssv", "z"]
     vectors = (

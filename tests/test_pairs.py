@@ -54,7 +54,7 @@ def test_neighbours_equal_brute_force(spark, seed, k, monkeypatch):
     df = spark.createDataFrame(rows)
     queries = df.select((3 - F.col("cls")).alias("q_class"), F.col("z").alias("q_z"), F.col("snr").alias("q_snr"), F.col("obj").alias("q_obj"))
     if k > 1:
-        monkeypatch.setattr(neighbours, "SMALL_ROWS", 0)  # the way taken by large tables
+        monkeypatch.setattr(neighbours, "BROADCAST_NODES", 0)  # the way taken by large tables
     found = nearest_partners(queries, df.repartition(5), k)
     got = {}
     for r in found.orderBy("rank").collect():
