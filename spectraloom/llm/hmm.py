@@ -1,7 +1,7 @@
 """Language-model scoring: a hidden Markov model over words, and add-one unigrams beside it.
 
-Words are counted over all training documents. The `K` most frequent have symbols of their own; every
-other word, known or not, is a symbol by its last byte, and its share within that class is its smoothed
+Words are counted over all training documents. The most frequent, at most `K`, have symbols of their own
+(words of about equal counts together or not at all); every other word, known or not, is a symbol by its last byte, and its share within that class is its smoothed
 count: log P(word) = log P(class | state) + log((c + 1) / (tokens + types + 1 of the class)). Counts of
 such words come by a join on the word, so no word list is broadcast beyond the `K` frequent ones.
 
@@ -106,13 +106,19 @@ class Vocabulary:
 
 def learn_vocabulary(counts, documents):
     row = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
-    head = counts.orderBy(F.col("c").desc(), "key").limit(K).collect()
-    limit = (head[-1].c, head[-1].key) if len(head) == K else None
+    # frequent words are those from a bin of counts upwards that fit: no task sends its own K words
+    level = F.floor(F.log2("c") * 64).cast("int")
+    sizes = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    limit, fits = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        if fits + sizes[k] > K:
+            break
+        limit, fits = k, fits + sizes[k]
+    head = counts.filter(level >= limit).collect()
     class_tokens, class_types = np.zeros(256), np.zeros(256)
-    if limit:
-        rest = counts.filter((F.col("c") < limit[0]) | ((F.col("c") == limit[0]) & (F.col("key") > limit[1])))
-        for r in rest.groupBy((F.col("key").bitwiseAND(F.lit(255))).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-            class_tokens[r.b], class_types[r.b] = r.c, r.n
+    rest = counts.filter(level < limit).groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("b"))
+    for r in rest.agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        class_tokens[r.b], class_types[r.b] = r.c, r.n
     return Vocabulary(head, row.tokens + documents, row.types + (documents > 0), documents, class_tokens, class_types)
 
 
