@@ -18,6 +18,7 @@ HEADLINE = (
     "best_row_per_object",
     "attached_metadata",
     "preprocessed_spectra",
+    "preprocessed_spectra_full_grid",
     "preprocessing_run",
     "mad_normalized",
     "pair_diagnosis",

@@ -56,7 +56,7 @@ from spectraloom.sources.tables import read_catalogue
 from spectraloom.streaming.ingest import stream_catalogue
 
 from .registry import query, rnd, table
-from .vectors import GRID, MAD, WAVE, WINDOW, embeddings, raw_spectra
+from .vectors import GRID, MAD, PREPROCESSED_SQL, WAVE, WINDOW, embeddings, raw_spectra
 
 THRESHOLDS_SQL = "t AS (SELECT 0.01 + i * ((0.99 - 0.01) / 98)::DOUBLE AS threshold FROM generate_series(0, 98) g(i))"
 
@@ -804,6 +804,49 @@ def evaluated(spark, sf_dir):
     return rounded_metrics(out, ["threshold", "tn", "fp", "fn", "tp", "roc_auc", "average_precision"])
 
 
+def evaluation(spark, sf_dir):
+    return evaluate_pairs(score_pairs(successor_pairs(spark, sf_dir), cosine_batch), 0.5)
+
+
+@query(
+    "evaluated_predictions",
+    f"""
+    WITH {COSINE_SQL} SELECT sdssid, label::INT AS true_label, round(prob, 7) AS prob_change, (prob >= 0.5)::INT AS pred_label,
+      (label = 0 AND prob >= 0.5)::INT AS is_false_positive, (label = 1 AND prob < 0.5)::INT AS is_false_negative FROM sc
+    """,
+)
+def evaluated_predictions(spark, sf_dir):
+    df = evaluation(spark, sf_dir)["predictions"]
+    return df.select(
+        "sdssid", "true_label", rnd("prob_change", 7).alias("prob_change"), "pred_label", "is_false_positive", "is_false_negative"
+    )
+
+
+@query(
+    "evaluated_summary",
+    f"""
+    WITH {COSINE_SQL} SELECT count(*) AS n, sum(label)::BIGINT AS positives, round(avg(label), 7) AS positive_fraction,
+      round(avg(prob), 7) AS mean_prob, round(median(prob), 7) AS median_prob FROM sc
+    """,
+)
+def evaluated_summary(spark, sf_dir):
+    df = evaluation(spark, sf_dir)["summary"]
+    return df.select("n", "positives", *[rnd(c, 7).alias(c) for c in ("positive_fraction", "mean_prob", "median_prob")])
+
+
+@query(
+    "evaluated_sweep",
+    f"""
+    WITH {COSINE_SQL}, {THRESHOLDS_SQL},
+    c AS (SELECT threshold, {COUNTS_SQL.replace("th)", "threshold)")} FROM sc, t GROUP BY threshold)
+    SELECT round(threshold, 6) AS threshold, tn, fp, fn, tp, {METRICS_SQL} FROM c
+    """,
+)
+def evaluated_sweep(spark, sf_dir):
+    df = evaluation(spark, sf_dir)["sweep"].withColumn("threshold", rnd("threshold", 6))
+    return rounded_metrics(df, ["threshold", "tn", "fp", "fn", "tp"])
+
+
 @query(
     "line_ablated_evaluation",
     """
@@ -992,6 +1035,17 @@ def built(spark, sf_dir):
     return df.select("filename", "agn_type", F.col("OIII_FLUX_SOURCE").alias("source"), F.size("flux").alias("pixels"))
 
 
+@query("built_catalogue_vectors", PREPROCESSED_SQL + " WHERE spec_id % 11 <> 0")
+def built_vectors(spark, sf_dir):
+    df, _ = build_catalogue(
+        raw_catalogue(spark, sf_dir), raw_candidates(spark, sf_dir, 1), raw_candidates(spark, sf_dir, 2),
+        grid=GRID, window=WINDOW,
+    )
+    number = F.substring("filename", 6, 4).cast("bigint").alias("spec_id")
+    pixels = df.select(number, F.col("n_filled").cast("bigint").alias("n_filled"), F.posexplode("flux").alias("pos", "v"))
+    return pixels.select("spec_id", F.col("pos").cast("bigint").alias("pos"), "n_filled", rnd("v", 2).alias("value"))
+
+
 @query(
     "built_catalogue_failures",
     "SELECT printf('spec-%04d-52000-0007.fits', id) AS filename, 'missing redshift or SNR' AS error "

@@ -510,9 +510,7 @@ def gap_fill(spark, sf_dir):
     return long_vector(out, ["spec_id"], "g", 6)
 
 
-@query(
-    "preprocessed_spectra",
-    f"""
+PREPROCESSED_SQL = f"""
     WITH {GRID_SQL},
     single AS (SELECT spec_id, pos, v::FLOAT::DOUBLE AS v FROM filled),
     mirrored AS (SELECT * FROM single UNION ALL SELECT spec_id, -pos, v FROM single WHERE pos BETWEEN 1 AND 3
@@ -522,8 +520,10 @@ def gap_fill(spark, sf_dir):
     gaps AS (SELECT spec_id, count(*) FILTER (gap) AS n_filled FROM filled GROUP BY 1)
     SELECT spec_id, pos, n_filled, round((v - m) * least(least(pos, 63 - pos) / 4.0, 1.0)::DOUBLE, 2) + 0.0 AS value
     FROM single JOIN means USING (spec_id, pos) JOIN gaps USING (spec_id)
-    """,
-)
+"""
+
+
+@query("preprocessed_spectra", PREPROCESSED_SQL)
 def preprocessed(spark, sf_dir):
     df = raw_spectra(spark, sf_dir).select(
         F.col("spec_id").cast("string").alias("filename"),
@@ -538,6 +538,56 @@ def preprocessed(spark, sf_dir):
     return pixels.select("spec_id", F.col("pos").cast("bigint").alias("pos"), F.col("n_filled").cast("bigint").alias("n_filled"), rnd("v", 2).alias("value"))
 
 
+def full_spectra(spark, sf_dir):
+    """Samples at places of one Angstrom, gaps included, from the lines of neighbouring orders."""
+    place = (F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1).alias("place")
+    # the generated keys repeat
+    lines = table(spark, sf_dir, "lineitem").groupBy(place).agg(F.min("l_quantity").alias("q"))
+    value, place = F.when(F.col("q") == 13, F.lit(float("nan"))).otherwise(F.col("q")), F.col("place")
+    rows = lines.select(
+        F.floor(place / 2625).alias("spec_id"), F.struct((4400.0 + place % 2625).alias("wave"), value.alias("flux")).alias("s")
+    )
+    packed = rows.groupBy("spec_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most 2,625 entries
+    return packed.select(
+        F.col("spec_id").cast("string").alias("filename"), F.lit(1).alias("agn_type"), (F.col("spec_id") % 8 / 1000.0).alias("z"),
+        F.lit(10.0).alias("snr"), F.col("s.wave").alias("wavelength"), F.col("s.flux").alias("flux"),
+    )
+
+
+FULL_RAW_SQL = """
+  raw AS (SELECT p // 2625 AS spec_id, (p // 2625) % 8 / 1000.0::DOUBLE AS z, 4400.0::DOUBLE + p % 2625 AS wave,
+      CASE WHEN q <> 13 THEN q END AS flux
+      FROM (SELECT l_orderkey * 7 + l_linenumber - 1 AS p, min(l_quantity) AS q FROM lineitem GROUP BY 1)),
+"""
+FULL_GRID_SQL = (
+    GRID_SQL.replace(RAW_SQL, FULL_RAW_SQL + RAW_SQL[RAW_SQL.index("  sides AS") :])
+    .replace("5395.0 + 6.25 * pos", "4575.0::DOUBLE + pos * (2124.0::DOUBLE / 1023)")
+    .replace("generate_series(0, 63)", "generate_series(0, 1023)")
+)
+
+
+@query(
+    "preprocessed_spectra_full_grid",
+    f"""
+    WITH {FULL_GRID_SQL},
+    single AS (SELECT spec_id, pos, v::FLOAT::DOUBLE AS v FROM filled),
+    mirrored AS (SELECT * FROM single UNION ALL SELECT spec_id, -pos, v FROM single WHERE pos BETWEEN 1 AND 75
+                 UNION ALL SELECT spec_id, 2046 - pos, v FROM single WHERE pos BETWEEN 948 AND 1022),
+    means AS (SELECT spec_id, pos, avg(v) OVER (PARTITION BY spec_id ORDER BY pos ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING) AS m
+              FROM mirrored),
+    gaps AS (SELECT spec_id, count(*) FILTER (gap) AS n_filled FROM filled GROUP BY 1)
+    SELECT spec_id, pos, n_filled, round((v - m) * least(least(pos, 1023 - pos) / 4.0, 1.0)::DOUBLE, 2) + 0.0 AS value
+    FROM single JOIN means USING (spec_id, pos) JOIN gaps USING (spec_id)
+    """,
+)
+def preprocessed_full(spark, sf_dir):
+    """The default grid of 1,024 pixels and the default window of 151."""
+    done = preprocess_spectra(full_spectra(spark, sf_dir))
+    pixels = done.select(F.col("filename").cast("bigint").alias("spec_id"), "n_filled", F.posexplode("flux").alias("pos", "v"))
+    return pixels.select("spec_id", F.col("pos").cast("bigint").alias("pos"), F.col("n_filled").cast("bigint").alias("n_filled"), rnd("v", 2).alias("value"))
+
+
+
 @query(
     "pair_diagnosis",
     f"""

@@ -1,30 +1,43 @@
 """Order-dependent de-duplication by aggregates with map-side combine.
 
-A window would bring all copies of a key to one task; `min_by` keeps one row per key
-and map task, so a key holding a large share of the table does no harm.
+A window would bring all copies of a key to one task; an aggregate keeps one row per key
+and map task, so a key holding a large share of the table does no harm. Tables of scalars
+carry the whole row through the aggregate. Where a row has vectors, the aggregate sees keys
+and order only, and the rows are fetched by the winning order afterwards.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F, types as T
 
 
-def _one_per_key(df, keys, pick):
+def _one_per_key(df, keys, order, first=True):
     keys = [keys] if isinstance(keys, str) else list(keys)
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.select(*keys).distinct()
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest)).alias("__row"))
-    return chosen.select(*keys, "__row.*").select(*df.columns)
+    order = F.struct(*order)
+    if not any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in df.schema):
+        pick = F.min_by if first else F.max_by
+        chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("__row"))
+        return chosen.select(*keys, "__row.*").select(*df.columns)
+    best = (F.min if first else F.max)("__order").alias("__best")
+    ordered = df.withColumn("__order", order)
+    winners = ordered.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(best)
+    same = F.col("__order").eqNullSafe(F.col("__best"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    # one row is left, or a few that tie
+    ties = W.partitionBy(*keys).orderBy("__order")
+    numbered = ordered.join(winners, same).withColumn("__n", F.row_number().over(ties))
+    return numbered.filter("__n = 1").select(*df.columns)
 
 
 def keep_first(df, keys, order):
     """The row with the smallest `order` (a unique column or list of them) per key."""
-    order = [order] if isinstance(order, str) else list(order)
-    return _one_per_key(df, keys, lambda row: F.min_by(row, F.struct(*order)))
+    return _one_per_key(df, keys, [order] if isinstance(order, str) else list(order))
 
 
 def keep_last(df, keys, order):
-    order = [order] if isinstance(order, str) else order
-    return _one_per_key(df, keys, lambda row: F.max_by(row, F.struct(*order)))
+    return _one_per_key(df, keys, [order] if isinstance(order, str) else list(order), first=False)
 
 
 def best_by_snr(df, key="obj_id", snr="snr", tie="filename"):
@@ -32,8 +45,7 @@ def best_by_snr(df, key="obj_id", snr="snr", tie="filename"):
     ties = [tie] if isinstance(tie, str) else list(tie)
     value = F.col(snr)
     missing = value.isNull() | F.isnan(value)
-    order = F.struct(missing.alias("m"), (-value).alias("v"), *ties)
-    return _one_per_key(df, key, lambda row: F.min_by(row, order))
+    return _one_per_key(df, key, [missing.alias("m"), (-value).alias("v"), *ties])
 
 
 def brightest_per_class(df, by="agn_type", snr="snr", tie="filename"):

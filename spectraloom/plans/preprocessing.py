@@ -84,8 +84,13 @@ def build_catalogue(spectra, type1_meta, type2_meta, order="row_idx", **options)
     return attach_metadata(good.drop("error"), meta, order=order), log
 
 
-#: tells rows of one file name apart; rows equal in all of these are the same row
-ROW_ORDER = ("obj_id", "agn_type", "z", "snr", "flux")
+
+
+def row_order():
+    """Tells rows of one file name apart; the vector counts by its hash."""
+    return ["obj_id", "agn_type", "z", "snr", F.xxhash64("flux").alias("vector")]
+
+
 MODES = ("full", "new_only", "merge")
 
 
@@ -114,7 +119,7 @@ def run_preprocessing(
         spectra = spectra.join(existing.select("filename").distinct(), "filename", "left_anti")
     catalogue, log = build_catalogue(spectra, type1_meta, type2_meta, order, **options)
     if mode == "merge":
-        catalogue = merge_keep_existing(existing, catalogue, existing_order=ROW_ORDER, new_order=ROW_ORDER)
+        catalogue = merge_keep_existing(existing, catalogue, existing_order=row_order(), new_order=row_order())
     cleaned = clean_spectra(catalogue, require_valid_oiii=require_valid_oiii)
     write_catalogue(cleaned, output)
     return cleaned.sparkSession.read.parquet(output), log

@@ -6,7 +6,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.dedup import keep_first
 from ..operators.joins import attach_metadata
 from ..operators.select import clean_spectra, split_processed
-from ..plans.preprocessing import ROW_ORDER, preprocess_spectra
+from ..plans.preprocessing import preprocess_spectra, row_order
 from ..session import handed_over
 from ..sources.results import write_catalogue
 from ..sources.tables import processed_schema
@@ -41,7 +41,7 @@ def ingest_batch(batch, metadata, output, failures=None, limits=None, **options)
     spark = batch.sparkSession
     fresh = _without(batch, _names(spark, output, processed_schema()))
     good, failed = split_processed(handed_over(preprocess_spectra(fresh, **options), "ingested"))
-    first = keep_first(good.drop("error"), "filename", ROW_ORDER)
+    first = keep_first(good.drop("error"), "filename", row_order())
     catalogue = clean_spectra(attach_metadata(first, metadata), **(limits or {}))
     write_catalogue(catalogue, output, mode="append")
     if failures is not None:

@@ -5,13 +5,13 @@ import re
 from pyspark.sql import functions as F
 
 from spectraloom.functions.lines import luminosity_from_flux
-from spectraloom.operators.dedup import keep_first
+from spectraloom.operators.dedup import keep_first, keep_last
 from spectraloom.operators.metrics import threshold_sweep
 from spectraloom.operators.neighbours import nearest_partners
 from spectraloom.operators.ordering import with_positions, with_running_totals
 from spectraloom.operators.select import clean_spectra, redshift_window, select_type1, select_type2, split_processed
 from spectraloom.plans.candidates import find_candidates, type1_candidates, type2_candidates
-from spectraloom.plans.preprocessing import preprocess_spectra
+from spectraloom.plans.preprocessing import build_catalogue, preprocess_spectra
 from spectraloom.sources.tables import processed_schema
 
 
@@ -88,6 +88,26 @@ def test_dedup_combines_before_the_shuffle(spark):
     assert "partial_min_by" in text and "Window" not in text
 
 
+def test_vectors_stay_out_of_dedup_aggregates(spark):
+    wide = spark.range(10).select((F.col("id") % 2).alias("k"), "id", F.array(F.lit(1.0)).alias("flux"))
+    for df in (keep_first(wide, "k", "id"), keep_last(wide, "k", "id")):
+        text = plan(df).split("== Physical Plan ==")[1]
+        assert not [line for line in text.splitlines() if "Aggregate" in line and "flux" in line]
+        assert sorted(df.select("k").collect()) == [(0,), (1,)]
+    nulls = wide.withColumn("k", F.when(F.col("k") == 1, 1)).unionByName(wide)
+    assert sorted((r.k is None, r.id) for r in keep_first(nulls, "k", "id").collect()) == [(False, 0), (False, 1), (True, 0)]
+
+
+def test_kernel_runs_once_for_catalogue_and_log(spark):
+    raw = spark.createDataFrame(
+        [("f", 1, 0.1, 9.0, [5000.0, 6000.0], [1.0, 2.0])],
+        "filename string, agn_type int, z double, snr double, wavelength array<double>, flux array<double>",
+    )
+    meta = spark.createDataFrame([], "row_idx int, PLATE int, mjd int, fiber int, z double, OIII_FLUX double, OIII_VALID boolean")
+    for df in build_catalogue(raw, meta, meta):
+        assert "ArrowEvalPython" not in plan(df) and "Scan parquet" in plan(df)
+
+
 def test_kernel_runs_once_per_spectrum(spark):
     raw = spark.createDataFrame(
         [("f", 1, 0.1, 9.0, [5000.0, 6000.0], [1.0, 2.0])],
