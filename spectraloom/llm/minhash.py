@@ -253,10 +253,17 @@ def _late_links(docs, compared, labels, percent, width, doc_id, text):
     ranked = shared.groupBy(*row, "r", "a").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("l"))
     single = F.col("r") + F.col("a") - F.size("l")
     first = ranked.withColumn("take", (sizes - single).cast("int")).filter("take > 0")
-    first = first.select(*row, F.explode(F.slice("l", F.lit(1), F.least("take", F.size("l")))).alias("l")).select(*row, "l.e")
+    first = first.select(*row, "r", "a", F.explode(F.slice("l", F.lit(1), F.least("take", F.size("l")))).alias("l")).select(*row, "r", "a", "l.e")
     missed = (F.col("n") - F.col("r")) * 100 < (F.col("n") + F.col("a")) * percent
-    probe = apart.filter(missed).select(*star, F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("component").alias("y_component"), F.explode("d").alias("e"))
-    met = first.join(probe, [*star, "e"]).filter("component <> y_component").select(*star, "x", "xv", "y", "yv").distinct()
+    probe = apart.filter(missed).select(
+        *star, "n", F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("component").alias("y_component"),
+        F.col("r").alias("yr"), F.col("a").alias("ya"), F.explode("d").alias("e"),
+    )
+    # even if all they could lack and add alike is alike
+    most = F.least("r", "yr") + F.least("a", "ya")
+    needed = (2 * F.col("n") - F.col("r") + F.col("a") - F.col("yr") + F.col("ya")) * q - F.col("n") + F.col("r") + F.col("yr")
+    possible = (F.col("component") != F.col("y_component")) & (needed <= most + 1e-9)
+    met = first.join(probe, [*star, "e"]).filter(possible).select(*star, "x", "xv", "y", "yv").distinct()
 
     one = apart.select(*star, "x", "xv", "n", F.col("r").alias("xr"), F.col("a").alias("xa"), F.col("d").alias("xd"))
     two = apart.select(*star, F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("r").alias("yr"), F.col("a").alias("ya"), F.col("d").alias("yd"))
