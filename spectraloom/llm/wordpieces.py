@@ -1,8 +1,8 @@
 """Ids of a public word-level tokenizer, computed once per distinct word and worker.
 
 The tokenizer cuts at white space before it merges, so the ids of a text are those of its
-words in a row. Each Python worker keeps the words it has met; the store is emptied when it
-holds `max_words`, which bounds memory and never changes a result.
+words in a row. Each Python worker keeps the words it has met; beyond `max_words` it keeps those of the
+texts at hand only, which bounds memory and never changes a result.
 """
 
 import numpy as np
@@ -15,7 +15,7 @@ SLICE_CHARS = 2_000_000
 class WordEncoder:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path, max_words=500_000):
+    def __init__(self, path, max_words=200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,15 +43,14 @@ class WordEncoder:
             None if not self.whole or "<|" in t or "Σ" in t else t.lower().replace("\n", " ").split(" ")
             for t in texts
         ]
-        known = self.words
-        if len(known) > self.max_words:
-            known.clear()
-            self.parts.clear()
-            known[""] = self.parts[""] = b""
         new = set()
         for words in split:
             if words is not None:
                 new.update(words)
+        if len(self.words) > self.max_words:
+            self.words = {w: ids for w in new if (ids := self.words.get(w)) is not None} | {"": b""}
+            self.parts = {"": b""}
+        known = self.words
         new.difference_update(known)
         if new:
             self._learn(new)
