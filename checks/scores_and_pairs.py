@@ -34,6 +34,7 @@ from spectraloom.plans.evaluation import (
     score_spectra,
 )
 from spectraloom.plans.pairs import (
+    index_split,
     matched_partners,
     pair_vectors,
     prepare_spectra,
@@ -586,9 +587,9 @@ def vector_table(spark, sf_dir):
     )
 
 
-def sampled_sql(k, change_prob, train):
+def sampled_sql(k, change_prob, train, epoch=0):
     """Every draw of the sampler again: target, anchor, partner among the k nearest, swap."""
-    u = {s: uniform_sql(f"pair_id || '|0|42|{s}'") for s in ("target", "anchor class", "anchor", "neighbour", "swap")}
+    u = {s: uniform_sql(f"pair_id || '|{epoch}|42|{s}'") for s in ("target", "anchor class", "anchor", "neighbour", "swap")}
     choice = f"least(floor({u['neighbour']} * k), k - 1)" if train else "0"
     swap = f"{u['swap']} > 0.5" if train else "false"
     return f"""
@@ -618,6 +619,16 @@ def training_pairs(spark, sf_dir):
     return sample_pairs(df, epoch_size=df.count(), k_neighbors=20, mode="train", change_prob=0.15)
 
 
+@query("sampled_second_epoch", f"WITH {sampled_sql(20, 0.15, True, epoch=1)} SELECT * FROM pairs")
+def second_epoch(spark, sf_dir):
+    """Two epochs over one index of the split."""
+    df = vector_table(spark, sf_dir)
+    index, size = index_split(df, 20), df.count()
+    for epoch in (0, 1):
+        pairs = sample_pairs(df, epoch_size=size, k_neighbors=20, mode="train", epoch=epoch, index=index)
+    return pairs
+
+
 @query("sampled_test_pair_members", f"WITH {sampled_sql(1, 0.5, False)} SELECT * FROM pairs")
 def test_pair_members(spark, sf_dir):
     df = vector_table(spark, sf_dir)

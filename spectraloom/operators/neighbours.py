@@ -13,7 +13,9 @@ pairs, and nothing is cut off without proof:
   query's own object stays exact when one object holds a large share of a class.
 """
 
-from pyspark.sql import Window as W, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import freeze
 from .ordering import positions_and_count
@@ -178,14 +180,20 @@ def _prune(frontier, spread, k):
     return counted.withColumn("reach", reach).filter("nearest <= reach").select(*CARRIED, "node", "reach")
 
 
-def nearest_partners(queries, candidates, k, spread=None):
-    """The k nearest candidates per query, ordered by (distance, row_idx).
+@dataclass(frozen=True)
+class PartnerIndex:
+    """Node tables over a set of candidates, frozen, for searches of up to `k` partners."""
 
-    `queries`: q_class (class to search), q_z, q_snr, q_obj (object to leave out).
-    `candidates`: cls, z, snr, obj, row_idx (unique). Rows without z or snr are ignored.
-    `spread`: standard deviations that scale the axes, from `split_spread`.
-    Result: the query columns, rank from 1, row_idx and dist.
-    """
+    k: int
+    spread: dict
+    total: int
+    widths: list
+    levels: list
+    packed: DataFrame
+
+
+def build_index(candidates, k, spread=None):
+    """Index `candidates` once for many searches; see `nearest_partners` for the arguments."""
     usable = candidates.filter("z is not null and snr is not null and not isnan(z) and not isnan(snr)")
     # a row without an object name is an object of its own
     name = F.coalesce(F.col("obj").cast("string"), F.concat(F.lit("#"), F.col("row_idx")))
@@ -205,7 +213,28 @@ def nearest_partners(queries, candidates, k, spread=None):
     while widths[-1] > FANOUT:
         levels.append(_parent_nodes(levels[-1]))
         widths.append(-(-widths[-1] // FANOUT))
+    packed = blocks.groupBy(F.col("cls").alias("q_class"), "node").agg(
+        F.collect_list(F.struct("z", "snr", "obj", "row_idx")).alias("rows")  # at most BLOCK
+    )
+    return PartnerIndex(k, spread, total, widths, [levels[0], *map(freeze, levels[1:])], freeze(packed))
+
 
+def nearest_partners(queries, candidates, k, spread=None):
+    """The k nearest candidates per query, ordered by (distance, row_idx).
+
+    `queries`: q_class (class to search), q_z, q_snr, q_obj (object to leave out).
+    `candidates`: cls, z, snr, obj, row_idx (unique). Rows without z or snr are ignored.
+    `spread`: standard deviations that scale the axes, from `split_spread`.
+    Result: the query columns, rank from 1, row_idx and dist.
+    """
+    return search(build_index(candidates, k, spread), queries, k)
+
+
+def search(index, queries, k):
+    """The k nearest partners of each query, as `nearest_partners` gives them; k is at most the index's."""
+    if k > index.k:
+        raise ValueError(f"the index serves up to {index.k} partners, asked for {k}")
+    spread, levels, widths = index.spread, index.levels, index.widths
     # adding 0.0 makes one number of both zeros
     numbers = [(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in ("q_z", "q_snr")]
     asked = queries.select("q_class", *numbers, F.col("q_obj").cast("string").alias("q_obj"))
@@ -225,10 +254,7 @@ def nearest_partners(queries, candidates, k, spread=None):
         )
         frontier = _prune(step.withColumnRenamed("child", "node"), spread, k)
 
-    packed = blocks.groupBy(F.col("cls").alias("q_class"), "node").agg(
-        F.collect_list(F.struct("z", "snr", "obj", "row_idx")).alias("rows")  # at most BLOCK
-    )
-    pairs = frontier.join(_bounded(packed, total), ["q_class", "node"]).select(*CARRIED, "reach", F.inline("rows"))
+    pairs = frontier.join(_bounded(index.packed, index.total), ["q_class", "node"]).select(*CARRIED, "reach", F.inline("rows"))
     dz = (F.col("z") - F.col("q_z")) / F.lit(spread["z_std"])
     dsnr = (F.col("snr") - F.col("q_snr")) / F.lit(spread["snr_std"])
     measured = pairs.withColumn("dist", dz * dz + dsnr * dsnr).filter(

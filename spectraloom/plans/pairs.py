@@ -1,6 +1,8 @@
 """Synthetic training pairs and real two-epoch pairs."""
 
-from pyspark.sql import functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import integer_below, uniform
 from ..functions.masking import random_masks
@@ -8,7 +10,7 @@ from ..functions.naming import resolve_path
 from ..functions.spectra import prepared_spectrum
 from ..functions.vectors import ablate
 from ..operators.joins import counted_side, pairs_with_files
-from ..operators.neighbours import nearest_partners, split_spread
+from ..operators.neighbours import PartnerIndex, build_index, search, split_spread
 from ..operators.ordering import with_group_positions
 from ..operators.shape import class_target
 from ..operators.split import class_weight, scaled_redshift, stratified_split
@@ -44,15 +46,36 @@ def draw_pairs(epoch_size, class_sizes, spark, seed=42, epoch=0, change_prob=0.1
     return drawn.withColumns({"anchor_place": place, "partner_type": partner})
 
 
-def matched_partners(anchors, spectra, k, spread=None):
+@dataclass(frozen=True)
+class SplitIndex:
+    """What all epochs of a split share: class sizes, places within the classes, partner index."""
+
+    sizes: dict
+    places: DataFrame
+    partners: PartnerIndex
+
+
+def index_split(spectra, k_neighbors=20):
+    """Rank and index the spectra of a split once; hand the result to `sample_pairs` of every epoch."""
+    slim = spectra.select("row_idx", "obj_id", "agn_type", "z", "snr")
+    # two rows
+    sizes = {r["agn_type"]: r["count"] for r in slim.filter("agn_type in (1, 2)").groupBy("agn_type").count().collect()}
+    spread = split_spread(slim).first().asDict()
+    places = freeze(with_group_positions(slim, "agn_type", "row_idx", name="place"))
+    return SplitIndex(sizes, places, build_index(_candidates(slim), k_neighbors, spread))
+
+
+def _candidates(spectra):
+    return spectra.select(F.col("agn_type").alias("cls"), "z", "snr", F.col("obj_id").alias("obj"), "row_idx")
+
+
+def matched_partners(anchors, spectra, k, spread=None, index=None):
     """Sorted partners (row_idx, dist) of each anchor row; raises where there is none.
 
     `anchors` has anchor_idx, z, snr, obj_id, partner_type; `spectra` the same naming with
-    row_idx and agn_type. Equal anchors are searched once.
+    row_idx and agn_type, or an `index` over them. Equal anchors are searched once.
     """
-    candidates = spectra.select(
-        F.col("agn_type").alias("cls"), "z", "snr", F.col("obj_id").alias("obj"), "row_idx"
-    )
+    index = build_index(_candidates(spectra), k, spread) if index is None else index
     asked = anchors.select(
         F.col("partner_type").alias("q_class"),
         F.col("z").cast("double").alias("q_z"),
@@ -60,7 +83,7 @@ def matched_partners(anchors, spectra, k, spread=None):
         F.coalesce(F.col("obj_id").cast("string"), F.concat(F.lit("#"), F.col("anchor_idx"))).alias("q_obj"),
         *[c for c in anchors.columns if c not in ("z", "snr", "obj_id", "partner_type")],
     )
-    found = nearest_partners(asked, candidates, k, spread)
+    found = search(index, asked, k)
     keys = ["q_class", "q_z", "q_snr", "q_obj"]
     lists = found.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "row_idx", "dist"))).alias("partners")  # k entries
@@ -71,31 +94,27 @@ def matched_partners(anchors, spectra, k, spread=None):
 
 
 def sample_pairs(
-    spectra, epoch_size=2000, k_neighbors=20, mode="train", change_prob=0.15, seed=42, epoch=0
+    spectra, epoch_size=2000, k_neighbors=20, mode="train", change_prob=0.15, seed=42, epoch=0, index=None
 ):
     """Pair table: pair_id, label, first_idx, second_idx (row_idx of the spectra).
 
     In `train` mode the partner is one of the k nearest and the members may be swapped;
     otherwise it is the nearest. `spectra` should be a stored table: its narrow columns are
-    read several times. The pairs are frozen, so an epoch is drawn and searched once.
+    read several times. `index` (from `index_split`) is built here if it is not given; several epochs
+    share one. The pairs are frozen, so an epoch is drawn and searched once.
     """
-    spark = spectra.sparkSession
-    slim = spectra.select("row_idx", "obj_id", "agn_type", "z", "snr")
-    # two rows
-    sizes = {r["agn_type"]: r["count"] for r in slim.groupBy("agn_type").count().collect()}
-    check_pair_parameters(mode, change_prob, sizes)
-    spread = split_spread(slim).first().asDict()
-    drawn = draw_pairs(epoch_size, sizes, spark, seed, epoch, change_prob)
-    places = with_group_positions(slim, "agn_type", "row_idx", name="place")
+    index = index_split(spectra, k_neighbors) if index is None else index
+    check_pair_parameters(mode, change_prob, index.sizes)
+    drawn = draw_pairs(epoch_size, index.sizes, spectra.sparkSession, seed, epoch, change_prob)
     anchors = drawn.join(
-        places.withColumnsRenamed(
+        index.places.withColumnsRenamed(
             {"agn_type": "anchor_type", "place": "anchor_place", "row_idx": "anchor_idx"}
         ),
         ["anchor_type", "anchor_place"],
     )
     k = k_neighbors if mode == "train" else 1
     matched = matched_partners(
-        anchors.select("pair_id", "label", "anchor_idx", "z", "snr", "obj_id", "partner_type"), slim, k, spread
+        anchors.select("pair_id", "label", "anchor_idx", "z", "snr", "obj_id", "partner_type"), None, k, index=index.partners
     )
     key = [F.col("pair_id"), F.lit(int(epoch))]
     if mode == "train":
