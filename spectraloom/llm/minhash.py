@@ -7,9 +7,9 @@ similarity 0.8 a pair shares no band with probability 5e-6.
 
 Documents with equal shingle sets form one class from the start and are never paired. In each bucket
 of a band every class is compared with the bucket's smallest class only (one link per member, no pairs
-within the group). What these stars leave open is settled from differences to the centre: a member that
-missed it can only be linked with one that differs from the centre in much the same way (`_late_links`).
-Every pair of a bucket is thus compared, excluded by proof or already connected. Links are confirmed on
+within the group). What these stars leave open is settled from differences to the centre: members that
+missed it are held against their star's members in blocks, and only links come out (`_late_links`).
+Every pair of a bucket is thus compared or already connected. Links are confirmed on
 the full sets of 64-bit shingle hashes.
 
 Cases: NULL and wordless texts have empty sets and link with nothing; rows without an id are returned
@@ -31,6 +31,7 @@ PLACES_BITS = 20
 BANDS, ROWS = 40, 6
 MEMBERS_PER_TASK = 500
 BROADCAST_IDS = 100_000
+BLOCK_DIFFERENCES = 200_000
 SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
 
 
@@ -226,13 +227,12 @@ def _few(docs, pairs, doc_id):
 def _late_links(docs, compared, labels, percent, width, doc_id, text):
     """(u, v): links between members of one star in different components. One of them, y, missed the centre c.
 
-    Let a member lack r of the n shingles of c and add a others; o counts what x and y lack or add alike.
-    Then |x & y| = n - r_x - r_y + o, and with q = percent / (100 + percent) the pair is linked if that is
-    q * (|x| + |y|) or more. As y missed c by the same measure, it follows that o > (1 - q) r_x + q a_x: x
-    and y agree in about half of what sets x apart from c. So y has one of the first few differences of x, in
-    any order; rare ones come first, and few pairs meet. Members of a bucket are in its centre's star.
+    Members of a bucket are in its centre's star, and two that reached c share its component. So each y is
+    held against all members of its star by what they lack and add relative to c: with n shingles in c, r of
+    them lacking, a added, and o differences in common, |x & y| = n - r_x - r_y + o. The members of a star are
+    packed into blocks of bounded size; blocks of members that missed meet all blocks of their star, and the
+    counting is done on arrays within a pair of blocks. Per y one link to each other component is returned.
     """
-    q = percent / (100 + percent)
     labels = labels.select(F.col("node").alias("x"), "component")
     members = compared.select("c", "x").join(labels, "x", "left").withColumn("component", F.coalesce("component", "x"))
     mixed = members.groupBy("c").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
@@ -243,31 +243,43 @@ def _late_links(docs, compared, labels, percent, width, doc_id, text):
     apart = apart.select("c", "cv", "x", "xv", "n", F.size("gone").alias("r"), F.size("new").alias("a"), F.concat("gone", "new").alias("d"))
     apart = _stored(apart.distinct().join(members, ["c", "x"]), "differences")
 
-    star, row = ["c", "cv"], ["c", "cv", "x", "xv", "component"]
-    each = apart.select(*row, "r", "a", F.explode("d").alias("e"))
-    often = each.groupBy(*star, "e").count().filter("count > 1")
-    least = F.floor(F.col("r") * (1 - q) + F.col("a") * q + 1e-9) + 1
-    # differences of one member only come first and meet nobody: the others are told from them by count
-    sizes = F.col("r") + F.col("a") - least + 1
-    shared = each.join(often, [*star, "e"])
-    ranked = shared.groupBy(*row, "r", "a").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("l"))
-    single = F.col("r") + F.col("a") - F.size("l")
-    first = ranked.withColumn("take", (sizes - single).cast("int")).filter("take > 0")
-    first = first.select(*row, "r", "a", F.explode(F.slice("l", F.lit(1), F.least("take", F.size("l")))).alias("l")).select(*row, "r", "a", "l.e")
+    def blocks(rows, name):
+        star = ["c", "cv", "n"]
+        parts = rows.groupBy(*star).agg(F.ceil(F.sum(F.size("d") + 1) / BLOCK_DIFFERENCES).cast("int").alias("parts"))
+        spread = rows.join(parts, star).withColumn("part", F.pmod(F.xxhash64("x", "xv"), F.col("parts")))
+        return spread.groupBy(*star, "part").agg(F.collect_list(F.struct("x", "component", "r", "a", "d")).alias(name)).drop("part")
+
     missed = (F.col("n") - F.col("r")) * 100 < (F.col("n") + F.col("a")) * percent
-    probe = apart.filter(missed).select(
-        *star, "n", F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("component").alias("y_component"),
-        F.col("r").alias("yr"), F.col("a").alias("ya"), F.explode("d").alias("e"),
-    )
-    # even if all they could lack and add alike is alike
-    most = F.least("r", "yr") + F.least("a", "ya")
-    needed = (2 * F.col("n") - F.col("r") + F.col("a") - F.col("yr") + F.col("ya")) * q - F.col("n") + F.col("r") + F.col("yr")
-    possible = (F.col("component") != F.col("y_component")) & (needed <= most + 1e-9)
-    met = first.join(probe, [*star, "e"]).filter(possible).select(*star, "x", "xv", "y", "yv").distinct()
-
-    one = apart.select(*star, "x", "xv", "n", F.col("r").alias("xr"), F.col("a").alias("xa"), F.col("d").alias("xd"))
-    two = apart.select(*star, F.col("x").alias("y"), F.col("xv").alias("yv"), F.col("r").alias("yr"), F.col("a").alias("ya"), F.col("d").alias("yd"))
-    met = met.join(one, [*star, "x", "xv"]).join(two, [*star, "y", "yv"])
-    both = F.col("n") - F.col("xr") - F.col("yr") + F.size(F.array_intersect("xd", "yd"))
-    sizes = 2 * F.col("n") - F.col("xr") + F.col("xa") - F.col("yr") + F.col("ya")
-    return met.filter(both * 100 >= (sizes - both) * percent).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+    met = blocks(apart.filter(missed), "ys").join(blocks(apart, "xs"), ["c", "cv", "n"]).select("n", "ys", "xs")
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for n, ys, xs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                out += _links_of_blocks(n, ys, xs, percent)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["u", "v"])
+
+    return met.mapInArrow(work, "u bigint, v bigint").distinct()
+
+
+def _links_of_blocks(n, ys, xs, percent):
+    """Links (x, y) across components between two blocks of a star's members."""
+    each = np.concatenate([np.array(x["d"], np.int64) for x in xs])
+    owner = np.repeat(np.arange(len(xs)), [len(x["d"]) for x in xs])
+    order = np.argsort(each, kind="stable")
+    each, owner = each[order], owner[order]
+    r, a, component = (np.array([x[k] for x in xs]) for k in ("r", "a", "component"))
+    out = []
+    for y in ys:
+        d = np.array(y["d"], np.int64)
+        low, high = np.searchsorted(each, d), np.searchsorted(each, d, side="right")
+        size = high - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.bincount(owner[at], minlength=len(xs))
+        shared = n - r - y["r"] + common
+        either = 2 * n - r + a - y["r"] + y["a"] - shared
+        linked = np.flatnonzero((shared * 100 >= either * percent) & (component != y["component"]))
+        for i in np.unique(component[linked], return_index=True)[1]:
+            out.append((xs[linked[i]]["x"], y["x"]))
+    return out

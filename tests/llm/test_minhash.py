@@ -112,3 +112,21 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(links, "u bigint, v bigint")).collect())
     assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
     assert got[302] == 301 and 300 not in got
+
+
+def test_blocks_of_a_star_give_every_link_across_components():
+    rnd = np.random.default_rng(3)
+    c = np.sort(rnd.integers(0, 2**62, 60))
+    sets = []
+    for k in range(40):
+        gone = rnd.choice(60, rnd.integers(0, 16), replace=False)
+        base = sets[k - 1] if k % 3 == 2 else np.delete(c, gone)
+        sets.append(np.unique(np.concatenate([base, rnd.integers(0, 2**62, rnd.integers(0, 5))])))
+    rows = [
+        {"x": i, "component": i, "r": len(np.setdiff1d(c, s)), "a": len(np.setdiff1d(s, c)), "d": np.setxor1d(c, s).tolist()}
+        for i, s in enumerate(sets)
+    ]
+    similar = lambda s, t: 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t))
+    missed = [r for r in rows if not similar(c, sets[r["x"]])]
+    want = {(x["x"], y["x"]) for y in missed for x in rows if x is not y and similar(sets[x["x"]], sets[y["x"]])}
+    assert set(minhash._links_of_blocks(60, missed, rows, 80)) == want and len(want) > 3
