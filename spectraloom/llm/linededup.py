@@ -147,7 +147,8 @@ def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=RAR
     def work(batches):
         for batch in batches:
             out = []
-            for key, version, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for k in range(batch.num_rows):  # one pair of documents at a time as Python objects
+                key, version, found = (batch.column(i)[k].as_py() for i in range(3))
                 a = sorted((x["ordinal"], line["h"], line["words"], x["place"]) for line in found for x in line["at"])
                 b = sorted((x, line["h"]) for line in found for x in line["e_at"])
                 out += [(key, version, a[s][3], a[t][3]) for s, t in blocks(a, b, min_words)]

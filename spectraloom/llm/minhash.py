@@ -255,7 +255,8 @@ def _late_links(docs, compared, labels, percent, width, doc_id, text):
     def work(batches):
         for batch in batches:
             out = []
-            for n, ys, xs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for k in range(batch.num_rows):  # one pair of blocks at a time as Python objects
+                n, ys, xs = (batch.column(i)[k].as_py() for i in range(3))
                 out += _links_of_blocks(n, ys, xs, percent)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["u", "v"])
