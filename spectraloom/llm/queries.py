@@ -27,7 +27,26 @@ def op4_packing(spark, sf_dir):
 TRAP = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-@query("op7_chat_formatting")
+CONTROL_SQL = r"'</?s>|\[/?INST\]|\\'"
+
+
+@query(
+    "op7_chat_formatting",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)
+    )
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      -- every control string and every backslash of a text takes one more character
+      sum(length('<s>[INST][/INST]</s>') + length(role) + length(text)
+        + len(regexp_extract_all(role, {CONTROL_SQL})) + len(regexp_extract_all(text, {CONTROL_SQL})))::BIGINT AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
 def op7_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(TRAP, "conv_id bigint, turn bigint, role string, text string"))
@@ -67,8 +86,8 @@ def op9_secret_scans(spark, sf_dir):
     "op6_exact_top_k",
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-      WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, x -> coalesce(NOT isfinite(x), true)), true)
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(NOT isfinite(x), true)), true)
     ), s AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
              CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score

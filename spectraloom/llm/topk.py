@@ -28,7 +28,7 @@ LONG = 2**63 - 1
 
 def quantized(vectors, vec_id="vec_id", embedding="embedding", scale=256):
     """(vec_id, v): distinct rows with whole finite vectors, as doubles holding integers."""
-    v = F.transform(F.col(embedding).cast("array<double>"), lambda x: x)
+    v = F.col(embedding).cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     out = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v"))
     out = out.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(ok, F.lit(False)))
