@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..settings import EPS, FLUX_UNIT, LINE_ALIASES, TRUE_WORDS, QualityLimits
+from ..settings import EPS, FLUX_UNIT, LINE_ALIASES, STANDARD_LINE_COLUMNS, TRUE_WORDS, QualityLimits
 from .cosmology import with_sphere_area
 from .missing import finite, finite_positive, holds, number
 
@@ -75,19 +75,6 @@ def rename_line_aliases(df):
             found[standard] = F.col(source)
     return df.withColumns(found) if found else df
 
-STANDARD_LINE_COLUMNS = (
-    "LOG_OIII_LUM",
-    "LOG_OIII_LUM_ERR",
-    "OIII_LUM",
-    "OIII_LUM_ERR",
-    "OIII_FLUX",
-    "OIII_FLUX_ERR",
-    "OIII_SNR",
-    "OIII_SIGMA",
-    "OIII_VOFF",
-    "OIII_CHI2",
-)
-
 
 def convert_log_luminosity(df):
     """Fill luminosity, log luminosity and both errors from one another."""

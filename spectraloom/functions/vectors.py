@@ -59,11 +59,10 @@ def rest_frame(wave, flux, z):
 
 
 def taper_weights(size, taper_len=TAPER_LEN):
-    weights = np.ones(size)
-    fade = np.linspace(0.0, 1.0, taper_len)
-    weights[:taper_len] = fade
-    weights[-taper_len:] = fade[::-1]
-    return weights
+    """Distance to the nearer edge in steps of the fade, at most 1."""
+    place = np.arange(size)
+    edge = np.minimum(place, size - 1 - place)
+    return np.minimum(edge / max(taper_len - 1, 0.5), 1.0)
 
 
 def edge_taper(x, size, taper_len=TAPER_LEN):

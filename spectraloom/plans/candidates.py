@@ -15,7 +15,7 @@ from ..operators.dedup import keep_first
 from ..operators.joins import not_present, side_by_side
 from ..operators.select import select_type1, select_type2, two_line_snr
 from ..operators.shape import decode_strings, keep_renamed
-from ..settings import QualityLimits
+from ..settings import TYPE1_BASE, TYPE1_LINES, TYPE1_RENAMES, QualityLimits
 from ..sources.tables import scalar_columns
 
 FIT_COLUMNS = ("OIII_SIGMA", "OIII_VOFF", "OIII_CHI2")
@@ -38,24 +38,6 @@ def type2_candidates(class_df, info_df, line_df=None, snr_threshold=5, limits=Qu
     return ensure_columns(quality_flags(df, limits), FIT_COLUMNS)
 
 
-TYPE1_BASE = ("filename", "SDSS_NAME", "RA", "DEC", "z", "MJD", "PLATE", "FIBER", "LINE_MED_SN_HB")
-TYPE1_LINES = (
-    "OIII_FLUX",
-    "OIII_FLUX_ERR",
-    "OIII_LUM",
-    "OIII_LUM_ERR",
-    "LOG_OIII_LUM",
-    "LOG_OIII_LUM_ERR",
-    "OIII_SNR",
-    "OIII_SIGMA",
-    "OIII_VOFF",
-    "OIII_CHI2",
-    "OIII_VALID",
-    "OIII_QUALITY_FLAG",
-)
-TYPE1_RENAMES = {"MJD": "mjd", "FIBER": "fiber", "LINE_MED_SN_HB": "snr"}
-
-
 def type1_candidates(df, z_threshold=0.4, snr_threshold=5.0, limits=QualityLimits()):
     """Quasar table to flagged broad-line candidates in the fixed output layout."""
     df = nan_to_null(select_type1(scalar_columns(df), z_threshold, snr_threshold))

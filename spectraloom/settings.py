@@ -79,6 +79,45 @@ LINE_ALIASES = {
     "OIII_FWHM": ("OIII_5007_FWHM", "FWHM_OIII_5007"),
 }
 
+STANDARD_LINE_COLUMNS = (
+    "LOG_OIII_LUM",
+    "LOG_OIII_LUM_ERR",
+    "OIII_LUM",
+    "OIII_LUM_ERR",
+    "OIII_FLUX",
+    "OIII_FLUX_ERR",
+    "OIII_SNR",
+    "OIII_SIGMA",
+    "OIII_VOFF",
+    "OIII_CHI2",
+)
+
+TYPE1_BASE = ("filename", "SDSS_NAME", "RA", "DEC", "z", "MJD", "PLATE", "FIBER", "LINE_MED_SN_HB")
+TYPE1_LINES = (
+    "OIII_FLUX",
+    "OIII_FLUX_ERR",
+    "OIII_LUM",
+    "OIII_LUM_ERR",
+    "LOG_OIII_LUM",
+    "LOG_OIII_LUM_ERR",
+    "OIII_SNR",
+    "OIII_SIGMA",
+    "OIII_VOFF",
+    "OIII_CHI2",
+    "OIII_VALID",
+    "OIII_QUALITY_FLAG",
+)
+TYPE1_RENAMES = {"MJD": "mjd", "FIBER": "fiber", "LINE_MED_SN_HB": "snr"}
+
+QUALITY_MIN_SNR = 5.0
+QUALITY_LUM_RANGE = (1e38, 1e45)
+QUALITY_SIGMA_RANGE = (30.0, 1000.0)
+QUALITY_MAX_ABS_VOFF = 1000.0
+
+# beta, smallest recall and largest false positive rate: the default, and the published detector's choice
+DEFAULT_CHOICE = (0.5, 0.10, 0.01)
+PUBLISHED_CHOICE = (0.5, 0.5, 0.05)
+
 ARCHIVE_URL = "https://data.sdss.org/sas/dr17/sdss/spectro/redux/26/spectra/lite"
 
 TRUE_WORDS = ("true", "1", "yes")
@@ -96,12 +135,12 @@ def threshold_grid(low=0.01, high=0.99, count=99):
 
 @dataclass(frozen=True)
 class QualityLimits:
-    min_snr: float = 5.0
-    min_lum: float = 1e38
-    max_lum: float = 1e45
-    min_sigma: float = 30.0
-    max_sigma: float = 1000.0
-    max_abs_voff: float = 1000.0
+    min_snr: float = QUALITY_MIN_SNR
+    min_lum: float = QUALITY_LUM_RANGE[0]
+    max_lum: float = QUALITY_LUM_RANGE[1]
+    min_sigma: float = QUALITY_SIGMA_RANGE[0]
+    max_sigma: float = QUALITY_SIGMA_RANGE[1]
+    max_abs_voff: float = QUALITY_MAX_ABS_VOFF
     max_chi2: float | None = None
 
 
@@ -109,10 +148,10 @@ class QualityLimits:
 class ThresholdRule:
     """Constraints for choosing a decision threshold."""
 
-    beta: float = 0.5
-    min_recall: float = 0.10
-    max_fpr: float = 0.01
+    beta: float = DEFAULT_CHOICE[0]
+    min_recall: float = DEFAULT_CHOICE[1]
+    max_fpr: float = DEFAULT_CHOICE[2]
 
 
 # The preset the published change detector was selected with.
-PUBLISHED_RULE = ThresholdRule(beta=0.5, min_recall=0.5, max_fpr=0.05)
+PUBLISHED_RULE = ThresholdRule(*PUBLISHED_CHOICE)
