@@ -1,15 +1,15 @@
 """Line dedup by alignment: blocks of lines that an earlier document has too are cut from later ones.
 
-Finding partners. A line is known by the hash of its trimmed text; blank lines do not count. A line
-held by two to `rare` rows links each of them with every earlier holder, a bounded number; a line
-held by more links every later holder with the first one only, so a line that a third of all documents
-share costs one link per document. A pair goes on if its linking lines have `min_words` words together,
-which a block needs anyway.
+Finding partners. A line is known by the hash of its trimmed text; blank lines do not count. A document's
+seeds are the shortest runs of its consecutive lines with `min_words` words: from each line on, up to each
+line, and of two lines at least as well as of one. Every line of a shared block, and every two neighbours in
+it, lie in a seed within the block. A later holder of a seed is linked with the seed's first holder: one link
+per seed and document, however many hold it, and no shared block is lost.
 
 Aligning. Both documents are reduced to the lines they share, in order, and aligned by patience diff:
 equal lines at both ends of a range match; then the lines that occur once on either side are matched
 along their longest increasing run, and the ranges between them are aligned in turn. Matches that are
-neighbours in both documents (blank lines aside) form a block; blocks of `min_words` words or more are
+neighbours in both documents (blank lines aside) form a block. Blocks of `min_words` words or more are
 cut from the later document, blank lines inside them included.
 
 A document's place in time is its id. Cases: rows without an id are never cut and cut nothing; rows that
@@ -19,15 +19,18 @@ texts stay NULL; a document cut in full becomes an empty text; an empty table gi
 Other columns are kept as they are, whatever their names.
 """
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spectraloom.session import freeze
 
+from .words import mix
+
 MIN_WORDS = 20
-RARE = 8
 
 
 def longest_increasing(values):
@@ -78,6 +81,27 @@ def _once(seq, start, end):
     return {x: i for x, i in seen.items() if i >= 0}
 
 
+def seeds(lines, min_words):
+    """(start, end) indexes of the seeds of `lines`: sorted (ordinal, hash, words, ...), runs have successive ordinals."""
+    found, start = set(), 0
+    for stop in range(1, len(lines) + 1):
+        if stop < len(lines) and lines[stop][0] == lines[stop - 1][0] + 1:
+            continue
+        upto = [0, *accumulate(x[2] for x in lines[start:stop])]
+        n = len(upto) - 1
+        for i in range(n):
+            if lines[start + i][2] >= min_words:
+                found.add((start + i, start + i))
+            end = max(bisect_left(upto, upto[i] + min_words), i + 2)  # the run from i
+            if end <= n:
+                found.add((start + i, start + end - 1))
+            begin = min(bisect_right(upto, upto[i + 1] - min_words) - 1, i - 1)  # the run up to i
+            if begin >= 0:
+                found.add((start + begin, start + i))
+        start = stop
+    return sorted(found)
+
+
 def blocks(a, b, min_words):
     """(first, last) entries of `a` of every long block. Entries: (ordinal, hash, words, ...)."""
     out, start, words, last = [], None, 0, None
@@ -113,29 +137,72 @@ def _entries(docs, doc_id, text):
     )
 
 
-def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=RARE):
-    """(id, version, cuts): places of the lines to cut, as array<struct<first, last>>, for documents with any."""
+def _seed_hashes(kept, min_words):
+    """(id, version, seed): hashes of the distinct seeds of every document."""
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):  # one document at a time as Python objects
+                key, version, found = (batch.column(i)[k].as_py() for i in range(3))
+                lines = sorted((o, line["h"], line["words"]) for line in found for o in line["at"])
+                runs = seeds(lines, min_words)
+                if not runs:
+                    continue
+                h = mix(np.array([x[1] for x in lines], np.int64).view(np.uint64))
+                s, t = np.array(runs).T
+                out = mix((t - s + 1).astype(np.uint64))
+                for i in range(int((t - s).max()) + 1):  # a seed has `min_words` lines at most, or two
+                    on = s + i <= t
+                    out[on] = mix(out[on] * np.uint64(0x9E3779B97F4A7C15) + h[s[on] + i])
+                out = np.unique(out).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(out), key, np.int64)), pa.array(np.full(len(out), version, np.int64)), pa.array(out)],
+                    names=["id", "version", "seed"],
+                )
+
+    lines = F.collect_list(F.struct("h", "words", F.transform("at", lambda x: x.ordinal).alias("at")))
+    rows = kept.groupBy("id", "version").agg(lines.alias("lines"))
+    return rows.mapInArrow(work, "id bigint, version bigint, seed bigint")
+
+
+def _seed_pairs(kept, min_words):
+    """(id, version, e): every document with the first holders of its seeds."""
+    found = freeze(_seed_hashes(kept, min_words))
+    first = found.groupBy("seed").agg(F.min("id").alias("e"), F.max("id").alias("last")).filter("e < last").drop("last")
+    return found.join(first, "seed").filter("e < id").select("id", "version", "e").distinct()
+
+
+def _limited_pairs(kept, min_words, rare):
+    """(id, version, e) by single lines: all earlier holders of lines that up to `rare` documents hold, else the first."""
+    held = kept.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("first"))
+    each = kept.join(held, "h").withColumn("words", F.col("words") * F.size("at"))
+    common = each.filter((F.col("df") > rare) & (F.col("id") > F.col("first"))).select("id", "version", F.col("first").alias("e"), "words")
+    seldom = each.filter(F.col("df") <= rare)
+    earlier = seldom.select(F.col("id").alias("e"), "h").distinct()
+    seldom = seldom.join(earlier, "h").filter("e < id").select("id", "version", "e", "words")
+    pairs = common.unionByName(seldom).groupBy("id", "version", "e").agg(F.sum("words").alias("w"))
+    return pairs.filter(F.col("w") >= min_words).drop("w")
+
+
+def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=None):
+    """(id, version, cuts): places of the lines to cut, as array<struct<first, last>>, for documents with any.
+
+    With `rare` given, partners are only those of `_limited_pairs`, and blocks of other documents stay.
+    """
     entries = _entries(docs, doc_id, text)
     held = entries.select("id", F.explode(F.array_distinct(F.transform("entries", lambda x: x.h))).alias("h"))
-    shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = shared.filter("first < last").drop("last")
+    shared = held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    shared = shared.filter("first < last").select("h")
     lines = entries.select("id", "version", F.inline("entries"))
     lines = freeze(lines.join(shared, "h"))
 
     # lines of a document by hash; every row is bounded by its document
     kept = freeze(
         lines.groupBy("id", "version", "h").agg(
-            F.first("words").alias("words"), F.first("df").alias("df"), F.first("first").alias("first"),
-            F.collect_set(F.struct("ordinal", "place")).alias("at"),
+            F.first("words").alias("words"), F.collect_set(F.struct("ordinal", "place")).alias("at")
         )
-    )
-    weight = (F.col("words") * F.size("at")).alias("words")
-    common = kept.filter((F.col("df") > rare) & (F.col("id") > F.col("first"))).select("id", "version", F.col("first").alias("e"), weight)
-    seldom = kept.filter(F.col("df") <= rare).select("id", "version", "h", weight)
-    earlier = seldom.select(F.col("id").alias("e"), "h").distinct()
-    seldom = seldom.join(earlier, "h").filter("e < id").select("id", "version", "e", "words")
-    pairs = common.unionByName(seldom).groupBy("id", "version", "e").agg(F.sum("words").alias("w"))
-    pairs = freeze(pairs.filter(F.col("w") >= min_words).drop("w"))
+    )
+    pairs = freeze(_seed_pairs(kept, min_words) if rare is None else _limited_pairs(kept, min_words, rare))
 
     later = pairs.join(kept.select("id", "version", "h", "words", "at"), ["id", "version"])
     other = kept.select(
@@ -163,7 +230,7 @@ def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=RAR
     return cuts.groupBy("id", "version").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
 
 
-def cut_shared_blocks(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=RARE, removed="n_removed"):
+def cut_shared_blocks(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=None, removed="n_removed"):
     """`docs` with the blocks cut from `text`, and the number of lines cut in a column named `removed`."""
     cuts = cut_ranges(docs, doc_id, text, min_words, rare).select(
         F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("cuts").alias("_cuts")

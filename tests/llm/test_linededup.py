@@ -85,3 +85,56 @@ def test_patience_matches_unique_lines_in_order():
     assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
     assert {(3, 3), (7, 5)} <= set(pairs)
     assert ld.patience([], list("a")) == [] and len(ld.patience(list("aaaa"), list("aaaa"))) == 4
+
+
+def all_earlier(rows, min_words):
+    """Places cut from each row when every run of lines is compared with every earlier document."""
+    docs = []
+    for key, text in rows:
+        docs.append((key, [(p, x.strip(" ")) for p, x in enumerate((text or "").split("\n")) if x.strip(" ")]))
+    cut = []
+    for key, lines in docs:
+        gone = set()
+        for e, other in docs:
+            if key is None or e is None or e >= key:
+                continue
+            at = {}
+            for j, (_, x) in enumerate(other):
+                at.setdefault(x, []).append(j)
+            before = {}
+            for i, (_, x) in enumerate(lines):
+                now = {}
+                for j in at.get(x, ()):
+                    start, n = before.get(j - 1, (i, 0))
+                    now[j] = (start, n + x.count(" ") + 1)
+                    if now[j][1] >= min_words:
+                        gone |= set(range(lines[start][0], lines[i][0] + 1))
+                before = now
+        cut.append(gone)
+    return cut
+
+
+def assert_cuts(spark, rows, min_words):
+    frame = spark.createDataFrame([(k, t, "a", "b", "c", 1, str(i)) for i, (k, t) in enumerate(rows)], SCHEMA).repartition(4)
+    got = {int(r.lang): r for r in ld.cut_shared_blocks(frame, min_words=min_words).collect()}
+    for i, cut in enumerate(all_earlier(rows, min_words)):
+        text = rows[i][1]
+        want = text if not cut else "\n".join(x for p, x in enumerate(text.split("\n")) if p not in cut)
+        assert (got[i].text, got[i].n_removed) == (want, len(cut))
+    return got
+
+
+def test_blocks_of_hot_lines_with_different_first_holders(spark):
+    line = lambda name, n: " ".join([name] * n)
+    p, q, r = line("p", 12), line("q", 12), line("r", 3)
+    rows = [(1, p), (2, q), (3, r)]
+    rows += [(10 + k, f"own {k}\n{x}") for k in range(12) for x in [(p, q, r)[k % 3]]] * 4
+    rows += [(100 + k, f"start {k}\n{p}\n \n{q}\n{r}\nend {k}") for k in range(10)]
+    # a line too short to start a seed, after one that the first holder goes on from otherwise
+    s, t = line("s", 19), line("t", 1)
+    rows += [(200, f"{s}\n{t}\nelse"), (201, f"{s}\n{t}\n{r}\nx"), (202, f"{s}\n{t}\n{r}\ny")]
+    # the blank line between two long lines lies in a block with 302 only
+    u, v = line("u", 25), line("v", 25)
+    rows += [(300, u), (301, v), (302, f"{u}\n{v}"), (303, f"z\n{u}\n\n{v}")]
+    got = assert_cuts(spark, rows, 20)
+    assert {r.doc_id: r.text for r in got.values()}[105] == "start 5\nend 5"
