@@ -9,8 +9,11 @@ per seed and document, however many hold it, and no shared block is lost.
 Aligning. Both documents are reduced to the lines they share, in order, and aligned by patience diff:
 equal lines at both ends of a range match; then the lines that occur once on either side are matched
 along their longest increasing run, and the ranges between them are aligned in turn. Matches that are
-neighbours in both documents (blank lines aside) form a block. Blocks of `min_words` words or more are
-cut from the later document, blank lines inside them included.
+neighbours in both documents (blank lines aside) form a block. An alignment in order takes each line once and
+cannot cross, so unless it covers all of the later document, that one's seeds are looked up in the other too:
+blocks that moved, are repeated or lie between ambiguous lines are cut like the rest. Blocks of `min_words`
+words or more are cut from the later document, blank lines inside them included. The cuts of a document are
+thus those that comparing it with all earlier ones would give.
 
 A document's place in time is its id. Cases: rows without an id are never cut and cut nothing; rows that
 repeat an id are versions of one document and are not compared with each other, but each is cut (rows
@@ -102,8 +105,8 @@ def seeds(lines, min_words):
     return sorted(found)
 
 
-def blocks(a, b, min_words):
-    """(first, last) entries of `a` of every long block. Entries: (ordinal, hash, words, ...)."""
+def _aligned(a, b, min_words):
+    """(first, last) entries of `a` of every long block of the alignment."""
     out, start, words, last = [], None, 0, None
     matches = patience([x[1] for x in a], [x[1] for x in b])
     for i, j in [*matches, (None, None)]:
@@ -118,6 +121,24 @@ def blocks(a, b, min_words):
     return out
 
 
+def blocks(a, b, min_words):
+    """(first, last) entries of `a` of every long block that `b` has too. Entries: (ordinal, hash, words, ...)."""
+    out = _aligned(a, b, min_words)
+    if out == [(0, len(a) - 1)]:
+        return out
+    words = {x[1]: x[2] for x in a}
+    b = [(x[0], x[1], words[x[1]]) for x in b if x[1] in words]
+    run = lambda lines, s, t: tuple(x[1] for x in lines[s : t + 1])
+    there = {run(b, s, t) for s, t in seeds(b, min_words)}
+    merged = []
+    for s, t in sorted(out + [(s, t) for s, t in seeds(a, min_words) if run(a, s, t) in there]):
+        if merged and s <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(t, merged[-1][1]))
+        else:
+            merged.append((s, t))
+    return merged
+
+
 def _entries(docs, doc_id, text):
     """(id, version, entries): the non-blank lines of each document with id, as ordinal, place, hash, words."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("_t"))

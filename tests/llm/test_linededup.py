@@ -124,6 +124,12 @@ def assert_cuts(spark, rows, min_words):
     return got
 
 
+def test_no_block_of_any_earlier_document_is_left(spark):
+    rows = documents()
+    for min_words in (20, 5):
+        assert_cuts(spark, rows, min_words)
+
+
 def test_blocks_of_hot_lines_with_different_first_holders(spark):
     line = lambda name, n: " ".join([name] * n)
     p, q, r = line("p", 12), line("q", 12), line("r", 3)
@@ -138,3 +144,14 @@ def test_blocks_of_hot_lines_with_different_first_holders(spark):
     rows += [(300, u), (301, v), (302, f"{u}\n{v}"), (303, f"z\n{u}\n\n{v}")]
     got = assert_cuts(spark, rows, 20)
     assert {r.doc_id: r.text for r in got.values()}[105] == "start 5\nend 5"
+
+
+def test_moved_and_repeated_blocks_are_cut(spark):
+    rng = random.Random(5)
+    p, q, x = (["".join(rng.choice("abc") for _ in range(6)) + " w" * 11 + f" {n}{i}" for i in range(3)] for n in "pqx")
+    rows = [(1, "\n".join(p + ["one"] + q)), (2, "\n".join(q + ["two"] + p)), (3, "\n".join(p + q + p + ["three"] + q[:2]))]
+    # many single lines in order outnumber the block that moved; lines that repeat on both sides
+    rows += [(4, "\n".join(x[:2] + [f"s {i}\nfour {i}" for i in range(9)])), (5, "\n".join([f"s {i}\nfive {i}" for i in range(9)] + x[:2]))]
+    rows += [(6, "\n".join(["k a", *x, "k b", *x, "k c"])), (7, "\n".join(["m", *x[1:], *x[:2], "n", *x[1:]]))]
+    got = {r.doc_id: r.text for r in assert_cuts(spark, rows, 20).values()}
+    assert got[2] == "two" and got[3] == "three" and got[5].split("\n") == [y for i in range(9) for y in (f"s {i}", f"five {i}")]
