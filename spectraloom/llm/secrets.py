@@ -8,9 +8,10 @@ below the middle, serial correlation at lag one. Fisher's method joins the three
 False-discovery control is length-aware: runs are grouped by encoding and length, since the tests
 gain power with length. In a group, random strings have uniform p-values and ordinary ones crowd at
 small values; the share above one half tells how many are random. The group's limit is the smallest
-p at which runs beyond it exceed that expectation by at most the rate `fdr`. Limits need one pass over
-the data that counts p-values in bins (a bounded table), the spans a second one; nothing is shuffled
-but counts.
+p at which runs beyond it exceed that expectation by at most the rate `fdr`. Every distinct run counts
+once, so copies of a text change no limit. Limits need one pass over the data, in which each task keeps
+one 64-bit hash of a run with its encoding, group and bin; the hashes are made distinct by a shuffle and
+counted in bins (a bounded table). The spans need a second pass without a shuffle.
 
 Cases: a NULL text is empty and has no spans; offsets are code points, end exclusive; repeated rows
 get the same spans; a run that overlaps a pattern's span is not reported again; an empty table gives an
@@ -51,6 +52,9 @@ LENGTHS = (24, 32, 48, 96)
 BINS = 100
 LEVEL = 0.01
 PRIOR = 100.0
+#: distinct runs a task holds, and rows it sends at once
+HELD_RUNS = 200_000
+RUN_ROWS = 10_000
 
 
 def encoding_of(run):
@@ -150,23 +154,32 @@ def limits_of(counts, fdr=0.05):
 
 
 def random_limits(docs, text="text", fdr=0.05):
-    """Limits from all rows of `docs`; the counts are at most alphabets x lengths x bins rows."""
+    """Limits from all distinct runs of `docs`; the counts are at most alphabets x lengths x bins rows."""
 
     def work(batches):
-        for batch in batches:
-            counts = {}
-            for value in batch.column(0).to_pylist():
-                for _, _, encoding, group, p in tested_runs(value or ""):
-                    key = (encoding, group, min(int(p * BINS), BINS - 1))
-                    counts[key] = counts.get(key, 0) + 1
-            if counts:
-                e, g, b = zip(*counts)
+        held = set()
+
+        def flush():
+            rows = list(held)
+            held.clear()
+            for i in range(0, len(rows), RUN_ROWS):
+                h, e, g, b = zip(*rows[i : i + RUN_ROWS])
                 yield pa.RecordBatch.from_pydict(
-                    {"e": e, "g": pa.array(g, pa.int32()), "b": pa.array(b, pa.int32()), "n": pa.array(counts.values(), pa.int64())}
+                    {"h": pa.array(h, pa.int64()), "e": e, "g": pa.array(g, pa.int32()), "b": pa.array(b, pa.int32())}
                 )
 
-    bins = docs.select(text).mapInArrow(work, "e string, g int, b int, n bigint")
-    rows = bins.groupBy("e", "g", "b").agg(F.sum("n").alias("n")).collect()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                value = value or ""
+                for start, end, encoding, group, p in tested_runs(value):
+                    digest = hashlib.blake2b(value[start:end].encode(), digest_size=8).digest()
+                    held.add((int.from_bytes(digest, "little", signed=True), encoding, group, min(int(p * BINS), BINS - 1)))
+                if len(held) >= HELD_RUNS:  # beyond this, the shuffle finds the copies
+                    yield from flush()
+        yield from flush()
+
+    runs = docs.select(text).mapInArrow(work, "h bigint, e string, g int, b int").distinct()
+    rows = runs.groupBy("e", "g", "b").agg(F.count("*").alias("n")).collect()
     return limits_of({(r.e, r.g, r.b): r.n for r in rows}, fdr)
 
 

@@ -71,3 +71,18 @@ def test_redaction_keeps_rows_and_clean_texts(spark):
         assert r.text is None or not brute_base(r.text)
         assert r.has_secret == (r.text != before)
     assert secrets.scan_secrets(docs.limit(0)).collect() == []
+
+
+def test_copies_of_a_text_change_no_other_span(spark):
+    rnd = random.Random(6)
+    letters = secrets.ALPHABETS["base62"]
+    keys = ["".join(rnd.choice(letters) for _ in range(40)) for _ in range(200)]
+    ordinary = next(k for k in iter(lambda: "".join(rnd.choice(letters) for _ in range(40)), "") if 0.28 < secrets.battery(k, "base62") < 0.31)
+    rows = [(i, f"key {k} end", "en", "x", "y") for i, k in enumerate(keys)]
+    spans = lambda copies: {
+        r.doc_id: r.spans
+        for r in secrets.scan_secrets(spark.createDataFrame(rows + [(1000 + i, f"see {ordinary}", "en", "x", "y") for i in range(copies)], SCHEMA)).collect()
+        if r.doc_id <= 1000
+    }
+    assert spans(5000) == spans(1)
+    assert sum(bool(x) for x in spans(1).values()) > 180
