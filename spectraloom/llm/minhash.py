@@ -73,7 +73,7 @@ def band_keys(signature, bands, rows):
     return key
 
 
-def signatures(docs, doc_id, text, width, bands, rows):
+def signatures(docs, doc_id, text, width, bands, rows, percent):
     """One row per document of `docs`: size and 128-bit digest of its set, band keys (none for small sets)."""
 
     def work(batches):
@@ -85,8 +85,8 @@ def signatures(docs, doc_id, text, width, bands, rows):
                     n.append(len(s))
                     h1.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
                     h2.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) if len(s) else 0)
-                    # two different sets under five shingles never reach 0.8
-                    keys.append(band_keys(make.signature(s), bands, rows).view(np.int64) if len(s) > 4 else [])
+                    # a set of n is at most n / (n + 1) similar to a larger one: at 80 percent 4 within 5 link, 3 within 4 do not
+                    keys.append(band_keys(make.signature(s), bands, rows).view(np.int64) if len(s) * (100 - percent) >= percent else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)),
@@ -174,13 +174,13 @@ def near_duplicates(docs, doc_id="doc_id", text="text", width=5, percent=80, ban
     Documents are linked where 100 * intersection >= percent * union of their sets of `width`-word
     shingles; `component_id` is the smallest id reachable and `kept` marks that document.
     """
-    signed = _stored(signatures(docs, doc_id, text, width, bands, rows), "signatures")
+    signed = _stored(signatures(docs, doc_id, text, width, bands, rows, percent), "signatures")
     with_id = signed.filter("doc_id is not null and n_shingles > 0")
     digest = ["n_shingles", "h1", "h2"]
     classes = with_id.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
 
     # one row of band keys per class: the rows of its representative
-    reps = with_id.filter("n_shingles > 4").join(classes, digest).filter("doc_id = rep")
+    reps = with_id.filter(F.col("n_shingles") * (100 - percent) >= percent).join(classes, digest).filter("doc_id = rep")
     keys = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
     centre = keys.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c < last").drop("last")
     buckets = _stored(keys.join(centre, "key").filter("rep <> c").distinct(), "buckets")

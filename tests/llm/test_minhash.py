@@ -130,3 +130,18 @@ def test_blocks_of_a_star_give_every_link_across_components():
     missed = [r for r in rows if not similar(c, sets[r["x"]])]
     want = {(x["x"], y["x"]) for y in missed for x in rows if x is not y and similar(sets[x["x"]], sets[y["x"]])}
     assert set(minhash._links_of_blocks(60, missed, rows, 80)) == want and len(want) > 3
+
+
+def test_four_shingles_within_five_link(spark):
+    words = [f"v{i}" for i in range(40)]
+    rows = []
+    for width in (2, 5):
+        for n in (2, 3, 4, 5):
+            at = 100 * width + 10 * n
+            rows += [(at, " ".join([f"{width}{n}", *words[: n + width - 2]])), (at + 1, " ".join([f"{width}{n}", *words[: n + width - 1]]))]
+    frame = spark.createDataFrame([(*r, "a", "b", "c", 1, 2, 3) for r in rows], SCHEMA)
+    for width in (2, 5):
+        got = minhash.near_duplicates(frame, width=width).collect()
+        assert sorted((False, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, width)
+        at = 100 * width + 40
+        assert [(r.n_shingles, r.component_id) for r in sorted(got, key=lambda r: r.doc_id) if r.doc_id in (at, at + 1)] == [(4, at), (5, at)]
