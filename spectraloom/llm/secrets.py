@@ -4,6 +4,8 @@ Patterns: an assignment to a password-like name, an access key id, a long run of
 Beyond those, every run of 20 or more key characters whose inferred encoding is one of `ALPHABETS`
 is tested for randomness in that encoding: chi-squared uniformity over the alphabet, runs above and
 below the middle, serial correlation at lag one. Fisher's method joins the three p-values.
+A run that mixes "+" or "/" with "-" or "_" fits no alphabet; it is split at the one pair and at the other,
+and every part of 20 or more characters is tested. Parts that overlap are reported as one span.
 
 False-discovery control is length-aware: runs are grouped by encoding and length, since the tests
 gain power with length. In a group, random strings have uniform p-values and ordinary ones crowd at
@@ -33,6 +35,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PARTS = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"))
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: from the narrowest; a run belongs to the first that holds all its characters
@@ -104,12 +107,21 @@ def length_group(n):
     return sum(n >= edge for edge in LENGTHS)
 
 
+def _parts(text, start, end):
+    """(start, end) of what is tested of a run: itself, or its parts if it mixes separators of two alphabets."""
+    run = text[start:end]
+    if ("+" in run or "/" in run) and ("-" in run or "_" in run):
+        return sorted({m.span() for part in PARTS for m in part.finditer(text, start, end)})
+    return [(start, end)]
+
+
 def tested_runs(text):
-    """(start, end, encoding, length group, p) of every testable run."""
+    """(start, end, encoding, length group, p) of every testable run or part of one."""
     for m in RUN.finditer(text):
-        encoding = encoding_of(m[0])
-        if encoding:
-            yield m.start(), m.end(), encoding, length_group(len(m[0])), battery(m[0], encoding)
+        for start, end in _parts(text, m.start(), m.end()):
+            encoding = encoding_of(text[start:end])
+            if encoding:
+                yield start, end, encoding, length_group(end - start), battery(text[start:end], encoding)
 
 
 def base_spans(text):
@@ -131,7 +143,10 @@ def all_spans(text, limits):
     more = []
     for start, end, encoding, group, p in tested_runs(text):
         if p >= limits.get((encoding, group), LEVEL) and not any(s < end and start < e for s, _, e in base):
-            more.append((start, 3, end))
+            if more and start < more[-1][2]:
+                more[-1] = (more[-1][0], 3, max(end, more[-1][2]))
+            else:
+                more.append((start, 3, end))
     return base, sorted(base + more)
 
 

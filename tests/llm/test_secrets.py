@@ -86,3 +86,24 @@ def test_copies_of_a_text_change_no_other_span(spark):
     }
     assert spans(5000) == spans(1)
     assert sum(bool(x) for x in spans(1).values()) > 180
+
+
+def test_keys_beside_paths_and_hyphens_are_found(spark):
+    rnd = random.Random(8)
+    make = lambda letters: "".join(rnd.choice(letters) for _ in range(40))
+    cases = []
+    for before, after, name in (("user-files/", "", "base62"), ("team_x/", "/y", "base64url"), ("a/b-", "-c", "base64"), ("a/b-", "-c/d", "base62")):
+        key = next(k for k in iter(lambda: make(secrets.ALPHABETS[name]), "") if secrets.battery(k, name) > 0.3)
+        cases.append((f"see {before}{key}{after} end", key))
+    cases.append(("see some-plain/path_of/words-and/more_words-only end", None))
+    rows = [(i, t, "en", "x", "y") for i, (t, _) in enumerate(cases)]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (text, key) in enumerate(cases):
+        if key is None:
+            assert got[i] == ""
+        else:
+            (span,) = got[i].split(",")
+            kind, start, end = span.split(":")
+            assert kind == "random" and int(start) <= text.index(key) and text.index(key) + len(key) <= int(end)
+    clean = secrets.redact_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(key is None or key not in {r.doc_id: r.text for r in clean}[i] for i, (_, key) in enumerate(cases))
