@@ -9,8 +9,10 @@ MCD: two starts per group (moments of all points; medians with fixed scales), ea
 concentration steps: keep the `share` of the points nearest to the current estimate, take mean and
 covariance of those, repeat. The start with the smaller determinant wins. The share is found from a
 histogram of distances, so a group of any size is aggregated before it is shuffled and no task holds
-a group. Groups under `min_rows` points share their language's estimate, then a common one; with
-fewer points still, there is no verdict and the base rules decide.
+a group. Groups under `min_rows` points share their language's estimate, then a common one; if these
+leftovers are under `min_rows` too, `over_all` holds them against the estimate over all points, and only if
+the whole table has fewer points there is no verdict and the base rules decide. Without `over_all`, as in the
+pipeline, they have no verdict.
 
 Cases: a NULL text has no words and fails; NULL languages and sources form groups of their own;
 repeated rows are judged each and count each; an empty table gives an empty result; ties get the
@@ -35,6 +37,8 @@ FLOORS = (0.05, 0.05, 0.12, 0.12)
 SHARE = 0.75
 STEPS = 4
 MIN_ROWS = 100
+#: group of what is left when small groups were joined by language
+REST = "[]"
 #: the chi-squared quantile of four dimensions at 1 - 1e-5
 CUTOFF = 28.47
 
@@ -121,7 +125,7 @@ def _key(*cols):
 def with_group(points, lang="lang", source="source", min_rows=MIN_ROWS):
     """Column `_g`: own group, the language's rest, or the common rest; by counts of points."""
     out = points.withColumn("_g", _key(lang, source))
-    for wider in (_key(lang), F.lit("[]")):
+    for wider in (_key(lang), F.lit(REST)):
         small = out.filter("not _failed").groupBy("_g").count().filter(F.col("count") >= min_rows)
         small = small.select(F.col("_g").alias("_large"))
         out = out.join(small, out["_g"] == small["_large"], "left")
@@ -219,7 +223,7 @@ def mcd_estimates(points, share=SHARE, steps=STEPS):
     return freeze(current.groupBy("_g").agg(best).select("_g", *[f"b.{c}" for c in ESTIMATE]))
 
 
-def judge(docs, doc_id="doc_id", text="text", lang="lang", source="source", cutoff=CUTOFF, min_rows=MIN_ROWS):
+def judge(docs, doc_id="doc_id", text="text", lang="lang", source="source", cutoff=CUTOFF, min_rows=MIN_ROWS, over_all=False):
     """One row per row of `docs`: `doc_id`, the six statistics, `base_failed`, `distance`, `kept`, `text_hash`.
 
     `distance` is NULL where the base rules reject or no estimate exists. The statistics are written
@@ -238,6 +242,9 @@ def judge(docs, doc_id="doc_id", text="text", lang="lang", source="source", cuto
     stats.write.parquet(path)
     stats = with_group(spark.read.parquet(path), min_rows=min_rows)
     points = stats.filter("not _failed").select("_g", *[f"x{i}" for i in range(len(DIMS))])
+    rest = points.filter(F.col("_g") == REST)
+    if over_all and 0 < rest.limit(min_rows).count() < min_rows:
+        points = points.filter(F.col("_g") != REST).unionByName(points.withColumn("_g", F.lit(REST)))
     enough = points.groupBy("_g").count().filter(F.col("count") >= min_rows).select("_g")
     estimates = mcd_estimates(points.join(enough, "_g", "left_semi"))
     out = stats.join(estimates, "_g", "left").withColumn(

@@ -71,7 +71,7 @@ def chat_digests(rows):
 
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
-    out = judge(table(spark, sf_dir, "documents"))
+    out = judge(table(spark, sf_dir, "documents"), over_all=True)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )

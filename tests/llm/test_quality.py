@@ -105,3 +105,19 @@ def test_keep_good_keeps_columns_and_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert quality.judge(docs).collect() == [] and quality.keep_good(docs).collect() == []
+
+
+def test_few_leftovers_are_held_against_all_points(spark):
+    rows = documents()
+    odd = " ".join(f"#*$%&|<>{i}" for i in range(90))
+    plain = " ".join(f"word{i}" for i in range(90))
+    rows += [(900, odd, "rare", "s", 0, "x", "y", 1), (901, plain, "rare", "s", 0, "x", "y", 1)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), min_rows=60, over_all=True).collect()}
+    fine = [(r[0], s) for r in rows for s in [brute_statistics(r[1])] if not (s[0] < 20 or 100 * s[5] > 30 * s[0])]
+    want = dict(zip([i for i, _ in fine], brute_distances([brute_point(s) for _, s in fine])))
+    for i in (900, 901):
+        assert (got[i].distance is None) == (i not in want)
+        assert got[i].distance is None or got[i].distance == pytest.approx(want[i], rel=1e-6)
+    assert got[900].distance > quality.CUTOFF and not got[900].kept and got[901].distance is not None
+    few = quality.judge(spark.createDataFrame(rows[:60], SCHEMA), min_rows=100, over_all=True).collect()
+    assert all(r.distance is None for r in few)
