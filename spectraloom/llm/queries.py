@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import chat
+from .centroids import cluster
 from .hmm import score_documents
 from .langid import predict_languages
 from .linededup import cut_shared_blocks
@@ -129,3 +130,44 @@ def op5_language_id(spark, sf_dir):
 def op3_sentencepiece_sampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return encode_sampled(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
+def _centroid_sql(k=40, rounds=5, dim=64):
+    """One pair of CTEs per round: nearest centroids, then their floored means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (
+      SELECT rid, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * {k} + cluster) AS best
+      FROM v, c{r} GROUP BY rid
+    ),""")
+        if r < rounds:
+            steps.append(f"""
+    s{r} AS MATERIALIZED (
+      SELECT best % {k} AS cluster, i, sum(x[i]::BIGINT)::BIGINT AS s, count(*)::BIGINT AS n
+      FROM a{r} JOIN v USING (rid), range(1, {dim} + 1) t(i) GROUP BY ALL
+    ),
+    c{r + 1} AS MATERIALIZED (
+      SELECT cluster, coalesce(m, c) AS c
+      FROM c{r} LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM s{r} GROUP BY cluster) USING (cluster)
+    ),""")
+    return f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+      WHERE len(embedding) = {dim} AND NOT list_contains(list_transform(embedding, lambda e: coalesce(NOT isfinite(e), true)), true)
+    ),
+    c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS cluster, x AS c FROM v
+      WHERE vec_id IS NOT NULL QUALIFY cluster < {k}
+    ),{"".join(steps)}
+    f AS (SELECT vec_id, best % {k} AS cluster, best // {k} AS distance FROM a{rounds} JOIN v USING (rid))
+    SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+      (sum(distance) OVER ())::BIGINT AS inertia,
+      sha256(array_to_string(list_transform(c, lambda e: e::BIGINT), ',')) AS centroid_sha256
+    FROM f JOIN c{rounds} USING (cluster)
+    """
+
+
+@query("op12_centroid_clustering", _centroid_sql())
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2)
