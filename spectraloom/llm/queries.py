@@ -14,6 +14,7 @@ from .pieces import encode_sampled
 from .quality import judge
 from .secrets import scan_secrets
 from .topk import quantized, top_k
+from .warc import round_trip
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -171,3 +172,21 @@ def _centroid_sql(k=40, rounds=5, dim=64):
 @query("op12_centroid_clustering", _centroid_sql())
 def op12_centroid_clustering(spark, sf_dir):
     return cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2)
+
+
+@query(
+    "op13_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+    t AS (SELECT page_id, strlen(p) AS n, sha1(p) AS h, max(page_id) OVER (PARTITION BY p) AS top FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes,
+      -- ten hex digits are eight digits of five bits
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
+      CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+    FROM t
+    """,
+)
+def op13_warc(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "pages"))
