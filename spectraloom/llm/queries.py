@@ -14,6 +14,7 @@ from .pieces import encode_sampled
 from .quality import judge
 from .secrets import scan_secrets
 from .topk import quantized, top_k
+from .trie import prefix_trie
 from .warc import round_trip
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -190,3 +191,42 @@ def op12_centroid_clustering(spark, sf_dir):
 )
 def op13_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op11_conversation_prefix_trie",
+    """
+    WITH t AS (
+      SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    own AS (
+      SELECT c, list(h ORDER BY turn NULLS FIRST, h) AS hs, list(length(text) ORDER BY turn NULLS FIRST, h) AS chars,
+        -- crc32, bit by bit
+        xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::BIGINT, 1))::BIGINT),
+          lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, CASE WHEN p & 1 = 1 THEN 3988292384 ELSE 0 END))),
+          4294967295) % 6 AS taken
+      FROM t GROUP BY c
+    ),
+    r AS (
+      SELECT o.c, coalesce(b.hs[1:o.taken], []) || o.hs[o.taken + 1:] AS hs, coalesce(b.chars[1:o.taken], []) || o.chars[o.taken + 1:] AS chars
+      FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 100
+    ),
+    -- a node's key: the hashes of its turns, 64 characters each
+    p AS (SELECT c, d, len(hs) = d AS ends, array_to_string(hs[1:d], '') AS k, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars FROM r, range(0, len(hs) + 1) u(d)),
+    n AS (
+      SELECT k, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k, d
+    ),
+    ch AS (SELECT left(k, 64 * (depth - 1)) AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k, depth)),
+    s AS (
+      SELECT left(k, 64 * a) AS k, a AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved_tokens
+      FROM m, range(0, depth + 1) u(a) GROUP BY ALL
+    )
+    SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+    FROM m JOIN s USING (k, depth) LEFT JOIN n up ON m.depth > 0 AND up.depth = m.depth - 1 AND up.k = left(m.k, 64 * (m.depth - 1))
+    """,
+)
+def op11_conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
