@@ -19,6 +19,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from spectraloom.llm import linededup, minhash, packing, quality, secrets
+from spectraloom.llm.names import free_name
 from spectraloom.session import scratch_path
 
 
@@ -27,13 +28,14 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    cut = linededup.cut_shared_blocks(docs, removed="_n_removed")
-    left = (F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    removed = free_name("_n_removed", docs.columns)
+    cut = linededup.cut_shared_blocks(docs, removed=removed)
+    left = (F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = cut.filter(left)
     if "n_chars" in cut.columns:
-        n = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        n = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", n.cast(dict(docs.dtypes)["n_chars"]))
-    return cut.drop("_n_removed")
+    return cut.drop(removed)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -46,11 +48,12 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def secret_scans(spark, docs, sf_dir):
-    clean = secrets.redact_secrets(docs, found="_found")
+    found = free_name("_found", docs.columns)
+    clean = secrets.redact_secrets(docs, found=found)
     if "n_chars" in clean.columns:
-        n = F.when(F.col("_found"), F.length("text")).otherwise(F.col("n_chars"))
+        n = F.when(F.col(found), F.length("text")).otherwise(F.col("n_chars"))
         clean = clean.withColumn("n_chars", n.cast(dict(docs.dtypes)["n_chars"]))
-    return clean.drop("_found")
+    return clean.drop(found)
 
 
 def pack(spark, docs, sf_dir):

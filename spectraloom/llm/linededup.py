@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.session import freeze
 
+from .names import free_name
 from .words import mix
 
 MIN_WORDS = 20
@@ -252,7 +253,11 @@ def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=Non
 
 
 def cut_shared_blocks(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=None, removed="n_removed"):
-    """`docs` with the blocks cut from `text`, and the number of lines cut in a column named `removed`."""
+    """`docs` with the blocks cut from `text`, and the number of lines cut in a column named `removed`.
+
+    If `docs` has a column of that name, underscores are appended to the new one.
+    """
+    removed = free_name(removed, docs.columns)
     cuts = cut_ranges(docs, doc_id, text, min_words, rare).select(
         F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("cuts").alias("_cuts")
     )

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .names import free_name
 from .words import mix, row_slices
 
 MARK = "▁"
@@ -275,7 +276,8 @@ def encode_sampled(docs, model_path, doc_id="doc_id", text="text", sharpness=1.0
 
 
 def decode_pieces(encoded, model_path, ids="ids", decoded="decoded"):
-    """`encoded` with the text of its ids in a column named `decoded`."""
+    """`encoded` with the text of its ids in a column named `decoded` (underscores are appended if there is one)."""
+    decoded = free_name(decoded, encoded.columns)
     place = encoded.columns.index(ids)
     schema = StructType([*encoded.schema.fields, StructField(decoded, StringType())])
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from .names import free_name
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -237,8 +239,10 @@ def redacted(text, spans, mark):
 def redact_secrets(docs, text="text", fdr=0.05, mark="[SECRET]", found="has_secret"):
     """`docs` with every span replaced by `mark`, and whether there was one in a column named `found`.
 
-    Rows, other columns and texts without a span stay as they are.
+    Rows, other columns and texts without a span stay as they are. If `docs` has a column of the new
+    one's name, underscores are appended to the latter.
     """
+    found = free_name(found, docs.columns)
     limits = random_limits(docs, text, fdr)
     place = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField(found, BooleanType())])

@@ -43,8 +43,10 @@ def test_every_stage_equals_its_brute_force(spark, tmp_path):
         groups.setdefault(before[i][2] if sizes[before[i][2]] >= quality.MIN_ROWS else "rest", []).append(i)
     far = {}
     for at in groups.values():
-        enough = len(at) >= quality.MIN_ROWS
-        far |= dict(zip(at, brute_distances([brute_point(stats[i]) for i in at]) if enough else [0.0] * len(at)))
+        # too few left for an estimate: held against all points
+        judged = at if len(at) >= quality.MIN_ROWS else fine
+        found = dict(zip(judged, brute_distances([brute_point(stats[i]) for i in judged])))
+        far |= {i: found[i] for i in at}
     assert len(groups) == 2
     kept = [r for i, r in enumerate(before) if i in far and far[i] <= quality.CUTOFF]
     assert rows_of(made[0][1]) == sorted(kept, key=repr)
@@ -87,7 +89,7 @@ def test_every_stage_equals_its_brute_force(spark, tmp_path):
 def test_odd_rows_pass_through(spark, tmp_path):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(None, text, None, None, None), (1, None, "en", "s", None), (2, "", None, "s", 0), (3, text, "en", "s", 9), (3, text, "en", "s", 9), (4, text + " more", "en", None, 1)]
-    docs = spark.createDataFrame([(*r, "extra", "clash") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, _gone string")
+    docs = spark.createDataFrame([(*r, "extra", *["clash"] * 4) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, _gone string, _N_removed string, _found string, n_removed string")
     made = dict(stages(spark, docs, tmp_path / "odd"))
     assert all(df.columns == docs.columns for name, df in made.items() if name != "packing")
     assert sorted(str(r.doc_id) for r in made["secret_scans"].collect()) in (["3", "3", "4", "None"], ["3", "3", "None"])
