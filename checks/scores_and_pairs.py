@@ -42,8 +42,8 @@ from spectraloom.plans.pairs import (
     resolve_pairs,
     sample_pairs,
 )
-from spectraloom.plans.preprocessing import build_catalogue, candidate_metadata, run_preprocessing
-from spectraloom.session import freeze, scratch_path
+from spectraloom.plans.preprocessing import build_catalogue, candidate_metadata, run_preprocessing, update_catalogue
+from spectraloom.session import freeze, handed_over, scratch_path
 from spectraloom.settings import (
     EXTRA_MASK_LENGTHS,
     EXTRA_MASK_PROBABILITY,
@@ -52,9 +52,11 @@ from spectraloom.settings import (
     RANDOM_MASK_REGIONS,
     ThresholdRule,
 )
+from spectraloom.sources.batches import write_batch
+from spectraloom.sources.partitions import read_partitioned, write_partitioned
 from spectraloom.sources.results import write_catalogue
 from spectraloom.sources.tables import read_catalogue
-from spectraloom.streaming.ingest import stream_catalogue
+from spectraloom.streaming.ingest import ingest_batch, stream_catalogue, streamed_catalogue, streamed_failures as log_of_failures
 
 from .registry import query, rnd, table
 from .vectors import GRID, MAD, PREPROCESSED_SQL, WAVE, WINDOW, embeddings, raw_spectra
@@ -452,6 +454,21 @@ def split_rows(spark, sf_dir):
     return df.select("row_idx", "agn_type", "split")
 
 
+@query(
+    "stratified_split_with_missing_class",
+    f"""
+    WITH p AS (SELECT p_partkey AS row_idx, CASE WHEN p_size % 4 <> 0 THEN p_size % 4 END AS agn_type, {md5_hash_sql("p_partkey || '|42'")} AS h FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY agn_type ORDER BY h, row_idx) AS r, count(*) OVER (PARTITION BY agn_type) AS n FROM p)
+    SELECT row_idx, agn_type, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN 'train' WHEN r <= round(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split
+    FROM r
+    """,
+)
+def split_rows_without_class(spark, sf_dir):
+    size = F.col("p_size") % 4
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_idx"), F.when(size != 0, size).alias("agn_type"))
+    return stratified_split(parts, "agn_type", "row_idx", seed=42)
+
+
 @query(
     "stratified_split_sizes",
     """
@@ -1117,6 +1134,44 @@ def merged_run(spark, sf_dir):
     return df.select("filename", "agn_type", "snr")
 
 
+@query(
+    "merged_in_place",
+    f"WITH {CATALOGUE_SQL} SELECT filename, agn_type, CASE WHEN id % 2 = 0 THEN 8.0 ELSE snr END AS snr FROM cat WHERE id % 2 = 0 OR snr >= 5",
+)
+def merged_in_place(spark, sf_dir):
+    """As `merged_run`, into hash partitions; then once more, which adds nothing."""
+    raw = raw_catalogue(spark, sf_dir)
+    meta = [raw_candidates(spark, sf_dir, kind) for kind in (1, 2)]
+    options = {"grid": GRID, "window": WINDOW}
+    path = scratch_path(spark, "partitions")
+    old = build_catalogue(raw.filter("spec_id % 2 = 0"), *meta, **options)[0].withColumn("snr", F.lit(8.0))
+    write_partitioned(old, path, partitions=16)
+    for _ in range(2):
+        update_catalogue(raw.union(raw), *meta, path, **options)
+    return read_partitioned(spark, path).select("filename", "agn_type", "snr")
+
+
+@query(
+    "streamed_catalogue_replayed",
+    f"""WITH {CATALOGUE_SQL} SELECT filename, 'catalogue' AS part FROM cat WHERE snr >= 5
+    UNION ALL SELECT printf('spec-%04d-52000-0007.fits', id), 'failure' FROM spec WHERE id % 11 = 0""",
+)
+def streamed_replayed(spark, sf_dir):
+    """Three batches; the second is interrupted before its commit and replayed, the first replayed under another name."""
+    folder = scratch_path(spark, "replayed")
+    raw = handed_over(raw_catalogue(spark, sf_dir), "raw")
+    meta = candidate_metadata(raw_candidates(spark, sf_dir, 1), 1).unionByName(candidate_metadata(raw_candidates(spark, sf_dir, 2), 2))
+    out, failures = folder + "/out", folder + "/failed"
+    options = {"failures": failures, "grid": GRID, "window": WINDOW}
+    parts = [raw.filter(F.col("spec_id") % 3 == k).drop("spec_id") for k in range(3)]
+    ingest_batch(parts[0], meta, out, key="b-s-0", **options)
+    write_batch(streamed_catalogue(spark, out), out, "b-s-1")  # an attempt that was never committed
+    for number, part in ((1, parts[1]), (2, parts[2]), (3, parts[0]), (2, parts[2])):
+        ingest_batch(part, meta, out, key=f"b-s-{number}", **options)
+    done = streamed_catalogue(spark, out).select("filename", F.lit("catalogue").alias("part"))
+    return done.unionByName(log_of_failures(spark, out, failures).select("filename", F.lit("failure").alias("part")))
+
+
 def streamed_copies(spark, sf_dir):
     """A stream in which some files come without redshift first, or in both classes."""
     folder = scratch_path(spark, "copies")

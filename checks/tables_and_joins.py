@@ -6,7 +6,7 @@ from spectraloom.operators.dedup import best_by_snr, brightest_per_class, keep_f
 from spectraloom.operators.joins import attach_metadata, merge_keep_existing, not_present, pairs_with_files, with_errors
 from spectraloom.operators.metrics import category_counts
 from spectraloom.plans.pairs import resolve_pairs
-from spectraloom.session import scratch_path
+from spectraloom.session import handed_over, scratch_path
 from spectraloom.sources.results import read_run_results, write_catalogue, write_csv, write_json
 from spectraloom.sources.tables import (
     PREDICTION_SCHEMA,
@@ -104,6 +104,35 @@ def metadata(spark, sf_dir):
     return attach_metadata(docs, meta)
 
 
+BEST_VECTOR_SQL = """
+    SELECT vec_id // 7 AS obj_id, vec_id, label, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)))::BIGINT AS total
+    FROM embeddings
+    QUALIFY row_number() OVER (PARTITION BY vec_id // 7 ORDER BY label DESC, vec_id) = 1
+"""
+
+
+def best_vectors(spark, sf_dir, **how):
+    """The best vector of each object; every tenth object has no name."""
+    v = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 7).alias("obj_id"), F.col("vec_id").alias("filename"), F.col("label").cast("double").alias("snr"), "label", F.col("embedding").alias("flux")
+    )
+    if how:
+        v = handed_over(v, "objects", by=("obj_id",))
+    best = best_by_snr(v, **how)
+    total = F.aggregate("flux", F.lit(0).cast("bigint"), lambda a, x: a + F.round(x.cast("double") * 1e6).cast("bigint"))
+    return best.select("obj_id", F.col("filename").alias("vec_id"), "label", total.alias("total"))
+
+
+@query("best_vector_per_object", BEST_VECTOR_SQL)
+def best_vector(spark, sf_dir):
+    return best_vectors(spark, sf_dir)
+
+
+@query("best_vector_per_object_in_buckets", BEST_VECTOR_SQL)
+def best_vector_in_buckets(spark, sf_dir):
+    return best_vectors(spark, sf_dir, colocated=True)
+
+
 @query(
     "targets_not_present",
     "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",

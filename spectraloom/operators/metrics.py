@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions.missing import number
 from ..functions.scores import decide
 from ..settings import EPS, ThresholdRule, threshold_grid
-from .ordering import positions_and_count, with_running_totals
+from .ordering import ranked_values, with_running_totals
 
 
 def _count(condition):
@@ -70,6 +70,15 @@ def label_predictions(df, threshold, label="true_label", prob="prob_change"):
     )
 
 
+def _reached(value, thresholds, low=0):
+    """How many of the sorted thresholds a value reaches, by halving; none if it is missing."""
+    if not thresholds:
+        return F.lit(low)
+    middle = len(thresholds) // 2
+    upper = _reached(value, thresholds[middle + 1 :], low + middle + 1)
+    return F.when(value >= thresholds[middle], upper).otherwise(_reached(value, thresholds[:middle], low))
+
+
 def threshold_sweep(df, thresholds=None, label="label", prob="prob", beta=0.5, fbeta_name="fbeta_change"):
     """Pair metrics at every threshold from one pass over the scores.
 
@@ -79,7 +88,7 @@ def threshold_sweep(df, thresholds=None, label="label", prob="prob", beta=0.5, f
     """
     thresholds = sorted(threshold_grid() if thresholds is None else (float(t) for t in thresholds))
     grid = F.lit(thresholds)
-    reached = reduce(lambda a, b: a + b, [F.when(F.col("__p") >= t, 1).otherwise(0) for t in thresholds], F.lit(0))
+    reached = _reached(F.col("__p"), thresholds)
     bins = (
         df.select(F.col(label).alias("__y"), number(prob).alias("__p"))
         .groupBy(reached.alias("__bin"))
@@ -257,11 +266,9 @@ def score_summary(df, label="label", prob="prob"):
 
 
 def median(df, col):
-    """Exact median of a column from the positions of its values: no task holds more than a range of them."""
-    values = df.select(number(col).alias("v")).filter(F.col("v").isNotNull())
-    placed, count = positions_and_count(values, "v")
-    middle = placed.filter(F.col("position").isin((count - 1) // 2, count // 2)).agg(F.avg("v").alias("m"))
-    return middle.first()["m"]
+    """Exact median of a column; NULL if it has no value."""
+    low, high = ranked_values(df, col, lambda n: (n - 1) // 2, lambda n: n // 2)
+    return None if low is None else (low + high) / 2
 
 
 def category_counts(df, column):

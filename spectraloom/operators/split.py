@@ -3,8 +3,10 @@
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.hashing import seeded_hash
+from ..session import handed_over
 from ..settings import EPS
 from .ordering import with_positions
+from .sizes import counted_side
 
 #: a hash's leading 16 bits number its bucket
 BUCKET_SHIFT = 60 - 16
@@ -15,7 +17,8 @@ def _cut_places(df, by, keys, seed, quotas):
 
     `quotas` maps a name to a column over the class size `__total`. Only a histogram of the
     hashes and the rows of the few buckets with a cut are shuffled, so classes of any size
-    and any imbalance cost two light passes.
+    and any imbalance cost two light passes. Rows without a class form a class of their own.
+    The places are stored once; a table has a row per class.
     """
     marked = df.select(by, seeded_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k")).withColumn(
         "__b", F.shiftright("__h", BUCKET_SHIFT)
@@ -32,26 +35,31 @@ def _cut_places(df, by, keys, seed, quotas):
     cuts = cuts.filter((F.col("__cut.quota") > before) & (F.col("__cut.quota") <= F.col("__upto"))).select(
         by, "__b", F.col("__cut.name").alias("__name"), (F.col("__cut.quota") - before).alias("__place")
     )
-    in_bucket = W.partitionBy(by, "__b", "__name").orderBy("__h", "__k")
-    return (
-        marked.join(F.broadcast(cuts), [by, "__b"])  # one row per class and name
+    # one row per class and name
+    cuts = counted_side(handed_over(cuts.withColumnsRenamed({by: "__class", "__b": "__bucket"}), "cuts"))
+    in_bucket = W.partitionBy("__class", "__b", "__name").orderBy("__h", "__k")
+    last = (
+        marked.join(cuts, F.col(by).eqNullSafe(F.col("__class")) & (F.col("__b") == F.col("__bucket")))
         .withColumn("__r", F.row_number().over(in_bucket))
         .filter(F.col("__r") == F.col("__place"))
-        .groupBy(by)
+        .groupBy("__class")
         .agg(F.map_from_entries(F.collect_list(F.struct("__name", F.struct("__h", "__k")))).alias("__last"))
     )
+    return handed_over(last, "places")
 
 
 def _with_cuts(df, by, keys, seed, quotas):
-    """`df` with the cut places of its class (one row per class, hence the broadcast)."""
+    """`df` with the cut places of its class (one row per class, counted before it is broadcast)."""
     place = F.struct(seeded_hash(keys, seed).alias("__h"), F.struct(*keys).alias("__k"))
-    return df.join(F.broadcast(_cut_places(df, by, keys, seed, quotas)), by, "left"), place
+    places = counted_side(_cut_places(df, by, keys, seed, quotas))
+    return df.join(places, F.col(by).eqNullSafe(F.col("__class")), "left"), place
 
 
 def stratified_split(df, by, keys, seed=42, shares=(("train", 0.70), ("val", 0.15), ("test", 0.15))):
     """Add `split` with exact quotas per class; `keys` must identify a row.
 
-    Rows are ordered by a seeded hash and cut where a class's quota is reached.
+    Rows are ordered by a seeded hash and cut where a class's quota is reached. Rows without a
+    class are split like a class of their own.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     quotas, so_far = {}, 0.0

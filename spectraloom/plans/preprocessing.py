@@ -8,10 +8,12 @@ from ..functions.lines import common_line_flux
 from ..functions.naming import spectrum_filename
 from ..functions.spectra import prepared_spectrum
 from ..functions.vectors import wavelength_axis
+from ..operators.dedup import keep_first
 from ..operators.joins import attach_metadata, merge_keep_existing
 from ..operators.select import clean_spectra, split_processed
 from ..settings import CONTINUUM_WINDOW, LINE_COLUMNS, TAPER_LEN, master_grid
 from ..session import handed_over
+from ..sources.partitions import LAYOUT, merge_partitioned, unseen
 from ..sources.results import write_catalogue
 from ..sources.tables import LINE_FIELD_TYPES
 
@@ -76,9 +78,11 @@ def build_catalogue(spectra, type1_meta, type2_meta, order="row_idx", **options)
     """Processed spectra with line metadata, and the log of failures.
 
     Each class sees the metadata of its own candidate table only. The processed rows are written to
-    the shared folder once and both results read them there, so the kernel runs once per spectrum.
+    the shared folder once and both results read them there, so the kernel runs once per spectrum. They
+    are bucketed by class and file name: the metadata comes to the vectors, not the other way round.
     """
-    good, failed = split_processed(handed_over(preprocess_spectra(spectra, **options), "processed"))
+    processed = handed_over(preprocess_spectra(spectra, **options), "processed", by=("agn_type", "filename"))
+    good, failed = split_processed(processed)
     meta = candidate_metadata(type1_meta, 1, order).unionByName(candidate_metadata(type2_meta, 2, order))
     log = failed.select("filename", "agn_type", F.lit("preprocessing_failed").alias("skip_reason"), "error")
     return attach_metadata(good.drop("error"), meta, order=order), log
@@ -125,4 +129,17 @@ def run_preprocessing(
     return cleaned.sparkSession.read.parquet(output), log
 
 
+def update_catalogue(spectra, type1_meta, type2_meta, path, require_valid_oiii=False, order="row_idx", **options):
+    """Merge new spectra into a stored catalogue (`sources.partitions`) in place; returns the log of failures.
+
+    As mode `merge`: stored rows stay, their spectra are not processed again, and one row per file name
+    is added. Only partitions that gain a row are written; stored rows are taken as cleaned.
+    """
+    fresh = unseen(spectra, path).drop(*LAYOUT)
+    catalogue, log = build_catalogue(fresh, type1_meta, type2_meta, order, **options)
+    added = keep_first(catalogue, "filename", row_order())
+    merge_partitioned(clean_spectra(added, require_valid_oiii=require_valid_oiii), path)
+    return log
+
+
 preprocess_real_spectra = partial(preprocess_spectra, sanitize=True)

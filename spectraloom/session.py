@@ -52,11 +52,22 @@ def freeze(df):
     return df.checkpoint(eager=True)
 
 
-def handed_over(df, name):
-    """`df` written once to the shared folder as Parquet, for several readers of some of its columns."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def handed_over(df, name, by=None, buckets=None):
+    """`df` written once to the shared folder as Parquet, for several readers of some of its columns.
+
+    With `by`, its rows are bucketed by these columns (as many buckets as shuffle partitions, unless
+    given): joins and aggregates on exactly these columns read them without an exchange. Buckets are
+    known to Spark through a table, which is registered under a name of its own.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if not by:
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def scratch_path(spark, name):

@@ -154,3 +154,27 @@ def test_wavelength_axis_prefers_loglam(spark):
     assert df.select(vectors.wavelength_axis("flux", "l", "w")).first()[0] == [1.0, 10.0]
     assert df.select(vectors.wavelength_axis("flux", None, "w")).first()[0] == [5.0, 6.0]
     assert df.select(vectors.wavelength_axis("flux", crval1="c", cdelt1="d")).first()[0] == [2.0, 5.0]
+
+
+def test_vector_moments_merge(spark, monkeypatch):
+    import numpy as np
+
+    from spectraloom.operators import shape
+
+    monkeypatch.setattr(shape, "FAN_IN", 2)
+    rnd = np.random.default_rng(8)
+    rows = [(["a", "b", None][i % 3], (1e6 + rnd.normal(size=5)).tolist()) for i in range(90)]
+    rows += [("a", [None, 0.0, 1e6, 1e6, None]), ("a", None), ("b", []), ("b", [0.0, 1e6]), ("c", [None, 1.0])]
+    df = spark.createDataFrame(rows, "k string, flux array<double>").repartition(9)
+    got = {r.k: r for r in shape.class_profiles(df, "k").collect()}
+    for k in ("a", "b", None, "c"):
+        columns = [[v[i] for key, v in rows if key == k and v and len(v) > i and v[i] is not None] for i in range(5)]
+        for i, x in enumerate(columns):
+            if not x:
+                assert i >= len(got[k].mean) or got[k].mean[i] is None
+            else:
+                assert got[k].mean[i] == pytest.approx(np.mean(x), rel=1e-12) and got[k].std[i] == pytest.approx(np.std(x), rel=1e-6, abs=1e-9)
+    assert tuple(shape.safe_range(df, [10.0, 20.0, 30.0, 40.0, 50.0]).first()) == (30.0, 50.0, 20.0)
+    assert shape.class_profiles(df.limit(0), "k").count() == 0 and shape.safe_range(df.limit(0), [1.0]).first().valid_range is None
+    with_nan = spark.createDataFrame([("a", [float("nan"), 1.0]), ("a", [2.0, 3.0])], "k string, flux array<double>")
+    assert np.isnan(shape.class_profiles(with_nan, "k").first().mean[0])

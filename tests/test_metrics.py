@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.operators import metrics as m
+from spectraloom.operators.metrics import median, threshold_sweep
+from spectraloom.operators.ordering import ranked_values
 from spectraloom.operators.ranking import best_epoch, best_run
 from spectraloom.plans.evaluation import recomputed_metrics
 from spectraloom.settings import PUBLISHED_RULE, ThresholdRule, threshold_grid
@@ -118,3 +120,32 @@ def test_run_results_from_json(spark, tmp_path):
     (tmp_path / "sweep.json").write_text(text)
     rows = read_run_results(spark, str(tmp_path / "sweep.json")).collect()
     assert [r.run_name for r in rows] == ["a", "b"] and rows[1].test_metrics.confusion_matrix == [[1, 2], [3, 4]]
+
+
+def test_ranked_values_by_histogram(spark):
+    rnd = random.Random(4)
+    inf = float("inf")
+    tables = [
+        [rnd.random() for _ in range(501)],
+        [0.5] * 400,
+        [rnd.choice([1e-320, 2e-320, 5e-324, 0.0, -0.0]) for _ in range(100)],
+        [1.7e308, -1.7e308, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, 3.0, inf, -inf, inf],
+        [10.0 ** rnd.randint(-300, 300) * rnd.choice([1, -1]) for _ in range(300)],
+        [2.0],
+    ]
+    for values in tables:
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(4)
+        ranks = sorted({0, len(values) // 3, (len(values) - 1) // 2, len(values) // 2, len(values) - 1})
+        got = ranked_values(df, "v", *[lambda n, r=r: r for r in ranks])
+        assert got == [sorted(values)[r] for r in ranks]
+    assert ranked_values(spark.createDataFrame([(None,)], "v double"), "v", lambda n: 0) == [None]
+    assert median(spark.createDataFrame([(1.0,), (4.0,), (2.0,), (9.0,)], "v double"), "v") == 3.0
+
+
+def test_sweep_counts_by_halving(spark):
+    thresholds = [0.2, 0.1, 0.5, 0.9, 0.50000001]
+    rows = [(p, i % 2) for i, p in enumerate([0.0, 0.1, 0.19, 0.2, 0.5, 0.50000001, 0.7, 0.9, 1.0, None, float("nan"), 0.0999999])]
+    got = {r.threshold: (r.tp, r.fp) for r in threshold_sweep(spark.createDataFrame(rows, "prob double, label int"), thresholds).collect()}
+    for t in thresholds:
+        hit = [y for p, y in rows if p is not None and p >= t]
+        assert got[t] == (sum(hit), len(hit) - sum(hit))

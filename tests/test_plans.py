@@ -8,6 +8,7 @@ from spectraloom.functions.lines import luminosity_from_flux
 from spectraloom.operators.dedup import keep_first, keep_last
 from spectraloom.operators.metrics import threshold_sweep
 from spectraloom.operators.neighbours import nearest_partners
+from spectraloom.operators.shape import class_profiles, safe_range, vector_moments
 from spectraloom.operators.ordering import with_positions, with_running_totals
 from spectraloom.operators.select import clean_spectra, redshift_window, select_type1, select_type2, split_processed
 from spectraloom.plans.candidates import find_candidates, type1_candidates, type2_candidates
@@ -118,6 +119,20 @@ def test_kernel_runs_once_per_spectrum(spark):
     assert physical.count("ArrowEvalPython") == 1
 
 
+def test_running_totals_are_made_where_the_ranges_are_stored(spark):
+    df = spark.range(100).withColumn("k", F.col("id") * 7 % 100)
+    physical = plan(with_running_totals(df, "k", {"t": F.col("id")})).split("== Physical Plan ==")[1]
+    assert "Exchange" not in physical and "Sort" not in physical and "Window" not in physical and "MapInArrow" in physical
+
+
+def test_vector_aggregates_shuffle_a_row_per_task_and_class(spark):
+    flux = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (x * F.col("id")).cast("double"))
+    df = spark.range(1000, numPartitions=5).select((F.col("id") % 2).alias("k"), flux.alias("flux"))
+    for text in (plan(class_profiles(df, "k")), plan(safe_range(df, list(range(64))))):
+        assert "Generate" not in text.split("== Physical Plan ==")[1].split("Exchange")[-1]
+    assert vector_moments(df, "k").count() == 10 and vector_moments(df).count() == 5
+
+
 def test_partition_offsets_do_not_use_a_global_window(spark):
     df = spark.range(100).withColumn("k", F.col("id") * 7 % 100)
     for text in (plan(with_positions(df, "k")), plan(with_running_totals(df, "k", {"t": F.col("id")}))):
