@@ -8,7 +8,7 @@ before rows are shuffled.
 
 from pyspark.sql import functions as F
 
-from spectraloom.session import freeze
+from spectraloom.session import handed_over
 
 
 def _stars(links, larger_only):
@@ -33,12 +33,12 @@ def components(links):
     Links to oneself and repeated links change nothing; NULLs are dropped; no links, no rows.
     """
     links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = freeze(links)
+    links = handed_over(links, "links")
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, True).filter("u <> v").distinct()
-        links = freeze(_stars(large, False).filter("u <> v").distinct())
+        links = handed_over(_stars(large, False).filter("u <> v").distinct(), "links")
         before, state = state, _state(links)
         if state == before:
             break

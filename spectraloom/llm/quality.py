@@ -9,10 +9,11 @@ MCD: two starts per group (moments of all points; medians with fixed scales), ea
 concentration steps: keep the `share` of the points nearest to the current estimate, take mean and
 covariance of those, repeat. The start with the smaller determinant wins. The share is found from a
 histogram of distances, so a group of any size is aggregated before it is shuffled and no task holds
-a group. Groups under `min_rows` points share their language's estimate, then a common one; if these
-leftovers are under `min_rows` too, `over_all` holds them against the estimate over all points, and only if
-the whole table has fewer points there is no verdict and the base rules decide. Without `over_all`, as in the
-pipeline, they have no verdict.
+a group: a step is one scan, which sums counts, deviations and products per bin of distance. Groups and
+points are stored once, so every step is a small plan over four numbers per document. Groups under
+`min_rows` points share their language's estimate, then a common one; if these leftovers are under
+`min_rows` too, they are held against the estimate over all points, and only if the whole table has
+fewer points there is no verdict and the base rules decide. `estimate` names the group that was used.
 
 Cases: a NULL text has no words and fails; NULL languages and sources form groups of their own;
 repeated rows are judged each and count each; an empty table gives an empty result; ties get the
@@ -21,9 +22,9 @@ same verdict, as only the statistics decide. Other columns are ignored, whatever
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from spectraloom.session import freeze, scratch_path
+from spectraloom.session import handed_over
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -122,15 +123,19 @@ def _key(*cols):
     return F.to_json(F.array(*[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]))
 
 
-def with_group(points, lang="lang", source="source", min_rows=MIN_ROWS):
-    """Column `_g`: own group, the language's rest, or the common rest; by counts of points."""
-    out = points.withColumn("_g", _key(lang, source))
-    for wider in (_key(lang), F.lit(REST)):
-        small = out.filter("not _failed").groupBy("_g").count().filter(F.col("count") >= min_rows)
-        small = small.select(F.col("_g").alias("_large"))
-        out = out.join(small, out["_g"] == small["_large"], "left")
-        out = out.withColumn("_g", F.when(F.col("_large").isNull(), wider).otherwise(F.col("_g"))).drop("_large")
-    return out
+def assigned_groups(stats, lang="lang", source="source", min_rows=MIN_ROWS):
+    """(g_lang, g_source, _g) per language and source: own group, the language's rest, or the common rest.
+
+    Sizes are counts of points. The table has a row per language and source of `stats`.
+    """
+    points = F.sum((~F.col("_failed")).cast("bigint")).alias("n")
+    out = stats.groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source")).agg(points)
+    out = out.withColumn("_g", _key("g_lang", "g_source"))
+    for wider in (_key("g_lang"), F.lit(REST)):
+        large = out.groupBy(F.col("_g").alias("_large")).agg(F.sum("n").alias("_all")).filter(F.col("_all") >= min_rows)
+        out = out.join(large, F.col("_g") == F.col("_large"), "left")
+        out = out.withColumn("_g", F.when(F.col("_large").isNull(), wider).otherwise(F.col("_g"))).drop("_large", "_all")
+    return out.select("g_lang", "g_source", "_g")
 
 
 def consistency(share):
@@ -144,12 +149,9 @@ def consistency(share):
     return share / below6
 
 
-def _moments(points, by, factor):
-    """Mean and the lower Cholesky factor of factor * covariance + floors, per group, and log det."""
+def _cholesky(out, factor):
+    """Lower Cholesky factor of factor * covariance (c00, c10, ...) + floors, and log det."""
     p = range(len(DIMS))
-    aggs = [F.avg(f"x{i}").alias(f"m{i}") for i in p]
-    aggs += [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in p for j in p if j <= i]
-    out = points.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
     for i in p:
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") * factor
@@ -165,6 +167,14 @@ def _moments(points, by, factor):
     return out.withColumn("logdet", logdet).drop(*[f"c{i}{j}" for i in p for j in p if j <= i])
 
 
+def _moments(points):
+    """Start with mean and covariance of all points."""
+    p = range(len(DIMS))
+    aggs = [F.avg(f"x{i}").alias(f"m{i}") for i in p]
+    aggs += [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in p for j in p if j <= i]
+    return _cholesky(points.groupBy("_g").agg(*aggs), F.lit(1.0)).drop("logdet")
+
+
 def _medians(points):
     """Start with medians and the smallest scales."""
     long = points.select("_g", F.posexplode(F.array(*[f"x{i}" for i in range(len(DIMS))])).alias("d", "x"))
@@ -180,12 +190,10 @@ def _medians(points):
 
 def _quantile(points, by, bin_of, share):
     """Smallest bin of each group at which `share` of its points is reached: counts, then sums over bins."""
-    from pyspark.sql import Window
-
     bins = points.select(*by, bin_of.alias("bin")).groupBy(*by, "bin").count()
-    order = Window.partitionBy(*by).orderBy("bin")
+    order = W.partitionBy(*by).orderBy("bin")
     bins = bins.withColumn("upto", F.sum("count").over(order)).withColumn(
-        "all", F.sum("count").over(Window.partitionBy(*by))
+        "all", F.sum("count").over(W.partitionBy(*by))
     )
     return bins.filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*by).agg(F.min("bin").alias("edge"))
 
@@ -208,51 +216,75 @@ def _bin(distance):
 ESTIMATE = [f"m{i}" for i in range(len(DIMS))] + [f"l{i}{j}" for i in range(len(DIMS)) for j in range(i + 1)]
 
 
+def _step(points, current, share, factor):
+    """Mean and covariance of the nearest `share` of each group's points, per start: one scan of `points`."""
+    p = range(len(DIMS))
+    off = points.join(current, "_g").select(
+        "start", "_g", *[f"m{i}" for i in p], _bin(_distance()).alias("bin"), *[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"d{i}") for i in p]
+    )
+    sums = [F.count("*").alias("n")] + [F.sum(f"d{i}").alias(f"s{i}") for i in p]
+    sums += [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}{j}") for i in p for j in range(i + 1)]
+    by = ["start", "_g", *[f"m{i}" for i in p]]
+    bins = off.groupBy(*by, "bin").agg(*sums)
+    # all bins before the share is reached, and the one it is reached in
+    group = W.partitionBy("start", "_g")
+    before = F.sum("n").over(group.orderBy("bin")) - F.col("n")
+    near = bins.withColumn("before", before).withColumn("all", F.sum("n").over(group))
+    near = near.filter(F.col("before") < F.ceil(F.col("all") * share)).groupBy(*by).agg(
+        F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in p], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i in p for j in range(i + 1)]
+    )
+    mean = [F.col(f"s{i}") / F.col("n") for i in p]
+    out = near.select(
+        "start", "_g", *[(F.col(f"m{i}") + mean[i]).alias(f"m{i}") for i in p],
+        *[(F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)],
+    )
+    return _cholesky(out, factor)
+
+
 def mcd_estimates(points, share=SHARE, steps=STEPS):
-    """One row per `_g`: mean, Cholesky factor of the covariance. `points` has _g, x0.. and is cheap to read again."""
+    """One row per `_g`: mean, Cholesky factor of the covariance. `points` has _g, x0.. and is cheap to read again.
+
+    The estimates of every step are a table of two rows per group.
+    """
     factor = F.lit(consistency(share))
-    first = _moments(points, ["_g"], F.lit(1.0)).select(F.lit("moments").alias("start"), "_g", *ESTIMATE)
+    first = _moments(points).select(F.lit("moments").alias("start"), "_g", *ESTIMATE)
     second = _medians(points).select(F.lit("medians").alias("start"), "_g", *ESTIMATE)
-    current = freeze(first.unionByName(second))
+    current = handed_over(first.unionByName(second), "estimates")
     for _ in range(steps):
-        far = points.join(current, "_g").select("start", "_g", *[f"x{i}" for i in range(len(DIMS))], _bin(_distance()).alias("bin"))
-        edge = _quantile(far, ["start", "_g"], F.col("bin"), share)
-        near = far.join(edge, ["start", "_g"]).filter(F.col("bin") <= F.col("edge"))
-        current = freeze(_moments(near, ["start", "_g"], factor).select("start", "_g", *ESTIMATE, "logdet"))
+        current = handed_over(_step(points, current, share, factor).select("start", "_g", *ESTIMATE, "logdet"), "estimates")
     best = F.min(F.struct("logdet", "start", *ESTIMATE)).alias("b")
-    return freeze(current.groupBy("_g").agg(best).select("_g", *[f"b.{c}" for c in ESTIMATE]))
+    return current.groupBy("_g").agg(best).select("_g", *[f"b.{c}" for c in ESTIMATE])
 
 
-def judge(docs, doc_id="doc_id", text="text", lang="lang", source="source", cutoff=CUTOFF, min_rows=MIN_ROWS, over_all=False):
-    """One row per row of `docs`: `doc_id`, the six statistics, `base_failed`, `distance`, `kept`, `text_hash`.
+def judge(docs, doc_id="doc_id", text="text", lang="lang", source="source", cutoff=CUTOFF, min_rows=MIN_ROWS):
+    """One row per row of `docs`: `doc_id`, the six statistics, `base_failed`, `distance`, `estimate`, `kept`, `text_hash`.
 
     `distance` is NULL where the base rules reject or no estimate exists. The statistics are written
-    to the shared folder once; the estimates read them from there.
+    to the shared folder once, then the points with their groups; the steps read those.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"),
         F.col(source).cast("string").alias("source"), F.col(text).alias("text"),
     )
     stats = text_statistics(rows).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    stats = stats.withColumn("_failed", base_failed()).select(
-        "*", *[x.alias(f"x{i}") for i, x in enumerate(transformed())]
-    )
-    path = scratch_path(spark, "quality")
-    stats.write.parquet(path)
-    stats = with_group(spark.read.parquet(path), min_rows=min_rows)
-    points = stats.filter("not _failed").select("_g", *[f"x{i}" for i in range(len(DIMS))])
-    rest = points.filter(F.col("_g") == REST)
-    if over_all and 0 < rest.limit(min_rows).count() < min_rows:
-        points = points.filter(F.col("_g") != REST).unionByName(points.withColumn("_g", F.lit(REST)))
-    enough = points.groupBy("_g").count().filter(F.col("count") >= min_rows).select("_g")
-    estimates = mcd_estimates(points.join(enough, "_g", "left_semi"))
-    out = stats.join(estimates, "_g", "left").withColumn(
-        "distance", F.when(~F.col("_failed"), _distance())
-    )
+    x = [f"x{i}" for i in range(len(DIMS))]
+    stats = handed_over(stats.withColumn("_failed", base_failed()), "statistics")
+    groups = handed_over(assigned_groups(stats, min_rows=min_rows), "groups")
+    mine = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
+    grouped = stats.join(groups, mine).drop("g_lang", "g_source")
+    points = handed_over(grouped.filter("not _failed").select("_g", *[c.alias(n) for n, c in zip(x, transformed())]), "points")
+    rest = F.col("_g") == REST
+    size = points.agg(F.count("*").alias("all"), F.count_if(rest).alias("rest")).first()
+    if 0 < size["rest"] < min_rows:
+        # leftovers too few for an estimate: held against all points, counted once more under their group's name
+        others = points.filter(~rest)
+        points = others.unionByName(points.withColumn("_g", F.lit(REST))) if size["all"] >= min_rows else others
+    estimates = mcd_estimates(points).withColumnRenamed("_g", "estimate")
+    out = grouped.select("*", *[c.alias(n) for n, c in zip(x, transformed())])
+    out = out.join(estimates, F.col("_g") == F.col("estimate"), "left").withColumn("distance", F.when(~F.col("_failed"), _distance()))
     return out.select(
         "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        "n_repeat_words", F.col("_failed").alias("base_failed"), "distance",
+        "n_repeat_words", F.col("_failed").alias("base_failed"), "distance", F.when(~F.col("_failed"), F.col("estimate")).alias("estimate"),
         (~F.col("_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
     )
 

@@ -78,9 +78,13 @@ def test_statistics_and_verdicts_equal_brute_force(spark):
         if not failed:
             groups.setdefault((r[2], r[3]) if r[2] else "few", []).append((i, brute_point(s)))
     verdict = {}
+    everything = [x for points in groups.values() for x in points]
     for key, points in groups.items():
-        for (i, _), d in zip(points, brute_distances([p for _, p in points]) if key != "few" else [None]):
-            verdict[i] = d
+        # the few are judged with all others
+        judged = points if key != "few" else everything
+        for (i, _), d in zip(judged, brute_distances([p for _, p in judged])):
+            if (i, _) in points:
+                verdict[i] = d
     want = sorted(
         (r[0] is not None, r[0] or 0, *stats[i], i in verdict and (verdict[i] is None or verdict[i] <= quality.CUTOFF)) for i, r in enumerate(rows)
     )
@@ -112,12 +116,12 @@ def test_few_leftovers_are_held_against_all_points(spark):
     odd = " ".join(f"#*$%&|<>{i}" for i in range(90))
     plain = " ".join(f"word{i}" for i in range(90))
     rows += [(900, odd, "rare", "s", 0, "x", "y", 1), (901, plain, "rare", "s", 0, "x", "y", 1)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), min_rows=60, over_all=True).collect()}
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), min_rows=60).collect()}
     fine = [(r[0], s) for r in rows for s in [brute_statistics(r[1])] if not (s[0] < 20 or 100 * s[5] > 30 * s[0])]
     want = dict(zip([i for i, _ in fine], brute_distances([brute_point(s) for _, s in fine])))
     for i in (900, 901):
         assert (got[i].distance is None) == (i not in want)
         assert got[i].distance is None or got[i].distance == pytest.approx(want[i], rel=1e-6)
     assert got[900].distance > quality.CUTOFF and not got[900].kept and got[901].distance is not None
-    few = quality.judge(spark.createDataFrame(rows[:60], SCHEMA), min_rows=100, over_all=True).collect()
+    few = quality.judge(spark.createDataFrame(rows[:60], SCHEMA), min_rows=100).collect()
     assert all(r.distance is None for r in few)
