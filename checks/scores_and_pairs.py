@@ -24,8 +24,10 @@ from spectraloom.operators.ordering import with_group_positions, with_positions
 from spectraloom.operators.ranking import best_epoch, best_run, diagnostic_sample
 from spectraloom.operators.select import clean_spectra
 from spectraloom.operators.split import class_weight, first_per_class, seeded_shuffle, stratified_split
+from spectraloom.plans.classification import evaluate_catalogue, score_catalogue
 from spectraloom.plans.diagnosis import diagnose_sample
 from spectraloom.plans.evaluation import (
+    Model,
     evaluate_pairs,
     evaluate_spectra,
     leaderboard,
@@ -590,6 +592,62 @@ def nearest_same(spark, sf_dir):
     return partners(spark, sf_dir, 20, True)
 
 
+def _classified_sql(columns):
+    return f"""
+    WITH e AS (SELECT vec_id, 'spec-' || vec_id AS filename, vec_id // 2 AS obj_id, label % 2 AS label, vec_id % 83 / 100.0 + 0.01::DOUBLE AS z,
+        vec_id % 41 + 2.0 AS snr, embedding FROM embeddings),
+    best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY snr DESC, filename) = 1),
+    inside AS (SELECT *, {md5_hash_sql("filename || '|42'")} AS h FROM best WHERE z > 0.1 AND z < 0.7),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, filename) AS r, count(*) OVER (PARTITION BY label) AS n FROM inside),
+    test AS (SELECT * FROM r WHERE r > round(n * 0.85::DOUBLE)),
+    px AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM test),
+    k AS (SELECT vec_id, label AS y, (sum(v) FILTER (NOT (4700 + 32 * pos BETWEEN 4575 AND 5550 OR 4700 + 32 * pos BETWEEN 5800 AND 5950
+            OR 4700 + 32 * pos BETWEEN 6200 AND 6699)) > 0)::INT AS p FROM px GROUP BY ALL),
+    c AS (SELECT count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp,
+      count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 1 AND p = 1) AS tp FROM k)
+    SELECT {columns}"""
+
+
+def positive_sum(a):
+    import numpy as np
+
+    x = a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+    return np.where(x.sum(axis=1) > 0, 0.9, 0.1)
+
+
+def stored_catalogue(spark, sf_dir):
+    path = scratch_path(spark, "classified")
+    df = vector_table(spark, sf_dir).withColumn("obj_id", F.floor(F.col("row_idx") / 2).cast("string"))
+    write_catalogue(df, path)
+    return path
+
+
+CLASSIFIED = {"window": (0.1, 0.7), "mask_lines": True, "grid": WAVE}
+
+
+@query("classified_catalogue_rows", _classified_sql("vec_id, y::INT AS label, CASE WHEN p = 1 THEN 0.9 ELSE 0.1 END::DOUBLE AS prob FROM k"))
+def classified_rows(spark, sf_dir):
+    """The test part of a stored catalogue: best spectrum per object, redshift window, split, line ablation, scores."""
+    df = score_catalogue(spark, stored_catalogue(spark, sf_dir), positive_sum, **CLASSIFIED)
+    return df.select(F.substring("filename", 6, 20).cast("bigint").alias("vec_id"), "label", "prob")
+
+
+@query(
+    "classified_catalogue",
+    _classified_sql(
+        """round((CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END
+          + CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) / 2, 9) AS macro_f1,
+        tn, fp, fn, tp FROM c"""
+    ),
+)
+def classified(spark, sf_dir):
+    out = evaluate_catalogue(spark, stored_catalogue(spark, sf_dir), positive_sum, **CLASSIFIED)
+    cells = F.col("confusion_matrix")
+    return out.select(
+        rnd("macro_f1", 9).alias("macro_f1"), cells[0][0].alias("tn"), cells[0][1].alias("fp"), cells[1][0].alias("fn"), cells[1][1].alias("tp")
+    )
+
+
 def vector_table(spark, sf_dir):
     """embeddings with the core columns of a processed catalogue."""
     e = table(spark, sf_dir, "embeddings")
@@ -891,12 +949,6 @@ def evaluated_sweep(spark, sf_dir):
 def ablated_evaluation(spark, sf_dir):
     df = embeddings(spark, sf_dir).withColumn("label", F.col("label") % 2).withColumnRenamed("x", "flux")
 
-    def positive_sum(a):
-        import numpy as np
-
-        x = a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
-        return np.where(x.sum(axis=1) > 0, 0.9, 0.1)
-
     scored_df = score_spectra(df, positive_sum, mask_lines=True, grid=WAVE)
     out = evaluate_spectra(scored_df)
     return out.select(rnd("macro_f1", 9).alias("macro_f1"), rnd("balanced_accuracy", 9).alias("balanced_accuracy"))
@@ -1245,6 +1297,72 @@ def real_processed(spark, sf_dir):
     return good.select("sdssid", F.size("flux_1").alias("n1"), F.size("flux_2").alias("n2"), edge.cast("double").alias("edge"))
 
 
+def _pair_vectors_sql():
+    """Both members of every pair prepared at the pair's redshift; a member's number is twice its pair's, plus its side."""
+    start, end = PREPROCESSED_SQL.index("  raw AS"), PREPROCESSED_SQL.index("  sides AS")
+    raw = """
+      spec AS (SELECT DISTINCT event_id // 100 AS id FROM events), m AS (SELECT max(id) AS last FROM spec),
+      raw AS (SELECT 2 * id + side AS spec_id, id % 8 / 1000.0::DOUBLE AS z,
+          5400.0 + 4.0 * (event_id % 100) + (epoch_us(ts) % 1000000) / 400000.0 AS wave, value AS flux
+        FROM events, m, (VALUES (0), (1)) sides(side) JOIN spec ON event_id // 100 = id + side
+        WHERE event_type <> 'error' AND id % 10 <> 3 AND id < last),
+    """
+    prepared = PREPROCESSED_SQL[:start] + raw + PREPROCESSED_SQL[end:]
+    return f"SELECT spec_id // 2 AS sdssid, spec_id % 2 + 1 AS side, pos, value FROM ({prepared})"
+
+
+@query("real_pairs_vectors", _pair_vectors_sql())
+def real_vectors(spark, sf_dir):
+    """Both vectors of every processed pair, by value."""
+    good, _ = preprocess_pairs(*real_pairs(spark, sf_dir), grid=GRID, window=WINDOW)
+    sides = good.select("sdssid", F.posexplode(F.array("flux_1", "flux_2")).alias("side", "flux"))
+    pixels = sides.select("sdssid", (F.col("side") + 1).cast("bigint").alias("side"), F.posexplode("flux").alias("pos", "v"))
+    return pixels.select("sdssid", "side", F.col("pos").cast("bigint").alias("pos"), rnd("v", 2).alias("value"))
+
+
+@query(
+    "line_ablated_pairs",
+    f"""
+    WITH px AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+    n AS (SELECT count(*) AS n FROM embeddings),
+    kept AS (SELECT * FROM px WHERE NOT (4700 + 32 * pos BETWEEN 4575 AND 5550 OR 4700 + 32 * pos BETWEEN 5800 AND 5950
+               OR 4700 + 32 * pos BETWEEN 6200 AND 6699)),
+    sc AS (SELECT a.vec_id AS sdssid, any_value((a.label + b.label) % 2) AS label, (1 - 6 * sum(a.v * b.v)) / 2 AS prob
+           FROM kept a, n JOIN kept b ON b.vec_id = (a.vec_id + 1) % n AND b.pos = a.pos GROUP BY 1),
+    x AS (SELECT *, 0.5::DOUBLE AS th FROM sc), c AS (SELECT {COUNTS_SQL} FROM x),
+    r AS (SELECT prob AS p, label AS y FROM sc), ranked AS (WITH {RANK_SQL})
+    SELECT 0.5::DOUBLE AS threshold, tn, fp, fn, tp, {METRICS_SQL}, round(roc_auc, 7) AS roc_auc,
+           round(average_precision, 7) AS average_precision FROM c, ranked
+    """,
+)
+def ablated_pairs(spark, sf_dir):
+    """Pairs whose vectors have the line regions zeroed, scored by a model with weights and evaluated."""
+    df = vector_table(spark, sf_dir)
+    count = df.select(F.count("*")).scalar()
+    other = df.select(((F.col("row_idx") + count - 1) % count).alias("row_idx"), F.col("agn_type").alias("other"))
+    pairs = df.join(other, "row_idx").select(
+        F.col("row_idx").alias("pair_id"), F.col("row_idx").alias("first_idx"), ((F.col("row_idx") + 1) % count).alias("second_idx"),
+        ((F.col("agn_type") + F.col("other")) % 2).alias("label"), F.col("row_idx").alias("sdssid"),
+        F.concat(F.lit("a"), "row_idx").alias("specname_dr16"), F.concat(F.lit("b"), "row_idx").alias("specname_sdssv"),
+    )
+    both = pair_vectors(pairs, df, WAVE, mask_lines=True)
+    model = Model(spark, weighted_model, weighted_score, weights=[6.0] * len(WAVE))
+    out = evaluate_pairs(score_pairs(both, model), 0.5)["metrics"]
+    out = out.withColumns({c: rnd(c, 7) for c in ("roc_auc", "average_precision")})
+    return rounded_metrics(out, ["threshold", "tn", "fp", "fn", "tp", "roc_auc", "average_precision"])
+
+
+def weighted_model(weights):
+    import numpy as np
+
+    return np.array(weights)
+
+
+def weighted_score(model, a, b):
+    x, y = (c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1) for c in (a, b))
+    return (1 - (x * y * model).sum(axis=1)) / 2
+
+
 @query("diagnosed_sample")
 def diagnosed(spark, sf_dir):
     good, log = preprocess_pairs(*real_pairs(spark, sf_dir), grid=GRID, window=WINDOW, keep_raw=True)

@@ -13,6 +13,7 @@ from spectraloom.operators.shape import (
     decode_strings,
     keep_renamed,
     spectrum_by_filename,
+    spectrum_by_ordinal,
     wide_to_array,
 )
 from spectraloom.operators.split import scaled_redshift
@@ -25,6 +26,8 @@ from spectraloom.plans.candidates import (
     type2_candidates,
     unique_targets,
 )
+from spectraloom.session import scratch_path
+from spectraloom.sources.results import write_lookup_catalogue
 from spectraloom.sources.tables import checked_manifest, scalar_columns
 
 from .registry import query, rnd, table
@@ -403,6 +406,36 @@ def window(spark, sf_dir):
     return redshift_window(p).select("p_partkey", "p_size")
 
 
+LOOKUP_SQL = """
+    SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS total
+    FROM embeddings WHERE vec_id IN (SELECT max(vec_id) // 2 FROM embeddings)
+"""
+
+
+def looked_up(spark, sf_dir, find):
+    """A catalogue stored for lookups, and the spectrum in its middle."""
+    path = scratch_path(spark, "lookups")
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(
+        F.col("vec_id").alias("row_idx"), F.concat(F.lit("spec-"), "vec_id").alias("filename"), "vec_id", "label", F.col("embedding").alias("flux")
+    )
+    write_lookup_catalogue(rows, path)
+    middle = e.select(F.floor(F.max("vec_id") / 2)).first()[0]
+    found = find(spark.read.parquet(path), middle)
+    total = F.aggregate("flux", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return found.select("vec_id", "label", rnd(total, 6).alias("total"))
+
+
+@query("spectrum_lookup_by_name", LOOKUP_SQL)
+def lookup_by_name(spark, sf_dir):
+    return looked_up(spark, sf_dir, lambda df, middle: spectrum_by_filename(df, f"spec-{middle}"))
+
+
+@query("spectrum_lookup_by_ordinal", LOOKUP_SQL)
+def lookup_by_ordinal(spark, sf_dir):
+    return looked_up(spark, sf_dir, spectrum_by_ordinal)
+
+
 @query("spectrum_lookup", "SELECT event_id, event_type, value FROM events WHERE event_id = (SELECT max(event_id) FROM events)")
 def lookup(spark, sf_dir):
     e = table(spark, sf_dir, "events")

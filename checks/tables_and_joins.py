@@ -308,6 +308,34 @@ def manifest(spark, sf_dir):
     return read_manifest(spark, path).select("sdssid", "z", "label")
 
 
+@query(
+    "run_results_documents",
+    """
+    SELECT 'run_' || s_suppkey AS run_name, s_nationkey / 100.0::DOUBLE AS focal_alpha, s_suppkey AS tn, s_nationkey::BIGINT AS fp,
+           s_acctbal AS macro_f1, s_name AS model_path FROM supplier
+    """,
+)
+def run_documents(spark, sf_dir):
+    """Result documents over several lines, one per file, with fields of the full schema missing."""
+    path = scratch_path(spark, "documents")
+    metrics = F.struct(
+        F.col("s_acctbal").alias("macro_f1"),
+        F.array(F.array("s_suppkey", F.col("s_nationkey").cast("bigint")), F.array(F.lit(0), F.lit(1))).alias("confusion_matrix"),
+    )
+    runs = table(spark, sf_dir, "supplier").select(
+        F.struct(
+            F.concat(F.lit("run_"), "s_suppkey").alias("run_name"), (F.col("s_nationkey") / 100.0).alias("focal_alpha"),
+            metrics.alias("test_metrics"), F.col("s_name").alias("model_path"),
+        ).alias("run")
+    )
+    runs.select(F.to_json("run", {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    back = read_run_results(spark, path)
+    cells = F.col("test_metrics.confusion_matrix")
+    return back.select(
+        "run_name", "focal_alpha", cells[0][0].alias("tn"), cells[0][1].alias("fp"), "test_metrics.macro_f1", "model_path"
+    )
+
+
 @query(
     "run_results_json",
     """

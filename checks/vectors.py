@@ -619,3 +619,81 @@ def diagnosis(spark, sf_dir):
         "hb_ind_peak_dr16": 6,
     }
     return df.select("sdssid", *[rnd(c, d).alias(c) for c, d in digits.items()])
+
+
+# 64 pixels from 4680 in steps of 40, which fill all bands of both lines
+WIDE = [4680.0 + 40.0 * i for i in range(64)]
+WIDE_SQL = "4680.0 + 40.0 * pos"
+BOTH_FLUXES_SQL = """
+  w AS (SELECT vec_id, pos, v, 4680.0 + 40.0 * pos AS wave FROM px),
+  c AS (SELECT vec_id, median(v) FILTER (wave BETWEEN 4670 AND 4730) AS hb_blue, median(v) FILTER (wave BETWEEN 5080 AND 5120) AS hb_red,
+      median(v) FILTER (wave BETWEEN 6150 AND 6250) AS ha_blue, median(v) FILTER (wave BETWEEN 6950 AND 7150) AS ha_red FROM w GROUP BY vec_id),
+  d AS (SELECT vec_id, 'hb' AS line, wave, v - (hb_blue + (hb_red - hb_blue) * (wave - 4700) / 400.0) AS d FROM w JOIN c USING (vec_id)
+          WHERE wave BETWEEN 4797.8 AND 4927.5
+        UNION ALL SELECT vec_id, 'ha', wave, v - (ha_blue + (ha_red - ha_blue) * (wave - 6200) / 850.0) FROM w JOIN c USING (vec_id)
+          WHERE wave BETWEEN 6477.1 AND 6652.1),
+  step AS (SELECT vec_id, line, (d + lead(d) OVER o) / 2 * (lead(wave) OVER o - wave) AS s FROM d
+           WINDOW o AS (PARTITION BY vec_id, line ORDER BY wave)),
+  lf AS (SELECT vec_id, sum(s) FILTER (line = 'hb') AS hb, sum(s) FILTER (line = 'ha') AS ha FROM step GROUP BY vec_id)
+"""
+
+
+@query("line_flux_both_lines", f"WITH {PIXELS}, {BOTH_FLUXES_SQL} SELECT vec_id, round(hb, 6) + 0.0 AS hb, round(ha, 6) + 0.0 AS ha FROM lf")
+def both_line_fluxes(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    return df.select("vec_id", *[rnd(spectra.line_flux("x", WIDE, line), 6).alias(line) for line in ("hb", "ha")])
+
+
+def _measured_sql():
+    """Every field of a diagnosis: what one vector gives, then what a pair's common scale gives."""
+    wing = {
+        "hb": f"({WIDE_SQL} BETWEEN 4797.8 AND 4840 OR {WIDE_SQL} BETWEEN 4885 AND 4927.5)",
+        "ha": f"({WIDE_SQL} BETWEEN 6477.1 AND 6535 OR {WIDE_SQL} BETWEEN 6600 AND 6652.1)",
+    }
+    peak = {"hb": f"({WIDE_SQL} BETWEEN 4700 AND 5100)", "ha": f"({WIDE_SQL} BETWEEN 6300 AND 6699)"}
+    alone = [f"avg(abs({x})) FILTER {wing[n]} AS {n}_{kind}_wing" for kind, x in (("flat", "f"), ("ind", "x")) for n in wing]
+    alone += [f"max({x}) FILTER {peak[n]} - median({x}) AS {n}_{kind}_peak" for kind, x in (("flat", "f"), ("ind", "x")) for n in peak]
+    out = []
+    for side, t in (("dr16", "a"), ("sdssv", "b")):
+        out += [f"round({t}.med, 8) + 0.0 AS {side}_ind_median", f"round({t}.mad, 8) AS {side}_ind_mad"]
+        for n in wing:
+            out.append(f"round({t}.{n}, 6) + 0.0 AS {n}_paper_flux_{side}")
+            out.append(f"round({t}.{n}_flat_wing, 8) AS {n}_flat_wing_{side}, round({t}.{n}_ind_wing, 5) AS {n}_ind_wing_{side}")
+            out.append(f"round({t}.{n}_flat_peak, 8) AS {n}_flat_peak_{side}, round({t}.{n}_ind_peak, 5) AS {n}_ind_peak_{side}")
+            out.append(f"round(p.{n}_{side}, 5) AS {n}_pair_wing_{side}")
+    ratio = lambda x, y: f"greatest(abs({x}), abs({y})) / (least(abs({x}), abs({y})) + 1e-8)"
+    # flux ratios can be as large as the smaller flux is small: their logarithm is compared
+    out += [f"round(ln({ratio(f'a.{n}', f'b.{n}')}), 4) + 0.0 AS {n}_paper_flux_ratio" for n in wing]
+    pair = [f"avg(abs(x)) FILTER (side = '{s}' AND {wing[n]}) AS {n}_{s}" for n in wing for s in ("dr16", "sdssv")]
+    return f"""
+    WITH {MAD}, {BOTH_FLUXES_SQL}, n AS (SELECT count(*) AS n FROM embeddings),
+    one AS (SELECT vec_id, any_value(med) AS med, any_value(mad) AS mad FROM mad GROUP BY 1),
+    v1 AS (SELECT vec_id, {", ".join(alone)} FROM ind GROUP BY vec_id),
+    v AS (SELECT * FROM v1 JOIN one USING (vec_id) JOIN lf USING (vec_id)),
+    pr AS (SELECT vec_id AS id, vec_id, 'dr16' AS side FROM embeddings UNION ALL SELECT vec_id, (vec_id + 1) % n, 'sdssv' FROM embeddings, n),
+    pf AS (SELECT id, side, pos, f FROM pr JOIN flat USING (vec_id)),
+    pmed AS (SELECT id, quantile_disc(f, 0.5) AS med FROM pf GROUP BY id),
+    pmad AS (SELECT id, any_value(med) AS med, quantile_disc(abs(f - med), 0.5) AS mad FROM pf JOIN pmed USING (id) GROUP BY id),
+    px2 AS (SELECT id, side, pos, (f - med) / (mad * 1.4826 + 1e-8) * t AS x FROM pf JOIN pmad USING (id) JOIN taper USING (pos)),
+    p AS (SELECT id, {", ".join(pair)} FROM px2 GROUP BY id)
+    SELECT a.vec_id AS sdssid, a.label::DOUBLE AS z, a.label AS true_label, a.label / 10.0::DOUBLE AS prob_change,
+      round(s.med, 8) + 0.0 AS pair_shared_median, round(s.mad, 8) AS pair_shared_mad,
+      round({ratio("a.mad", "b.mad")}, 5) AS mad_ratio_max_over_min, {", ".join(out)}
+    FROM (SELECT v.*, label FROM v JOIN embeddings USING (vec_id)) a, n JOIN v b ON b.vec_id = (a.vec_id + 1) % n
+      JOIN pmad s ON s.id = a.vec_id JOIN p ON p.id = a.vec_id
+    """
+
+
+@query("pair_diagnosis_all_fields", _measured_sql())
+def diagnosis_all_fields(spark, sf_dir):
+    """All 37 fields, on a grid that fills every band."""
+    pairs = neighbour_pairs(spark, sf_dir).select(
+        F.col("vec_id").alias("sdssid"), F.col("label").cast("double").alias("z"), F.col("label").alias("true_label"),
+        (F.col("label") / 10.0).alias("prob_change"), F.col("x").alias("raw_1"), F.col("y").alias("raw_2"),
+    )
+    df = diagnose_pairs(pairs, WIDE, WINDOW)
+    assert len(df.columns) == 37
+    digits = lambda c: 6 if "paper_flux_" in c else 5 if c == "mad_ratio_max_over_min" or "pair_wing" in c or "_ind_wing" in c or "_ind_peak" in c else 8
+    value = lambda c: rnd(F.log(F.col(c)), 4) if c.endswith("flux_ratio") else rnd(c, digits(c))
+    kept = ["sdssid", "z", "true_label", "prob_change"]
+    return df.select(*kept, *[value(c).alias(c) for c in df.columns if c not in kept])

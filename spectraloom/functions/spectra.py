@@ -157,6 +157,68 @@ def peak_above_median(x, grid, line):
     return _measure_udf(kernels.peak_above_median, grid, line)(x)
 
 
+#: a pair's measurements: one Python hop for all of them
+SIDES = ("dr16", "sdssv")
+LINES = ("hb", "ha")
+SCALINGS = ("flat", "ind", "pair")
+MEASUREMENTS = (
+    *[f"{s}_ind_{m}" for s in SIDES for m in ("median", "mad")],
+    "pair_shared_median",
+    "pair_shared_mad",
+    *[f"{line}_paper_flux_{s}" for line in LINES for s in SIDES],
+    *[f"{line}_{kind}_wing_{s}" for kind in SCALINGS for line in LINES for s in SIDES],
+    *[f"{line}_{kind}_peak_{s}" for kind in SCALINGS[:2] for line in LINES for s in SIDES],
+)
+
+
+def pair_measurements(first, second, grid, window=CONTINUUM_WINDOW, taper_len=TAPER_LEN):
+    """Struct of `MEASUREMENTS` of a pair of grid spectra; NULL where a vector is missing or does not fit."""
+    grid = np.asarray(grid, dtype=float)
+
+    def bands(out, rows, x, kind, side, peak=True):
+        if x.shape[1] == len(grid):
+            for line in LINES:
+                out[f"{line}_{kind}_wing_{side}"][rows] = kernels.wing_score(x, grid, line)
+                if peak:
+                    out[f"{line}_{kind}_peak_{side}"][rows] = kernels.peak_above_median(x, grid, line)
+
+    def one_side(out, rows, raw, side):
+        """Fills in what one spectrum gives alone; returns it without continuum, or None if it is too short."""
+        if raw.shape[1] == len(grid):
+            for line in LINES:
+                out[f"{line}_paper_flux_{side}"][rows] = kernels.line_flux(raw, grid, line)
+        if raw.shape[1] <= window // 2:
+            return None
+        flat = kernels.subtract_continuum(raw, window)
+        middle, mad = kernels.median_and_mad(flat)
+        out[f"{side}_ind_median"][rows], out[f"{side}_ind_mad"][rows] = middle, mad
+        bands(out, rows, flat, "flat", side)
+        bands(out, rows, kernels.taper(kernels.scale_by_mad(flat, middle, mad), taper_len), "ind", side)
+        return flat
+
+    @F.arrow_udf("struct<" + ", ".join(f"{m}: double" for m in MEASUREMENTS) + ">")
+    def apply(first: pa.Array, second: pa.Array) -> pa.Array:
+        n = len(first)
+        out = {m: np.full(n, np.nan) for m in MEASUREMENTS}
+        both = np.zeros(n, dtype=bool)
+        for rows, pair in _by_length([first, second]):
+            both[rows] = True
+            flats = [one_side(out, rows, m, s) for m, s in zip(pair, SIDES)]
+            if flats[0] is not None:
+                middle, mad = kernels.median_and_mad(np.concatenate(flats, axis=1))
+                out["pair_shared_median"][rows], out["pair_shared_mad"][rows] = middle, mad
+                for flat, side in zip(flats, SIDES):
+                    bands(out, rows, kernels.taper(kernels.scale_by_mad(flat, middle, mad), taper_len), "pair", side, peak=False)
+        for column, side in zip((first, second), SIDES):
+            for rows, (m,) in _by_length([column]):
+                alone = ~both[rows]
+                if alone.any():
+                    one_side(out, rows[alone], m[alone], side)
+        return pa.StructArray.from_arrays([_numbers(out[m]) for m in MEASUREMENTS], list(MEASUREMENTS))
+
+    return _once(apply)(first, second)
+
+
 def pixel_stats(x):
     """Struct of zero fraction, largest and smallest value and whether any pixel is finite."""
 

@@ -90,16 +90,17 @@ def let(values, body):
 
 
 def zero_span(x, start, length):
-    """Zero `length` values from position `start`; missing start leaves `x` unchanged."""
+    """Zero `length` values from position `start`; missing start leaves `x` unchanged.
 
-    def body(s):
-        def value(v, i):
-            inside = (i >= s["start"]) & (i < s["start"] + s["length"])
-            return F.when(inside, F.lit(0)).otherwise(v)
-
-        return F.transform(s["x"], value)
-
-    return let({"x": _col(x), "start": _col(start), "length": _col(length)}, body)
+    Three slices put together: nothing is evaluated per value.
+    """
+    x, start, length = _col(x), _col(start).cast("int"), _col(length).cast("int")
+    size = F.size(x)
+    first = F.least(F.greatest(start, F.lit(0)), size)
+    stop = F.least(F.greatest(start + length, first), size)
+    zeros = F.array_repeat(F.lit(0), stop - first)
+    cut = F.concat(F.slice(x, F.lit(1), first), zeros, F.slice(x, stop + 1, size - stop))
+    return F.when(start.isNull() | length.isNull(), x).otherwise(cut)
 
 
 def _total(x):

@@ -3,65 +3,26 @@
 from pyspark.sql import functions as F
 
 from ..functions.lines import safe_ratio
-from ..functions.spectra import (
-    continuum_subtracted,
-    line_flux,
-    mad_normalized,
-    pair_mad_normalized,
-    peak_above_median,
-    wing_score,
-)
+from ..functions.spectra import LINES, MEASUREMENTS, SIDES, pair_measurements
 from ..operators.joins import counted_side, with_errors
 from ..session import freeze
 from ..settings import CONTINUUM_WINDOW, TAPER_LEN, master_grid
 
-SIDES = ("dr16", "sdssv")
-LINES = ("hb", "ha")
-
 
 def diagnose_pairs(pairs, grid=None, window=CONTINUUM_WINDOW, taper_len=TAPER_LEN, keep=()):
-    """One row of measurements per pair with raw grid spectra raw_1 and raw_2."""
+    """One row of measurements per pair with raw grid spectra raw_1 and raw_2.
+
+    All measurements come from one kernel, so that the vectors go to Python once.
+    """
     grid = master_grid() if grid is None else grid
-    df = pairs.withColumns(
-        {f"flat_{s}": continuum_subtracted(f"raw_{i}", window) for i, s in enumerate(SIDES, 1)}
-    )
-    df = df.withColumns(
-        {
-            **{f"ind_{s}": mad_normalized(f"flat_{s}", taper_len) for s in SIDES},
-            "pair": pair_mad_normalized("flat_dr16", "flat_sdssv", taper_len),
-        }
-    )
-    # vector column behind each measurement
-    vectors = {
-        "flat": {s: F.col(f"flat_{s}") for s in SIDES},
-        "ind": {s: F.col(f"ind_{s}.normalized") for s in SIDES},
-        "pair": {"dr16": F.col("pair.first"), "sdssv": F.col("pair.second")},
-    }
-    out = {}
-    for s in SIDES:
-        out[f"{s}_ind_median"] = F.col(f"ind_{s}.median")
-        out[f"{s}_ind_mad"] = F.col(f"ind_{s}.mad")
-    out["mad_ratio_max_over_min"] = safe_ratio(F.col("ind_dr16.mad"), F.col("ind_sdssv.mad"))
-    out["pair_shared_median"] = F.col("pair.median")
-    out["pair_shared_mad"] = F.col("pair.mad")
-    for line in LINES:
-        for i, s in enumerate(SIDES, 1):
-            out[f"{line}_paper_flux_{s}"] = line_flux(F.col(f"raw_{i}"), grid, line)
-    for kind in ("flat", "ind", "pair"):
-        for line in LINES:
-            for s in SIDES:
-                out[f"{line}_{kind}_wing_{s}"] = wing_score(vectors[kind][s], grid, line)
-    for kind in ("flat", "ind"):
-        for line in LINES:
-            for s in SIDES:
-                out[f"{line}_{kind}_peak_{s}"] = peak_above_median(vectors[kind][s], grid, line)
     ids = [c for c in ("sdssid", "z", "true_label", "prob_change") if c in pairs.columns]
     kept = [c for c in keep if c in pairs.columns and c not in ids]
-    measured = df.select(*ids, *kept, *[value.alias(name) for name, value in out.items()])
+    measured = pairs.select(*ids, *kept, pair_measurements("raw_1", "raw_2", grid, window, taper_len).alias("m"))
+    measured = measured.select(*ids, *kept, *[F.col("m")[name].alias(name) for name in MEASUREMENTS])
+    ratios = {"mad_ratio_max_over_min": safe_ratio(*[F.col(f"{s}_ind_mad") for s in SIDES])}
     for line in LINES:
-        ratio = safe_ratio(*[F.col(f"{line}_paper_flux_{s}") for s in SIDES])
-        measured = measured.withColumn(f"{line}_paper_flux_ratio", ratio)
-    return measured
+        ratios[f"{line}_paper_flux_ratio"] = safe_ratio(*[F.col(f"{line}_paper_flux_{s}") for s in SIDES])
+    return measured.withColumns(ratios)
 
 
 def diagnose_sample(sample, spectra_pairs, failures, keys=("sdssid", "specname_dr16", "specname_sdssv"), **options):

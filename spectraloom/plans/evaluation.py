@@ -1,5 +1,8 @@
 """Scoring with a supplied model and the evaluation of scores."""
 
+import uuid
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
@@ -23,21 +26,55 @@ from ..settings import master_grid
 PREDICTION_META = ("sdssid", "z", "specname_dr16", "specname_sdssv", "dr16_path", "sdssv_path")
 
 
+class Model:
+    """A scorer with weights: `load(weights)` makes the model once per Python worker, `score(model, *arrays)` uses it.
+
+    The weights (anything picklable, or None) are shipped to every executor once, as a broadcast; they
+    are a model's, so their size does not grow with the data.
+    """
+
+    def __init__(self, spark, load, score, weights=None):
+        self.key = uuid.uuid4().hex
+        self.load, self.score, self.weights = load, score, spark.sparkContext.broadcast(weights)
+
+    def __call__(self, *arrays):
+        if self.key not in _LOADED:
+            _LOADED[self.key] = self.load(self.weights.value)
+        return self.score(_LOADED[self.key], *arrays)
+
+
+#: models of this Python worker
+_LOADED = {}
+
+
+def _scored(scorer, *columns):
+    """Column of scores by a batch function; batches stream through it, one model for all of a task's."""
+    if len(columns) == 1:
+
+        @F.arrow_udf("double")
+        def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for a in batches:
+                yield pa.array(scorer(a), type=pa.float64())
+    else:
+
+        @F.arrow_udf("double")
+        def apply(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for arrays in batches:
+                yield pa.array(scorer(*arrays), type=pa.float64())
+
+    # not deterministic for the optimizer, so that a filter on the score does not run the model again
+    return apply.asNondeterministic()(*columns)
+
+
 def score_pairs(pairs, scorer, first="flux_1", second="flux_2", name="prob_change"):
     """Add a score per pair.
 
-    `scorer` is a Column, or a batch function of two Arrow list arrays that returns one
-    number per row; a function runs on the executors, once per Arrow batch.
+    `scorer` is a Column, a `Model`, or a batch function of two Arrow list arrays that returns one
+    number per row; the last two run on the executors, once per Arrow batch.
     """
     if isinstance(scorer, Column):
         return pairs.withColumn(name, scorer.cast("double"))
-
-    @F.arrow_udf("double")
-    def apply(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(scorer(a, b), type=pa.float64())
-
-    # not deterministic for the optimizer, so that a filter on the score does not run the model again
-    return pairs.withColumn(name, apply.asNondeterministic()(F.col(first), F.col(second)))
+    return pairs.withColumn(name, _scored(scorer, F.col(first), F.col(second)))
 
 
 def score_spectra(df, scorer, flux="flux", name="prob", mask_lines=False, grid=None):
@@ -46,11 +83,7 @@ def score_spectra(df, scorer, flux="flux", name="prob", mask_lines=False, grid=N
     if isinstance(scorer, Column):
         return df.withColumn(flux, x).withColumn(name, scorer.cast("double"))
 
-    @F.arrow_udf("double")
-    def apply(a: pa.Array) -> pa.Array:
-        return pa.array(scorer(a), type=pa.float64())
-
-    return df.withColumn(name, apply.asNondeterministic()(x))
+    return df.withColumn(name, _scored(scorer, x))
 
 
 def prediction_table(scored, threshold, meta=PREDICTION_META, label="label"):

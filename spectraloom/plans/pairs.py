@@ -181,6 +181,11 @@ def resolve_pairs(manifest, first_dir, second_dir):
     )
 
 
+def _member_key(path, z):
+    """One text for a spectrum at a redshift, missing ones included."""
+    return F.concat(F.coalesce(F.col(z).cast("string"), F.lit("?")), F.lit(" "), F.col(path))
+
+
 def preprocess_pairs(
     manifest, spectra, listing=None, grid=None, window=CONTINUUM_WINDOW, taper_len=TAPER_LEN, keep_raw=False
 ):
@@ -193,23 +198,12 @@ def preprocess_pairs(
     grid = master_grid() if grid is None else grid
     listing = spectra.select("path") if listing is None else listing
     kept, missing = pairs_with_files(manifest, listing)
-    members = kept.select(
-        "sdssid",
-        "specname_dr16",
-        "specname_sdssv",
-        "z",
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("side"), F.col("dr16_path").alias("path")),
-                F.struct(F.lit(2).alias("side"), F.col("sdssv_path").alias("path")),
-            )
-        ).alias("m"),
-    ).select("sdssid", "specname_dr16", "specname_sdssv", "z", "m.side", "m.path")
+    sides = {1: "dr16_path", 2: "sdssv_path"}
+    members = kept.select("z", F.explode(F.array(*sides.values())).alias("path"))
     # frozen before it is counted: behind it stand the existence joins
     wanted = spectra.drop("z").join(counted_side(freeze(members.select("path", "z").distinct())), "path")
     done = wanted.select(
-        F.col("path").alias("__path"),
-        F.col("z").alias("__z"),
+        _member_key("path", "z").alias("member"),
         prepared_spectrum(
             observed_wavelengths(wanted),
             F.col("flux"),
@@ -221,15 +215,14 @@ def preprocess_pairs(
             keep_raw=keep_raw,
         ).alias("p"),
     )
-    done = handed_over(done, "members")  # pairs and log both read it: the kernel runs once
-    same = (F.col("path") == F.col("__path")) & F.col("z").eqNullSafe(F.col("__z"))
-    keys = ["sdssid", "specname_dr16", "specname_sdssv", "z"]
-    vectors = (
-        members.join(done, same, "left")
-        .groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
-        .agg(*[F.max_by("p", F.when(F.col("side") == s, 1)).alias(f"p{s}") for s in (1, 2)])
-    )
-    named = kept.join(vectors, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    # pairs and log both read it: the kernel runs once; each pair gets its members from it by their key
+    done = handed_over(done, "members", by=("member",))
+    named = kept
+    for side, path in sides.items():
+        named = named.withColumn(f"__member_{side}", _member_key(path, "z"))
+    for side in sides:
+        processed = done.select(F.col("member").alias(f"__member_{side}"), F.col("p").alias(f"p{side}"))
+        named = named.join(processed, f"__member_{side}", "left")
     error = F.coalesce(F.col("p1.error"), F.col("p2.error"))
     raw = ["raw"] if keep_raw else []
     good = named.filter(error.isNull()).select(

@@ -26,6 +26,26 @@ def as_json_text(df):
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
+#: columns that spectra are looked up by, and the distinct values a row group is prepared for
+LOOKUP_COLUMNS = ("filename", "obj_id")
+LOOKUP_VALUES = 200_000
+
+
+def write_lookup_catalogue(df, path, mode="errorifexists", ordinal="row_idx", row_group_mb=None):
+    """Parquet for lookups of single spectra: sorted by `ordinal`, bloom filters on file and object names.
+
+    An ordinal is found by the bounds of its row group, a name by the bloom filters: a lookup decodes
+    the vectors of about one row group, however large the catalogue is.
+    """
+    writer = df.repartitionByRange(ordinal).sortWithinPartitions(ordinal).write.mode(mode)
+    for name in (c for c in LOOKUP_COLUMNS if c in df.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{name}", LOOKUP_VALUES)
+    if row_group_mb is not None:
+        writer = writer.option("parquet.block.size", int(row_group_mb * 2**20))
+    writer.parquet(path)
+
+
 def write_catalogue(df, path, mode="errorifexists", partition_by_class=False):
     """Parquet in array layout, sorted so that class and SNR filters skip row groups."""
     writer = df.sortWithinPartitions("agn_type", "snr").write.mode(mode)

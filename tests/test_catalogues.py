@@ -9,6 +9,7 @@ from spectraloom.plans.candidates import TYPE1_BASE, TYPE1_LINES, download_manif
 from spectraloom.plans.preprocessing import build_catalogue, preprocess_spectra, run_preprocessing
 from spectraloom.settings import master_grid
 from spectraloom.sources.tables import checked_manifest
+from spectraloom.sources.results import write_lookup_catalogue
 from spectraloom.streaming.ingest import ingest_batch, stream_catalogue
 
 NAN, INF = float("nan"), float("inf")
@@ -208,3 +209,42 @@ def test_stream_adds_each_file_once(spark, tmp_path):
 
 def test_master_grid_length():
     assert len(master_grid()) == 1024
+
+
+def rows_read(df):
+    """Rows that the scan of a collected query handed on, after row groups were skipped."""
+    found = []
+
+    def visit(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return visit(node.executedPlan())
+        if name.startswith("Scan"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return sum(found)
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    flux = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: F.rand(3))
+    df = spark.range(20_000, numPartitions=2).select(
+        F.col("id").alias("row_idx"), F.concat(F.lit("spec-"), F.md5(F.col("id").cast("string"))).alias("filename"),
+        F.concat(F.lit("o"), F.col("id") % 9000).alias("obj_id"), flux.alias("flux"),
+    )
+    path = str(tmp_path / "lookups")
+    write_lookup_catalogue(df, path, row_group_mb=1)
+    stored = spark.read.parquet(path)
+    name = stored.filter("row_idx = 12345").first()["filename"]
+    for found in (stored.filter(F.col("filename") == name), stored.filter(F.col("row_idx") == 12345)):
+        assert [r.row_idx for r in found.collect()] == [12345]
+        assert 0 < rows_read(found) <= 3000
+    absent = stored.filter("filename = 'spec-none'")
+    assert absent.collect() == [] and rows_read(absent) <= 3000
+    objects = stored.filter("obj_id = 'o77'")
+    assert len(objects.collect()) == 3 and rows_read(objects) <= 9000
+    everything = stored.filter("filename like '%x-none'")
+    assert everything.collect() == [] and rows_read(everything) == 20_000

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,8 +10,8 @@ from spectraloom.operators.neighbours import nearest_partners
 from spectraloom.operators.ordering import with_group_positions, with_positions, with_running_totals
 from spectraloom.operators.ranking import diagnostic_sample
 from spectraloom.operators.split import first_per_class, stratified_split
-from spectraloom.plans.diagnosis import diagnose_sample
-from spectraloom.plans.evaluation import evaluate_pairs, score_pairs
+from spectraloom.plans.diagnosis import diagnose_pairs, diagnose_sample
+from spectraloom.plans.evaluation import Model, evaluate_pairs, score_pairs
 from spectraloom.plans.pairs import (
     check_pair_parameters,
     matched_partners,
@@ -200,3 +202,60 @@ def test_diagnostic_sample_keeps_first_group(spark):
     out = {r.sdssid: r.diagnostic_group for r in diagnostic_sample(pred).collect()}
     assert len(out) == 40
     assert out[0] == "false_negative_lowest_prob" and out[98] == "true_change_highest_prob" and out[99] == "static_highest_prob"
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    def loads(folder):
+        """A model that leaves a mark whenever it is loaded."""
+        import tempfile
+
+        handle, _ = tempfile.mkstemp(prefix=f"{os.getpid()}-", dir=folder)
+        os.close(handle)
+        return folder
+
+    def first_values(model, a, b):
+        return [x[0] + y[0] for x, y in zip(a.to_pylist(), b.to_pylist())]
+
+    rows = [(i, [float(i), 1.0], [2.0, 3.0]) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "id int, flux_1 array<double>, flux_2 array<double>").repartition(16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        model = Model(spark, loads, first_values, weights=str(tmp_path))
+        got = {r.id: r.prob_change for r in score_pairs(pairs, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert got == {i: i + 2.0 for i in range(400)}
+    workers = [name.split("-")[0] for name in os.listdir(tmp_path)]
+    # 16 tasks and 80 batches, but one load in each worker process
+    assert len(workers) == len(set(workers)) <= 4
+
+
+def test_pairs_meet_their_members_by_key(spark):
+    wave = [4500.0 + 5 * i for i in range(560)]
+    spectra = spark.createDataFrame(
+        [(f"/d/s{i}", wave, [10.0 + (j * (i + 3) % 17) for j in range(560)]) for i in range(4)], "path string, wavelength array<double>, flux array<double>"
+    )
+    rows = [(1, 0.05, "s0", "s1"), (2, 0.05, "s1", "s2"), (2, 0.05, "s1", "s2"), (3, None, "s0", "s2"), (4, 0.06, "s0", "gone"), (5, 0.05, "s1", "s1")]
+    manifest = resolve_pairs(spark.createDataFrame(rows, "sdssid bigint, z double, specname_dr16 string, specname_sdssv string"), "/d", "/d")
+    good, log = preprocess_pairs(manifest, spectra)
+    text = good._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert not [x for x in text.splitlines() if "Aggregate" in x and "flux" in x]
+    got = {}
+    for r in good.collect():
+        got.setdefault(r.sdssid, []).append((tuple(r.flux_1), tuple(r.flux_2)))
+    assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 2, 5: 1}
+    assert got[1][0][1] == got[2][0][0] == got[5][0][0] == got[5][0][1] != got[1][0][0]
+    assert sorted((r.sdssid, r.skip_reason) for r in log.collect()) == [(3, "preprocessing_failed"), (4, "missing_file")]
+
+
+def test_diagnosis_takes_one_python_hop(spark):
+    rows = [(1, [float(i % 7) for i in range(64)], [float(i % 5) for i in range(64)]), (2, None, [1.0] * 64), (3, [2.0] * 64, [1.0] * 3), (4, [1.0] * 3, None)]
+    pairs = spark.createDataFrame(rows, "sdssid bigint, raw_1 array<double>, raw_2 array<double>")
+    df = diagnose_pairs(pairs, [4680.0 + 40.0 * i for i in range(64)], 7)
+    physical = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert physical.count("ArrowEvalPython") == 1
+    got = {r.sdssid: r for r in df.collect()}
+    assert got[1].pair_shared_mad is not None and got[1].hb_paper_flux_ratio is not None
+    assert got[2].dr16_ind_mad is None and got[2].sdssv_ind_mad == 0 and got[2].pair_shared_mad is None
+    assert got[3].hb_paper_flux_dr16 == 0 and got[3].hb_paper_flux_sdssv is None and got[3].pair_shared_median is None
+    assert all(v is None for c, v in got[4].asDict().items() if c != "sdssid")
