@@ -8,7 +8,9 @@ wherever it is computed.
 
 No piece crosses a mark that follows another character, nor a line break, so the lattice falls apart
 into words. The lattice of each distinct word is built once and kept for the next slices of texts, with
-array operations over all new words together; draws run over all words of a slice at the same time.
+array operations over all new words together; draws run over all words of a slice at the same time. A
+slice is bounded by its bytes, but a text is never split over slices: one without any white space is a
+single lattice, which takes memory in proportion to that text.
 
 Weights: pieces of a merge model carry a rank instead of a probability; a piece of rank r weighs
 (r + 2) ** -sharpness. Characters without a piece are spelled in byte pieces, and so is a mark that
@@ -137,13 +139,18 @@ class Lattice:
                 alpha[e[first]] = np.logaddexp.reduceat(alpha[start[at]] + weight[at], first)
         logp = alpha[start] + weight - alpha[end]
         share = np.exp(logp)
-        # running share within the arcs of one end, in [0, 1]; the last is 1 exactly
-        upto = np.cumsum(share)
+        # running share within the arcs of one end, in [0, 1]; the last is 1 exactly. Added up end by end, so
+        # that a word's shares are the same bits whatever words it was built with
+        per_end = np.bincount(end, minlength=node0[-1])
+        rank = np.arange(len(end)) - (np.cumsum(per_end) - per_end)[end]
+        within, by_rank = share, np.argsort(rank, kind="stable")
+        stops = np.cumsum(np.bincount(rank))
+        for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
+            at = by_rank[a:b]
+            within[at] += within[at - 1]
         last = np.concatenate([end[1:] != end[:-1], [True]])
-        begin = np.concatenate([[True], last[:-1]])
-        before = np.repeat((upto - share)[begin], np.diff(np.concatenate([np.flatnonzero(begin), [len(end)]])))
-        within = np.where(last, 1.0, np.clip(upto - before, 0.0, 1.0))
-        first_arc = np.cumsum(np.bincount(end, minlength=node0[-1])) - np.bincount(end, minlength=node0[-1])
+        within = np.where(last, 1.0, np.minimum(within, 1.0))
+        first_arc = np.cumsum(per_end) - per_end
         return node0, lengths, within, start, code, logp, first_arc
 
     def _add(self, words):

@@ -81,3 +81,15 @@ def test_rows_keep_their_segmentation(spark):
 def test_sharp_weights_agree_with_short_segmentations(lattice):
     ids, _ = lattice.sample(["the the the"], np.array([1]))
     assert len(ids[0]) <= 6
+
+
+def test_a_word_has_the_same_lattice_alone_and_among_others(lattice):
+    rnd = random.Random(2)
+    words = list(dict.fromkeys("▁" + "".join(rnd.choice("abcdeorsthinäß漢") for _ in range(rnd.randint(1, 14))) for _ in range(1500)))
+    node0, _, within, start, code, logp, first_arc = lattice.build(words)
+    arcs = np.concatenate([first_arc[1:], [len(code)]])
+    for k in range(0, len(words), 7):
+        alone = lattice.build([words[k]])
+        a, b = first_arc[node0[k]], arcs[node0[k + 1] - 1]
+        for got, want, shift in ((within, alone[2], 0), (start, alone[3], node0[k]), (code, alone[4], 0), (logp, alone[5], 0)):
+            assert (got[a:b] - shift == want).all() and len(got[a:b]) == len(want)
