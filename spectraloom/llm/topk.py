@@ -1,9 +1,12 @@
 """Exact top-k search by inner product, in tiles.
 
 Queries and candidates are packed into blocks of rows (one binary matrix per row of the table).
-Every block of candidates meets every block of queries through an equi-join on the query block's
-number, one matrix product per pair. A tile keeps its k best per query; a task merges its tiles'
-lists as it goes; the tasks' lists merge in a tree: first within groups of tasks, then over all.
+Every block of candidates meets every block of queries, one matrix product per pair: the blocks are
+counted, query blocks and candidate blocks are dealt to the rows and columns of a grid, and an equi-join
+on its cells brings them together. The grid's sides are chosen so that the copies of blocks, one per cell
+of a row or column, grow with the square root of the tiles. A tile keeps its k best per query; a task
+merges its tiles' lists as it goes; the tasks' lists merge in a tree: first within groups of tasks, then
+over all.
 Vectors are integers floor(scale * x), products are exact: in doubles while they stay below 2^53,
 in Python integers beyond.
 
@@ -14,11 +17,17 @@ empty result. A product beyond the range of a long is reported as the nearest lo
 ignored, whatever their names.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spectraloom.session import handed_over
+
+#: tiles of a grid cell: enough to share a block's transport, few enough to recompute
+TILES = 64
 BLOCK = "dim int, block bigint, ids binary, vectors binary"
 FAN_IN = 64
 #: lists a task holds before it passes them on; more lists per query only mean more to merge
@@ -98,18 +107,34 @@ def tile_best(query_ids, queries, ids, vectors, k):
     return out
 
 
+def grid(n_queries, n_shards, tasks):
+    """(rows, columns) of the grid: every query block is copied to all columns, every shard to all rows.
+
+    There is a cell for each task, and more if one would have over `TILES` tiles. For c cells, copies
+    are fewest, 2 * sqrt(c * n_queries * n_shards), where the sides are as the numbers of blocks.
+    """
+    tiles = max(n_queries * n_shards, 1)
+    cells = min(tiles, max(tasks, -(-tiles // TILES)))
+    rows = min(max(round(math.sqrt(cells * n_queries / max(n_shards, 1))), 1), max(n_queries, 1))
+    return rows, min(-(-cells // rows), max(n_shards, 1))
+
+
 def top_k(queries, candidates, k, query_block=1024, shard_rows=4096):
     """(query_id, rank, vec_id, score): `queries` and `candidates` come from `quantized`."""
     queries, candidates = queries.distinct(), candidates.distinct()
     packed = _blocks(queries, query_block, lambda p: p << 32).select(
         F.col("dim").alias("q_dim"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
     )
-    shards = _blocks(candidates, shard_rows, lambda p: p << 32)
-    # the query blocks go to every salt, each shard to one: a join by keys, even over its tasks
-    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = packed.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    shards = shards.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    tiles = shards.join(packed, (shards["dim"] == packed["q_dim"]) & (shards["salt"] == packed["q_salt"]))
+    packed = handed_over(packed, "queries")
+    shards = handed_over(_blocks(candidates, shard_rows, lambda p: p << 32), "shards")
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, columns = grid(packed.count(), shards.count(), tasks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+    packed = packed.withColumn("q_row", dealt("q_block", rows)).withColumn("q_column", every(columns))
+    shards = shards.withColumn("column", dealt("block", columns)).withColumn("row", every(rows))
+    cell = (shards["row"] == packed["q_row"]) & (shards["column"] == packed["q_column"])
+    tiles = shards.join(packed, (shards["dim"] == packed["q_dim"]) & cell)
 
     def work(batches):
         from pyspark import TaskContext

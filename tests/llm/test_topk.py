@@ -1,6 +1,6 @@
 import numpy as np
 
-from spectraloom.llm.topk import quantized, top_k
+from spectraloom.llm.topk import TILES, grid, quantized, top_k
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, v string, dim string, score string"
 
@@ -44,3 +44,17 @@ def test_fewer_candidates_than_k_and_empty_table(spark):
     assert {tuple(r) for r in top_k(v.filter("vec_id = 0"), v, 5).collect()} == brute(vectors()[:3], 5)
     empty = quantized(spark.createDataFrame([], SCHEMA))
     assert top_k(empty, empty, 5).collect() == []
+
+
+def test_copies_of_blocks_grow_with_the_square_root():
+    for q, c in ((1, 1), (1, 50), (20, 1000), (2000, 100_000), (7, 0), (0, 9)):
+        rows, columns = grid(q, c, 200)
+        tiles = q * c
+        cells = min(max(tiles, 1), max(200, -(-tiles // TILES)))
+        assert 1 <= rows <= max(q, 1) and 1 <= columns <= max(c, 1)
+        if tiles:
+            assert q * columns + c * rows <= 2.2 * (cells * tiles) ** 0.5 + q + c
+            assert rows * columns >= min(cells, tiles) * 0.6
+    # twice the rows on both sides: twice as many blocks, under four times the copies of a cell's cost
+    small, large = (2000 * grid(2000, 10**5, 200)[1], 4000 * grid(4000, 2 * 10**5, 200)[1])
+    assert large <= 4.1 * small
