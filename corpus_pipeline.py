@@ -15,7 +15,6 @@ last one returns pieces of packed windows. `run` applies them all.
 NULL ids, NULL texts, repeated rows and empty tables behave as the operators say.
 """
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from spectraloom.llm import linededup, minhash, packing, quality, secrets
@@ -57,6 +56,8 @@ def secret_scans(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
+    import public_tokenizers  # needed by this stage alone
+
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, with_ids=True)
 
 

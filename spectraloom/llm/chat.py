@@ -22,7 +22,7 @@ by kind, role and text and open one message each; repeated rows are repeated tur
 gives an empty result. Other columns are ignored, whatever their names.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 ASSISTANT = "assistant"
 TURN_END = "</s>"
@@ -47,13 +47,52 @@ def messages_as_events(rows, conv="conv_id", turn="turn", role="role", text="tex
     )
 
 
-def _fold(events):
-    """Final text of one message from its ordered changes."""
-    return F.aggregate(
-        events,
-        F.lit(""),
-        lambda acc, e: F.when(e.kind == "delta", F.concat(acc, e.text)).when(e.kind == "edit", e.text).otherwise(F.lit("")),
+def streamed(rows, conv="conv_id", turn="turn", role="role", text="text", size=200):
+    """A table of finished turns as the log that may have led to them.
+
+    Rows of a conversation are numbered by turn, role and text. An assistant's message opens empty, streams a
+    draft, is edited, is generated anew and streams its text in deltas of `size` characters; any other opens with
+    a draft, gets one more delta and is edited to its text.
+    """
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = rows.select(
+        F.col(conv).cast("string").alias("conv"), F.col(turn).cast("bigint").alias("turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), text.alias("text"),
+    )
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")).cast("bigint")
+    rows = rows.withColumn("place", place)
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / size).cast("int") - 1, F.lit(0))),
+        lambda i: F.struct(F.lit("delta").alias("kind"), F.substring(F.col("text"), i * size + 1, F.lit(size)).alias("text")),
+    )
+
+    def change(kind, value):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("text"))
+
+    draft = [change("delta", F.lit("a draft, ")), change("delta", F.col("role")), change("edit", F.lit("edited")), change("regenerate", F.lit(None).cast("string"))]
+    changes = F.when(F.col("role") == ASSISTANT, F.concat(F.array(*draft), pieces)).otherwise(
+        F.array(change("delta", F.lit("more")), change("edit", F.col("text")))
     )
+    opened = F.struct(F.lit("message").alias("kind"), F.when(F.col("role") != ASSISTANT, F.lit("draft")).alias("text"))
+    events = rows.select("conv", "place", "role", F.posexplode(F.concat(F.array(opened), changes)).alias("step", "event"))
+    first = F.col("step") == 0
+    # a message has its place as sequence number; all changes come later, in the order they were made
+    return events.select(
+        "conv", F.when(first, F.col("place")).otherwise(F.shiftleft(F.col("step").cast("bigint"), 32) + F.col("place")).alias("seq"),
+        F.col("event.kind").alias("kind"), F.when(~first, F.col("place")).alias("target"), F.when(first, F.col("role")).alias("role"),
+        F.col("event.text").alias("text"),
+    )
+
+
+def _fold(opened, changes):
+    """Final text of one message from the text it opened with and its ordered changes.
+
+    The last edit or regeneration decides what the text starts with; the deltas after it are joined at once.
+    """
+    last = F.coalesce(F.array_max(F.transform(changes, lambda e, i: F.when(e.kind != "delta", i))), F.lit(-1))
+    start = F.when(last < 0, opened).when(F.get(changes, last)["kind"] == "edit", F.get(changes, last)["text"]).otherwise(F.lit(""))
+    deltas = F.slice(changes, last + 2, F.size(changes))
+    return F.concat(start, F.array_join(F.transform(deltas, lambda e: e.text), ""))
 
 
 def fold_events(events):
@@ -68,8 +107,7 @@ def fold_events(events):
     )
     changes = changes.select(F.col("conv").alias("_conv"), F.col("target").alias("_target"), "changes")
     joined = opened.join(changes, opened["conv"].eqNullSafe(changes["_conv"]) & (F.col("seq") == F.col("_target")), "left")
-    start = F.array(F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit("edit").alias("kind"), F.col("text").alias("text")))
-    final = F.when(F.col("changes").isNull(), F.col("text")).otherwise(_fold(F.concat(start, "changes")))
+    final = F.when(F.col("changes").isNull(), F.col("text")).otherwise(_fold(F.col("text"), F.col("changes")))
     return joined.select("conv", "seq", "role", final.alias("text"))
 
 

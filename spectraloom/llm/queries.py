@@ -1,6 +1,5 @@
 """One query per operator, over whole tables and with production parameters."""
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import chat
@@ -21,6 +20,8 @@ from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 @query("op4_packing")
 def op4_packing(spark, sf_dir):
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents")
     pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, with_ids=False)
     return pieces.drop("ids")
@@ -53,11 +54,12 @@ CONTROL_SQL = r"'</?s>|\[/?INST\]|\\'"
 def op7_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(TRAP, "conv_id bigint, turn bigint, role string, text string"))
-    return chat_digests(rows)
+    return chat_digests(chat.streamed(rows)).withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
-def chat_digests(rows):
-    out = chat.format_conversations(chat.fold_events(chat.messages_as_events(rows)))
+def chat_digests(events):
+    """The digest columns of a log: folded, rendered and read back."""
+    out = chat.format_conversations(chat.fold_events(events))
     out = out.withColumn("turns", chat.parse_turns(F.col("formatted"))).withColumn(
         "loss", F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
     )
@@ -130,6 +132,8 @@ def op5_language_id(spark, sf_dir):
 
 @query("op3_sentencepiece_sampling")
 def op3_sentencepiece_sampling(spark, sf_dir):
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents")
     return encode_sampled(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from spectraloom.llm import chat
 from spectraloom.llm.queries import TRAP, chat_digests
 
@@ -30,9 +32,28 @@ def expected(rows):
 
 def test_round_trip_with_control_strings_nulls_and_ties(spark):
     rows = [(*r, "clash", "clash") for r in ROWS + TRAP]
-    got = chat_digests(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {tuple(r)[:5] for r in got} == expected(rows)
-    assert len(got) == len({r[0] for r in rows})
+    frame = spark.createDataFrame(rows, SCHEMA)
+    finished = chat_digests(chat.messages_as_events(frame)).collect()
+    assert {tuple(r)[:5] for r in finished} == expected(rows)
+    assert len(finished) == len({r[0] for r in rows})
+    # the same turns out of streamed deltas, edits and regenerations
+    for size in (3, 200):
+        streamed = chat_digests(chat.streamed(frame, size=size)).withColumn("conv_id", F.col("conv_id").cast("bigint"))
+        assert sorted(map(str, streamed.collect())) == sorted(map(str, finished))
+
+
+def test_the_log_of_a_stream(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "abcdefg"), (1, 1, "assistant", "")], "conv_id int, turn int, role string, text string")
+    log = chat.streamed(frame, size=3)
+    assert log.columns == [c.split()[0] for c in chat.LOG.split(", ")]
+    kinds = {}
+    for r in log.orderBy("seq").collect():
+        kinds.setdefault(r.target if r.target else r.seq, []).append((r.kind, r.text))
+    draft = [("delta", "a draft, "), ("delta", "assistant"), ("edit", "edited"), ("regenerate", None)]
+    assert kinds == {
+        1: [("message", "draft"), ("delta", "more"), ("edit", "ask")],
+        2: [("message", None), *draft, ("delta", "")], 3: [("message", None), *draft, ("delta", "abc"), ("delta", "def"), ("delta", "g")],
+    }
 
 
 def test_control_strings_in_texts_never_stand_in_the_output(spark):
@@ -46,7 +67,8 @@ def test_control_strings_in_texts_never_stand_in_the_output(spark):
 
 
 def test_empty_table(spark):
-    assert chat_digests(spark.createDataFrame([], SCHEMA)).collect() == []
+    empty = spark.createDataFrame([], SCHEMA)
+    assert chat_digests(chat.messages_as_events(empty)).collect() == chat_digests(chat.streamed(empty)).collect() == []
 
 
 def test_events_fold_in_order(spark):
