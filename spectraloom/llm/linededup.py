@@ -4,16 +4,17 @@ Finding partners. A line is known by the hash of its trimmed text; blank lines d
 seeds are the shortest runs of its consecutive lines with `min_words` words: from each line on, up to each
 line, and of two lines at least as well as of one. Every line of a shared block, and every two neighbours in
 it, lie in a seed within the block. A later holder of a seed is linked with the seed's first holder: one link
-per seed and document, however many hold it, and no shared block is lost.
-
-Aligning. Both documents are reduced to the lines they share, in order, and aligned by patience diff:
-equal lines at both ends of a range match; then the lines that occur once on either side are matched
-along their longest increasing run, and the ranges between them are aligned in turn. Matches that are
-neighbours in both documents (blank lines aside) form a block. An alignment in order takes each line once and
-cannot cross, so unless it covers all of the later document, that one's seeds are looked up in the other too:
-blocks that moved, are repeated or lie between ambiguous lines are cut like the rest. Blocks of `min_words`
-words or more are cut from the later document, blank lines inside them included. The cuts of a document are
-thus those that comparing it with all earlier ones would give.
+per seed and document, however many hold it, and no shared block is lost. Seeds take the place of single
+rare lines, as a block may consist of lines that are all frequent.
+
+Aligning. What travels to a pair of documents are the places of the seeds that link them, so rows grow with
+the seeds, not with pairs times lines. The two sequences of seeds are aligned by patience diff: equal seeds
+at both ends of a range match; then the seeds that occur once on either side are matched along their longest
+increasing run, and the ranges between them are aligned in turn; a range without such seeds is aligned by
+an ordinary longest common subsequence. An alignment is in order and takes each place once, so what it leaves
+of the later document (blocks that moved or are repeated) is aligned with the earlier one again, until
+nothing matches. Lines under matched seeds, and blank lines inside them, are cut from the later document. The
+cuts of a document are thus those that comparing it with all earlier ones would give.
 
 A document's place in time is its id. Cases: rows without an id are never cut and cut nothing; rows that
 repeat an id are versions of one document and are not compared with each other, but each is cut (rows
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from spectraloom.session import freeze
+from spectraloom.session import handed_over
 
 from .names import free_name
 from .words import mix
@@ -70,14 +71,69 @@ def patience(a, b):
             continue
         once_a, once_b = _once(a, i, m), _once(b, j, n)
         anchors = sorted((at, once_b[x]) for x, at in once_a.items() if x in once_b)
+        if not anchors:
+            matches += [(i + p, j + q) for p, q in common_subsequence(a[i:m], b[j:n])]
+            continue
         anchors = [anchors[k] for k in longest_increasing([q for _, q in anchors])]
         matches += anchors
-        if anchors:
-            edges = [(i - 1, j - 1), *anchors, (m, n)]
-            ranges += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:]) if p + 1 < r and q + 1 < s]
+        edges = [(i - 1, j - 1), *anchors, (m, n)]
+        ranges += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:]) if p + 1 < r and q + 1 < s]
     return sorted(matches)
 
 
+#: bits that the rows of one subsequence may take
+MOST_BITS = 1 << 28
+
+
+def common_subsequence(a, b):
+    """Index pairs of a longest common subsequence, by bits of long integers.
+
+    Rows are kept for the way back; beyond `MOST_BITS` of them `a` is taken in pieces, each against what of
+    `b` follows the last match, which keeps the order and finds a match if there is one.
+    """
+    out, start, piece = [], 0, max(MOST_BITS // max(len(b), 1), 1)
+    for begin in range(0, len(a), piece):
+        found = _subsequence(a[begin : begin + piece], b[start:])
+        out += [(begin + p, start + q) for p, q in found]
+        start = out[-1][1] + 1 if out else 0
+    return out
+
+
+def _subsequence(a, b):
+    places = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full, size = (1 << len(b)) - 1, len(b) // 8 + 1
+    row, rows = full, []
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row.to_bytes(size, "little"))
+    out, i, j = [], len(a), len(b)
+    free = lambda i, j: rows[i][j >> 3] >> (j & 7) & 1
+    while i and j:
+        if free(i - 1, j - 1):
+            j -= 1
+        else:
+            i -= 1
+            if not i or free(i - 1, j - 1):
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
+def repeated_alignment(a, b):
+    """Indexes of `a` matched when what is left of it is aligned with `b` again and again; both are sequences."""
+    found, left = [], list(range(len(a)))
+    while left:
+        matched = {i for i, _ in patience([a[k] for k in left], b)}
+        if not matched:
+            break
+        found += [left[i] for i in matched]
+        left = [k for i, k in enumerate(left) if i not in matched]
+    return sorted(found)
+
+
 def _once(seq, start, end):
     seen = {}
     for i in range(start, end):
@@ -106,37 +162,20 @@ def seeds(lines, min_words):
     return sorted(found)
 
 
-def _aligned(a, b, min_words):
-    """(first, last) entries of `a` of every long block of the alignment."""
-    out, start, words, last = [], None, 0, None
-    matches = patience([x[1] for x in a], [x[1] for x in b])
-    for i, j in [*matches, (None, None)]:
-        joined = i is not None and last is not None and a[i][0] == a[last[0]][0] + 1 and b[j][0] == b[last[1]][0] + 1
-        if not joined:
-            if start is not None and words >= min_words:
-                out.append((start, last[0]))
-            start, words = i, 0
-        if i is not None:
-            words += a[i][2]
-            last = (i, j)
-    return out
-
+def aligned_blocks(a, b):
+    """Merged (first, last) places of the blocks of `a` that `b` has too.
 
-def blocks(a, b, min_words):
-    """(first, last) entries of `a` of every long block that `b` has too. Entries: (ordinal, hash, words, ...)."""
-    out = _aligned(a, b, min_words)
-    if out == [(0, len(a) - 1)]:
-        return out
-    words = {x[1]: x[2] for x in a}
-    b = [(x[0], x[1], words[x[1]]) for x in b if x[1] in words]
-    run = lambda lines, s, t: tuple(x[1] for x in lines[s : t + 1])
-    there = {run(b, s, t) for s, t in seeds(b, min_words)}
+    `a` holds (order, seed, first place, last place) of the later document's seeds, `b` (order, seed) of the
+    earlier one's; orders tell overlapping seeds apart.
+    """
+    a, b = sorted(a), sorted(b)
+    matched = repeated_alignment([x[1] for x in a], [x[1] for x in b])
     merged = []
-    for s, t in sorted(out + [(s, t) for s, t in seeds(a, min_words) if run(a, s, t) in there]):
-        if merged and s <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(t, merged[-1][1]))
+    for first, last in sorted((a[k][2], a[k][3]) for k in matched):
+        if merged and first <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
         else:
-            merged.append((s, t))
+            merged.append((first, last))
     return merged
 
 
@@ -159,14 +198,18 @@ def _entries(docs, doc_id, text):
     )
 
 
-def _seed_hashes(kept, min_words):
-    """(id, version, seed): hashes of the distinct seeds of every document."""
+SEEDS = "id bigint, version bigint, seed bigint, at array<struct<place: bigint, first: int, last: int>>"
+
+
+def _seeds_of(kept, min_words):
+    """(id, version, seed, at): the distinct seeds of every document and their places, in order."""
+    place = pa.struct([("place", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def work(batches):
         for batch in batches:
             for k in range(batch.num_rows):  # one document at a time as Python objects
                 key, version, found = (batch.column(i)[k].as_py() for i in range(3))
-                lines = sorted((o, line["h"], line["words"]) for line in found for o in line["at"])
+                lines = sorted((at["ordinal"], line["h"], line["words"], at["place"]) for line in found for at in line["at"])
                 runs = seeds(lines, min_words)
                 if not runs:
                     continue
@@ -176,71 +219,52 @@ def _seed_hashes(kept, min_words):
                 for i in range(int((t - s).max()) + 1):  # a seed has `min_words` lines at most, or two
                     on = s + i <= t
                     out[on] = mix(out[on] * np.uint64(0x9E3779B97F4A7C15) + h[s[on] + i])
-                out = np.unique(out).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(out), key, np.int64)), pa.array(np.full(len(out), version, np.int64)), pa.array(out)],
-                    names=["id", "version", "seed"],
-                )
-
-    lines = F.collect_list(F.struct("h", "words", F.transform("at", lambda x: x.ordinal).alias("at")))
-    rows = kept.groupBy("id", "version").agg(lines.alias("lines"))
-    return rows.mapInArrow(work, "id bigint, version bigint, seed bigint")
-
-
-def _seed_pairs(kept, min_words):
-    """(id, version, e): every document with the first holders of its seeds."""
-    found = freeze(_seed_hashes(kept, min_words))
-    first = found.groupBy("seed").agg(F.min("id").alias("e"), F.max("id").alias("last")).filter("e < last").drop("last")
-    return found.join(first, "seed").filter("e < id").select("id", "version", "e").distinct()
-
-
-def _limited_pairs(kept, min_words, rare):
-    """(id, version, e) by single lines: all earlier holders of lines that up to `rare` documents hold, else the first."""
-    held = kept.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("first"))
-    each = kept.join(held, "h").withColumn("words", F.col("words") * F.size("at"))
-    common = each.filter((F.col("df") > rare) & (F.col("id") > F.col("first"))).select("id", "version", F.col("first").alias("e"), "words")
-    seldom = each.filter(F.col("df") <= rare)
-    earlier = seldom.select(F.col("id").alias("e"), "h").distinct()
-    seldom = seldom.join(earlier, "h").filter("e < id").select("id", "version", "e", "words")
-    pairs = common.unionByName(seldom).groupBy("id", "version", "e").agg(F.sum("words").alias("w"))
-    return pairs.filter(F.col("w") >= min_words).drop("w")
-
-
-def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=None):
-    """(id, version, cuts): places of the lines to cut, as array<struct<first, last>>, for documents with any.
-
-    With `rare` given, partners are only those of `_limited_pairs`, and blocks of other documents stay.
-    """
+                where = np.array([x[3] for x in lines], np.int32)
+                # runs come in order of start and end
+                order = np.argsort(out, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(out[order].view(np.int64)) != 0, [True]]))
+                at = pa.StructArray.from_arrays([pa.array(order.astype(np.int64)), pa.array(where[s[order]]), pa.array(where[t[order]])], fields=list(place))
+                n = len(cuts) - 1
+                columns = [pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, version, np.int64))]
+                columns += [pa.array(out[order][cuts[:-1]].view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "seed", "at"])
+
+    return kept.mapInArrow(work, SEEDS)
+
+
+def _links(found):
+    """(id, version, e, e_version, at, e_at): every seed of a later document with its places in the first holder."""
+    first = found.groupBy("seed").agg(F.min(F.struct("id", "version")).alias("f"), F.max("id").alias("last"))
+    first = first.filter(F.col("f.id") < F.col("last")).select("seed", F.col("f.id").alias("e"), F.col("f.version").alias("e_version"))
+    held = found.join(first, "seed")
+    mine = (F.col("id") == F.col("e")) & (F.col("version") == F.col("e_version"))
+    there = held.filter(mine).select(F.col("seed").alias("e_seed"), F.col("at").alias("e_at"))
+    return held.filter(F.col("id") > F.col("e")).join(there, F.col("seed") == F.col("e_seed")).drop("e_seed")
+
+
+def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS):
+    """(id, version, cuts): places of the lines to cut, as array<struct<first, last>>, for documents with any."""
     entries = _entries(docs, doc_id, text)
     held = entries.select("id", F.explode(F.array_distinct(F.transform("entries", lambda x: x.h))).alias("h"))
     shared = held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     shared = shared.filter("first < last").select("h")
-    lines = entries.select("id", "version", F.inline("entries"))
-    lines = freeze(lines.join(shared, "h"))
-
-    # lines of a document by hash; every row is bounded by its document
-    kept = freeze(
-        lines.groupBy("id", "version", "h").agg(
-            F.first("words").alias("words"), F.collect_set(F.struct("ordinal", "place")).alias("at")
-        )
-    )
-    pairs = freeze(_seed_pairs(kept, min_words) if rare is None else _limited_pairs(kept, min_words, rare))
-
-    later = pairs.join(kept.select("id", "version", "h", "words", "at"), ["id", "version"])
-    other = kept.select(
-        F.col("id").alias("e"), F.col("version").alias("e_version"), "h", F.transform("at", lambda x: x.ordinal).alias("e_at")
+    lines = entries.select("id", "version", F.inline("entries")).join(shared, "h")
+    # lines of a document by hash; every row is bounded by its document. Rows that repeat id and text are one
+    lines = lines.groupBy("id", "version", "h").agg(
+        F.first("words").alias("words"), F.collect_set(F.struct("ordinal", "place")).alias("at")
     )
-    met = later.join(other, ["e", "h"])
-    groups = met.groupBy("id", "version", "e", "e_version").agg(F.collect_list(F.struct("h", "words", "at", "e_at")).alias("lines"))
+    kept = lines.groupBy("id", "version").agg(F.collect_list(F.struct("h", "words", "at")).alias("lines"))
+    links = _links(handed_over(_seeds_of(kept, min_words), "seeds"))
+    pairs = links.groupBy("id", "version", "e", "e_version").agg(F.collect_list(F.struct("seed", "at", "e_at")).alias("seeds"))
 
     def work(batches):
         for batch in batches:
             out = []
             for k in range(batch.num_rows):  # one pair of documents at a time as Python objects
                 key, version, found = (batch.column(i)[k].as_py() for i in range(3))
-                a = sorted((x["ordinal"], line["h"], line["words"], x["place"]) for line in found for x in line["at"])
-                b = sorted((x, line["h"]) for line in found for x in line["e_at"])
-                out += [(key, version, a[s][3], a[t][3]) for s, t in blocks(a, b, min_words)]
+                a = [(x["place"], row["seed"], x["first"], x["last"]) for row in found for x in row["at"]]
+                b = [(x["place"], row["seed"]) for row in found for x in row["e_at"]]
+                out += [(key, version, first, last) for first, last in aligned_blocks(a, b)]
             if out:
                 ids, versions, firsts, lasts = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -248,17 +272,17 @@ def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=Non
                     names=["id", "version", "first", "last"],
                 )
 
-    cuts = groups.select("id", "version", "lines").mapInArrow(work, "id bigint, version bigint, first int, last int")
+    cuts = pairs.select("id", "version", "seeds").mapInArrow(work, "id bigint, version bigint, first int, last int")
     return cuts.groupBy("id", "version").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
 
 
-def cut_shared_blocks(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, rare=None, removed="n_removed"):
+def cut_shared_blocks(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS, removed="n_removed"):
     """`docs` with the blocks cut from `text`, and the number of lines cut in a column named `removed`.
 
     If `docs` has a column of that name, underscores are appended to the new one.
     """
     removed = free_name(removed, docs.columns)
-    cuts = cut_ranges(docs, doc_id, text, min_words, rare).select(
+    cuts = cut_ranges(docs, doc_id, text, min_words).select(
         F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("cuts").alias("_cuts")
     )
     same = (docs[doc_id].cast("bigint") == cuts["_id"]) & (F.xxhash64(docs[text]) == cuts["_version"])

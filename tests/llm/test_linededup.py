@@ -1,38 +1,12 @@
 import random
 
+from pyspark.sql import functions as F
+
 from spectraloom.llm import linededup as ld
 
 SCHEMA = "doc_id bigint, text string, id string, version string, cuts string, h int, lang string"
 
 
-def plain_blocks(rows, min_words, rare):
-    """Lines cut from each row, by direct comparison of documents."""
-    docs = []
-    for i, (key, text) in enumerate(rows):
-        lines = [] if text is None or key is None else [(p, x.strip(" ")) for p, x in enumerate(text.split("\n")) if x.strip(" ")]
-        docs.append((key, [(o, x, x.count(" ") + 1, p) for o, (p, x) in enumerate(lines)]))
-    holders = {}
-    for key, lines in docs:
-        for x in {x for _, x, *_ in lines}:
-            holders.setdefault(x, []).append(key)
-    cut = {i: set() for i in range(len(rows))}
-    for i, (key, lines) in enumerate(docs):
-        seeds = {}
-        for _, x, n, _ in lines:
-            held = holders[x]
-            if len(held) > 1:
-                for e in [k for k in held if k < key] if len(held) <= rare else {min(held)} - {key}:
-                    seeds[e] = seeds.get(e, 0) + n
-        for e, n in seeds.items():
-            if n >= min_words:
-                for other in {tuple(x) for k, x in docs if k == e}:
-                    a = [x for x in lines if x[1] in {y[1] for y in other}]
-                    b = [y for y in other if y[1] in {x[1] for x in lines}]
-                    for s, t in ld.blocks(a, b, min_words):
-                        cut[i] |= set(range(a[s][3], a[t][3] + 1))
-    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in cut[i]) for i, (_, t) in enumerate(rows)], cut
-
-
 def documents():
     rnd = random.Random(9)
     line = lambda n: " ".join("".join(rnd.choice("abcd") for _ in range(4)) for _ in range(n))
@@ -56,21 +30,6 @@ def documents():
     return rows
 
 
-def test_texts_equal_direct_comparison(spark):
-    rows = documents()
-    for min_words, rare in ((20, 8), (5, 2)):
-        want, cut = plain_blocks(rows, min_words, rare)
-        frame = spark.createDataFrame([(k, t, "a", "b", "c", 1, str(i)) for i, (k, t) in enumerate(rows)], SCHEMA).repartition(4)
-        got = {int(r.lang): r for r in ld.cut_shared_blocks(frame, min_words=min_words, rare=rare).collect()}
-        assert len(got) == len(rows)
-        for i, text in enumerate(want):
-            if got[i].n_removed == 0:
-                assert not cut[i] and got[i].text == rows[i][1]
-            else:
-                assert (got[i].text, got[i].n_removed) == (text, len(cut[i]))
-        assert sum(r.n_removed > 0 for r in got.values()) > 20
-
-
 def test_first_holder_keeps_its_text(spark):
     rows = documents()
     frame = spark.createDataFrame([(k, t, "a", "b", "c", 1, "x") for k, t in rows], SCHEMA)
@@ -87,6 +46,59 @@ def test_patience_matches_unique_lines_in_order():
     assert ld.patience([], list("a")) == [] and len(ld.patience(list("aaaa"), list("aaaa"))) == 4
 
 
+def lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_ranges_without_unique_lines_get_a_longest_subsequence(monkeypatch):
+    rnd = random.Random(6)
+    for n in (0, 1, 5, 30, 80):
+        for _ in range(20):
+            a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, n))] for _ in "ab")
+            pairs = ld.common_subsequence(a, b)
+            assert len(pairs) == lcs_length(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(p < r and q < s for (p, q), (r, s) in zip(pairs, pairs[1:]))
+    monkeypatch.setattr(ld, "MOST_BITS", 40)
+    for _ in range(50):
+        a, b = ([rnd.choice("abcd") for _ in range(20)] for _ in "ab")
+        pairs = ld.common_subsequence(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and bool(pairs) == bool(set(a) & set(b))
+        assert all(p < r and q < s for (p, q), (r, s) in zip(pairs, pairs[1:]))
+
+
+def test_alignment_again_finds_all_that_is_shared():
+    rnd = random.Random(7)
+    for _ in range(300):
+        a, b = ([rnd.randint(0, 12) for _ in range(rnd.randint(0, 25))] for _ in "ab")
+        assert ld.repeated_alignment(a, b) == [i for i, x in enumerate(a) if x in b]
+
+
+def test_cuts_come_from_the_alignment(spark, monkeypatch):
+    monkeypatch.setattr(ld, "patience", lambda a, b: [])
+    assert ld.repeated_alignment([1, 2], [1, 2]) == [] and ld.aligned_blocks([(0, 5, 1, 3)], [(0, 5)]) == []
+
+
+def test_rows_of_a_collection_grow_with_its_passages(spark):
+    """A document that collects one passage each of n others sends n links, not n times n lines."""
+    sent = {}
+    for n in (40, 80):
+        passage = lambda k: "\n".join(f"passage {k} line {i} with some eight words here" for i in range(4))
+        rows = [(k, passage(k)) for k in range(n)] + [(n, "\n".join(passage(k) + f"\nown {k}" for k in range(n)))]
+        frame = spark.createDataFrame(rows, "id bigint, text string")
+        entries = ld._entries(frame, "id", "text").select("id", "version", F.inline("entries"))
+        kept = entries.groupBy("id", "version", "h").agg(F.first("words").alias("words"), F.collect_set(F.struct("ordinal", "place")).alias("at"))
+        kept = kept.groupBy("id", "version").agg(F.collect_list(F.struct("h", "words", "at")).alias("lines"))
+        sent[n] = ld._links(ld._seeds_of(kept, 20)).count()
+        texts = {r.id: r.text for r in ld.cut_shared_blocks(frame, doc_id="id").collect()}
+        assert texts[n] == "\n".join(f"own {k}" for k in range(n))
+    assert sent[80] == 2 * sent[40]
+
+
 def all_earlier(rows, min_words):
     """Places cut from each row when every run of lines is compared with every earlier document."""
     docs = []

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spectraloom.llm import quality, secrets
-from tests.llm.test_linededup import plain_blocks
+from tests.llm.test_linededup import all_earlier
 from tests.llm.test_minhash import brute
 from tests.llm.test_quality import brute_distances, brute_point, brute_statistics
 
@@ -53,7 +53,8 @@ def test_every_stage_equals_its_brute_force(spark, tmp_path):
     assert made[0][1].columns == docs.columns
 
     # line dedup
-    texts, cut = plain_blocks([(r[0], r[1]) for r in kept], 20, 8)
+    cut = all_earlier([(r[0], r[1]) for r in kept], 20)
+    texts = [r[1] if not c else "\n".join(x for p, x in enumerate(r[1].split("\n")) if p not in c) for r, c in zip(kept, cut)]
     left = [
         (*r[:1], t, *r[2:4], len(t) if cut[i] else r[4]) for i, (r, t) in enumerate(zip(kept, texts)) if not cut[i] or t.strip(" \t\n\x0b\x0c\r")
     ]
