@@ -1,14 +1,22 @@
 """Language-model scoring: a hidden Markov model over words, and add-one unigrams beside it.
 
-Words are counted over all training documents. The most frequent, at most `K`, have symbols of their own
-(words of about equal counts together or not at all); every other word, known or not, is a symbol by its last byte, and its share within that class is its smoothed
-count: log P(word) = log P(class | state) + log((c + 1) / (tokens + types + 1 of the class)). Counts of
-such words come by a join on the word, so no word list is broadcast beyond the `K` frequent ones.
-
-Training is Baum-Welch over all training documents in windows of `WINDOW` tokens: each task sums its
-expected counts, Spark adds them up per symbol, and the driver gets one row per symbol (at most 65,536)
-per round. The start comes from rounds over a bounded sample of `START_DOCS` documents, which only
-breaks the symmetry between states. The score of a text is its exact likelihood: the forward
+Words are counted over all training documents. The most frequent, at most `K`, are symbols that every task
+knows (words of about equal counts together or not at all). Every other word is a symbol by its last byte
+while the states are learned, and then gets a distribution over states of its own: expected counts per word and
+state stay a Spark table, which grows with the corpus and meets the texts by a join on the word. So
+
+    P(word | state) = P(class | state) * (c + 1) * tilt(word, state) / mass(class, state)
+
+where tilt is the word's share of the state over its class's, in steps of 1/16 of a factor of two (a byte per
+state), and mass sums the numerator over the class and one unknown word of tilt 1: the words of a state add up to
+1. No word list is broadcast beyond the `K` frequent ones.
+
+Training is Baum-Welch over windows of `WINDOW` tokens of whole texts. The first window of a text starts from
+the start shares, any other from shares of its own; the last one is as long as the rest of the text. The
+moves over window edges (one in `WINDOW`) are not counted. Each of `SLICES` rounds sees another slice of all
+windows of all texts, dealt by hash, then `ROUNDS` rounds see all of them; the last also sums the counts
+per rare word and state. Each task sums its expected counts, Spark adds them up, and the driver gets one
+row per symbol (at most 65,536) per round. The score of a text is its exact likelihood: the forward
 recursion over the whole text, rescaled at every token.
 
 Texts are encoded once (two bytes a token) and written to the shared folder; rounds read that table.
@@ -25,19 +33,22 @@ from pyspark.sql import functions as F
 
 from spectraloom.session import scratch_path
 
-from .words import hash_words, row_slices, text_bytes
+from .words import hash_words, mix, row_slices, text_bytes
 
 SYMBOLS = 1 << 16
 K = SYMBOLS - 257
 STATES = 12
 ROUNDS = 3
 WINDOW = 256
-START_DOCS = 1000
-START_WINDOWS = 1500
-START_ROUNDS = 15
+SLICES = 8
 SMOOTH = 20.0
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 COUNT_TOKENS = 4_000_000
+#: rare words whose expected counts a task holds before it passes them on
+HELD_TAIL = 1 << 18
+#: a rare word's shares lean on its class as if it had been seen so many times more
+LEAN = 2.0
+STEP = 16.0
 
 
 def words_of(column):
@@ -77,7 +88,7 @@ def word_counts(docs):
 class Vocabulary:
     """What tasks need to know of the counts: bounded by the number of symbols."""
 
-    def __init__(self, head, tokens, types, documents, class_tokens, class_types):
+    def __init__(self, head, tokens, types, documents, class_tokens):
         keys = np.array([r.key for r in head], dtype=np.int64).view(np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -87,7 +98,6 @@ class Vocabulary:
         self.counts[1 : 1 + len(keys)] = np.array([r.c for r in head], dtype=float)[order]
         self.counts[1 + K :] = class_tokens
         self.log_head = np.log10(self.counts + 1)
-        self.log_class = np.log10(class_tokens + class_types + 1.0)
 
     def symbols(self, keys):
         if not len(self.keys):
@@ -104,22 +114,22 @@ class Vocabulary:
         return share / share.sum()
 
 
-def learn_vocabulary(counts, documents):
+def learn_vocabulary(counts, documents, most=K):
     row = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
     # frequent words are those from a bin of counts upwards that fit: no task sends its own K words
     level = F.floor(F.log2("c") * 64).cast("int")
     sizes = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
     limit, fits = max(sizes, default=0) + 1, 0
     for k in sorted(sizes, reverse=True):
-        if fits + sizes[k] > K:
+        if fits + sizes[k] > most:
             break
         limit, fits = k, fits + sizes[k]
     head = counts.filter(level >= limit).collect()
-    class_tokens, class_types = np.zeros(256), np.zeros(256)
+    class_tokens = np.zeros(256)
     rest = counts.filter(level < limit).groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("b"))
-    for r in rest.agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        class_tokens[r.b], class_types[r.b] = r.c, r.n
-    return Vocabulary(head, row.tokens + documents, row.types + (documents > 0), documents, class_tokens, class_types)
+    for r in rest.agg(F.sum("c").alias("c")).collect():
+        class_tokens[r.b] = r.c
+    return Vocabulary(head, row.tokens + documents, row.types + (documents > 0), documents, class_tokens)
 
 
 ENCODED = "row bigint, doc_id bigint, held_out boolean, learn boolean, n_tokens bigint, symbols binary, tail binary"
@@ -152,137 +162,242 @@ def encode(docs, vocabulary):
 
 
 class Model:
-    """Start shares, transitions, emissions (symbols x states, single precision)."""
+    """Start shares of texts and of later windows, transitions, emissions (symbols x states, single precision)."""
 
-    def __init__(self, start, moves, emit):
-        self.start, self.moves, self.emit = (np.ascontiguousarray(x, dtype=np.float32) for x in (start, moves, emit))
+    def __init__(self, start, go, moves, emit):
+        self.start, self.go, self.moves, self.emit = (np.ascontiguousarray(x, dtype=np.float32) for x in (start, go, moves, emit))
 
     @classmethod
     def first(cls, unigram, states=STATES, seed=3):
         rnd = np.random.default_rng(seed)
         emit = unigram[:, None] * rnd.gamma(0.7, size=(SYMBOLS, states))
         moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-        return cls(np.full(states, 1 / states), moves, emit / emit.sum(axis=0))
+        even = np.full(states, 1 / states)
+        return cls(even, even, moves, emit / emit.sum(axis=0))
 
     @classmethod
-    def updated(cls, start, moves, emit, unigram):
+    def updated(cls, sums, unigram):
         """From expected counts; each state's emissions lean on the unigram."""
-        emit = emit + SMOOTH * unigram[:, None]
-        moves = moves + 1.0
-        start = start + 1.0
-        return cls(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        emit = sums.emit + SMOOTH * unigram[:, None]
+        moves, start, go = sums.moves + 1.0, sums.start + 1.0, sums.go + 1.0
+        return cls(start / start.sum(), go / go.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def expected_counts(model, windows, start, moves, emit):
-    """Adds the expected counts of equally long windows (rows of symbols) to the three arrays."""
-    n, length = windows.shape
+class Sums:
+    """Expected counts."""
+
+    def __init__(self, states):
+        self.start, self.go = np.zeros(states), np.zeros(states)
+        self.moves, self.emit = np.zeros((states, states)), np.zeros((SYMBOLS, states))
+
+    def rows(self):
+        """(ids, values): symbols that occurred, and the other counts under negative ids."""
+        s = len(self.start)
+        used = np.flatnonzero(self.emit.any(axis=1))
+        return np.concatenate([np.arange(-s - 2, 0), used]), np.concatenate([self.moves, self.start[None], self.go[None], self.emit[used]])
+
+    @classmethod
+    def of(cls, ids, values, states):
+        out = cls(states)
+        for i, v in zip(ids[ids < 0], values[ids < 0]):
+            place = i + states + 2
+            if place < states:
+                out.moves[place] = v
+            elif place == states:
+                out.start = v
+            else:
+                out.go = v
+        out.emit[ids[ids >= 0]] = values[ids >= 0]
+        return out
+
+
+def expected_counts(model, windows, lengths, first, sums):
+    """Adds the expected counts of windows (rows of symbols, longest first, filled up with any symbol).
+
+    Returns the log likelihood and, per place and window, the shares of the states (zero beyond a window's end).
+    """
+    n, size = windows.shape
     s = len(model.start)
-    alpha = np.empty((length, n, s), dtype=np.float32)
+    active = np.searchsorted(-lengths, -np.arange(size), side="left")
+    alpha = np.zeros((size, n, s), dtype=np.float32)
     e = model.emit[windows.T]
-    scale = np.empty((length, n, 1), dtype=np.float32)
-    a = np.broadcast_to(model.start, (n, s))
-    for t in range(length):
-        a = (a @ model.moves if t else a) * e[t]
-        scale[t] = a.sum(axis=1, keepdims=True)
-        a = a / scale[t]
-        alpha[t] = a
+    scale = np.ones((size, n, 1), dtype=np.float32)
+    a = np.where(first[:, None], model.start, model.go)
+    for t in range(size):
+        k = active[t]
+        a = (a[:k] @ model.moves if t else a[:k]) * e[t, :k]
+        scale[t, :k] = a.sum(axis=1, keepdims=True)
+        a = a / scale[t, :k]
+        alpha[t, :k] = a
     beta = np.ones((n, s), dtype=np.float32)
-    for t in range(length - 1, -1, -1):
-        if t < length - 1:
-            # beta of t + 1, weighted by its emission
-            out = beta * e[t + 1] / scale[t + 1]
-            moves += (alpha[t].T @ out) * model.moves
-            beta = out @ model.moves.T
-        e_t = alpha[t] * beta
-        if t == 0:
-            start += e_t.sum(axis=0)
-        alpha[t] = e_t
+    for t in range(size - 1, -1, -1):
+        if t < size - 1:
+            # beta of t + 1, weighted by its emission; windows that end at t have ones
+            k = active[t + 1]
+            out = beta[:k] * e[t + 1, :k] / scale[t + 1, :k]
+            sums.moves += (alpha[t, :k].T @ out) * model.moves
+            beta[:k] = out @ model.moves.T
+        alpha[t] *= beta
+    sums.start += alpha[0][first].sum(axis=0)
+    sums.go += alpha[0][~first].sum(axis=0)
     flat = windows.T.ravel()
     gamma = alpha.reshape(-1, s)
     for k in range(s):
-        emit[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=SYMBOLS)
-    return float(np.log(scale).sum())
-
-
-def by_length(sequences):
-    """Windows of equal length, stacked in blocks of bounded size."""
-    groups = {}
-    for x in sequences:
-        for i in range(0, len(x), WINDOW):
-            part = x[i : i + WINDOW]
-            groups.setdefault(len(part), []).append(part)
-            if len(groups[len(part)]) * len(part) >= BLOCK_TOKENS:
-                yield np.stack(groups.pop(len(part)))
-    # short rests meet in few lengths: cut to powers of two, so that no length has its own loop
-    halves = {}
-    for parts in groups.values():
-        for x in parts:
-            at = 0
-            while at < len(x):
-                size = 1 << ((len(x) - at).bit_length() - 1)
-                halves.setdefault(size, []).append(x[at : at + size])
-                at += size
-    for parts in halves.values():
-        block = max(1, BLOCK_TOKENS // len(parts[0]))
-        for i in range(0, len(parts), block):
-            yield np.stack(parts[i : i + block])
-
-
-def round_counts(encoded, model):
-    """One Baum-Welch round over all training rows: (start, moves, emit) summed over tasks."""
+        sums.emit[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=SYMBOLS)
+    return float(np.log(scale).sum()), alpha
+
+
+def blocks_of(rows, part=None):
+    """(windows, lengths, first, keys) of texts given as (row number, symbols, keys of rare words), in blocks of bounded size.
+
+    With `part`, only the windows that hash to this slice of `SLICES`. `keys` are those of the symbols beyond
+    `K`, window by window.
+    """
+    held, tokens = [], 0
+
+    def block():
+        held.sort(key=lambda x: -len(x[0]))
+        lengths = np.array([len(x) for x, _, _ in held])
+        windows = np.zeros((len(held), lengths[0]), np.uint16)
+        for i, (x, _, _) in enumerate(held):
+            windows[i, : len(x)] = x
+        return windows, lengths, np.array([f for _, f, _ in held]), np.concatenate([k for _, _, k in held])
+
+    for row, symbols, keys in rows:
+        rare = np.cumsum(symbols > K)
+        starts = np.arange(0, len(symbols), WINDOW)
+        if part is not None:
+            slices = mix(mix(np.full(len(starts), row, np.uint64)) + starts.astype(np.uint64)) % np.uint64(SLICES)
+            starts = starts[slices == np.uint64(part)]
+        for i in starts.tolist():
+            stop = min(i + WINDOW, len(symbols))
+            held.append((symbols[i:stop], i == 0, keys[rare[i - 1] if i else 0 : rare[stop - 1]]))
+            tokens += WINDOW
+            if tokens >= BLOCK_TOKENS:
+                yield block()
+                held, tokens = [], 0
+    if held:
+        yield block()
+
+
+def round_counts(encoded, model, part=None, tails=False):
+    """(tail, id, n, s0, ...): expected counts of one round, added up over tasks.
+
+    Rows with `tail` false are those of `Sums.rows`; with `tails`, there is one per rare word too: its key as
+    id, its number of occurrences, its counts per state.
+    """
     s = len(model.start)
-    columns = [f"s{k}" for k in range(s)]
+    names = ["tail", "id", "n", *(f"s{k}" for k in range(s))]
+
+    def emitted(tail, ids, n, values):
+        for i in range(0, len(ids), 10_000):
+            j = slice(i, i + 10_000)
+            columns = [pa.array(np.full(len(ids[j]), tail)), pa.array(ids[j].astype(np.int64)), pa.array(n[j].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(values[j, k].astype(np.float64)) for k in range(s)], names=names)
 
     def work(batches):
-        start, moves, emit = np.zeros(s), np.zeros((s, s)), np.zeros((SYMBOLS, s))
-        some = False
-        for batch in batches:
-            some = some or batch.num_rows > 0
-            sequences = (np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist())
-            for windows in by_length(sequences):
-                expected_counts(model, windows, start, moves, emit)
+        sums, some, held, size = Sums(s), False, [], 0
+
+        def flush():
+            keys, at, n = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True, return_counts=True)
+            shares = np.concatenate([g for _, g in held])
+            held.clear()
+            yield from emitted(True, keys.view(np.int64), n, np.stack([np.bincount(at, shares[:, k], len(keys)) for k in range(s)], axis=1))
+
+        for whole in batches:
+            for batch in row_slices(whole, 1, 1 << 20):
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                rows = ((r, np.frombuffer(x, "<u2"), np.frombuffer(k, "<u8")) for r, x, k in rows)
+                for windows, lengths, first, keys in blocks_of(rows, part):
+                    some = True
+                    _, gamma = expected_counts(model, windows, lengths, first, sums)
+                    if tails and len(keys):
+                        i, t = np.nonzero((windows > K) & (np.arange(windows.shape[1]) < lengths[:, None]))
+                        held.append((keys, gamma[t, i]))
+                        size += len(keys)
+                        if size >= HELD_TAIL:
+                            yield from flush()
+                            size = 0
+        if held:
+            yield from flush()
         if some:
-            used = np.flatnonzero(emit.any(axis=1))
-            for ids, values in ((-1 - np.arange(s), moves), (np.array([-1 - s]), start[None, :]), (used, emit[used])):
-                for i in range(0, len(ids), 10_000):
-                    part = values[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i : i + 10_000].astype(np.int32)), *(pa.array(part[:, k]) for k in range(s))], names=["id", *columns]
-                    )
-
-    rows = encoded.filter("learn").select("symbols").mapInArrow(work, "id int, " + ", ".join(f"{c} double" for c in columns))
-    total = rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    ids, values = total["id"].to_numpy(), total[columns].to_numpy(dtype=float)
-    start, moves, emit = np.zeros(s), np.zeros((s, s)), np.zeros((SYMBOLS, s))
-    for i, v in zip(ids[ids < 0], values[ids < 0]):
-        if i == -1 - s:
-            start = v
-        else:
-            moves[-1 - i] = v
-    emit[ids[ids >= 0]] = values[ids >= 0]
-    return start, moves, emit
+            ids, values = sums.rows()
+            yield from emitted(False, ids, np.zeros(len(ids), np.int64), values)
+
+    schema = "tail boolean, id bigint, n bigint, " + ", ".join(f"{c} double" for c in names[3:])
+    rows = encoded.filter("learn").select("row", "symbols", "tail").mapInArrow(work, schema)
+    return rows.groupBy("tail", "id").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
+def _sums(rows, states):
+    found = rows.filter("not tail").toPandas()
+    return Sums.of(found["id"].to_numpy(), found[[f"s{k}" for k in range(states)]].to_numpy(dtype=float), states)
 
 
 def train(encoded, vocabulary, states=STATES, rounds=ROUNDS):
+    """(model, expected counts of its last round with those of rare words, in a stored table)."""
     unigram = vocabulary.unigram()
     model = Model.first(unigram, states)
-    sample = encoded.filter("learn").orderBy(F.xxhash64("row"), "row").limit(START_DOCS).select(F.substring("symbols", 1, 2 * 20 * WINDOW).alias("x"))
-    sequences = [np.frombuffer(bytes(r.x), "<u2") for r in sample.collect()]
-    windows = [x[i : i + WINDOW] for x in sequences for i in range(0, len(x), WINDOW)]
-    pick = np.random.default_rng(1).permutation(len(windows))[:START_WINDOWS]
-    blocks = list(by_length([windows[i] for i in pick]))
-    for _ in range(START_ROUNDS):
-        start, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
-        for block in blocks:
-            expected_counts(model, block, start, moves, emit)
-        model = Model.updated(start, moves, emit, unigram)
-    for _ in range(rounds):
-        model = Model.updated(*round_counts(encoded, model), unigram)
-    return model
-
-
-def forward(model, sequences):
-    """Natural log likelihood of every sequence: all in step, longest first."""
+    for part in range(SLICES):
+        model = Model.updated(_sums(round_counts(encoded, model, part), states), unigram)
+    for k in range(rounds):
+        last = k == rounds - 1
+        counts = round_counts(encoded, model, tails=last)
+        counts = _stored(counts, "round") if last else counts
+        sums = _sums(counts, states)
+        model = Model.updated(sums, unigram)
+    return model, sums, counts.filter("tail").drop("tail")
+
+
+class Tails:
+    """Rare words: `table` (key, c, tilt) and `mass` (class x state), the sum of their numerators and an unknown word's."""
+
+    def __init__(self, counts, sums, states):
+        shares = sums.emit[1 + K :] + 1e-9
+        shares = shares / shares.sum(axis=1, keepdims=True)
+
+        def work(batches):
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                own = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
+                usual = shares[keys & 255]
+                ratio = (own + LEAN * usual) / (own.sum(axis=1, keepdims=True) + LEAN) / usual
+                steps = np.clip(np.round(np.log2(ratio) * STEP), -127, 127).astype(np.int8)
+                tilt = pa.array([x.tobytes() for x in steps], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tilt], names=["key", "c", "tilt"])
+
+        def masses(batches):
+            out = np.zeros((256, states))
+            for batch in batches:
+                if batch.num_rows:
+                    numerator = numerators(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist())
+                    np.add.at(out, batch.column(0).to_numpy(zero_copy_only=False) & 255, numerator)
+            some = np.flatnonzero(out.any(axis=1))
+            if len(some):
+                columns = [pa.array(some.astype(np.int32)), *(pa.array(out[some, k]) for k in range(states))]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", *(f"m{k}" for k in range(states))])
+
+        columns = ["id", "n", *(f"s{k}" for k in range(states))]
+        self.table = _stored(counts.select(*columns).mapInArrow(work, "key bigint, c bigint, tilt binary"), "tails")
+        m = [f"m{k}" for k in range(states)]
+        added = self.table.mapInArrow(masses, "b int, " + ", ".join(f"{c} double" for c in m)).groupBy("b").agg(*[F.sum(c).alias(c) for c in m])
+        self.mass = np.ones((256, states))
+        for r in added.collect():
+            self.mass[r.b] += [r[c] for c in m]
+
+
+def numerators(counts, tilts):
+    """(c + 1) * tilt per word and state."""
+    steps = np.frombuffer(b"".join(tilts), np.int8).reshape(len(tilts), -1)
+    return (counts + 1.0)[:, None] * np.exp2(steps / STEP)
+
+
+def forward(model, sequences, rare=None, factors=None):
+    """Natural log likelihood of every sequence: all in step, longest first.
+
+    `rare` has for every sequence, place by place, the row of `factors` (words x states) that its emission is
+    multiplied by, or -1.
+    """
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     lengths = np.array([len(sequences[i]) for i in order])
     total = np.zeros(len(order))
@@ -290,10 +405,17 @@ def forward(model, sequences):
         return total
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate([sequences[i] for i in order])
+    odd = np.concatenate([rare[i] for i in order]) if rare is not None else None
     a = np.broadcast_to(model.start, (len(order), len(model.start)))
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t, side="left"))
-        a = (a[:n] @ model.moves if t else a[:n]) * model.emit[flat[begins[:n] + t]]
+        e = model.emit[flat[begins[:n] + t]]
+        if odd is not None:
+            which = odd[begins[:n] + t]
+            some = np.flatnonzero(which >= 0)
+            if len(some):
+                e[some] = e[some] * factors[which[some]]
+        a = (a[:n] @ model.moves if t else a[:n]) * e
         scale = a.sum(axis=1, keepdims=True)
         a = a / scale
         total[:n] += np.log(scale[:, 0], dtype=np.float64)
@@ -302,60 +424,82 @@ def forward(model, sequences):
     return out
 
 
-def score_documents(docs, doc_id="doc_id", text="text", modulus=7, held=2, states=STATES, rounds=ROUNDS):
-    """One row per row of `docs`: counts, the unigram score and the model's log10 probability of the text."""
-    spark = docs.sparkSession
+class Fitted:
+    """All that scoring needs: encoded rows, vocabulary, model and rare words."""
+
+    def __init__(self, rows, states=STATES, rounds=ROUNDS, most=K):
+        counts = _stored(word_counts(rows.filter("learn")), "counts")
+        self.vocabulary = learn_vocabulary(counts, rows.filter("learn").count(), most)
+        self.encoded = _stored(encode(rows, self.vocabulary), "encoded")
+        self.model, sums, tails = train(self.encoded, self.vocabulary, states, rounds)
+        self.tails = Tails(tails, sums, states)
+
+
+def prepared(docs, doc_id="doc_id", text="text", modulus=7, held=2):
+    """(doc_id, held_out, learn, text) of a table of documents."""
     rest = F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
-    rows = docs.select(
+    return docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(rest == held, F.lit(False)).alias("held_out"),
         F.coalesce(rest != held, F.lit(False)).alias("learn"), F.col(text).alias("text"),
     )
-    counts = _stored(word_counts(rows.filter("learn")), "counts")
-    vocabulary = learn_vocabulary(counts, rows.filter("learn").count())
-    encoded = _stored(encode(rows, vocabulary), "encoded")
-    model = train(encoded, vocabulary, states, rounds)
 
-    def work(batches):
-        for batch in batches:
-            sequences = [np.frombuffer(x, "<u2") for x in batch.column(4).to_pylist()]
-            likely = forward(model, sequences) / np.log(10)
-            base, known = [], []
-            for i, x in enumerate(sequences):
-                own = x[x <= K]
-                base.append(float(vocabulary.log_head[own].sum()))
-                known.append(int((vocabulary.counts[own] > 0).sum()))
-                likely[i] -= vocabulary.log_class[x[x > K].astype(np.int64) - 1 - K].sum()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(likely)],
-                names=["row", "doc_id", "held_out", "n_tokens", "base", "known", "likely"],
-            )
-
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(
-        work, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, base double, known bigint, likely double"
-    )
+
+def score_documents(docs, doc_id="doc_id", text="text", modulus=7, held=2, states=STATES, rounds=ROUNDS):
+    """One row per row of `docs`: counts, the unigram score and the model's log10 probability of the text."""
+    return score(Fitted(prepared(docs, doc_id, text, modulus, held), states, rounds))
+
+
+def score(fitted):
+    vocabulary, model, mass = fitted.vocabulary, fitted.model, fitted.tails.mass
 
     def split(batches):
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+                keys = np.unique(np.frombuffer(raw, "<u8"))
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), i)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "key", "n"]
-                    )
-
-    tail = encoded.select("row", "tail").mapInArrow(_merged(split), "row bigint, key bigint, n bigint")
-    tail = tail.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_log"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
-    )
+                    columns = [pa.array(np.full(len(keys), i)), pa.array(keys.view(np.int64)), pa.array(np.arange(len(keys), dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "place"])
+
+    # the rare words of every text, as places in the order of their keys, with what the corpus says of them
+    used = fitted.encoded.select("row", "tail").mapInArrow(_merged(split), "row bigint, key bigint, place int")
+    used = used.join(fitted.tails.table, "key").groupBy("row").agg(F.collect_list(F.struct("place", "c", "tilt")).alias("known"))
+    rows = fitted.encoded.select("row", "doc_id", "held_out", "n_tokens", "symbols", "tail").join(used, "row", "left")
     size = float(np.log10(vocabulary.tokens + vocabulary.types + 1))
-    out = scored.join(tail, "row", "left")
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(int(vocabulary.tokens)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + tail_log - F.col("n_tokens") * size).alias("base_score"), (F.col("likely") + tail_log).alias("score"),
-    )
+
+    def work(batches):
+        for whole in batches:
+            for batch in row_slices(whole, 3, 1 << 20):
+                n_tokens, symbols, tails, known = (batch.column(i).to_pylist() for i in range(2, 6))
+                sequences, rare, factors, base, n_known, at = [], [], [], [], [], 0
+                for n, x, raw, words in zip(n_tokens, symbols, tails, known):
+                    x, keys = np.frombuffer(x, "<u2"), np.frombuffer(raw, "<u8")
+                    distinct, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+                    counts, numerator = np.zeros(len(distinct)), np.ones((len(distinct), len(model.start)))
+                    if words:
+                        place = np.array([w["place"] for w in words])
+                        counts[place] = [w["c"] for w in words]
+                        numerator[place] = numerators(counts[place], [w["tilt"] for w in words])
+                    place = np.full(len(x), -1)
+                    place[x > K] = which + at
+                    at += len(distinct)
+                    own = x[x <= K]
+                    sequences.append(x)
+                    rare.append(place)
+                    factors.append((numerator / mass[(distinct & np.uint64(255)).astype(np.int64)]).astype(np.float32))
+                    base.append(float(vocabulary.log_head[own].sum() + (times * np.log10(counts + 1)).sum() - n * size))
+                    n_known.append(int((vocabulary.counts[own] > 0).sum() + times[counts > 0].sum()))
+                likely = forward(model, sequences, rare, np.concatenate(factors)) / np.log(10)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(likely)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                )
+
+    scored = rows.select("doc_id", "held_out", "n_tokens", "symbols", "tail", "known").mapInArrow(
+        work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    )
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(vocabulary.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
 
 
 def _merged(function, rows=50_000):

@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -51,20 +52,23 @@ def random_model(states=3):
     rnd = np.random.default_rng(0)
     emit = np.zeros((hmm.SYMBOLS, states))
     emit[:6] = rnd.dirichlet(np.ones(6), states).T
-    return hmm.Model(rnd.dirichlet(np.ones(states)), rnd.dirichlet(np.ones(states), states), emit)
+    return hmm.Model(*rnd.dirichlet(np.ones(states), 2), rnd.dirichlet(np.ones(states), states), emit)
 
 
-def paths_probability(model, x):
-    """Sum over all paths of states."""
-    import itertools
-
-    total = 0.0
-    for path in itertools.product(range(len(model.start)), repeat=len(x)):
-        p = float(model.start[path[0]]) * float(model.emit[x[0], path[0]])
-        for s, r, w in zip(path, path[1:], x[1:]):
-            p *= float(model.moves[s, r]) * float(model.emit[w, r])
+def path_sums(model, x, first=True):
+    """Probability and expected counts of a sequence, over all paths of states."""
+    s = len(model.start)
+    total, gamma, moves = 0.0, np.zeros((len(x), s)), np.zeros((s, s))
+    for path in itertools.product(range(s), repeat=len(x)):
+        p = float((model.start if first else model.go)[path[0]]) * float(model.emit[x[0], path[0]])
+        for r, t, w in zip(path, path[1:], x[1:]):
+            p *= float(model.moves[r, t]) * float(model.emit[w, t])
         total += p
-    return total
+        for place, r in enumerate(path):
+            gamma[place, r] += p
+        for r, t in zip(path, path[1:]):
+            moves[r, t] += p
+    return total, gamma / total, moves / total
 
 
 def test_forward_is_the_sum_over_all_paths():
@@ -72,28 +76,102 @@ def test_forward_is_the_sum_over_all_paths():
     sequences = [np.array(x, dtype="<u2") for x in ([0], [1, 2, 3, 0], [5, 5, 0], [4, 3, 2, 1, 5, 0])]
     got = hmm.forward(model, sequences)
     for x, value in zip(sequences, got):
-        assert value == pytest.approx(math.log(paths_probability(model, x)), rel=1e-5)
+        assert value == pytest.approx(math.log(path_sums(model, x)[0]), rel=1e-5)
+
+
+def test_expected_counts_of_windows_of_any_length():
+    model = random_model()
+    texts = [([1, 2, 3, 0], True), ([5, 0, 4], False), ([4, 4, 1], True), ([2], False)]
+    windows = np.zeros((4, 4), np.uint16)
+    for i, (x, _) in enumerate(texts):
+        windows[i, : len(x)] = x
+    sums = hmm.Sums(3)
+    likely, gamma = hmm.expected_counts(model, windows, np.array([4, 3, 3, 1]), np.array([f for _, f in texts]), sums)
+    each = [path_sums(model, x, f) for x, f in texts]
+    assert likely == pytest.approx(sum(math.log(p) for p, _, _ in each), rel=1e-5)
+    assert np.allclose(sums.moves, sum(m for _, _, m in each), atol=1e-5)
+    assert np.allclose(sums.start, each[0][1][0] + each[2][1][0], atol=1e-5) and np.allclose(sums.go, each[1][1][0] + each[3][1][0], atol=1e-5)
+    emit = np.zeros((6, 3))
+    for (x, _), (_, g, _), i in zip(texts, each, range(4)):
+        np.add.at(emit, x, g)
+        assert np.allclose(gamma[: len(x), i], g, atol=1e-5) and not gamma[len(x) :, i].any()
+    assert np.allclose(sums.emit[:6], emit, atol=1e-5)
 
 
 def test_rounds_never_lower_the_likelihood():
     rnd = np.random.default_rng(4)
-    windows = rnd.integers(0, 6, (50, 16)).astype("<u2")
-    model, before, unigram = random_model(), -np.inf, np.zeros(hmm.SYMBOLS)
+    lengths = -np.sort(-rnd.integers(1, 17, 50))
+    windows = rnd.integers(0, 6, (50, 16)).astype(np.uint16)
+    model, before = random_model(), -np.inf
     for _ in range(6):
-        start, moves, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((hmm.SYMBOLS, 3))
-        now = hmm.expected_counts(model, windows, start, moves, emit)
-        assert emit.sum() == pytest.approx(windows.size, rel=1e-4) and moves.sum() == pytest.approx(50 * 15, rel=1e-4)
+        sums = hmm.Sums(3)
+        now, _ = hmm.expected_counts(model, windows, lengths, np.ones(50, bool), sums)
+        assert sums.emit.sum() == pytest.approx(lengths.sum(), rel=1e-4) and sums.moves.sum() == pytest.approx((lengths - 1).sum(), rel=1e-4)
         assert now >= before - 1e-2
         before = now
-        model = hmm.Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
-    assert unigram.sum() == 0
-
-
-def test_windows_cover_every_token_once():
-    sequences = [np.arange(n, dtype="<u2") for n in (1, 3, 255, 256, 700)]
-    blocks = list(hmm.by_length(sequences))
-    assert sum(b.size for b in blocks) == sum(map(len, sequences))
-    assert Counter(np.concatenate([b.ravel() for b in blocks]).tolist()) == Counter(np.concatenate(sequences).tolist())
+        model = hmm.Model(sums.start / sums.start.sum(), model.go, sums.moves / sums.moves.sum(1, keepdims=True), sums.emit / sums.emit.sum(0))
+
+
+def test_windows_cover_every_token_once(monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 600)
+    top = hmm.K
+    texts = [(i, (np.arange(n) % 7 + np.where(np.arange(n) % 5 == i % 5, top + 1, 0)).astype("<u2")) for i, n in enumerate((1, 3, 255, 256, 700, 5000))]
+    texts = [(i, x, (np.flatnonzero(x > top) + 10_000 * i).astype("<u8")) for i, x in texts]
+
+    def tokens_of(part):
+        out, keys, firsts = [], [], 0
+        for windows, lengths, first, rare in hmm.blocks_of(texts, part):
+            valid = np.arange(windows.shape[1]) < lengths[:, None]
+            assert (np.diff(lengths) <= 0).all() and ((windows > top) & valid).sum() == len(rare)
+            out += windows[valid].tolist()
+            keys += rare.tolist()
+            firsts += first.sum()
+        return Counter(out), Counter(keys), firsts
+
+    want = Counter(np.concatenate([x for _, x, _ in texts]).tolist()), Counter(np.concatenate([k for _, _, k in texts]).tolist()), 6
+    assert tokens_of(None) == want
+    parts = [tokens_of(p) for p in range(hmm.SLICES)]
+    assert tuple(sum((p[k] for p in parts), Counter() if k < 2 else 0) for k in range(3)) == want
+    assert max(p[0].total() for p in parts) < want[0].total() / 2
+
+
+def test_scores_equal_the_model_written_out(spark, monkeypatch):
+    """Every score again, word by word in Python, from the fitted tables; the words of a state add up to 1."""
+    rnd = np.random.default_rng(7)
+    a, b = [f"a{i}" for i in range(300)], [f"b{i}x" for i in range(300)]
+    rows = [(i, " ".join(rnd.choice(a if i % 2 else b, rnd.integers(1, 60), p=None))) for i in range(150)]
+    rows += [(900, "a1 zzz b2x unseen"), (901, None), (902, "A5 " * 700), (903, "rare"), (904, "rare"), (905, "rare")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1, "z") for i, t in rows], SCHEMA).repartition(3)
+    monkeypatch.setattr(hmm, "HELD_TAIL", 50)
+    # all but the most frequent words are rare
+    fitted = hmm.Fitted(hmm.prepared(docs), states=3, rounds=2, most=40)
+    got = {r.doc_id: r for r in hmm.score(fitted).collect()}
+    assert 0 < len(fitted.vocabulary.keys) <= 40
+    table = {r.key: (r.c, np.frombuffer(r.tilt, np.int8)) for r in fitted.tails.table.collect()}
+    assert len(table) > 100
+    m, mass = fitted.model, fitted.tails.mass
+    numerator = {k: (c + 1) * np.exp2(t / hmm.STEP) for k, (c, t) in table.items()}
+    added = np.ones((256, 3))
+    for k, x in numerator.items():
+        added[k & 255] += x
+    assert np.allclose(added, mass)
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update(tokens(t))
+    assert sum(c for c, _ in table.values()) + fitted.vocabulary.counts[: 1 + hmm.K].sum() == sum(train.values())
+    for r in fitted.encoded.collect():
+        x, keys, at, likely = np.frombuffer(r.symbols, "<u2"), np.frombuffer(r.tail, "<i8"), 0, 0.0
+        state = m.start.astype(float)
+        for t, symbol in enumerate(x.tolist()):
+            e = m.emit[symbol].astype(float)
+            if symbol > hmm.K:
+                key = int(keys[at])
+                e, at = e * numerator.get(key, np.ones(3)) / mass[key & 255], at + 1
+            state = (state @ m.moves.astype(float) if t else state) * e
+            likely += math.log10(state.sum())
+            state = state / state.sum()
+        assert got[r.doc_id].score == pytest.approx(likely, rel=1e-4, abs=1e-3)
 
 
 def test_empty_table(spark):
