@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectraloom.llm import langid
 
@@ -70,3 +71,50 @@ def test_nothing_to_learn_from(spark):
     rows = [(1, "text", None, "a", "b", 1, "c")]
     assert [tuple(r)[2:] for r in langid.predict_languages(spark.createDataFrame(rows, SCHEMA)).collect()] == [("und", 0.0)]
     assert langid.predict_languages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plain_states(p, side, window):
+    """The recurrent network byte by byte, written out gate by gate in double precision."""
+    soft = lambda x: x / (1 + abs(x))
+    w, u = p["in_" + side].astype(float), p["rec_" + side].astype(float)
+    k, out = len(u), [None] * len(window)
+    h = [0.0] * k
+    for t in range(len(window)) if side == "f" else range(len(window) - 1, -1, -1):
+        m = [sum(u[j, i] * h[j] for j in range(k)) for i in range(3 * k)]
+        a = w[:, window[t]]
+        z = [0.5 + 0.5 * soft(a[i] + m[i]) for i in range(k)]
+        r = [0.5 + 0.5 * soft(a[k + i] + m[k + i]) for i in range(k)]
+        n = [soft(a[2 * k + i] + r[i] * m[2 * k + i]) for i in range(k)]
+        h = [(1 - z[i]) * n[i] + z[i] * h[i] for i in range(k)]
+        out[t] = h
+    return out
+
+
+def plain_prediction(network, text):
+    """Mean of the label probabilities of all bytes, windows one after the other."""
+    raw, total = text.encode(), np.zeros(len(network.languages))
+    for at in range(0, len(raw), langid.STEPS):
+        # the last window is filled up with zero bytes, which its backward pass reads first
+        window = raw[at : at + langid.STEPS].ljust(langid.STEPS, b"\0")
+        forward, backward = (plain_states(network.p, s, window) for s in "fb")
+        for t in range(min(langid.STEPS, len(raw) - at)):
+            logits = network.p["out"].astype(float) @ np.array(forward[t] + backward[t]) + network.p["bias"][:, 0]
+            e = np.exp(logits - logits.max())
+            total += e / e.sum()
+    return total / len(raw)
+
+
+def test_predictions_equal_the_network_written_out(spark):
+    docs = spark.read.parquet(f"{SMALLEST}/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    samples = langid.training_windows(docs, "doc_id", "text", "lang", learn).collect()
+    network = langid.fit([(r.lang, r.window) for r in samples])
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in langid.predict_languages(docs).collect()}
+    short = sorted((i for i, t in texts.items() if t and any(map(str.isalpha, t))), key=lambda i: len(texts[i]))
+    for i in short[:12] + short[20:60:8]:
+        want = plain_prediction(network, texts[i][:4000]) if len(texts[i]) <= 4000 else None
+        if want is not None:
+            assert got[i].score == pytest.approx(want.max(), abs=2e-3)
+            near = np.sort(want)[-2:]
+            assert near[1] - near[0] < 4e-3 or got[i].lang_pred == network.languages[int(want.argmax())]
