@@ -8,6 +8,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import QUERIES  # noqa: E402
+from checks.vectors import full_spectra  # noqa: E402
 from spectraloom.session import local_session  # noqa: E402
 
 HEADLINE = (
@@ -22,6 +23,10 @@ HEADLINE = (
     "preprocessing_run",
     "mad_normalized",
     "pair_diagnosis",
+    "pair_diagnosis_all_fields",
+    "real_pairs_vectors",
+    "merged_in_place",
+    "best_vector_per_object_in_buckets",
     "clean_spectra",
     "class_profiles",
     "stratified_split_sizes",
@@ -48,6 +53,7 @@ def main():
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    rows = full_spectra(spark, sf_dir).count()
     print(
         json.dumps(
             {
@@ -55,6 +61,8 @@ def main():
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                # raw spectra to vectors of 1,024 pixels
+                "spectra_per_second": round(rows / times["preprocessed_spectra_full_grid"], 1),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

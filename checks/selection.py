@@ -459,6 +459,17 @@ def failures(spark, sf_dir):
     return good.agg(F.count("*").alias("kept")).withColumn("failed", count)
 
 
+@query(
+    "failed_spectra_listed",
+    "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'kept' ELSE 'failed' END AS part, "
+    "CASE WHEN event_type <> 'error' THEN value END AS value FROM events",
+)
+def failures_listed(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.array("value")).alias("flux"))
+    parts = [part.withColumn("part", F.lit(name)) for part, name in zip(split_processed(df), ("kept", "failed"))]
+    return parts[0].unionByName(parts[1]).select("event_id", "part", F.get("flux", F.lit(0)).alias("value"))
+
+
 @query(
     "unique_targets",
     f"WITH {TARGET_SQL} SELECT plate, mjd, fiber, min(row_idx) AS row_idx FROM target GROUP BY ALL",
