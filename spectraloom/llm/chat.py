@@ -7,8 +7,8 @@ A log has rows (conversation, sequence number, kind, target, role, text):
 * `edit`: replaces the text of `target`;
 * `regenerate`: empties `target`; later deltas fill it anew.
 
-Events are folded per message first and per conversation afterwards, so that a long conversation
-spreads over tasks until its messages are final. Template, per turn:
+Events are folded per message first and per conversation afterwards: a log in any order spreads a long
+conversation over tasks until its messages are final. A log that already lies by conversation is shuffled no more. Template, per turn:
 
     <s>[INST]role[/INST]text</s>
 
@@ -100,15 +100,15 @@ def fold_events(events):
     events = events.select(
         "conv", "seq", "kind", "target", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    opened = events.filter("kind = 'message'").select("conv", "seq", "role", "text")
-    changes = events.filter("kind in ('delta', 'edit', 'regenerate')")
-    changes = changes.groupBy("conv", "target").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "kind", "text"))).alias("changes")
+    # a message and its changes meet once; the log's own order of rows does not matter
+    opens, number = F.col("kind") == "message", F.when(F.col("kind") == "message", F.col("seq")).otherwise(F.col("target"))
+    changes = F.col("kind").isin("delta", "edit", "regenerate")
+    of_message = events.filter(opens | (changes & F.col("target").isNotNull())).groupBy("conv", number.alias("message")).agg(
+        F.collect_list(F.when(opens, F.struct("role", "text"))).alias("opened"),
+        F.sort_array(F.collect_list(F.when(changes, F.struct("seq", "kind", "text")))).alias("changes"),
     )
-    changes = changes.select(F.col("conv").alias("_conv"), F.col("target").alias("_target"), "changes")
-    joined = opened.join(changes, opened["conv"].eqNullSafe(changes["_conv"]) & (F.col("seq") == F.col("_target")), "left")
-    final = F.when(F.col("changes").isNull(), F.col("text")).otherwise(_fold(F.col("text"), F.col("changes")))
-    return joined.select("conv", "seq", "role", final.alias("text"))
+    each = of_message.select("conv", F.col("message").alias("seq"), "changes", F.explode("opened").alias("o"))
+    return each.select("conv", "seq", F.col("o.role").alias("role"), _fold(F.col("o.text"), F.col("changes")).alias("text"))
 
 
 def format_conversations(messages):

@@ -212,7 +212,7 @@ class Sums:
 
 
 def expected_counts(model, windows, lengths, first, sums):
-    """Adds the expected counts of windows (rows of symbols, longest first, filled up with any symbol).
+    """Adds the expected counts of windows (rows of symbols, longest first, followed by any symbols).
 
     Returns the log likelihood and, per place and window, the shares of the states (zero beyond a window's end).
     """
@@ -247,37 +247,40 @@ def expected_counts(model, windows, lengths, first, sums):
     return float(np.log(scale).sum()), alpha
 
 
-def blocks_of(rows, part=None):
-    """(windows, lengths, first, keys) of texts given as (row number, symbols, keys of rare words), in blocks of bounded size.
+def blocks_of(numbers, texts, keys=None, part=None):
+    """(windows, lengths, first, keys) of texts given as row numbers, symbols and keys of rare words, in blocks of bounded size.
 
-    With `part`, only the windows that hash to this slice of `SLICES`. `keys` are those of the symbols beyond
-    `K`, window by window.
+    With `part`, only the windows that hash to this slice of `SLICES`. `keys`, if given, are those of the symbols
+    beyond `K`, window by window.
     """
-    held, tokens = [], 0
-
-    def block():
-        held.sort(key=lambda x: -len(x[0]))
-        lengths = np.array([len(x) for x, _, _ in held])
-        windows = np.zeros((len(held), lengths[0]), np.uint16)
-        for i, (x, _, _) in enumerate(held):
-            windows[i, : len(x)] = x
-        return windows, lengths, np.array([f for _, f, _ in held]), np.concatenate([k for _, _, k in held])
-
-    for row, symbols, keys in rows:
-        rare = np.cumsum(symbols > K)
-        starts = np.arange(0, len(symbols), WINDOW)
-        if part is not None:
-            slices = mix(mix(np.full(len(starts), row, np.uint64)) + starts.astype(np.uint64)) % np.uint64(SLICES)
-            starts = starts[slices == np.uint64(part)]
-        for i in starts.tolist():
-            stop = min(i + WINDOW, len(symbols))
-            held.append((symbols[i:stop], i == 0, keys[rare[i - 1] if i else 0 : rare[stop - 1]]))
-            tokens += WINDOW
-            if tokens >= BLOCK_TOKENS:
-                yield block()
-                held, tokens = [], 0
-    if held:
-        yield block()
+    sizes = np.array([len(x) for x in texts])
+    counts = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
+    if part is not None:
+        hashed = mix(mix(np.asarray(numbers).astype(np.uint64)[owner]) + place.astype(np.uint64))
+        chosen = hashed % np.uint64(SLICES) == np.uint64(part)
+        owner, place = owner[chosen], place[chosen]
+    if not len(owner):
+        return
+    begin = np.cumsum(sizes) - sizes
+    flat = np.concatenate([*texts, np.zeros(WINDOW, np.uint16)])
+    length = np.minimum(WINDOW, sizes[owner] - place)
+    at = begin[owner] + place
+    rare = np.concatenate([[0], np.cumsum(flat > K)]) if keys is not None else None
+    order = np.argsort(-length, kind="stable")
+    start = 0
+    while start < len(order):
+        # as many windows as fit, of about one length: longest first
+        rows = order[start : start + max(BLOCK_TOKENS // int(length[order[start]]), 1)]
+        start += len(rows)
+        windows = flat[at[rows][:, None] + np.arange(length[rows[0]])]
+        found = None
+        if keys is not None:
+            low = rare[at[rows]]
+            n = rare[at[rows] + length[rows]] - low
+            found = keys[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        yield windows, length[rows], place[rows] == 0, found
 
 
 def round_counts(encoded, model, part=None, tails=False):
@@ -305,10 +308,10 @@ def round_counts(encoded, model, part=None, tails=False):
             yield from emitted(True, keys.view(np.int64), n, np.stack([np.bincount(at, shares[:, k], len(keys)) for k in range(s)], axis=1))
 
         for whole in batches:
-            for batch in row_slices(whole, 1, 1 << 20):
-                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                rows = ((r, np.frombuffer(x, "<u2"), np.frombuffer(k, "<u8")) for r, x, k in rows)
-                for windows, lengths, first, keys in blocks_of(rows, part):
+            for batch in row_slices(whole, 1, 8 << 20):
+                texts = [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
+                rare = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8") if tails else None
+                for windows, lengths, first, keys in blocks_of(batch.column(0).to_numpy(), texts, rare, part):
                     some = True
                     _, gamma = expected_counts(model, windows, lengths, first, sums)
                     if tails and len(keys):
@@ -325,7 +328,7 @@ def round_counts(encoded, model, part=None, tails=False):
             yield from emitted(False, ids, np.zeros(len(ids), np.int64), values)
 
     schema = "tail boolean, id bigint, n bigint, " + ", ".join(f"{c} double" for c in names[3:])
-    rows = encoded.filter("learn").select("row", "symbols", "tail").mapInArrow(work, schema)
+    rows = encoded.filter("learn").select("row", "symbols", *(["tail"] if tails else [])).mapInArrow(work, schema)
     return rows.groupBy("tail", "id").agg(*[F.sum(c).alias(c) for c in names[2:]])
 
 
