@@ -7,13 +7,13 @@ state stay a Spark table, which grows with the corpus and meets the texts by a j
 
     P(word | state) = P(class | state) * (c + 1) * tilt(word, state) / mass(class, state)
 
-where tilt is the word's share of the state over its class's, in steps of 1/16 of a factor of two (a byte per
-state), and mass sums the numerator over the class and one unknown word of tilt 1: the words of a state add up to
+where tilt is the word's share of the state over its class's, from 1/16 to 14 in steps of a quarter of a factor of
+two (five bits per state, one number per word), and mass sums the numerator over the class and one unknown word of tilt 1: the words of a state add up to
 1. No word list is broadcast beyond the `K` frequent ones.
 
 Training is Baum-Welch over windows of `WINDOW` tokens of whole texts. The first window of a text starts from
 the start shares, any other from shares of its own; the last one is as long as the rest of the text. The
-moves over window edges (one in `WINDOW`) are not counted. Each of `SLICES` rounds sees another slice of all
+moves over window edges (one in `WINDOW`) are not counted. Expected counts travel with 16 significant bits. Each of `SLICES` rounds sees another slice of all
 windows of all texts, dealt by hash, then `ROUNDS` rounds see all of them; the last also sums the counts
 per rare word and state. Each task sums its expected counts, Spark adds them up, and the driver gets one
 row per symbol (at most 65,536) per round. The score of a text is its exact likelihood: the forward
@@ -28,6 +28,7 @@ an empty table gives an empty result. Other columns are ignored, whatever their
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -48,7 +49,12 @@ COUNT_TOKENS = 4_000_000
 HELD_TAIL = 1 << 18
 #: a rare word's shares lean on its class as if it had been seen so many times more
 LEAN = 2.0
-STEP = 16.0
+#: a tilt's steps to a factor of two, and its bits
+STEP = 4.0
+BITS = 5
+HALF = 1 << (BITS - 1)
+#: partitions that a task of a round over all windows takes: fewer tasks send fewer sums
+TOGETHER = 2
 
 
 def words_of(column):
@@ -283,6 +289,12 @@ def blocks_of(numbers, texts, keys=None, part=None):
         yield windows, length[rows], place[rows] == 0, found
 
 
+def shortened(values):
+    """Rounded to 16 significant bits: what is summed up over tasks compresses well."""
+    bits = np.ascontiguousarray(values, dtype=np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32).astype(np.float64)
+
+
 def round_counts(encoded, model, part=None, tails=False):
     """(tail, id, n, s0, ...): expected counts of one round, added up over tasks.
 
@@ -293,10 +305,11 @@ def round_counts(encoded, model, part=None, tails=False):
     names = ["tail", "id", "n", *(f"s{k}" for k in range(s))]
 
     def emitted(tail, ids, n, values):
+        values = shortened(values)
         for i in range(0, len(ids), 10_000):
             j = slice(i, i + 10_000)
             columns = [pa.array(np.full(len(ids[j]), tail)), pa.array(ids[j].astype(np.int64)), pa.array(n[j].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(values[j, k].astype(np.float64)) for k in range(s)], names=names)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(values[j, k]) for k in range(s)], names=names)
 
     def work(batches):
         sums, some, held, size = Sums(s), False, [], 0
@@ -328,7 +341,9 @@ def round_counts(encoded, model, part=None, tails=False):
             yield from emitted(False, ids, np.zeros(len(ids), np.int64), values)
 
     schema = "tail boolean, id bigint, n bigint, " + ", ".join(f"{c} double" for c in names[3:])
-    rows = encoded.filter("learn").select("row", "symbols", *(["tail"] if tails else [])).mapInArrow(work, schema)
+    rows = encoded.filter("learn").select("row", "symbols", *(["tail"] if tails else []))
+    tasks = -(-rows.rdd.getNumPartitions() // (TOGETHER if part is None else SLICES))
+    rows = rows.coalesce(max(tasks, 1)).mapInArrow(work, schema)
     return rows.groupBy("tail", "id").agg(*[F.sum(c).alias(c) for c in names[2:]])
 
 
@@ -356,6 +371,8 @@ class Tails:
     """Rare words: `table` (key, c, tilt) and `mass` (class x state), the sum of their numerators and an unknown word's."""
 
     def __init__(self, counts, sums, states):
+        if BITS * states > 62:
+            raise ValueError(f"a word's tilts have room for {62 // BITS} states")
         shares = sums.emit[1 + K :] + 1e-9
         shares = shares / shares.sum(axis=1, keepdims=True)
 
@@ -365,15 +382,15 @@ class Tails:
                 own = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
                 usual = shares[keys & 255]
                 ratio = (own + LEAN * usual) / (own.sum(axis=1, keepdims=True) + LEAN) / usual
-                steps = np.clip(np.round(np.log2(ratio) * STEP), -127, 127).astype(np.int8)
-                tilt = pa.array([x.tobytes() for x in steps], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tilt], names=["key", "c", "tilt"])
+                steps = np.clip(np.round(np.log2(ratio) * STEP), -HALF, HALF - 1).astype(np.int64) + HALF
+                tilt = (steps << (BITS * np.arange(states))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tilt)], names=["key", "c", "tilt"])
 
         def masses(batches):
             out = np.zeros((256, states))
             for batch in batches:
                 if batch.num_rows:
-                    numerator = numerators(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist())
+                    numerator = numerators(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)), states)
                     np.add.at(out, batch.column(0).to_numpy(zero_copy_only=False) & 255, numerator)
             some = np.flatnonzero(out.any(axis=1))
             if len(some):
@@ -381,7 +398,7 @@ class Tails:
                 yield pa.RecordBatch.from_arrays(columns, names=["b", *(f"m{k}" for k in range(states))])
 
         columns = ["id", "n", *(f"s{k}" for k in range(states))]
-        self.table = _stored(counts.select(*columns).mapInArrow(work, "key bigint, c bigint, tilt binary"), "tails")
+        self.table = _stored(counts.select(*columns).mapInArrow(work, "key bigint, c bigint, tilt bigint"), "tails")
         m = [f"m{k}" for k in range(states)]
         added = self.table.mapInArrow(masses, "b int, " + ", ".join(f"{c} double" for c in m)).groupBy("b").agg(*[F.sum(c).alias(c) for c in m])
         self.mass = np.ones((256, states))
@@ -389,9 +406,9 @@ class Tails:
             self.mass[r.b] += [r[c] for c in m]
 
 
-def numerators(counts, tilts):
+def numerators(counts, tilts, states):
     """(c + 1) * tilt per word and state."""
-    steps = np.frombuffer(b"".join(tilts), np.int8).reshape(len(tilts), -1)
+    steps = (tilts[:, None] >> (BITS * np.arange(states)) & (2 * HALF - 1)) - HALF
     return (counts + 1.0)[:, None] * np.exp2(steps / STEP)
 
 
@@ -472,16 +489,19 @@ def score(fitted):
     def work(batches):
         for whole in batches:
             for batch in row_slices(whole, 3, 1 << 20):
-                n_tokens, symbols, tails, known = (batch.column(i).to_pylist() for i in range(2, 6))
+                n_tokens, symbols, tails = (batch.column(i).to_pylist() for i in range(2, 5))
+                words = batch.column(5)
+                stops = np.concatenate([[0], np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+                words = {f: pc.struct_field(words.flatten(), f).to_numpy(zero_copy_only=False) for f in ("place", "c", "tilt")}
                 sequences, rare, factors, base, n_known, at = [], [], [], [], [], 0
-                for n, x, raw, words in zip(n_tokens, symbols, tails, known):
+                for n, x, raw, low, high in zip(n_tokens, symbols, tails, stops[:-1].astype(int), stops[1:].astype(int)):
                     x, keys = np.frombuffer(x, "<u2"), np.frombuffer(raw, "<u8")
                     distinct, which, times = np.unique(keys, return_inverse=True, return_counts=True)
                     counts, numerator = np.zeros(len(distinct)), np.ones((len(distinct), len(model.start)))
-                    if words:
-                        place = np.array([w["place"] for w in words])
-                        counts[place] = [w["c"] for w in words]
-                        numerator[place] = numerators(counts[place], [w["tilt"] for w in words])
+                    if high > low:
+                        place = words["place"][low:high]
+                        counts[place] = words["c"][low:high]
+                        numerator[place] = numerators(counts[place], words["tilt"][low:high], len(model.start))
                     place = np.full(len(x), -1)
                     place[x > K] = which + at
                     at += len(distinct)

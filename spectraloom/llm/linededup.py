@@ -198,6 +198,11 @@ def _entries(docs, doc_id, text):
     )
 
 
+def _lines_of(entries):
+    """One row per non-blank line. A document's lines meet as a set, so rows that repeat id and text are one."""
+    return entries.select("id", "version", F.inline("entries"))
+
+
 SEEDS = "id bigint, version bigint, seed bigint, at array<struct<place: bigint, first: int, last: int>>"
 
 
@@ -209,7 +214,7 @@ def _seeds_of(kept, min_words):
         for batch in batches:
             for k in range(batch.num_rows):  # one document at a time as Python objects
                 key, version, found = (batch.column(i)[k].as_py() for i in range(3))
-                lines = sorted((at["ordinal"], line["h"], line["words"], at["place"]) for line in found for at in line["at"])
+                lines = sorted((x["ordinal"], x["h"], x["words"], x["place"]) for x in found)
                 runs = seeds(lines, min_words)
                 if not runs:
                     continue
@@ -248,12 +253,7 @@ def cut_ranges(docs, doc_id="doc_id", text="text", min_words=MIN_WORDS):
     held = entries.select("id", F.explode(F.array_distinct(F.transform("entries", lambda x: x.h))).alias("h"))
     shared = held.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     shared = shared.filter("first < last").select("h")
-    lines = entries.select("id", "version", F.inline("entries")).join(shared, "h")
-    # lines of a document by hash; every row is bounded by its document. Rows that repeat id and text are one
-    lines = lines.groupBy("id", "version", "h").agg(
-        F.first("words").alias("words"), F.collect_set(F.struct("ordinal", "place")).alias("at")
-    )
-    kept = lines.groupBy("id", "version").agg(F.collect_list(F.struct("h", "words", "at")).alias("lines"))
+    kept = _lines_of(entries).join(shared, "h").groupBy("id", "version").agg(F.collect_set(F.struct("ordinal", "h", "words", "place")).alias("lines"))
     links = _links(handed_over(_seeds_of(kept, min_words), "seeds"))
     pairs = links.groupBy("id", "version", "e", "e_version").agg(F.collect_list(F.struct("seed", "at", "e_at")).alias("seeds"))
 

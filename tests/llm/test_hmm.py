@@ -149,9 +149,10 @@ def test_scores_equal_the_model_written_out(spark, monkeypatch):
     fitted = hmm.Fitted(hmm.prepared(docs), states=3, rounds=2, most=40)
     got = {r.doc_id: r for r in hmm.score(fitted).collect()}
     assert 0 < len(fitted.vocabulary.keys) <= 40
-    table = {r.key: (r.c, np.frombuffer(r.tilt, np.int8)) for r in fitted.tails.table.collect()}
+    table = {r.key: (r.c, np.array([(r.tilt >> 5 * k) % 32 - 16 for k in range(3)])) for r in fitted.tails.table.collect()}
     assert len(table) > 100
     m, mass = fitted.model, fitted.tails.mass
+    assert len({tuple(t) for _, t in table.values()}) > 10
     numerator = {k: (c + 1) * np.exp2(t / hmm.STEP) for k, (c, t) in table.items()}
     added = np.ones((256, 3))
     for k, x in numerator.items():
@@ -176,5 +177,11 @@ def test_scores_equal_the_model_written_out(spark, monkeypatch):
         assert got[r.doc_id].score == pytest.approx(likely, rel=1e-4, abs=1e-3)
 
 
+def test_counts_on_the_way_keep_16_bits():
+    x = np.array([[0.0, 1.0, 3.0, 1e-7, 123456.789, 2.0**-130, 65535.0]])
+    got = hmm.shortened(x)
+    assert (got[0, [0, 1, 2, 6]] == x[0, [0, 1, 2, 6]]).all() and np.allclose(got[0, :5], x[0, :5], rtol=2**-16)
+
+
 def test_empty_table(spark):
     assert hmm.score_documents(spark.createDataFrame([], SCHEMA), rounds=1).collect() == []

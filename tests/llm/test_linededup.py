@@ -90,9 +90,8 @@ def test_rows_of_a_collection_grow_with_its_passages(spark):
         passage = lambda k: "\n".join(f"passage {k} line {i} with some eight words here" for i in range(4))
         rows = [(k, passage(k)) for k in range(n)] + [(n, "\n".join(passage(k) + f"\nown {k}" for k in range(n)))]
         frame = spark.createDataFrame(rows, "id bigint, text string")
-        entries = ld._entries(frame, "id", "text").select("id", "version", F.inline("entries"))
-        kept = entries.groupBy("id", "version", "h").agg(F.first("words").alias("words"), F.collect_set(F.struct("ordinal", "place")).alias("at"))
-        kept = kept.groupBy("id", "version").agg(F.collect_list(F.struct("h", "words", "at")).alias("lines"))
+        lines = F.collect_set(F.struct("ordinal", "h", "words", "place")).alias("lines")
+        kept = ld._lines_of(ld._entries(frame, "id", "text")).groupBy("id", "version").agg(lines)
         sent[n] = ld._links(ld._seeds_of(kept, 20)).count()
         texts = {r.id: r.text for r in ld.cut_shared_blocks(frame, doc_id="id").collect()}
         assert texts[n] == "\n".join(f"own {k}" for k in range(n))
