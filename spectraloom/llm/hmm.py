@@ -9,11 +9,12 @@ state stay a Spark table, which grows with the corpus and meets the texts by a j
 
 where tilt is the word's share of the state over its class's, from 1/16 to 14 in steps of a quarter of a factor of
 two (five bits per state, one number per word), and mass sums the numerator over the class and one unknown word of tilt 1: the words of a state add up to
-1. No word list is broadcast beyond the `K` frequent ones.
+1. No word list is broadcast beyond the `K` frequent ones, and in scoring the `NEAR` next (at most: words of equal
+counts together or not at all), which spares the join most of its rows. Both ways give the same scores.
 
 Training is Baum-Welch over windows of `WINDOW` tokens of whole texts. The first window of a text starts from
 the start shares, any other from shares of its own; the last one is as long as the rest of the text. The
-moves over window edges (one in `WINDOW`) are not counted. Expected counts travel with 16 significant bits. Each of `SLICES` rounds sees another slice of all
+moves over window edges (one in `WINDOW`) are not counted. Expected counts travel with 16 significant bits (of rare words: in 64ths). Each of `SLICES` rounds sees another slice of all
 windows of all texts, dealt by hash, then `ROUNDS` rounds see all of them; the last also sums the counts
 per rare word and state. Each task sums its expected counts, Spark adds them up, and the driver gets one
 row per symbol (at most 65,536) per round. The score of a text is its exact likelihood: the forward
@@ -53,6 +54,8 @@ LEAN = 2.0
 STEP = 4.0
 BITS = 5
 HALF = 1 << (BITS - 1)
+#: rare words that scoring tasks know at most
+NEAR = 1 << 19
 #: partitions that a task of a round over all windows takes: fewer tasks send fewer sums
 TOGETHER = 2
 
@@ -120,16 +123,26 @@ class Vocabulary:
         return share / share.sum()
 
 
-def learn_vocabulary(counts, documents, most=K):
-    row = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
-    # frequent words are those from a bin of counts upwards that fit: no task sends its own K words
-    level = F.floor(F.log2("c") * 64).cast("int")
-    sizes = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+def _level(count):
+    """Bins of counts, 64 to a factor of two: their number does not grow with the words."""
+    return F.floor(F.log2(count) * 64).cast("int")
+
+
+def _lowest(sizes, most):
+    """The lowest bin from which on upwards there are at most `most` words."""
     limit, fits = max(sizes, default=0) + 1, 0
     for k in sorted(sizes, reverse=True):
         if fits + sizes[k] > most:
             break
         limit, fits = k, fits + sizes[k]
+    return limit
+
+
+def learn_vocabulary(counts, documents, most=K):
+    row = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens")).first()
+    # frequent words are those from a bin of counts upwards that fit: no task sends its own K words
+    level = _level("c")
+    limit = _lowest({r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}, most)
     head = counts.filter(level >= limit).collect()
     class_tokens = np.zeros(256)
     rest = counts.filter(level < limit).groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("b"))
@@ -305,7 +318,7 @@ def round_counts(encoded, model, part=None, tails=False):
     names = ["tail", "id", "n", *(f"s{k}" for k in range(s))]
 
     def emitted(tail, ids, n, values):
-        values = shortened(values)
+        values = np.round(values * 64) / 64 if tail else shortened(values)
         for i in range(0, len(ids), 10_000):
             j = slice(i, i + 10_000)
             columns = [pa.array(np.full(len(ids[j]), tail)), pa.array(ids[j].astype(np.int64)), pa.array(n[j].astype(np.int64))]
@@ -370,7 +383,7 @@ def train(encoded, vocabulary, states=STATES, rounds=ROUNDS):
 class Tails:
     """Rare words: `table` (key, c, tilt) and `mass` (class x state), the sum of their numerators and an unknown word's."""
 
-    def __init__(self, counts, sums, states):
+    def __init__(self, counts, sums, states, near=NEAR):
         if BITS * states > 62:
             raise ValueError(f"a word's tilts have room for {62 // BITS} states")
         shares = sums.emit[1 + K :] + 1e-9
@@ -399,6 +412,12 @@ class Tails:
 
         columns = ["id", "n", *(f"s{k}" for k in range(states))]
         self.table = _stored(counts.select(*columns).mapInArrow(work, "key bigint, c bigint, tilt bigint"), "tails")
+        # the most frequent of them as sorted arrays; 24 bytes each
+        sizes = {r.level: r["count"] for r in self.table.groupBy(_level("c").alias("level")).count().collect()}
+        limit = _lowest(sizes, near)
+        known = self.table.filter(_level("c") >= limit).toPandas().sort_values("key")
+        self.near = [known[c].to_numpy(np.int64) for c in ("key", "c", "tilt")]
+        self.far = self.table.filter(_level("c") < limit)
         m = [f"m{k}" for k in range(states)]
         added = self.table.mapInArrow(masses, "b int, " + ", ".join(f"{c} double" for c in m)).groupBy("b").agg(*[F.sum(c).alias(c) for c in m])
         self.mass = np.ones((256, states))
@@ -447,12 +466,12 @@ def forward(model, sequences, rare=None, factors=None):
 class Fitted:
     """All that scoring needs: encoded rows, vocabulary, model and rare words."""
 
-    def __init__(self, rows, states=STATES, rounds=ROUNDS, most=K):
+    def __init__(self, rows, states=STATES, rounds=ROUNDS, most=K, near=NEAR):
         counts = _stored(word_counts(rows.filter("learn")), "counts")
         self.vocabulary = learn_vocabulary(counts, rows.filter("learn").count(), most)
         self.encoded = _stored(encode(rows, self.vocabulary), "encoded")
         self.model, sums, tails = train(self.encoded, self.vocabulary, states, rounds)
-        self.tails = Tails(tails, sums, states)
+        self.tails = Tails(tails, sums, states, near)
 
 
 def prepared(docs, doc_id="doc_id", text="text", modulus=7, held=2):
@@ -469,39 +488,53 @@ def score_documents(docs, doc_id="doc_id", text="text", modulus=7, held=2, state
     return score(Fitted(prepared(docs, doc_id, text, modulus, held), states, rounds))
 
 
+def _in_near(near, keys):
+    """(place among the near words, whether the word is one) per key."""
+    if not len(near):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(near, keys.view(np.int64)), len(near) - 1)
+    return at, near[at] == keys.view(np.int64)
+
+
 def score(fitted):
     vocabulary, model, mass = fitted.vocabulary, fitted.model, fitted.tails.mass
+    near, near_counts, near_tilts = fitted.tails.near
+    size, states = float(np.log10(vocabulary.tokens + vocabulary.types + 1)), len(model.start)
 
     def split(batches):
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys = np.unique(np.frombuffer(raw, "<u8"))
-                if len(keys):
-                    columns = [pa.array(np.full(len(keys), i)), pa.array(keys.view(np.int64)), pa.array(np.arange(len(keys), dtype=np.int32))]
+                place = np.flatnonzero(~_in_near(near, keys)[1])
+                if len(place):
+                    columns = [pa.array(np.full(len(place), i)), pa.array(keys[place].view(np.int64)), pa.array(place.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "place"])
 
-    # the rare words of every text, as places in the order of their keys, with what the corpus says of them
+    # the other rare words of every text, as places in the order of its rare words, with what the corpus says of them
     used = fitted.encoded.select("row", "tail").mapInArrow(_merged(split), "row bigint, key bigint, place int")
-    used = used.join(fitted.tails.table, "key").groupBy("row").agg(F.collect_list(F.struct("place", "c", "tilt")).alias("known"))
+    used = used.join(fitted.tails.far, "key").groupBy("row").agg(F.collect_list(F.struct("place", "c", "tilt")).alias("known"))
     rows = fitted.encoded.select("row", "doc_id", "held_out", "n_tokens", "symbols", "tail").join(used, "row", "left")
-    size = float(np.log10(vocabulary.tokens + vocabulary.types + 1))
 
     def work(batches):
         for whole in batches:
             for batch in row_slices(whole, 3, 1 << 20):
                 n_tokens, symbols, tails = (batch.column(i).to_pylist() for i in range(2, 5))
                 words = batch.column(5)
-                stops = np.concatenate([[0], np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+                stops = np.concatenate([[0], np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
                 words = {f: pc.struct_field(words.flatten(), f).to_numpy(zero_copy_only=False) for f in ("place", "c", "tilt")}
                 sequences, rare, factors, base, n_known, at = [], [], [], [], [], 0
-                for n, x, raw, low, high in zip(n_tokens, symbols, tails, stops[:-1].astype(int), stops[1:].astype(int)):
+                for n, x, raw, low, high in zip(n_tokens, symbols, tails, stops[:-1], stops[1:]):
                     x, keys = np.frombuffer(x, "<u2"), np.frombuffer(raw, "<u8")
                     distinct, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-                    counts, numerator = np.zeros(len(distinct)), np.ones((len(distinct), len(model.start)))
-                    if high > low:
-                        place = words["place"][low:high]
-                        counts[place] = words["c"][low:high]
-                        numerator[place] = numerators(counts[place], words["tilt"][low:high], len(model.start))
+                    found, is_near = _in_near(near, distinct)
+                    counts, numerator = np.zeros(len(distinct)), np.ones((len(distinct), states))
+                    for place, c, tilt in (
+                        (np.flatnonzero(is_near), near_counts[found[is_near]], near_tilts[found[is_near]]),
+                        (words["place"][low:high], words["c"][low:high], words["tilt"][low:high]),
+                    ):
+                        if len(place):
+                            counts[place] = c
+                            numerator[place] = numerators(c, tilt, states)
                     place = np.full(len(x), -1)
                     place[x > K] = which + at
                     at += len(distinct)
@@ -544,5 +577,5 @@ def _merged(function, rows=50_000):
 
 def _stored(df, name):
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
