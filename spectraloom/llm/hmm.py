@@ -55,7 +55,7 @@ STEP = 4.0
 BITS = 5
 HALF = 1 << (BITS - 1)
 #: rare words that scoring tasks know at most
-NEAR = 1 << 19
+NEAR = 1 << 16
 #: partitions that a task of a round over all windows takes: fewer tasks send fewer sums
 TOGETHER = 2
 
