@@ -12,6 +12,8 @@ U64 = np.uint64
 _RANDOM = np.random.default_rng(20240229)
 _BYTES = _RANDOM.integers(1, 2**63, size=256, dtype=np.uint64) | U64(1)
 _BYTES[65:91] = _BYTES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -74,7 +76,7 @@ def _chunks(raw):
 def hash_words(raw, offsets, last_byte=False):
     """(hashes, first): hashes of all words; document d has those from first[d] to first[d + 1].
 
-    With `last_byte` also each word's last byte.
+    With `last_byte` also each word's last byte, A-Z as a-z.
     """
     hashes, begins, lasts = [], [], []
     stops = offsets[:-1]
@@ -104,7 +106,7 @@ def hash_words(raw, offsets, last_byte=False):
         hashes.append(mix(total[first_byte[1:]] - total[first_byte[:-1]] + length.astype(np.uint64)))
         begins.append(begin + start)
         if last_byte:
-            lasts.append(b[stop - 1])
+            lasts.append(_LOWER[b[stop - 1]])
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     at = np.concatenate(begins) if begins else np.zeros(0, np.int64)
     first = np.searchsorted(at, offsets)

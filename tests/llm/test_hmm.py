@@ -48,6 +48,21 @@ def test_counts_and_unigram_scores_equal_brute_force(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_are_the_same_in_either_case_to_their_last_letter(spark):
+    texts = ["END the", "end THE", "eND tHE mAZE", "Z z", "enD maze"]
+    rows = [(i, texts[i % len(texts)], "x", "y", 1, "z") for i in range(40)]
+    got = hmm.score_documents(spark.createDataFrame(rows, SCHEMA), rounds=1).collect()
+    train = Counter()
+    for i, t, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update(tokens(t))
+    n, v = sum(train.values()), len(train)
+    for r in got:
+        x = tokens(texts[r.doc_id % len(texts)])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(train[w] > 0 for w in x), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in x), abs=1e-9)
+
+
 def random_model(states=3):
     rnd = np.random.default_rng(0)
     emit = np.zeros((hmm.SYMBOLS, states))
