@@ -20,6 +20,7 @@ from spectraloom.sources.tables import (
 from .registry import query, rnd, table
 
 LINE_ORDER = ["l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+RUNS_PER_FILE = 1000
 
 
 @query(
@@ -316,7 +317,7 @@ def manifest(spark, sf_dir):
     """,
 )
 def run_documents(spark, sf_dir):
-    """Result documents over several lines, one per file, with fields of the full schema missing."""
+    """Result documents over several lines, with fields of the full schema missing, in summaries of a sweep's runs."""
     path = scratch_path(spark, "documents")
     metrics = F.struct(
         F.col("s_acctbal").alias("macro_f1"),
@@ -328,7 +329,10 @@ def run_documents(spark, sf_dir):
             metrics.alias("test_metrics"), F.col("s_name").alias("model_path"),
         ).alias("run")
     )
-    runs.select(F.to_json("run", {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # a file holds the array of up to RUNS_PER_FILE documents: opening a file each costs more than all else
+    number = F.floor(F.monotonically_increasing_id() / RUNS_PER_FILE)
+    files = runs.groupBy(number.alias("file")).agg(F.collect_list("run").alias("runs"))
+    files.select(F.to_json("runs", {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     back = read_run_results(spark, path)
     cells = F.col("test_metrics.confusion_matrix")
     return back.select(

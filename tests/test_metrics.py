@@ -9,6 +9,7 @@ from spectraloom.operators.ordering import ranked_values
 from spectraloom.operators.ranking import best_epoch, best_run
 from spectraloom.plans.evaluation import recomputed_metrics
 from spectraloom.settings import PUBLISHED_RULE, ThresholdRule, threshold_grid
+from checks.tables_and_joins import run_documents
 from spectraloom.sources.results import read_run_results
 
 # published confusion counts (tn, fp, fn, tp) with the scores stored beside them
@@ -122,6 +123,27 @@ def test_run_results_from_json(spark, tmp_path):
     assert [r.run_name for r in rows] == ["a", "b"] and rows[1].test_metrics.confusion_matrix == [[1, 2], [3, 4]]
 
 
+def test_run_results_of_one_run_and_of_a_sweep_side_by_side(spark, tmp_path):
+    (tmp_path / "result.json").write_text('{\n "run_name": "a",\n "seed": 42,\n "test_metrics": {\n  "macro_f1": 0.5\n }\n}')
+    (tmp_path / "sweep.json").write_text('[ {\n "run_name": "b"\n}, {\n "run_name": "c",\n "seed": 43\n}, { } ]')
+    rows = read_run_results(spark, str(tmp_path)).collect()
+    assert {(r.run_name, r.seed) for r in rows} == {("a", 42), ("b", None), ("c", 43), (None, None)} and len(rows) == 4
+
+
+def test_files_of_run_documents_do_not_grow_with_the_runs(spark, tmp_path):
+    rows = [(i, f"m {i}" if i % 7 else None, i % 25 if i % 5 else None, i / 4 if i % 3 else None) for i in range(2500)] + [(None, "x\n\"y\"", 3, 1.0)]
+    suppliers = spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
+    suppliers.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    out = run_documents(spark, str(tmp_path))
+    want = [
+        (k is None or f"run_{k}", None if n is None else n / 100, k, n, a, name)
+        for k, name, n, a in rows
+    ]
+    got = [(r.run_name is None or r.run_name, r.focal_alpha, r.tn, r.fp, r.macro_f1, r.model_path) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(out.inputFiles()) <= 6
+
+
 def test_ranked_values_by_histogram(spark):
     rnd = random.Random(4)
     inf = float("inf")
