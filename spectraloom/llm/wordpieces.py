@@ -1,97 +1,96 @@
 """Ids of a public word-level tokenizer, computed once per distinct word and worker.
 
 The tokenizer cuts at white space before it merges, so the ids of a text are those of its
-words in a row. Each Python worker keeps the words it has met; beyond `max_words` it keeps those of the
-texts at hand only, which bounds memory and never changes a result.
+words in a row. Each Python worker keeps the words it has met; beyond `max_words` it forgets the older
+half, which bounds memory and never changes a result.
 """
 
-import numpy as np
+import itertools
+import struct
+import unicodedata
 
 #: ASCII punctuation without the apostrophe, which the tokenizer's contractions use
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-SLICE_CHARS = 2_000_000
+#: byte-level models stand printable characters for the other bytes, in their order
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Words(dict):
+    """Ids by word; an unknown word is learned when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word):
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 class WordEncoder:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path, max_words=200_000):
+    def __init__(self, path, max_words=500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
-        self.words = {"": b""}
-        self.parts = {"": b""}
+        self.words = _Words(self._learn)
+        self.merge, self.letters = self.tokenizer.model.tokenize, set()
         size = self.tokenizer.get_vocab_size()
-        ends = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
-        self.ends = np.array(ends, dtype=bool)
-        self.whole = any(self.ends)
+        self.whole = any((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size))
 
     def encode(self, texts):
-        out, block, size = [], [], 0
-        for text in texts:
-            block.append(text or "")
-            size += len(block[-1])
-            if size >= SLICE_CHARS:
-                out += self._encode(block)
-                block, size = [], 0
-        return out + self._encode(block)
-
-    def _encode(self, texts):
+        return [self._encode(text or "") for text in texts]
+
+    def _encode(self, text):
         # special tokens and the context-dependent sigma are found in unaltered text only
-        split = [
-            None if not self.whole or "<|" in t or "Σ" in t else t.lower().replace("\n", " ").split(" ")
-            for t in texts
-        ]
-        new = set()
-        for words in split:
-            if words is not None:
-                new.update(words)
+        if not self.whole or "<|" in text or "Σ" in text:
+            return self._full(text)
         if len(self.words) > self.max_words:
-            self.words = {w: ids for w in new if (ids := self.words.get(w)) is not None} | {"": b""}
-            self.parts = {"": b""}
-        known = self.words
-        new.difference_update(known)
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        return [
-            _pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, split)
-        ]
-
-    def _learn(self, new):
-        parts, cut, other = self.parts, [], []
-        for word in new:
-            core = word.rstrip(PUNCTUATION)
-            if core.isalpha() or not core:
-                cut.append((word, core, word[len(core) :]))
-            else:
-                other.append(word)
-        unseen = list({p for _, core, tail in cut for p in (core, tail) if p not in parts})
-        for i in range(0, len(unseen), 2000):
-            self._learn_parts(unseen[i : i + 2000])
-        for word, core, tail in cut:
-            self.words[word] = parts[core] + parts[tail]
-        for word, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.words[word] = _pack(e.ids)
-
-    def _learn_parts(self, words):
-        """One call for many words: each ends at a token that closes a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(words) and (not len(ids) or stops[-1] == len(ids)):
-            raw, at = ids.tobytes(), 0
-            for word, stop in zip(words, stops.tolist()):
-                self.parts[word] = raw[4 * at : 4 * stop]
-                at = stop
-        else:
-            for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-                self.parts[word] = _pack(e.ids)
+            newest = itertools.islice(self.words.items(), len(self.words) - self.max_words // 2, None)
+            words = _Words(self._learn)
+            words.update(newest)
+            self.words = words
+        return b"".join(map(self.words.__getitem__, text.lower().replace("\n", " ").split(" ")))
+
+    def _full(self, text):
+        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, word):
+        if word.isalpha():
+            if not self._letters_only(word):
+                return self._full(word)
+            # words of letters alone are not cut before they merge: only the model is asked
+            return _pack([t.id for t in self.merge(word if word.isascii() else _byte_level(word))])
+        core = word.rstrip(PUNCTUATION)
+        if core.isalpha():
+            return self.words[core] + self.words[word[len(core) :]]
+        return self._full(word) if word else b""
+
+    def _letters_only(self, word):
+        """Whether the tokenizer neither alters nor cuts `word`."""
+        letters = self.letters
+        if not letters.issuperset(word):
+            letters.update(filter(self._is_letter, set(word) - letters))
+            if not letters.issuperset(word):
+                return False
+        return word.isascii() or unicodedata.is_normalized("NFC", word)
+
+    def _is_letter(self, char):
+        normalizer, text = self.tokenizer.normalizer, "a" + char
+        if normalizer and normalizer.normalize_str(text) != text:
+            return False
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] == [_byte_level(text)]
+
+
+def _byte_level(text):
+    return text.encode().decode("latin-1").translate(_BYTE_CHARS)
 
 
 def _pack(ids):
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS = {}

@@ -25,6 +25,16 @@ def test_ids_equal_the_tokenizer_on_whole_texts():
             assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_of_letters_ask_the_model_alone(monkeypatch):
+    plain, asked = Tokenizer.from_file(PATH), []
+    made = wordpieces.WordEncoder(PATH)
+    monkeypatch.setattr(made, "_full", lambda text, full=made._full: asked.append(text) or full(text))
+    for text in ("les éclairs, L'Été übers schön!! schön. naïve漢字 ªº", "한국어 наука אבג", "ᄀ\u1161ᆨ ΩÅ Å ǆ", "3.5 don't"):
+        assert np.frombuffer(made.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    # Jamo compose: the tokenizer alters them
+    assert sorted(asked) == sorted([",", "!!", ".", "l'été", "ᄀ\u1161ᆨ", "3.5", "don't"])
+
+
 @pytest.mark.parametrize("size", [64, 2048])
 def test_pieces_cover_every_token_once(spark, size):
     rows = [(i, t, "x", "y", 1) for i, t in enumerate(TEXTS * 4)] + [(None, "no id", "x", "y", 1)]
