@@ -21,6 +21,7 @@ share one key; repeated rows get equal segmentations; an empty table gives an em
 columns are kept or ignored as stated, whatever their names.
 """
 
+import collections
 import itertools
 import re
 import zlib
@@ -41,6 +42,13 @@ SLICE_BYTES = 2 << 20
 MOST_ARCS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GOLD = np.uint64(0xD1342543DE82EF95)
+LOOK_BITS = 16
+LOOK_SHIFT = np.uint64(64 - LOOK_BITS)
+
+
+def _numbered():
+    """A dictionary that numbers its keys as they are asked for."""
+    return collections.defaultdict(itertools.count().__next__)
 
 
 class Lattice:
@@ -52,7 +60,7 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.seed = np.uint64(seed)
-        self.store, self.index = None, {}
+        self.store, self.index = None, _numbered()
         self.byte_ids = np.zeros(256, np.uint32)
         self.raw, self.pieces = [b""] * size, []
         for i in range(size):
@@ -71,7 +79,14 @@ class Lattice:
         for n in range(1, self.longest + 1):
             some = [(self._hash(p), i) for p, i in self.pieces if len(p) == n]
             some.sort()
-            self.tables[n] = (np.array([h for h, _ in some], np.uint64), np.array([i for _, i in some], np.int64))
+            self.tables[n] = (np.array([h for h, _ in some], np.uint64), np.array([i for _, i in some], np.int32))
+        # where the hashes of pieces, and of what pieces begin with, can lie: most places are ruled out by a look
+        self.whole, self.begun = {}, {}
+        for n in range(1, self.longest + 1):
+            self.whole[n], self.begun[n] = np.zeros(1 << LOOK_BITS, bool), np.zeros(1 << LOOK_BITS, bool)
+            self.whole[n][self.tables[n][0] >> LOOK_SHIFT] = True
+            begun = {self._hash(b) for b in {p[:n] for p, _ in self.pieces if len(p) > n}}
+            self.begun[n][np.array(list(begun), np.uint64) >> LOOK_SHIFT] = True
         self.weight = -sharpness * np.log(np.arange(size) + 2.0)
         self.unknown = -sharpness * np.log(size + 2.0) * 2
 
@@ -98,8 +113,9 @@ class Lattice:
         at_char = np.concatenate([[0], np.cumsum(lengths)])
         total = len(chars)
         left = np.repeat(at_char[1:], lengths) - np.arange(total)
-        node = np.repeat(node0[:-1] - at_char[:-1], lengths) + np.arange(total)
-        local = np.arange(total) - np.repeat(at_char[:-1], lengths)
+        # 32 bits for what there is one of per arc: less memory to go through
+        node = (np.repeat(node0[:-1] - at_char[:-1], lengths) + np.arange(total)).astype(np.int32 if node0[-1] < 1 << 31 else np.int64)
+        local = (np.arange(total) - np.repeat(at_char[:-1], lengths)).astype(node.dtype)
         starts, ends, codes, level = [], [], [], []
         h, place = np.zeros(total, np.uint64), np.arange(total)
         for n in range(1, self.longest + 1):
@@ -108,26 +124,31 @@ class Lattice:
             if not len(place):
                 break
             h = h * BASE + chars[place + n - 1]
+            look = h >> LOOK_SHIFT
             keys, ids = self.tables[n]
-            at = np.searchsorted(keys, h)
+            maybe = np.flatnonzero(self.whole[n][look])
+            at = np.searchsorted(keys, h[maybe])
             at[at == len(keys)] = 0
-            found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            code = ids[at[found]] if len(keys) else np.zeros(0, np.int64)
+            same = keys[at] == h[maybe] if len(keys) else np.zeros(0, bool)
+            found, code = place[maybe[same]], ids[at[same]]
             if n == 1:
                 # negative codes: the character is spelled in bytes
-                full = np.where(found, ids[at], -chars[place].astype(np.int64))
-                found, code = np.ones(len(h), bool), full
-            starts.append(node[place[found]])
-            ends.append(node[place[found]] + n)
+                full = -chars[place].astype(np.int32)
+                full[maybe[same]] = code
+                found, code = place, full
+            starts.append(node[found])
+            ends.append(node[found] + n)
             codes.append(code)
-            level.append(local[place[found]] + n)
+            level.append(local[found] + n)
+            go = self.begun[n][look]
+            place, h = place[go], h[go]
         # long pieces first: they are drawn most often, so that a draw looks at few arcs
         start, end, code, level = (np.concatenate(x[::-1]) for x in (starts, ends, codes, level))
-        weight = np.where(code >= 0, self.weight[np.maximum(code, 0)], self.unknown)
         alpha = np.zeros(node0[-1])
         # runs of ends are sorted already, and levels are small: both stable sorts are cheap
         order = np.argsort(end, kind="stable")
-        start, end, code, weight, level = start[order], end[order], code[order], weight[order], level[order]
+        start, end, code, level = start[order], end[order], code[order], level[order]
+        weight = np.where(code >= 0, self.weight[np.maximum(code, 0)], self.unknown)
         top = int(level.max())
         by_level = np.argsort(level.astype(np.uint16) if top < 1 << 16 else level, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=top + 1))])[1:]
@@ -142,7 +163,9 @@ class Lattice:
         # running share within the arcs of one end, in [0, 1]; the last is 1 exactly. Added up end by end, so
         # that a word's shares are the same bits whatever words it was built with
         per_end = np.bincount(end, minlength=node0[-1])
-        rank = np.arange(len(end)) - (np.cumsum(per_end) - per_end)[end]
+        first_arc = np.cumsum(per_end) - per_end
+        # a node ends at most one arc per length of a piece
+        rank = (np.arange(len(end)) - first_arc[end]).astype(np.uint16)
         within, by_rank = share, np.argsort(rank, kind="stable")
         stops = np.cumsum(np.bincount(rank))
         for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
@@ -150,7 +173,6 @@ class Lattice:
             within[at] += within[at - 1]
         last = np.concatenate([end[1:] != end[:-1], [True]])
         within = np.where(last, 1.0, np.minimum(within, 1.0))
-        first_arc = np.cumsum(per_end) - per_end
         return node0, lengths, within, start, code, logp, first_arc
 
     def _add(self, words):
@@ -168,11 +190,11 @@ class Lattice:
     def sample(self, texts, keys):
         """Per text its ids (array) and the log probability of the drawn segmentation."""
         if self.store is None or len(self.store["code"]) > MOST_ARCS:
-            self.store, self.index = None, {}
+            self.store, self.index = None, _numbered()
         index, occurrences, counts, known = self.index, [], [], len(self.index)
         for text in texts:
             parts = self.words(text) if text else []
-            occurrences += [index.setdefault(p, len(index)) for p in parts]
+            occurrences += map(index.__getitem__, parts)
             counts.append(len(parts))
         if not occurrences:
             return [np.zeros(0, np.uint32) for _ in texts], np.zeros(len(texts))

@@ -29,6 +29,13 @@ def test_round_trip(texts):
     assert [made.decode(x.tolist()) for x in ids] == texts
 
 
+def test_places_without_a_piece_are_not_looked_up(lattice, monkeypatch):
+    text, sizes, search = "zqxjkvwyzqxjkvwp" * 200, [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: sizes.append(np.size(v)) or search(a, v, *rest))
+    arcs = len(lattice.build([text])[3])
+    assert arcs <= sum(sizes) <= 2 * arcs
+
+
 def all_cuts(lattice, chars):
     """Every segmentation of a word with its weight, by recursion."""
     known = {p: lattice.weight[i] for p, i in lattice.pieces}
