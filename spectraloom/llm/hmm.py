@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.session import scratch_path
 
-from .words import hash_words, mix, row_slices, text_bytes
+from .words import Places, hash_words, mix, row_slices, text_bytes
 
 SYMBOLS = 1 << 16
 K = SYMBOLS - 257
@@ -45,6 +45,8 @@ WINDOW = 256
 SLICES = 8
 SMOOTH = 20.0
 BLOCK_TOKENS = 1 << 18
+#: tokens whose emissions a step of scoring looks up together
+STEP_TOKENS = 1 << 16
 COUNT_TOKENS = 4_000_000
 #: rare words whose expected counts a task holds before it passes them on
 HELD_TAIL = 1 << 18
@@ -108,13 +110,12 @@ class Vocabulary:
         self.counts[1 + K :] = class_tokens
         self.log_head = np.log10(self.counts + 1)
 
-    def symbols(self, keys):
-        if not len(self.keys):
-            return (keys & np.uint64(255)).astype(np.int64) + 1 + K, np.ones(len(keys), bool)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        tail = self.keys[at] != keys
-        return np.where(tail, (keys & np.uint64(255)).astype(np.int64) + 1 + K, at + 1), tail
+    def places(self):
+        return Places(self.keys)
+
+    def symbols(self, keys, places=None):
+        at, there = (places or self.places()).find(keys)
+        return np.where(there, at + 1, (keys & np.uint64(255)).astype(np.int64) + 1 + K), ~there
 
     def unigram(self):
         """Smoothed shares of the symbols that can occur."""
@@ -158,11 +159,11 @@ def encode(docs, vocabulary):
     """Texts as symbols (little-endian 16-bit, end token included) and the keys of words without own symbol."""
 
     def work(batches):
-        row = TaskContext.get().partitionId() << 40
+        row, places = TaskContext.get().partitionId() << 40, vocabulary.places()
         for whole in batches:
             for batch in row_slices(whole, 3):
                 keys, first = words_of(batch.column(3))
-                symbols, tail = vocabulary.symbols(keys)
+                symbols, tail = vocabulary.symbols(keys, places)
                 texts, tails = [], []
                 for a, b in zip(first[:-1], first[1:]):
                     texts.append(symbols[a:b].astype("<u2").tobytes() + b"\0\0")
@@ -207,7 +208,8 @@ class Sums:
 
     def __init__(self, states):
         self.start, self.go = np.zeros(states), np.zeros(states)
-        self.moves, self.emit = np.zeros((states, states)), np.zeros((SYMBOLS, states))
+        # a state's emissions side by side: they are added to state by state
+        self.moves, self.emit = np.zeros((states, states)), np.zeros((states, SYMBOLS)).T
 
     def rows(self):
         """(ids, values): symbols that occurred, and the other counts under negative ids."""
@@ -239,15 +241,15 @@ def expected_counts(model, windows, lengths, first, sums):
     s = len(model.start)
     active = np.searchsorted(-lengths, -np.arange(size), side="left")
     alpha = np.zeros((size, n, s), dtype=np.float32)
-    e = model.emit[windows.T]
+    flat = windows.T.ravel().astype(np.intp)
+    e = np.take(model.emit, flat, axis=0).reshape(size, n, s)
     scale = np.ones((size, n, 1), dtype=np.float32)
     a = np.where(first[:, None], model.start, model.go)
     for t in range(size):
         k = active[t]
         a = (a[:k] @ model.moves if t else a[:k]) * e[t, :k]
-        scale[t, :k] = a.sum(axis=1, keepdims=True)
-        a = a / scale[t, :k]
-        alpha[t, :k] = a
+        np.sum(a, axis=1, keepdims=True, out=scale[t, :k])
+        a = np.divide(a, scale[t, :k], out=alpha[t, :k])
     beta = np.ones((n, s), dtype=np.float32)
     for t in range(size - 1, -1, -1):
         if t < size - 1:
@@ -259,10 +261,11 @@ def expected_counts(model, windows, lengths, first, sums):
         alpha[t] *= beta
     sums.start += alpha[0][first].sum(axis=0)
     sums.go += alpha[0][~first].sum(axis=0)
-    flat = windows.T.ravel()
-    gamma = alpha.reshape(-1, s)
+    del e
+    # columns are laid side by side at once: one by one, each would read all of alpha
+    gamma = np.ascontiguousarray(alpha.reshape(-1, s).T, dtype=np.float64)
     for k in range(s):
-        sums.emit[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=SYMBOLS)
+        sums.emit[:, k] += np.bincount(flat, weights=gamma[k], minlength=SYMBOLS)
     return float(np.log(scale).sum()), alpha
 
 
@@ -415,8 +418,9 @@ class Tails:
         # the most frequent of them as sorted arrays; 24 bytes each
         sizes = {r.level: r["count"] for r in self.table.groupBy(_level("c").alias("level")).count().collect()}
         limit = _lowest(sizes, near)
-        known = self.table.filter(_level("c") >= limit).toPandas().sort_values("key")
-        self.near = [known[c].to_numpy(np.int64) for c in ("key", "c", "tilt")]
+        known = self.table.filter(_level("c") >= limit).toPandas()
+        order = np.argsort(known["key"].to_numpy(np.int64).view(np.uint64))
+        self.near = [known[c].to_numpy(np.int64)[order] for c in ("key", "c", "tilt")]
         self.far = self.table.filter(_level("c") < limit)
         m = [f"m{k}" for k in range(states)]
         added = self.table.mapInArrow(masses, "b int, " + ", ".join(f"{c} double" for c in m)).groupBy("b").agg(*[F.sum(c).alias(c) for c in m])
@@ -427,37 +431,54 @@ class Tails:
 
 def numerators(counts, tilts, states):
     """(c + 1) * tilt per word and state."""
-    steps = (tilts[:, None] >> (BITS * np.arange(states)) & (2 * HALF - 1)) - HALF
-    return (counts + 1.0)[:, None] * np.exp2(steps / STEP)
+    steps = tilts[:, None] >> (BITS * np.arange(states)) & (2 * HALF - 1)
+    return (counts + 1.0)[:, None] * np.exp2((np.arange(2 * HALF) - HALF) / STEP)[steps]
 
 
 def forward(model, sequences, rare=None, factors=None):
-    """Natural log likelihood of every sequence: all in step, longest first.
+    """Natural log likelihood of every sequence.
 
     `rare` has for every sequence, place by place, the row of `factors` (words x states) that its emission is
     multiplied by, or -1.
     """
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    lengths = np.array([len(sequences[i]) for i in order])
-    total = np.zeros(len(order))
-    if not len(order):
+    if not len(sequences):
+        return np.zeros(0)
+    lengths = np.array([len(x) for x in sequences])
+    return forward_flat(model, np.concatenate(sequences), lengths, None if rare is None else np.concatenate(rare), factors)
+
+
+def forward_flat(model, symbols, lengths, rare=None, factors=None):
+    """The same of sequences that lie one after the other: all in step, longest first."""
+    total = np.zeros(len(lengths))
+    if not len(lengths):
         return total
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    flat = np.concatenate([sequences[i] for i in order])
-    odd = np.concatenate([rare[i] for i in order]) if rare is not None else None
+    order = np.argsort(-lengths, kind="stable")
+    begins = (np.cumsum(lengths) - lengths)[order]
+    active = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left")
+    ends = np.cumsum(active)
     a = np.broadcast_to(model.start, (len(order), len(model.start)))
-    for t in range(lengths[0]):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        e = model.emit[flat[begins[:n] + t]]
-        if odd is not None:
-            which = odd[begins[:n] + t]
-            some = np.flatnonzero(which >= 0)
-            if len(some):
-                e[some] = e[some] * factors[which[some]]
-        a = (a[:n] @ model.moves if t else a[:n]) * e
-        scale = a.sum(axis=1, keepdims=True)
-        a = a / scale
-        total[:n] += np.log(scale[:, 0], dtype=np.float64)
+    low = 0
+    while low < len(active):
+        # emissions of as many steps as fit, step by step and sequence by sequence
+        before = ends[low] - active[low]
+        high = max(int(np.searchsorted(ends, before + STEP_TOKENS, side="right")), low + 1)
+        n = active[low:high]
+        first = ends[low:high] - n - before
+        which = np.arange(ends[high - 1] - before) - np.repeat(first, n)
+        at = begins[which] + np.repeat(np.arange(low, high), n)
+        e = np.take(model.emit, symbols[at], axis=0)
+        if rare is not None:
+            odd = rare[at]
+            some = np.flatnonzero(odd >= 0)
+            e[some] *= factors[odd[some]]
+        scale = np.empty((len(e), 1), dtype=np.float32)
+        for t, i, k in zip(range(low, high), first.tolist(), n.tolist()):
+            now, sums = e[i : i + k], scale[i : i + k]
+            np.multiply(a[:k] @ model.moves if t else a[:k], now, out=now)
+            np.sum(now, axis=1, keepdims=True, out=sums)
+            a = np.divide(now, sums, out=now)
+        total[: n[0]] += np.bincount(which, weights=np.log(scale[:, 0], dtype=np.float64))
+        low = high
     out = np.empty(len(order))
     out[order] = total
     return out
@@ -488,65 +509,79 @@ def score_documents(docs, doc_id="doc_id", text="text", modulus=7, held=2, state
     return score(Fitted(prepared(docs, doc_id, text, modulus, held), states, rounds))
 
 
-def _in_near(near, keys):
-    """(place among the near words, whether the word is one) per key."""
-    if not len(near):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(near, keys.view(np.int64)), len(near) - 1)
-    return at, near[at] == keys.view(np.int64)
+def distinct_keys(tails):
+    """(keys, text, first, which): per text its distinct rare words in order, text by text.
+
+    Text d has those from first[d] to first[d + 1]; `which` has for every occurrence the place of its word in `keys`.
+    """
+    raw = np.frombuffer(b"".join(tails), "<u8")
+    owner = np.repeat(np.arange(len(tails)), [len(x) // 8 for x in tails])
+    order = np.lexsort((raw, owner))
+    keys, text = raw[order], owner[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    keys, text = keys[fresh], text[fresh]
+    return keys, text, np.searchsorted(text, np.arange(len(tails) + 1)), which
 
 
 def score(fitted):
     vocabulary, model, mass = fitted.vocabulary, fitted.model, fitted.tails.mass
     near, near_counts, near_tilts = fitted.tails.near
+    near = near.view(np.uint64)
     size, states = float(np.log10(vocabulary.tokens + vocabulary.types + 1)), len(model.start)
 
     def split(batches):
-        for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = np.unique(np.frombuffer(raw, "<u8"))
-                place = np.flatnonzero(~_in_near(near, keys)[1])
-                if len(place):
-                    columns = [pa.array(np.full(len(place), i)), pa.array(keys[place].view(np.int64)), pa.array(place.astype(np.int32))]
+        places = Places(near)
+        for whole in batches:
+            for batch in row_slices(whole, 1, 1 << 20):
+                keys, text, first, _ = distinct_keys(batch.column(1).to_pylist())
+                far = np.flatnonzero(~places.find(keys)[1])
+                if len(far):
+                    text = text[far]
+                    columns = [batch.column(0).take(pa.array(text)), pa.array(keys[far].view(np.int64)), pa.array((far - first[text]).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "place"])
 
     # the other rare words of every text, as places in the order of its rare words, with what the corpus says of them
-    used = fitted.encoded.select("row", "tail").mapInArrow(_merged(split), "row bigint, key bigint, place int")
+    used = fitted.encoded.select("row", "tail").mapInArrow(split, "row bigint, key bigint, place int")
     used = used.join(fitted.tails.far, "key").groupBy("row").agg(F.collect_list(F.struct("place", "c", "tilt")).alias("known"))
     rows = fitted.encoded.select("row", "doc_id", "held_out", "n_tokens", "symbols", "tail").join(used, "row", "left")
 
+    def factors_of(keys, numerator):
+        return (numerator / mass[(keys & np.uint64(255)).astype(np.int64)]).astype(np.float32)
+
     def work(batches):
+        places, near_factors = Places(near), factors_of(near, numerators(near_counts, near_tilts, states))
         for whole in batches:
             for batch in row_slices(whole, 3, 1 << 20):
-                n_tokens, symbols, tails = (batch.column(i).to_pylist() for i in range(2, 5))
+                n = batch.column(2).to_numpy()
+                symbols = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2")
+                keys, text, first, which = distinct_keys(batch.column(4).to_pylist())
+                counts, factors = np.zeros(len(keys)), factors_of(keys, np.ones((len(keys), states)))
+                found, is_near = places.find(keys)
+                counts[is_near], factors[is_near] = near_counts[found[is_near]], near_factors[found[is_near]]
                 words = batch.column(5)
-                stops = np.concatenate([[0], np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(int)
-                words = {f: pc.struct_field(words.flatten(), f).to_numpy(zero_copy_only=False) for f in ("place", "c", "tilt")}
-                sequences, rare, factors, base, n_known, at = [], [], [], [], [], 0
-                for n, x, raw, low, high in zip(n_tokens, symbols, tails, stops[:-1], stops[1:]):
-                    x, keys = np.frombuffer(x, "<u2"), np.frombuffer(raw, "<u8")
-                    distinct, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-                    found, is_near = _in_near(near, distinct)
-                    counts, numerator = np.zeros(len(distinct)), np.ones((len(distinct), states))
-                    for place, c, tilt in (
-                        (np.flatnonzero(is_near), near_counts[found[is_near]], near_tilts[found[is_near]]),
-                        (words["place"][low:high], words["c"][low:high], words["tilt"][low:high]),
-                    ):
-                        if len(place):
-                            counts[place] = c
-                            numerator[place] = numerators(c, tilt, states)
-                    place = np.full(len(x), -1)
-                    place[x > K] = which + at
-                    at += len(distinct)
-                    own = x[x <= K]
-                    sequences.append(x)
-                    rare.append(place)
-                    factors.append((numerator / mass[(distinct & np.uint64(255)).astype(np.int64)]).astype(np.float32))
-                    base.append(float(vocabulary.log_head[own].sum() + (times * np.log10(counts + 1)).sum() - n * size))
-                    n_known.append(int((vocabulary.counts[own] > 0).sum() + times[counts > 0].sum()))
-                likely = forward(model, sequences, rare, np.concatenate(factors)) / np.log(10)
+                place, c, tilt = (pc.struct_field(words.flatten(), f).to_numpy(zero_copy_only=False) for f in ("place", "c", "tilt"))
+                if len(place):
+                    place = place + np.repeat(first[:-1], pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                    counts[place], factors[place] = c, factors_of(keys[place], numerators(c, tilt, states))
+                is_rare = symbols > K
+                rare = np.full(len(symbols), -1)
+                rare[is_rare] = which
+                owner = np.repeat(np.arange(len(n)), n)
+
+                def added(frequent, tail):
+                    """Summed per text: a value per symbol, for words with one of their own, and a value per rare word."""
+                    each = frequent[symbols]
+                    each[is_rare] = tail[which]
+                    return np.bincount(owner, weights=each, minlength=len(n))
+
+                base = added(vocabulary.log_head, np.log10(counts + 1)) - n * size
+                n_known = added(vocabulary.counts > 0, counts > 0).astype(np.int64)
+                likely = forward_flat(model, symbols, n, rare, factors) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(likely)],
+                    [*batch.columns[:3], pa.array(n_known), pa.array(base), pa.array(likely)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
@@ -558,23 +593,6 @@ def score(fitted):
     )
 
 
-def _merged(function, rows=50_000):
-    """The same function with its small batches joined into larger ones."""
-
-    def work(batches):
-        held, size = [], 0
-        for part in function(batches):
-            held.append(part)
-            size += part.num_rows
-            if size >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return work
-
-
 def _stored(df, name):
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)

@@ -17,7 +17,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = U64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, dtype=np.uint64)
+#: powers of the base and of its inverse modulo 2 ** 64
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def mix(x):
@@ -29,13 +30,12 @@ def mix(x):
     return x ^ (x >> U64(31))
 
 
-def _powers(n):
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS), 4096), _BASE, dtype=np.uint64)
+def _powers(n, inverse):
+    if len(_POWERS[inverse]) < n:
+        grown = np.full(max(n, min(2 * n, CHUNK)), U64(pow(int(_BASE), -1, 1 << 64)) if inverse else _BASE, dtype=np.uint64)
         grown[0] = 1
-        _POWERS = np.multiply.accumulate(grown)
-    return _POWERS
+        _POWERS[inverse] = np.multiply.accumulate(grown)
+    return _POWERS[inverse][:n]
 
 
 def text_bytes(column):
@@ -61,9 +61,13 @@ def _chunks(raw):
     while start < len(raw):
         end = min(start + CHUNK, len(raw))
         if end < len(raw):
-            blank = np.flatnonzero(_SPACE[raw[start:end]])
+            # the last white space, most likely among the last bytes
+            low = max(start, end - 4096)
+            blank = np.flatnonzero(_SPACE[raw[low:end]])
+            if not len(blank):
+                low, blank = start, np.flatnonzero(_SPACE[raw[start:end]])
             if len(blank):
-                end = start + int(blank[-1]) + 1
+                end = low + int(blank[-1]) + 1
             else:  # one very long word: go on to its end
                 step = end
                 while step < len(raw) and not len(blank := np.flatnonzero(_SPACE[raw[step : step + CHUNK]])):
@@ -82,7 +86,7 @@ def hash_words(raw, offsets, last_byte=False):
     stops = offsets[:-1]
     for start, end in _chunks(raw):
         b = raw[start:end]
-        word = ~_SPACE[b]
+        word = (b != 32) & (b - np.uint8(9) > 4)
         fresh = np.empty(len(b), dtype=bool)
         fresh[0] = True
         np.logical_not(word[:-1], out=fresh[1:])
@@ -96,14 +100,10 @@ def hash_words(raw, offsets, last_byte=False):
         np.logical_or(~word[1:], fresh[1:], out=closes[:-1])
         stop = np.flatnonzero(word & closes) + 1
         length = stop - begin
-        powers = _powers(int(length.max()) + 1)
-        # position in the word, for bytes of words only
-        where = np.flatnonzero(word)
-        first_byte = np.concatenate([[0], np.cumsum(length)])
-        within = np.arange(len(where)) - np.repeat(first_byte[:-1], length)
-        value = _BYTES[b[where]] * powers[within]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-        hashes.append(mix(total[first_byte[1:]] - total[first_byte[:-1]] + length.astype(np.uint64)))
+        # bytes are weighted by their place in the chunk; what is before the word is divided out (modulo 2 ** 64)
+        total = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(np.take(_BYTES, b, mode="clip") * _powers(len(b), 0), out=total[1:])
+        hashes.append(mix((total[stop] - total[begin]) * np.take(_powers(len(b), 1), begin) + length.astype(np.uint64)))
         begins.append(begin + start)
         if last_byte:
             lasts.append(_LOWER[b[stop - 1]])
@@ -115,6 +115,33 @@ def hash_words(raw, offsets, last_byte=False):
     return h, first
 
 
+class Places:
+    """Places of hashes in a sorted array of distinct ones, found through their first bits."""
+
+    def __init__(self, hashes):
+        self.hashes = hashes
+        bits = len(hashes).bit_length() + 2
+        self.shift = U64(64 - bits)
+        sizes = np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begins = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.most = int(sizes.max())
+
+    def find(self, hashes):
+        """(place, whether it is there) per hash."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        last = len(self.hashes) - 1
+        at = np.minimum(self.begins[(hashes >> self.shift).astype(np.int64)], last).astype(np.int64)
+        there = self.hashes[at] == hashes
+        left = np.flatnonzero(~there)
+        for k in range(1, self.most):
+            place = np.minimum(at[left] + k, last)
+            hit = self.hashes[place] == hashes[left]
+            at[left[hit]], there[left[hit]] = place[hit], True
+            left = left[~hit]
+        return at, there
+
+
 def shingle_sets(hashes, first, width):
     """Per document its sorted distinct shingles of `width` words, as 64-bit hashes.
 

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from spectraloom.llm import hmm
+from spectraloom.llm import hmm, words
 
 SCHEMA = "doc_id bigint, text string, row string, symbols string, key int, learn string"
 
@@ -200,5 +201,75 @@ def test_counts_on_the_way_keep_16_bits():
     assert (got[0, [0, 1, 2, 6]] == x[0, [0, 1, 2, 6]]).all() and np.allclose(got[0, :5], x[0, :5], rtol=2**-16)
 
 
+class Counted(np.ndarray):
+    """Counts its lookups."""
+
+    lookups = 0
+
+    def take(self, *args, **kwargs):
+        Counted.lookups += 1
+        return np.asarray(self).take(*args, **kwargs)
+
+    def __getitem__(self, item):
+        Counted.lookups += 1
+        return np.asarray(self)[item]
+
+
+def test_forward_looks_emissions_up_in_blocks_of_steps(monkeypatch):
+    rnd = np.random.default_rng(5)
+    model, plain = random_model(), random_model()
+    model.emit = model.emit.view(Counted)
+    sequences = [rnd.integers(0, 6, n).astype("<u2") for n in (1, 400, 7, 7, 90, 2)]
+    rare = [np.where(x == 5, np.arange(len(x)) % 3, -1) for x in sequences]
+    factors = rnd.uniform(0.5, 2, (3, 3)).astype(np.float32)
+    monkeypatch.setattr(Counted, "lookups", 0)
+    got = hmm.forward(model, sequences, rare, factors)
+    assert 0 < Counted.lookups < 10
+    for x, odd, value in zip(sequences, rare, got):
+        likely, state = 0.0, plain.start.astype(float)
+        for t, (symbol, f) in enumerate(zip(x, odd)):
+            e = plain.emit[symbol] * (factors[f] if f >= 0 else 1.0)
+            state = (state @ plain.moves if t else state) * e
+            likely += math.log(state.sum())
+            state = state / state.sum()
+        assert value == pytest.approx(likely, rel=1e-5)
+    monkeypatch.setattr(hmm, "STEP_TOKENS", 5)
+    assert np.allclose(hmm.forward(plain, sequences, rare, factors), got, rtol=1e-12)
+
+
+def test_hashes_are_found_through_their_first_bits():
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 2, 7, 3000):
+        # half of them share their first bits
+        held = np.unique(np.concatenate([rnd.integers(0, 2**64, n, dtype=np.uint64), rnd.integers(0, 2**20, n, dtype=np.uint64)]))
+        asked = np.concatenate([held, held + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        at, there = words.Places(held).find(asked)
+        assert (there == np.isin(asked, held)).all() and (held[at[there]] == asked[there]).all()
+
+
+def test_a_word_has_one_hash_wherever_it_stands(monkeypatch):
+    texts = ["one Two\x0bthree", "two", "", None, "x" * 300 + " two", " two\n" * 40, "é\x1cz two"]
+
+    def hashes():
+        h, first, last = words.hash_words(*words.text_bytes(pa.array(texts)), last_byte=True)
+        return h.tolist(), first.tolist(), last.tolist()
+
+    h, first, last = hashes()
+    assert first == [0, 3, 4, 4, 4, 6, 46, 48] and len(set(h)) == 5
+    assert {h[i] for i in (1, 3, 5, 47, *range(6, 46))} == {h[1]} and last[:2] == [ord("e"), ord("o")]
+    for chunk in (1, 3, 17, 5000):
+        monkeypatch.setattr(words, "CHUNK", chunk)
+        assert hashes() == (h, first, last)
+
+
+def test_distinct_rare_words_per_text():
+    rnd = np.random.default_rng(8)
+    keys = [rnd.integers(0, 9, n).astype("<u8") << np.uint64(60) for n in (0, 5, 0, 30, 1, 0)]
+    got, text, first, which = hmm.distinct_keys([k.tobytes() for k in keys])
+    for i, k in enumerate(keys):
+        assert (got[first[i] : first[i + 1]] == np.unique(k)).all() and (text[first[i] : first[i + 1]] == i).all()
+    assert (got[which] == np.concatenate(keys)).all()
+
+
 def test_empty_table(spark):
     assert hmm.score_documents(spark.createDataFrame([], SCHEMA), rounds=1).collect() == []
